@@ -13,6 +13,10 @@ def scalars(df: DataFrame, **aggs: Column) -> Column:
     DataFrame's expressions. Spark runs the subquery once (identical
     subqueries are reused) and inlines the value: no join, no cross product,
     no driver round trip of data.
+
+    Attach the result once (``df.withColumn('_g', scalars(...))``) and read
+    its fields from that column: every textual reference to the subquery
+    would otherwise carry another copy of its plan.
     """
     return df.select(F.struct(*[c.alias(k) for k, c in aggs.items()]).alias("s")).scalar()
 

@@ -58,25 +58,26 @@ def descriptive_stats(rollup: DataFrame, columns=STAT_COLUMNS, approx: bool = Fa
 def rate_histogram(rollup: DataFrame, value: str = "rate_100k", bins: int = HIST_BINS) -> DataFrame:
     """A4: ``bins`` equal-width bins over [min, max]; the maximum lands in the
     last bin. Non-empty bins with their edges and counts."""
-    s = scalars(rollup, mn=F.min(value), mx=F.max(value))
-    mn, mx = s["mn"], s["mx"]
-    width = (mx - mn) / bins
+    src = rollup.withColumn("_g", scalars(rollup, mn=F.min(value), mx=F.max(value)))
+    mn, mx = F.col("_g.mn"), F.col("_g.mx")
     b = F.when(mx > mn, F.least(F.floor((F.col(value) - mn) / (mx - mn) * bins) + 1,
                                 F.lit(bins))).otherwise(F.lit(1)).cast("bigint")
-    g = rollup.where(F.col(value).isNotNull()).groupBy(b.alias("bin")).agg(
+    g = src.where(F.col(value).isNotNull()).groupBy(b.alias("bin"), "_g").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"))
+    width = (mx - mn) / bins
     return g.select("bin", (mn + (F.col("bin") - 1) * width).alias("bin_lo"),
                     (mn + F.col("bin") * width).alias("bin_hi"), "n")
 
 
 def rate_box(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER) -> DataFrame:
     """A5: quartiles, 1.5·IQR fences, whiskers and the outlier count."""
-    q = scalars(rollup, q=F.percentile(F.col(value).cast("double"),
-                                       F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))["q"]
+    src = rollup.withColumn("_g", scalars(rollup, q=F.percentile(
+        F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))))
+    q = F.col("_g.q")
     q1, med, q3 = q[0], q[1], q[2]
     lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
     x = F.col(value)
-    return rollup.agg(
+    return src.agg(
         F.first(q1).alias("q1"), F.first(med).alias("median"), F.first(q3).alias("q3"),
         F.first(q3 - q1).alias("iqr"), F.first(lo).alias("lower_fence"),
         F.first(hi).alias("upper_fence"),
@@ -86,10 +87,11 @@ def rate_box(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER
 
 def rate_outliers(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER) -> DataFrame:
     """A5 outlier rows: beyond the fences."""
-    q = scalars(rollup, q=F.percentile(F.col(value).cast("double"),
-                                       F.array(F.lit(0.25), F.lit(0.75))))["q"]
+    src = rollup.withColumn("_g", scalars(rollup, q=F.percentile(
+        F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))))
+    q = F.col("_g.q")
     lo, hi = q[0] - (q[1] - q[0]) * k, q[1] + (q[1] - q[0]) * k
-    return rollup.where((F.col(value) < lo) | (F.col(value) > hi))
+    return src.where((F.col(value) < lo) | (F.col(value) > hi)).drop("_g")
 
 
 def top_goods(inc: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -123,8 +125,8 @@ def lorenz_curve(rollup: DataFrame, rows_per_range: int = DEFAULT_ROWS_PER_RANGE
     """Ascending cumulative share with a leading (0, 0) point; x evenly
     spaced over 0..100, both axes in percent."""
     r, ranked = _ranked_ascending(rollup, rows_per_range)
-    s = scalars(r, n=F.count(F.lit(1)), tot=F.sum("total"))
-    n, tot = s["n"], s["tot"]
+    ranked = ranked.withColumn("_g", scalars(r, n=F.count(F.lit(1)), tot=F.sum("total")))
+    n, tot = F.col("_g.n"), F.col("_g.tot")
     pts = ranked.select(F.col("rank").alias("point"),
                         (F.col("rank") * 100.0 / n).alias("pop_pct"),
                         F.when(tot != 0, F.col("cum_total") * 100.0 / tot).alias("cases_pct"))

@@ -63,16 +63,18 @@ def standardise(rates: DataFrame, ids: list[str], features: list[str]) -> DataFr
     """(x - mean) / population std per feature; zero variance -> 0."""
     stats = scalars(rates, **{f"m{i}": F.avg(f) for i, f in enumerate(features)},
                     **{f"s{i}": F.stddev_pop(f) for i, f in enumerate(features)})
+    src = rates.withColumn("_g", stats)
     cols = []
     for i, f in enumerate(features):
-        m, s = stats[f"m{i}"], stats[f"s{i}"]
+        m, s = F.col(f"_g.m{i}"), F.col(f"_g.s{i}")
         cols.append(F.when(s > 0, (F.col(f) - m) / s).otherwise(F.lit(0.0)).alias(f))
-    return rates.select(*ids, *cols)
+    return src.select(*ids, *cols)
 
 
 def zscore_stats(rates: DataFrame, features: list[str]):
-    """Global mean and *sample* std (+1e-9) per feature, as a scalar struct
-    (the naming z-scores of M6/D6 use ddof 1, unlike the scaler)."""
+    """Global mean and *sample* std per feature, as a scalar struct to attach
+    once as a column (the naming z-scores of M6/D6 use ddof 1, unlike the
+    scaler)."""
     return scalars(rates, **{f"m{i}": F.avg(f) for i, f in enumerate(features)},
                    **{f"s{i}": F.stddev_samp(f) for i, f in enumerate(features)})
 

@@ -32,10 +32,11 @@ def pareto_curve(inc: DataFrame, rows_per_range: int = DEFAULT_ROWS_PER_RANGE) -
     # the roll-up is read three times (count, grand total, ranking): write it
     # once to the shared checkpoint folder
     r = checkpointed(muni_rollup_pareto(inc))
-    grand = scalars(r, grand=F.sum("total"))["grand"]
     ranked = global_prefix(r, [("total", False), ("muni_key", True)], "total",
                            cum_col="cum_total", rank_col="rank",
                            rows_per_range=rows_per_range, materialize=False)
+    ranked = ranked.withColumn("_g", scalars(r, grand=F.sum("total")))
+    grand = F.col("_g.grand")
     share = F.when(grand != 0, F.col("total") * 100.0 / grand)
     cum = F.when(grand != 0, F.col("cum_total") * 100.0 / grand)
     return ranked.select("rank", "muni_key", "muni", "state", "total", "population",

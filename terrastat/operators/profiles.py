@@ -53,9 +53,8 @@ def cluster_summary(rates: DataFrame, label: str = "cluster") -> DataFrame:
 
 def cluster_zscores(rates: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:
     """M6: (cluster mean - global mean) / (global sample std + 1e-9), long."""
-    g = zscore_stats(rates, features)
-    means = cluster_means(rates, label, features)
-    z = means.select(label, *[((F.col(f) - g[f"m{i}"]) / (g[f"s{i}"] + Z_EPS)).alias(f)
+    means = cluster_means(rates, label, features).withColumn("_g", zscore_stats(rates, features))
+    z = means.select(label, *[((F.col(f) - F.col(f"_g.m{i}")) / (F.col(f"_g.s{i}") + Z_EPS)).alias(f)
                               for i, f in enumerate(features)])
     return _long(z, [label], features, "z")
 
@@ -64,9 +63,8 @@ def cluster_names(rates: DataFrame, features: list[str], label: str = "cluster")
     """M7 + M8: specialty (arg-max z, first column on ties) and the name
     'Perfil Pacifico (...)' when the top z < 0, else 'Foco: <feature> (...)',
     with N and the mean population in thousands (half-even, no decimals)."""
-    g = zscore_stats(rates, features)
-    means = cluster_means(rates, label, features)
-    zs = [(F.col(f) - g[f"m{i}"]) / (g[f"s{i}"] + Z_EPS) for i, f in enumerate(features)]
+    means = cluster_means(rates, label, features).withColumn("_g", zscore_stats(rates, features))
+    zs = [(F.col(f) - F.col(f"_g.m{i}")) / (F.col(f"_g.s{i}") + Z_EPS) for i, f in enumerate(features)]
     top = _argmax(zs, features)
     t = means.select(label, "members", "mean_population", top.alias("_top"))
     tail = F.concat(F.lit(" (N="), F.col("members").cast("string"), F.lit(" | Pob: "),
@@ -116,9 +114,8 @@ def outlier_anomaly(rates: DataFrame, labelled: DataFrame, features: list[str],
     """Per outlier, z = (rate - global mean)/(global sample std + 1e-9)
     with the globals over *all* rows; main anomaly = arg-max feature as
     display text."""
-    g = zscore_stats(rates, features)
-    out = labelled.where(F.col(label) == NOISE)
-    zs = [(F.col(f) - g[f"m{i}"]) / (g[f"s{i}"] + Z_EPS) for i, f in enumerate(features)]
+    out = labelled.where(F.col(label) == NOISE).withColumn("_g", zscore_stats(rates, features))
+    zs = [(F.col(f) - F.col(f"_g.m{i}")) / (F.col(f"_g.s{i}") + Z_EPS) for i, f in enumerate(features)]
     top = _argmax(zs, features)
     ids = [c for c in ("muni_key", "muni", "population", "state") if c in out.columns]
     return out.select(*ids, feature_label(top["feature"]).alias("main_anomaly"),

@@ -138,19 +138,18 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
     r = o.groupBy(F.col("o_custkey").alias("k")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("o_totalprice").alias("a"))
-    s = r.agg(F.avg("n").alias("mn"), F.stddev_pop("n").alias("sn"),
-              F.avg("a").alias("ma"), F.stddev_pop("a").alias("sa"))
-    # one-row statistics: broadcast is bounded by construction
-    return r.crossJoin(F.broadcast(s)).select(
-        "k", ((F.col("n") - F.col("mn")) / F.col("sn")).alias("x"),
-        ((F.col("a") - F.col("ma")) / F.col("sa")).alias("y"))
+    from terrastat.operators.common import scalars
+    g = r.withColumn("_g", scalars(r, mn=F.avg("n"), sn=F.stddev_pop("n"),
+                                   ma=F.avg("a"), sa=F.stddev_pop("a")))
+    return g.select("k", ((F.col("n") - F.col("_g.mn")) / F.col("_g.sn")).alias("x"),
+                    ((F.col("a") - F.col("_g.ma")) / F.col("_g.sa")).alias("y"))
 
 
 def population_long(spark: SparkSession, sf_dir: str, year: int = 2015) -> DataFrame:
     """A raw population table shaped like a census extract: one row per
     municipality × sex with accented names, derived from ``muni`` (E10 input)."""
     m = muni(spark, sf_dir)
-    half = (F.col("population") / 2).cast("bigint")
+    half = F.floor(F.col("population") / 2).cast("bigint")
     sexes = F.array(
         F.struct(F.lit("Hombres").alias("sex"), half.alias("pop")),
         F.struct(F.lit("Mujeres").alias("sex"), (F.col("population") - half).alias("pop")))
