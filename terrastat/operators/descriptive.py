@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from terrastat.functions.records import rate_per_100k
 from terrastat.functions.stats import corrected_kurtosis, corrected_skew
 from terrastat.operators.common import checkpointed, scalars
-from terrastat.operators.scan import DEFAULT_ROWS_PER_RANGE, global_prefix
+from terrastat.operators.scan import DEFAULT_ROWS_PER_RANGE, global_prefix, rank_quantiles
 
 STAT_COLUMNS = ("total", "rate_100k", "population")
+# above this many rows the quartiles come from distributed ranks, not from one
+# aggregation buffer holding every distinct value
+EXACT_BUFFER_MAX_ROWS = 5_000_000
+QUARTILES = (0.25, 0.5, 0.75)
 HIST_BINS = 50
 TOP_N = 10
 MIN_POPULATION_STRICT = 5000  # fixed value: A7/A8 keep population > 5000
@@ -27,25 +31,48 @@ def muni_rollup(inc: DataFrame) -> DataFrame:
             .withColumn("rate_100k", rate_per_100k("total", "population")))
 
 
-def descriptive_stats(rollup: DataFrame, columns=STAT_COLUMNS, approx: bool = False,
-                      accuracy: int = 100000) -> DataFrame:
+def _quantile_method(df: DataFrame, method: str) -> str:
+    if method != "auto":
+        return method
+    return "rank" if df.count() > EXACT_BUFFER_MAX_ROWS else "exact"
+
+
+def _quartiles(df: DataFrame, col: str, method: str, key: str = "muni_key"):
+    """array<double> of Q1, median, Q3 as an aggregate (exact/approx) or a
+    scalar subquery (rank)."""
+    x = F.col(col).cast("double")
+    if method == "approx":
+        return F.percentile_approx(x, list(QUARTILES), 100000).cast("array<double>")
+    if method == "rank":
+        return rank_quantiles(df, col, list(QUARTILES), key)
+    return F.percentile(x, F.array(*[F.lit(q) for q in QUARTILES]))
+
+
+def descriptive_stats(rollup: DataFrame, columns=STAT_COLUMNS, method: str = "auto",
+                      key: str = "muni_key") -> DataFrame:
     """A3: mean, median, sample std, min, max, Q1, Q3, bias-corrected skew and
     excess kurtosis for each column, as one row per column.
 
-    One global aggregate computes all of them (partial aggregation per task).
-    Quartiles interpolate linearly (``percentile``, exact); ``approx=True``
-    switches to ``percentile_approx`` for very large inputs.
+    One global aggregate computes the moments (partial aggregation per task).
+    Quartiles interpolate linearly. ``method``: ``exact`` (Spark
+    ``percentile``: one buffer of distinct values), ``rank`` (exact, from
+    distributed ranks, for any size), ``approx`` (``percentile_approx``), or
+    ``auto`` (rank above EXACT_BUFFER_MAX_ROWS rows, else exact).
     """
+    if method in ("auto", "rank"):
+        rollup = checkpointed(rollup)
+    m = _quantile_method(rollup, method)
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-        aggs += [F.avg(x).alias(f"{c}__mean"), q.alias(f"{c}__q"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.max(x).alias(f"{c}__max"), corrected_skew(x).alias(f"{c}__skew"),
-                 corrected_kurtosis(x).alias(f"{c}__kurt")]
+        aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
+                 corrected_skew(x).alias(f"{c}__skew"), corrected_kurtosis(x).alias(f"{c}__kurt")]
+        if m != "rank":
+            aggs.append(_quartiles(rollup, c, m, key).alias(f"{c}__q"))
     one = rollup.agg(*aggs)
+    if m == "rank":
+        one = one.select("*", *[_quartiles(rollup, c, m, key).alias(f"{c}__q") for c in columns])
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__mean").alias("mean"),
                      F.col(f"{c}__q")[1].alias("median"), F.col(f"{c}__std").alias("std"),
                      F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"),
@@ -69,11 +96,16 @@ def rate_histogram(rollup: DataFrame, value: str = "rate_100k", bins: int = HIST
                     (mn + F.col("bin") * width).alias("bin_hi"), "n")
 
 
-def rate_box(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER) -> DataFrame:
+def rate_box(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER,
+             method: str = "auto", key: str = "muni_key") -> DataFrame:
     """A5: quartiles, 1.5·IQR fences, whiskers and the outlier count."""
-    src = rollup.withColumn("_g", scalars(rollup, q=F.percentile(
-        F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))))
-    q = F.col("_g.q")
+    if method in ("auto", "rank"):
+        rollup = checkpointed(rollup)
+    m = _quantile_method(rollup, method)
+    q = _quartiles(rollup, value, m, key)
+    qcol = q if m == "rank" else scalars(rollup, q=q)["q"]
+    src = rollup.withColumn("_q", qcol)
+    q = F.col("_q")
     q1, med, q3 = q[0], q[1], q[2]
     lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
     x = F.col(value)
@@ -85,13 +117,18 @@ def rate_box(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER
         F.sum(F.when((x < lo) | (x > hi), 1).otherwise(0)).cast("bigint").alias("n_outliers"))
 
 
-def rate_outliers(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER) -> DataFrame:
+def rate_outliers(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER,
+                  method: str = "auto", key: str = "muni_key") -> DataFrame:
     """A5 outlier rows: beyond the fences."""
-    src = rollup.withColumn("_g", scalars(rollup, q=F.percentile(
-        F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))))
-    q = F.col("_g.q")
-    lo, hi = q[0] - (q[1] - q[0]) * k, q[1] + (q[1] - q[0]) * k
-    return src.where((F.col(value) < lo) | (F.col(value) > hi)).drop("_g")
+    if method in ("auto", "rank"):
+        rollup = checkpointed(rollup)
+    m = _quantile_method(rollup, method)
+    q = _quartiles(rollup, value, m, key)
+    qcol = q if m == "rank" else scalars(rollup, q=q)["q"]
+    src = rollup.withColumn("_q", qcol)
+    q1, q3 = F.col("_q")[0], F.col("_q")[2]
+    lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
+    return src.where((F.col(value) < lo) | (F.col(value) > hi)).drop("_q")
 
 
 def top_goods(inc: DataFrame, n: int = TOP_N) -> DataFrame:

@@ -114,3 +114,34 @@ def global_prefix(df: DataFrame, order: list[tuple[str, bool]], value: str | Non
     if value is not None:
         out.append((F.sum(F.col(value)).over(running) + F.col("_so")).alias(cum_col))
     return j.select(*out)
+
+
+def rank_quantiles(df: DataFrame, value: str, qs: list[float], key: str,
+                   rows_per_range: int = DEFAULT_ROWS_PER_RANGE) -> Column:
+    """Exact linear-interpolation quantiles (pandas / ``percentile``
+    semantics) for inputs too large for one aggregation buffer.
+
+    Rows are ranked in (value, key) order by ``global_prefix``; quantile q
+    sits at h = (n - 1)·q and interpolates between ranks floor(h) + 1 and
+    ceil(h) + 1, so only 2·len(qs) rows are read back. Returns a scalar
+    subquery Column holding ``array<double>`` (null when no row).
+    """
+    src = checkpointed(df.select(key, F.col(value).cast("double").alias("_x"))
+                       .where(F.col("_x").isNotNull()))
+    n = src.count()
+    if n == 0:
+        return F.lit(None).cast("array<double>")
+    ranked = global_prefix(src, [("_x", True), (key, True)], None, rank_col="_rk",
+                           rows_per_range=rows_per_range, materialize=False)
+    picks = []
+    needed = set()
+    for q in qs:
+        h = (n - 1) * float(q)
+        lo, hi = math.floor(h) + 1, math.ceil(h) + 1
+        needed.update((lo, hi))
+        picks.append((lo, hi, h - math.floor(h)))
+    chosen = ranked.where(F.col("_rk").isin(*sorted(needed)))
+    vals = [F.max(F.when(F.col("_rk") == lo, F.col("_x"))) * (1.0 - frac)
+            + F.max(F.when(F.col("_rk") == hi, F.col("_x"))) * frac
+            for lo, hi, frac in picks]
+    return chosen.select(F.array(*vals).alias("q")).scalar()

@@ -152,3 +152,27 @@ def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 10]], "rate_100k double")
     h = {r.bin: r.n for r in A.rate_histogram(df, bins=5).collect()}
     assert h == {1: 2, 2: 1, 5: 1}   # width 2: [0,2) [2,4) ... the max closes bin 5
+
+
+@pytest.mark.parametrize("method", ["exact", "rank"])
+def test_quartile_methods_agree_with_pandas(spark, method):
+    import random
+    rnd = random.Random(9)
+    xs = [float(rnd.randint(0, 40)) for _ in range(301)] + [7.0] * 150   # heavy tie
+    df = spark.createDataFrame([(i, x, x, x) for i, x in enumerate(xs)],
+                               "muni_key bigint, total double, rate_100k double, population double")
+    r = A.descriptive_stats(df, method=method).where(F.col("column") == "total").first()
+    s = pd.Series(xs)
+    assert (r.q1, r.median, r.q3) == pytest.approx((s.quantile(.25), s.median(), s.quantile(.75)))
+    b = A.rate_box(df, method=method).first()
+    assert (b.q1, b.median, b.q3) == pytest.approx((s.quantile(.25), s.median(), s.quantile(.75)))
+
+
+def test_rank_quantiles_multi_range(spark):
+    from terrastat.operators.scan import rank_quantiles
+    xs = [float(i % 97) for i in range(1000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "k bigint, v double")
+    q = rank_quantiles(df, "v", [0.1, 0.5, 0.9], "k", rows_per_range=100)
+    got = spark.range(1).select(q.alias("q")).first().q
+    s = pd.Series(xs)
+    assert got == pytest.approx([s.quantile(.1), s.quantile(.5), s.quantile(.9)])
