@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrastat.functions.records import SETTLEMENT_LABELS, settlement_class
-from terrastat.functions.stats import chi2_sf
+from terrastat.functions.stats import chi2_sf, chi2_sf_even
 from terrastat.operators.common import checkpointed
 
 # Strength labels, cut points, hotspot rule and alert text.
@@ -43,13 +43,15 @@ def contingency(inc: DataFrame, labels=SETTLEMENT_LABELS) -> DataFrame:
     wide = tagged.groupBy("legal_good").pivot("settlement", list(labels)).agg(F.sum("total"))
     stacked = ", ".join(f"'{lab}', coalesce(`{lab}`, 0L)" for lab in labels)
     long = wide.selectExpr("legal_good", f"stack({len(labels)}, {stacked}) as (settlement, observed)")
-    long = long.withColumn("observed", F.col("observed").cast("bigint"))
+    # the only full-data pass: materialise the (#goods x 3) table once, every
+    # later step (marginals, expected counts, residuals) reads it
+    long = checkpointed(long.withColumn("observed", F.col("observed").cast("bigint")))
     rows = long.groupBy("legal_good").agg(F.sum("observed").alias("_r"))
     cols = long.groupBy("settlement").agg(F.sum("observed").alias("_c"))
     keep = (long.join(rows.where(F.col("_r") > 0).select("legal_good"), "legal_good", "left_semi")
             .join(F.broadcast(cols.where(F.col("_c") > 0).select("settlement")),  # <= 3 rows
                   "settlement", "left_semi"))
-    return keep.select("legal_good", "settlement", "observed")
+    return checkpointed(keep.select("legal_good", "settlement", "observed"))
 
 
 def expected_cells(table: DataFrame) -> DataFrame:
@@ -78,7 +80,15 @@ def chi_square(table: DataFrame) -> DataFrame:
         "dof", "n", F.least(F.col("_r") - 1, F.col("_c") - 1).cast("int").alias("min_dim"))
     v = F.when((F.col("min_dim") > 0) & (F.col("n") > 0),
                F.sqrt(F.col("chi2") / (F.col("n") * F.col("min_dim"))))
-    return with_dof.select("chi2", "dof", chi2_sf(F.col("chi2"), F.col("dof")).alias("p_value"),
+    # dof comes from the small materialised table: read it once so that the
+    # common even case stays a JVM expression (a Python UDF inside CASE would
+    # still be evaluated for every row)
+    dims = table.agg(F.countDistinct("legal_good").alias("r"),
+                     F.countDistinct("settlement").alias("c")).first()
+    dof_value = (dims.r - 1) * (dims.c - 1)
+    p = (chi2_sf_even(F.col("chi2"), F.col("dof")) if dof_value % 2 == 0 and dof_value > 0
+         else chi2_sf(F.col("chi2"), F.col("dof")))
+    return with_dof.select("chi2", "dof", p.alias("p_value"),
                            "n", "min_dim", v.alias("cramers_v"))
 
 
@@ -136,8 +146,7 @@ class DependenceResult:
 
 
 def calculate_dependence(inc: DataFrame) -> DependenceResult:
-    # the only full-data pass; everything after reads the (#goods x 3) table
-    t = checkpointed(contingency(inc))
+    t = contingency(inc)
     chi = chi_square(t)
     res = residuals(t)
     return DependenceResult(t, chi, diagnosis(chi), res, hotspots(res), column_profile(t))
