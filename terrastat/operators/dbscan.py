@@ -1,23 +1,35 @@
 """DBSCAN (D1-D2) as DataFrame work, and the DBSCAN result frames.
 
-1. Grid on the first m = min(3, d) coordinates, cell side eps. Projection
-   only shrinks distances, so neighbours differ by at most one cell on each
-   of those axes: replicating one side to the 3^m neighbouring cells and
-   equi-joining on the cell is a complete candidate filter (no cross join).
-2. Keep pairs with squared distance <= eps² over all d coordinates (a point
-   is its own neighbour, as in the reference's library).
-3. Core = neighbour count >= min_samples; core-core pairs are the edges of
-   a connected-components job (components.py).
-4. Cluster ids are the rank of each component's smallest core key, minus 1
+For d <= 3 coordinates (the usual case after PCA or for planar points):
+
+1. Fine grid of side eps/sqrt(d): two points in the same fine cell are
+   always within eps. A cell's own points therefore count as neighbours
+   without enumerating a single pair, and the cores of one cell are one
+   connected group (a star to the cell's smallest core, not all pairs). A
+   cell that holds a third of all points costs one group-by row.
+2. Pairs are only enumerated *between* different cells: one side is
+   replicated to the neighbouring cell offsets that can hold a point within
+   eps (an equi-join on cell keys, never a cross join), then filtered on the
+   exact squared distance over all coordinates.
+3. Core = cell count + cross-cell neighbours >= min_samples (a point is its
+   own neighbour, as in the reference's library).
+4. Edges = same-cell stars + cross-cell core-core pairs; connected
+   components (components.py) give the clusters.
+5. Cluster ids are the rank of each component's smallest core key, minus 1
    (the library numbers clusters in the order their first core point is
    met, and keys follow row order).
-5. A border point takes the smallest cluster id among its core neighbours;
-   everything else is noise (-1).
+6. A border point takes the smallest cluster id among the cores of its own
+   cell and its cross-cell core neighbours; everything else is noise (-1).
+
+For d > 3 the neighbour-offset count of the fine grid explodes, so the
+candidate filter falls back to a coarse grid (side eps) on the first three
+coordinates, where all candidate pairs, including same-cell ones, are joined.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,6 +39,7 @@ from terrastat.operators.common import checkpointed
 from terrastat.operators.components import connected_components
 from terrastat.operators.scan import global_prefix
 
+FINE_GRID_MAX_DIMS = 3
 GRID_DIMS = 3
 DEFAULT_EPS = 1.5
 DEFAULT_MIN_SAMPLES = 5
@@ -64,9 +77,90 @@ def neighbour_pairs(points: DataFrame, id_col: str, coords: list[str], eps: floa
     return j.where(d2 <= F.lit(eps * eps)).select("id", "nid")
 
 
+def fine_cell_offsets(d: int) -> list[tuple[int, ...]]:
+    """Non-zero offsets between fine cells (side eps/sqrt(d)) whose closest
+    points can be within eps: sum over axes of max(|o|-1, 0)^2 <= d."""
+    r = math.ceil(math.sqrt(d))
+    return [o for o in itertools.product(range(-r, r + 1), repeat=d)
+            if any(o) and sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d]
+
+
+def fine_grid(points: DataFrame, id_col: str, coords: list[str], eps: float):
+    """(cells, cross_pairs): every point with its fine cell and the cell's
+    point count, and all (id, nid) pairs within eps lying in different
+    cells."""
+    d = len(coords)
+    side = eps / math.sqrt(d)
+    base = points.select(F.col(id_col).alias("id"),
+                         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(coords)],
+                         *[F.floor(F.col(c) / F.lit(side)).cast("long").alias(f"g{i}")
+                           for i, c in enumerate(coords)])
+    keys = [f"g{i}" for i in range(d)]
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("cell_n"))
+    cells = checkpointed(base.join(counts, keys))
+    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in fine_cell_offsets(d)])
+    shifted = cells.select(F.col("id").alias("nid"),
+                           *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)],
+                           *[F.col(f"g{i}").alias(f"h{i}") for i in range(d)],
+                           F.explode(offsets).alias("_o"))
+    shifted = shifted.select("nid", *[f"y{i}" for i in range(d)],
+                             *[(F.col(f"h{i}") + F.col("_o")[i]).alias(f"g{i}") for i in range(d)])
+    j = cells.select("id", *[f"x{i}" for i in range(d)], *keys).join(shifted, keys)
+    d2 = None
+    for i in range(d):
+        t = (F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}"))
+        d2 = t if d2 is None else d2 + t
+    cross = j.where(d2 <= F.lit(eps * eps)).select("id", "nid")
+    return cells, cross
+
+
+def _label_components(core: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) for core points: rank of the component's smallest key - 1."""
+    comps = connected_components(core, edges, "id", "src", "dst")
+    roots = comps.select("comp").distinct()
+    ranked = global_prefix(roots, [("comp", True)], None, rank_col="_rk")
+    return checkpointed(comps.join(ranked, "comp").select("id", (F.col("_rk") - 1).alias("label")))
+
+
 def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float = DEFAULT_EPS,
                   min_samples: int = DEFAULT_MIN_SAMPLES, grid_dims: int = GRID_DIMS) -> DataFrame:
     """(id, label, is_core, neighbours); label -1 is noise."""
+    if len(coords) > FINE_GRID_MAX_DIMS:
+        return _dbscan_labels_coarse(points, id_col, coords, eps, min_samples, grid_dims)
+    d = len(coords)
+    keys = [f"g{i}" for i in range(d)]
+    cells, cross = fine_grid(points, id_col, coords, eps)
+    cross = checkpointed(cross)
+    ccount = cross.groupBy("id").agg(F.count(F.lit(1)).alias("_cx"))
+    pts = checkpointed(cells.join(ccount, "id", "left").select(
+        "id", *keys, (F.col("cell_n") + F.coalesce(F.col("_cx"), F.lit(0))).alias("neighbours"))
+        .withColumn("is_core", F.col("neighbours") >= min_samples))
+    core = pts.where("is_core").select("id", *keys)
+    rep = core.groupBy(*keys).agg(F.min("id").alias("rep"))
+    star = (core.join(rep, keys).where(F.col("id") != F.col("rep"))
+            .select(F.col("rep").alias("src"), F.col("id").alias("dst")))
+    core_ids = core.select("id")
+    cross_core = (cross.where(F.col("id") < F.col("nid"))
+                  .join(core_ids, "id", "left_semi")
+                  .join(core_ids.select(F.col("id").alias("nid")), "nid", "left_semi")
+                  .select(F.col("id").alias("src"), F.col("nid").alias("dst")))
+    core_lab = _label_components(core_ids, star.unionByName(cross_core))
+    # border candidates: the cores of the own cell (one label per cell) and
+    # cross-cell core neighbours
+    cell_lab = rep.join(core_lab.select(F.col("id").alias("rep"), "label"), "rep").select(*keys, "label")
+    own = pts.where(~F.col("is_core")).join(cell_lab, keys).select("id", "label")
+    nbr = (cross.join(core_lab.select(F.col("id").alias("nid"), "label"), "nid").select("id", "label"))
+    border = own.unionByName(nbr).groupBy("id").agg(F.min("label").alias("blabel"))
+    out = pts.join(core_lab, "id", "left").join(border, "id", "left")
+    return out.select(F.col("id").alias(id_col),
+                      F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label"),
+                      F.col("label").isNotNull().alias("is_core"),
+                      F.col("neighbours").cast("long").alias("neighbours"))
+
+
+def _dbscan_labels_coarse(points: DataFrame, id_col: str, coords: list[str], eps: float,
+                          min_samples: int, grid_dims: int) -> DataFrame:
+    """d > 3: coarse-grid candidate filter, all epsilon-pairs joined."""
     pairs = checkpointed(neighbour_pairs(points, id_col, coords, eps, grid_dims))
     counts = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
     core = checkpointed(counts.where(F.col("neighbours") >= min_samples).select("id"))
@@ -74,11 +168,7 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
              .join(core, "id", "left_semi")
              .join(core.select(F.col("id").alias("nid")), "nid", "left_semi")
              .select(F.col("id").alias("src"), F.col("nid").alias("dst")))
-    comps = connected_components(core, edges, "id", "src", "dst")
-    roots = comps.select("comp").distinct()
-    ranked = global_prefix(roots, [("comp", True)], None, rank_col="_rk")
-    core_lab = checkpointed(comps.join(ranked, "comp").select(
-        "id", (F.col("_rk") - 1).alias("label")))
+    core_lab = _label_components(core, edges)
     border = (pairs.join(core_lab.select(F.col("id").alias("nid"), "label"), "nid")
               .groupBy("id").agg(F.min("label").alias("blabel")))
     out = (points.select(F.col(id_col).alias("id"))

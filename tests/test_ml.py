@@ -105,9 +105,10 @@ def test_dbscan_all_noise_and_plan(spark):
     assert {r.label for r in labels.collect()} == {-1}
     s = PR.dbscan_summary(labels.withColumnRenamed("label", "cluster").withColumn("population", F.lit(1)))
     assert s.count() == 0 and s.columns == ["cluster", "members", "mean_population", "type"]
-    pairs = DB.neighbour_pairs(_points(spark, X), "k", ["x", "y"], 0.1)
-    plan = pairs._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    for pairs in (DB.neighbour_pairs(_points(spark, X), "k", ["x", "y"], 0.1),
+                  DB.fine_grid(_points(spark, X), "k", ["x", "y"], 0.1)[1]):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_effective_min_samples():
@@ -202,3 +203,29 @@ def test_kmeans_invariants(spark):
         assert r.cluster == int(np.argmin(((centers - x) ** 2).sum(1)))
     ev = KM.evaluate_k(prep, ks=range(2, 5)).orderBy("k").collect()
     assert len(ev) == 3 and all(-1 <= e.silhouette <= 1 for e in ev)
+
+
+@pytest.mark.parametrize("d,eps,ms", [(1, 0.2, 5), (3, 0.6, 5), (4, 0.9, 5)])
+def test_dbscan_other_dims_match_bruteforce(spark, d, eps, ms):
+    rnd = np.random.default_rng(20 + d)
+    X = np.vstack([rnd.normal(0, 0.3, (50, d)), rnd.normal(2, 0.3, (40, d)), rnd.uniform(-1, 3, (20, d))])
+    cols = [f"c{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *[float(v) for v in x]) for i, x in enumerate(X)],
+                               "k bigint, " + ", ".join(f"{c} double" for c in cols))
+    got = {r.k: r.label for r in DB.dbscan_labels(df, "k", cols, eps, ms).collect()}
+    assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, eps, ms))
+
+
+def test_dbscan_hot_cell_emits_no_same_cell_pairs(spark):
+    # a third of the points are identical: they share one fine cell
+    rnd = np.random.default_rng(4)
+    X = np.vstack([np.zeros((100, 2)), rnd.uniform(-3, 3, (200, 2))])
+    pts = _points(spark, X)
+    cells, cross = DB.fine_grid(pts, "k", ["x", "y"], 0.3)
+    hot = {r.id for r in cells.where("cell_n >= 100").collect()}
+    assert set(range(100)) <= hot
+    pairs = cross.collect()
+    assert not any(a in hot and b in hot for a, b in pairs)
+    assert len(pairs) < 100 * 200
+    got = {r.k: r.label for r in DB.dbscan_labels(pts, "k", ["x", "y"], 0.3, 5).collect()}
+    assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, 0.3, 5))
