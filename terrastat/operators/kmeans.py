@@ -67,14 +67,25 @@ def _silhouette(labelled: DataFrame, k_pc: int, method: str) -> float:
     return float(s.first()["silhouette"] or 0.0)
 
 
-def evaluate_k(prep: Prepared, ks=SWEEP, seed: int = SEED, method: str = "exact") -> DataFrame:
-    """M1: (k, inertia, silhouette) for each K in the sweep (7 small rows)."""
+def evaluate_k(prep: Prepared, ks=SWEEP, seed: int = SEED, method: str = "exact",
+               parallel: int = 4) -> DataFrame:
+    """M1: (k, inertia, silhouette) for each K in the sweep (7 small rows).
+
+    The fits are independent jobs over the same checkpointed scores, so up to
+    ``parallel`` of them are submitted at once from driver threads (Spark
+    schedules concurrent jobs); each result is deterministic for its seed.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = prep.scores.sparkSession
-    rows = []
-    for k in ks:
+
+    def one(k: int):
         model, labelled = fit_labels(prep, k, seed)
-        rows.append((int(k), float(model.summary.trainingCost),
-                     _silhouette(labelled, prep.pca.n_components, method)))
+        return (int(k), float(model.summary.trainingCost),
+                _silhouette(labelled, prep.pca.n_components, method))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        rows = list(pool.map(one, list(ks)))
     return spark.createDataFrame(rows, "k long, inertia double, silhouette double")
 
 
