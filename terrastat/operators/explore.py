@@ -130,3 +130,19 @@ def top_by_volume(df: DataFrame, key: str, out: str) -> DataFrame:
         F.coalesce(F.sum("total"), F.lit(0)).cast("bigint").alias("volume"))
     return g.orderBy(F.col("volume").desc(), F.col(key)).limit(1).select(
         F.col(key).alias(out), "volume")
+
+
+def month_overflow(long: DataFrame, keys: list[str] = NATURAL_KEY, limit: int = 12) -> DataFrame:
+    """R5 guard for long monthly input: records carrying more than ``limit``
+    monthly counts (one partially aggregated group-by)."""
+    return (long.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_counts"))
+            .where(F.col("n_counts") > limit))
+
+
+def state_summary(muni: DataFrame) -> DataFrame:
+    """R13 as a bounded per-state summary of its municipalities (count, first
+    and last name); the nested list per state would put an unbounded group
+    into one row."""
+    return muni.groupBy("state_key", "state").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_munis"),
+        F.min("muni").alias("first_muni"), F.max("muni").alias("last_muni"))

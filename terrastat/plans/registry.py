@@ -139,8 +139,7 @@ def month_overflow(spark, sf):
     crime subtype: records with more than 12 monthly counts."""
     wide = fx.inc_wide(spark, sf, with_brand=True)
     long = wide.select(*KEYS, F.explode(R.months_array()).alias("cases"))
-    return (long.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("bigint").alias("n_counts"))
-            .where(F.col("n_counts") > 12))
+    return Q.month_overflow(long, KEYS)
 
 
 def peak_month(spark, sf):
@@ -178,11 +177,8 @@ def occurrence_pattern(spark, sf):
 
 
 def state_municipalities(spark, sf):
-    """R13 as a bounded summary per state (the nested list is
-    ``terrastat.operators.etl``-free: see ``state_municipality_lists``)."""
-    return fx.muni(spark, sf).groupBy("state_key", "state").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_munis"),
-        F.min("muni").alias("first_muni"), F.max("muni").alias("last_muni"))
+    """R13 as a bounded summary per state."""
+    return Q.state_summary(fx.muni(spark, sf))
 
 
 def record_enriched(spark, sf):

@@ -85,11 +85,10 @@ def test_enrich_is_one_projection(make_inc):
 
 
 def test_month_overflow_guard(spark):
-    from terrastat.plans.registry import KEYS
     rows = [(1, "A", "F", i) for i in range(13)] + [(2, "A", "F", i) for i in range(12)]
     long = spark.createDataFrame(rows, "muni_key bigint, legal_good string, modality string, month int")
-    v = long.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 12).collect()
-    assert [(r.muni_key, r.n) for r in v] == [(1, 13)]
+    v = Q.month_overflow(long).collect()
+    assert [(r.muni_key, r.n_counts) for r in v] == [(1, 13)]
 
 
 def test_explorer_filters_and_counts(make_inc):

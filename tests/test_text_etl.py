@@ -74,3 +74,23 @@ def test_write_round_trip_partitioned(spark):
     back = spark.read.parquet(p)
     assert sorted((r.state_key, r.v) for r in back.collect()) == [(1, "a"), (2, "b")]
     assert back.where(F.col("state_key") == 1).count() == 1
+
+
+def test_mart_csv_dynamic_columns(spark):
+    d = tempfile.mkdtemp(prefix="terrastat-mart-")
+    p = os.path.join(d, "mart.csv")
+    with open(p, "w", encoding="utf-8") as fh:
+        fh.write("Cve_Municipio,Municipio,Poblacion_Total,Robo_a_casa,Fraude,Total\n")
+        fh.write("1,León,20000,5,0,5\n2,Ags,8000,1,2,3\n")
+    df = E.read_mart_csv(spark, p)
+    assert df.columns == ["Cve_Municipio", "Municipio", "Poblacion_Total", "Robo_a_casa", "Fraude", "Total"]
+    assert dict(df.dtypes)["Robo_a_casa"] in ("int", "bigint")
+    assert df.where("Cve_Municipio = 1").first().Municipio == "León"
+
+
+def test_profile(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(10)], "k int, v string")
+    counts, head = E.profile(df, ["k"])
+    c = counts.first()
+    assert (c.n_rows, c.n_columns) == (10, 2)
+    assert [r.k for r in head.collect()] == [0, 1, 2]
