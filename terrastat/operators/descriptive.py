@@ -85,6 +85,7 @@ def descriptive_stats(rollup: DataFrame, columns=STAT_COLUMNS, method: str = "au
 def rate_histogram(rollup: DataFrame, value: str = "rate_100k", bins: int = HIST_BINS) -> DataFrame:
     """A4: ``bins`` equal-width bins over [min, max]; the maximum lands in the
     last bin. Non-empty bins with their edges and counts."""
+    rollup = checkpointed(rollup)  # read twice: bounds and bins
     src = rollup.withColumn("_g", scalars(rollup, mn=F.min(value), mx=F.max(value)))
     mn, mx = F.col("_g.mn"), F.col("_g.mx")
     b = F.when(mx > mn, F.least(F.floor((F.col(value) - mn) / (mx - mn) * bins) + 1,

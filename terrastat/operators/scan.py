@@ -94,6 +94,15 @@ def global_prefix(df: DataFrame, order: list[tuple[str, bool]], value: str | Non
     ranges = max(1, math.ceil(n / max(1, rows_per_range)))
     bounds = _sample_bounds(src, order, n, ranges, seed) if ranges > 1 else []
     keyed = src.withColumn("_rng", _bucket_expr(order, bounds) if bounds else F.lit(0))
+    w = Window.partitionBy("_rng").orderBy(*[_sort_col(c, a) for c, a in order])
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = [F.col(c) for c in df.columns]
+    if not bounds:
+        # one range (at most rows_per_range rows): no offsets to add
+        out.append(F.row_number().over(w).cast("bigint").alias(rank_col))
+        if value is not None:
+            out.append(F.sum(F.col(value)).over(running).alias(cum_col))
+        return keyed.select(*out)
 
     aggs = [F.count(F.lit(1)).alias("_rn")]
     if value is not None:
@@ -106,10 +115,7 @@ def global_prefix(df: DataFrame, order: list[tuple[str, bool]], value: str | Non
     # at most `ranges` rows: a bounded broadcast
     offsets = per.select(*off_cols)
 
-    w = Window.partitionBy("_rng").orderBy(*[_sort_col(c, a) for c, a in order])
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = keyed.join(F.broadcast(offsets), "_rng")
-    out = [F.col(c) for c in df.columns]
     out.append((F.row_number().over(w) + F.col("_no")).cast("bigint").alias(rank_col))
     if value is not None:
         out.append((F.sum(F.col(value)).over(running) + F.col("_so")).alias(cum_col))

@@ -23,6 +23,7 @@ from terrastat.operators import features as FE
 from terrastat.operators import kmeans as KM
 from terrastat.operators import pareto as P
 from terrastat.operators import profiles as PR
+from terrastat.operators.common import checkpointed
 from terrastat.operators.silhouette import best_k, silhouette_score
 from terrastat.session import scratch_path
 from terrastat.sources import fixtures as fx
@@ -351,9 +352,11 @@ def dependence_diagnosis(spark, sf):
 
 # --- features -------------------------------------------------------------------
 def _prep_rates(spark, sf):
+    """F1 + F3, materialised once: every profile operator reads the rates
+    at least twice (cluster means and global statistics)."""
     m = FE.filter_population(fx.mart(spark, sf))
     ids, feats = FE.feature_roles(m)
-    return FE.feature_rates(m, ids, feats), ids, feats
+    return checkpointed(FE.feature_rates(m, ids, feats)), ids, feats
 
 
 def _round_feats(df, feats):

@@ -91,6 +91,7 @@ def test_prefix_plan_has_no_single_partition_over_rows(spark):
     out = global_prefix(df, [("v", True), ("k", True)], "v", rows_per_range=200)
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the only single-partition exchange is the one over the per-range offsets
+    # (a single range, used up to rows_per_range rows, has no offsets join)
     assert plan.count("SinglePartition") <= 1
     assert "hashpartitioning(_rng" in plan
 
