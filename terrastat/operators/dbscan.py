@@ -85,32 +85,34 @@ def fine_cell_offsets(d: int) -> list[tuple[int, ...]]:
             if any(o) and sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d]
 
 
-def fine_grid(points: DataFrame, id_col: str, coords: list[str], eps: float):
+def fine_grid(points: DataFrame, id_col: str, coords: list[str], eps: float,
+              weight: str | None = None):
     """(cells, cross_pairs): every point with its fine cell and the cell's
-    point count, and all (id, nid) pairs within eps lying in different
-    cells."""
+    (weighted) point count, and all (id, nid, nw) pairs within eps lying in
+    different cells (``nw`` = weight of ``nid``, 1 when unweighted)."""
     d = len(coords)
     side = eps / math.sqrt(d)
-    base = points.select(F.col(id_col).alias("id"),
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    base = points.select(F.col(id_col).alias("id"), w.alias("w"),
                          *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(coords)],
                          *[F.floor(F.col(c) / F.lit(side)).cast("long").alias(f"g{i}")
                            for i, c in enumerate(coords)])
     keys = [f"g{i}" for i in range(d)]
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("cell_n"))
+    counts = base.groupBy(*keys).agg(F.sum("w").alias("cell_n"))
     cells = checkpointed(base.join(counts, keys))
     offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in fine_cell_offsets(d)])
-    shifted = cells.select(F.col("id").alias("nid"),
+    shifted = cells.select(F.col("id").alias("nid"), F.col("w").alias("nw"),
                            *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)],
                            *[F.col(f"g{i}").alias(f"h{i}") for i in range(d)],
                            F.explode(offsets).alias("_o"))
-    shifted = shifted.select("nid", *[f"y{i}" for i in range(d)],
+    shifted = shifted.select("nid", "nw", *[f"y{i}" for i in range(d)],
                              *[(F.col(f"h{i}") + F.col("_o")[i]).alias(f"g{i}") for i in range(d)])
     j = cells.select("id", *[f"x{i}" for i in range(d)], *keys).join(shifted, keys)
     d2 = None
     for i in range(d):
         t = (F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}"))
         d2 = t if d2 is None else d2 + t
-    cross = j.where(d2 <= F.lit(eps * eps)).select("id", "nid")
+    cross = j.where(d2 <= F.lit(eps * eps)).select("id", "nid", "nw")
     return cells, cross
 
 
@@ -124,16 +126,26 @@ def _label_components(core: DataFrame, edges: DataFrame) -> DataFrame:
 
 def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float = DEFAULT_EPS,
                   min_samples: int = DEFAULT_MIN_SAMPLES, grid_dims: int = GRID_DIMS) -> DataFrame:
-    """(id, label, is_core, neighbours); label -1 is noise."""
+    """(id, label, is_core, neighbours); label -1 is noise.
+
+    Exact duplicates are collapsed first (one representative per distinct
+    coordinate, the smallest id, with its multiplicity as weight): copies
+    share neighbours, core status and label, so a group of copies holding a
+    third of the rows becomes one weighted point.
+    """
     if len(coords) > FINE_GRID_MAX_DIMS:
         return _dbscan_labels_coarse(points, id_col, coords, eps, min_samples, grid_dims)
     d = len(coords)
     keys = [f"g{i}" for i in range(d)]
-    cells, cross = fine_grid(points, id_col, coords, eps)
+    xs = [f"x{i}" for i in range(d)]
+    src = points.select(F.col(id_col).alias("_pid"),
+                        *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs)])
+    uniq = src.groupBy(*xs).agg(F.min("_pid").alias("id"), F.count(F.lit(1)).alias("mult"))
+    cells, cross = fine_grid(uniq, "id", xs, eps, weight="mult")
     cross = checkpointed(cross)
-    ccount = cross.groupBy("id").agg(F.count(F.lit(1)).alias("_cx"))
+    ccount = cross.groupBy("id").agg(F.sum("nw").alias("_cx"))
     pts = checkpointed(cells.join(ccount, "id", "left").select(
-        "id", *keys, (F.col("cell_n") + F.coalesce(F.col("_cx"), F.lit(0))).alias("neighbours"))
+        "id", *xs, *keys, (F.col("cell_n") + F.coalesce(F.col("_cx"), F.lit(0))).alias("neighbours"))
         .withColumn("is_core", F.col("neighbours") >= min_samples))
     core = pts.where("is_core").select("id", *keys)
     rep = core.groupBy(*keys).agg(F.min("id").alias("rep"))
@@ -149,13 +161,15 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     # cross-cell core neighbours
     cell_lab = rep.join(core_lab.select(F.col("id").alias("rep"), "label"), "rep").select(*keys, "label")
     own = pts.where(~F.col("is_core")).join(cell_lab, keys).select("id", "label")
-    nbr = (cross.join(core_lab.select(F.col("id").alias("nid"), "label"), "nid").select("id", "label"))
+    nbr = cross.join(core_lab.select(F.col("id").alias("nid"), "label"), "nid").select("id", "label")
     border = own.unionByName(nbr).groupBy("id").agg(F.min("label").alias("blabel"))
-    out = pts.join(core_lab, "id", "left").join(border, "id", "left")
-    return out.select(F.col("id").alias(id_col),
-                      F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label"),
-                      F.col("label").isNotNull().alias("is_core"),
-                      F.col("neighbours").cast("long").alias("neighbours"))
+    per_point = pts.join(core_lab, "id", "left").join(border, "id", "left").select(
+        *xs, F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label"),
+        F.col("label").isNotNull().alias("is_core"), F.col("neighbours").cast("long").alias("neighbours"))
+    # every copy takes its representative's result (equi-join on coordinates;
+    # a heavy coordinate is one row on the build side)
+    out = src.join(per_point, xs)
+    return out.select(F.col("_pid").alias(id_col), "label", "is_core", "neighbours")
 
 
 def _dbscan_labels_coarse(points: DataFrame, id_col: str, coords: list[str], eps: float,

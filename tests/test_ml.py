@@ -225,7 +225,18 @@ def test_dbscan_hot_cell_emits_no_same_cell_pairs(spark):
     hot = {r.id for r in cells.where("cell_n >= 100").collect()}
     assert set(range(100)) <= hot
     pairs = cross.collect()
-    assert not any(a in hot and b in hot for a, b in pairs)
+    assert not any(a in hot and b in hot for a, b, _ in pairs)
     assert len(pairs) < 100 * 200
     got = {r.k: r.label for r in DB.dbscan_labels(pts, "k", ["x", "y"], 0.3, 5).collect()}
     assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, 0.3, 5))
+
+
+def test_dbscan_copies_collapse(spark):
+    # two adjacent groups of exact copies (a third of the rows each) plus noise
+    rnd = np.random.default_rng(8)
+    X = np.vstack([np.zeros((80, 2)), np.full((80, 2), 0.25), rnd.uniform(-3, 3, (80, 2))])
+    got = {r.k: (r.label, r.neighbours) for r in DB.dbscan_labels(_points(spark, X), "k", ["x", "y"], 0.3, 5).collect()}
+    ref = brute_dbscan(X, 0.3, 5)
+    assert [got[i][0] for i in range(len(X))] == list(ref)
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    assert [got[i][1] for i in range(len(X))] == list((D <= 0.3).sum(1))
