@@ -534,6 +534,25 @@ def dbscan_display(spark, sf):
     return lab.select("muni_key", PR.display_label("cluster").alias("cluster_text"))
 
 
+def kmeans_cluster_names(spark, sf):
+    """M5-M9 on the real K-Means labels (K = 4)."""
+    return KM.run_kmeans(fx.mart(spark, sf)).names
+
+
+def kmeans_profiles(spark, sf):
+    """M10 on the real K-Means labels, long form."""
+    return KM.run_kmeans(fx.mart(spark, sf)).profiles
+
+
+def dbscan_pipeline_outliers(spark, sf):
+    """D3, D6, D7 on the real DBSCAN labels of the mart's PCA scores."""
+    res = DB.run_dbscan(fx.mart(spark, sf), eps=2.0, min_samples=38)
+    m = res.members
+    feats = [c for c in m.columns if c not in ("muni_key", "muni", "population", "state",
+                                                "cluster", "pc1", "pc2")]
+    return PR.outlier_list(PR.outlier_anomaly(m, m, feats), n=None)
+
+
 def dbscan_pipeline(spark, sf):
     """D1-D4 end to end on the mart's PCA scores (eps/min_samples of the
     reference's page: 2.0 / 38)."""
@@ -581,4 +600,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dbscan_metrics": dbscan_metrics, "dbscan_summary": dbscan_summary,
     "outlier_anomaly": outlier_anomaly, "outlier_list": outlier_list,
     "dbscan_display": dbscan_display, "dbscan_pipeline": dbscan_pipeline,
+    "dbscan_pipeline_outliers": dbscan_pipeline_outliers,
+    "kmeans_cluster_names": kmeans_cluster_names, "kmeans_profiles": kmeans_profiles,
 }
