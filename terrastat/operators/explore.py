@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrastat.functions import records as R
+from terrastat.operators.common import checkpointed
 
 # Filter sentinels and the empty-month text.
 ALL_STATES = "Todas"
@@ -20,13 +21,42 @@ CARDS = 50
 NATURAL_KEY = ["muni_key", "legal_good", "modality"]
 
 
+# above this many rows the sample avoids TakeOrdered's single final task
+TAKE_ORDERED_MAX_ROWS = 20_000_000
+
+
 def sample_exact(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED,
-                 key: list[str] = NATURAL_KEY) -> DataFrame:
+                 key: list[str] = NATURAL_KEY,
+                 take_ordered_max_rows: int = TAKE_ORDERED_MAX_ROWS) -> DataFrame:
     """Q1: exactly ``n`` rows (the whole table when smaller), reproducible
-    for a seed: top-n by a seeded hash of the natural key, executed as a
-    TakeOrdered (n rows per task), independent of partitioning."""
+    for a seed and independent of partitioning: the n smallest values of a
+    seeded 64-bit hash of the natural key (key breaks hash ties).
+
+    Moderate inputs use ``orderBy(hash).limit(n)`` (TakeOrdered: n rows per
+    task). Large inputs first keep rows whose (uniform) hash falls below a
+    cut with margin, widening the cut if too few survive, then rank the
+    survivors exactly with the range-partitioned ``global_prefix``. The
+    result is identical, and no task has to merge partitions × n rows.
+    """
+    from terrastat.operators.scan import global_prefix
     h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    return df.orderBy(h, *key).limit(n)
+    total = df.count()
+    if total <= n:
+        return df
+    if total <= take_ordered_max_rows:
+        return df.orderBy(h, *key).limit(n)
+    keyed = df.withColumn("_h", h)
+    frac = min(1.0, 1.2 * n / total + 1000.0 / total)
+    while True:
+        cut = int(-2 ** 63 + frac * 2 ** 64)
+        cand = keyed.where(F.col("_h") < F.lit(cut)) if frac < 1.0 else keyed
+        cand = checkpointed(cand)
+        if frac >= 1.0 or cand.count() >= n:
+            break
+        frac = min(1.0, frac * 2)
+    ranked = global_prefix(cand, [("_h", True)] + [(k, True) for k in key], None,
+                           rank_col="_r", materialize=False)
+    return ranked.where(F.col("_r") <= n).drop("_h", "_r")
 
 
 def filter_options(df: DataFrame, state: str = ALL_STATES) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -113,3 +113,14 @@ def test_sample_exact_size_and_reproducible(make_inc):
     ka = sorted(r.muni_key for r in a.collect())
     assert len(ka) == 7 and ka == sorted(r.muni_key for r in b.collect())
     assert Q.sample_exact(df, n=500).count() == 50
+    # the large-input path (hash cut + distributed rank) picks the same rows
+    big = Q.sample_exact(df, n=7, take_ordered_max_rows=10)
+    assert sorted(r.muni_key for r in big.collect()) == ka
+
+
+def test_sample_exact_hash_cut_path(spark):
+    df = spark.range(0, 3000).select(F.col("id").alias("muni_key"), F.lit("G").alias("legal_good"),
+                                     (F.col("id") % 2).cast("string").alias("modality"))
+    want = sorted(r.muni_key for r in Q.sample_exact(df, n=25).collect())
+    got = sorted(r.muni_key for r in Q.sample_exact(df, n=25, take_ordered_max_rows=100).collect())
+    assert len(got) == 25 and got == want
