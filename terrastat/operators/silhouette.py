@@ -1,10 +1,11 @@
 """Mean silhouette (M2), Euclidean and exact, without materialising pairs.
 
 Points are hashed into T tiles of about ``tile_rows`` rows. Each tile pair
-(a, b) is one group holding the points of tile a (left) and tile b (right);
-an Arrow-batched ``applyInPandas`` computes the |a|×|b| distance block in
-NumPy and emits, per left point and right cluster, the distance sum and
-count. Groups are bounded by 2·tile_rows rows whatever the skew of labels,
+(a, b) with a <= b is one group holding the points of tile a (left) and
+tile b (right); an Arrow-batched ``applyInPandas`` computes the |a|×|b|
+distance block once in NumPy and emits, per point and per cluster of the
+other side, the distance sum and count (both directions, so symmetric work
+is done once). Groups are bounded by 2·tile_rows rows whatever the skew of labels,
 and the output is (points × clusters) partial sums, never pairs.
 ``method='squared'`` is Spark ML's ClusteringEvaluator (squared Euclidean),
 a different quantity, offered under its own name.
@@ -24,24 +25,34 @@ DEFAULT_TILE_ROWS = 2048
 _BLOCK_SCHEMA = "id long, label long, other long, dsum double, cnt long"
 
 
+def _sums(ids, labels, dist, other_labels) -> list[pd.DataFrame]:
+    out = []
+    for c in np.unique(other_labels):
+        m = other_labels == c
+        out.append(pd.DataFrame({"id": ids, "label": labels, "other": np.full(len(ids), c),
+                                 "dsum": dist[:, m].sum(axis=1), "cnt": np.full(len(ids), int(m.sum()))}))
+    return out
+
+
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Tile pair (a, b), a <= b: one distance block credits both sides."""
     left = pdf[pdf["_side"] == 0]
     right = pdf[pdf["_side"] == 1]
-    if left.empty or right.empty:
+    if left.empty:
         return pd.DataFrame({"id": [], "label": [], "other": [], "dsum": [], "cnt": []})
+    same_tile = right.empty  # a == b: the tile is paired with itself
+    if same_tile:
+        right = left
     xl = np.stack(left["_x"].to_numpy()).astype(np.float64)
     xr = np.stack(right["_x"].to_numpy()).astype(np.float64)
     diff = xl[:, None, :] - xr[None, :, :]
     dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    rl = right["_label"].to_numpy()
-    out = []
-    for c in np.unique(rl):
-        m = rl == c
-        out.append(pd.DataFrame({
-            "id": left["_id"].to_numpy(), "label": left["_label"].to_numpy(),
-            "other": np.full(len(left), c), "dsum": dist[:, m].sum(axis=1),
-            "cnt": np.full(len(left), int(m.sum()))}))
-    return pd.concat(out, ignore_index=True)
+    il, ll = left["_id"].to_numpy(), left["_label"].to_numpy()
+    ir, lr = right["_id"].to_numpy(), right["_label"].to_numpy()
+    parts = _sums(il, ll, dist, lr)
+    if not same_tile:
+        parts += _sums(ir, lr, dist.T, ll)
+    return pd.concat(parts, ignore_index=True)
 
 
 def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
@@ -54,9 +65,12 @@ def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
     n = pts.count()
     tiles = max(1, math.ceil(n / tile_rows))
     t = F.pmod(F.xxhash64("_id"), F.lit(tiles))
-    all_tiles = F.sequence(F.lit(0), F.lit(tiles - 1))
-    left = pts.select("*", t.alias("_a"), F.explode(all_tiles).alias("_b"), F.lit(0).alias("_side"))
-    right = pts.select("*", F.explode(all_tiles).alias("_a"), t.alias("_b"), F.lit(1).alias("_side"))
+    # a point of tile t is the left side of pairs (t, u >= t) and the right
+    # side of pairs (u < t, t); the diagonal pair (t, t) holds one copy
+    up = F.sequence(t, F.lit(tiles - 1))
+    down = F.when(t > 0, F.sequence(F.lit(0), t - 1)).otherwise(F.array().cast("array<bigint>"))
+    left = pts.select("*", t.alias("_a"), F.explode(up).alias("_b"), F.lit(0).alias("_side"))
+    right = pts.select("*", F.explode(down).alias("_a"), t.alias("_b"), F.lit(1).alias("_side"))
     sums = (left.unionByName(right).groupBy("_a", "_b").applyInPandas(_block, _BLOCK_SCHEMA)
             .groupBy("id", "label", "other").agg(F.sum("dsum").alias("dsum"),
                                                   F.sum("cnt").alias("cnt")))
