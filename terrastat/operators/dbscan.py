@@ -149,14 +149,19 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
         .withColumn("is_core", F.col("neighbours") >= min_samples))
     core = pts.where("is_core").select("id", *keys)
     rep = core.groupBy(*keys).agg(F.min("id").alias("rep"))
-    star = (core.join(rep, keys).where(F.col("id") != F.col("rep"))
-            .select(F.col("rep").alias("src"), F.col("id").alias("dst")))
-    core_ids = core.select("id")
-    cross_core = (cross.where(F.col("id") < F.col("nid"))
-                  .join(core_ids, "id", "left_semi")
-                  .join(core_ids.select(F.col("id").alias("nid")), "nid", "left_semi")
-                  .select(F.col("id").alias("src"), F.col("nid").alias("dst")))
-    core_lab = _label_components(core_ids, star.unionByName(cross_core))
+    # the cores of a cell are one connected group, so the component graph
+    # needs only the cells: vertex = the cell's smallest core, edge = a pair
+    # of cells with at least one core-core pair within eps
+    core_rep = checkpointed(core.join(rep, keys).select("id", "rep"))
+    cell_edges = (cross.where(F.col("id") < F.col("nid"))
+                  .join(core_rep, "id")
+                  .join(core_rep.select(F.col("id").alias("nid"), F.col("rep").alias("nrep")), "nid")
+                  .where(F.col("rep") != F.col("nrep"))
+                  .select(F.least("rep", "nrep").alias("src"), F.greatest("rep", "nrep").alias("dst"))
+                  .distinct())
+    rep_lab = _label_components(rep.select(F.col("rep").alias("id")), cell_edges)
+    core_lab = checkpointed(core_rep.join(rep_lab.select(F.col("id").alias("rep"), "label"), "rep")
+                            .select("id", "label"))
     # border candidates: the cores of the own cell (one label per cell) and
     # cross-cell core neighbours
     cell_lab = rep.join(core_lab.select(F.col("id").alias("rep"), "label"), "rep").select(*keys, "label")
