@@ -106,8 +106,9 @@ def run_kmeans(mart: DataFrame, k: int = DEFAULT_K, seed: int = SEED,
     model, labelled = fit_labels(prep, k, seed)
     labelled = checkpointed(labelled)
     final_sil = _silhouette(labelled, prep.pca.n_components, method)
-    lab = prep.rates.join(labelled.select("muni_key", "cluster", *FE.pc_columns(min(2, prep.pca.n_components))),
-                          "muni_key")
+    k_pc = prep.pca.n_components
+    pcs = [F.col("pc1"), F.col("pc2") if k_pc > 1 else F.lit(None).cast("double").alias("pc2")]
+    lab = prep.rates.join(labelled.select("muni_key", "cluster", *pcs), "muni_key")
     names = checkpointed(PR.cluster_names(lab, prep.features))
     members = PR.members_named(lab, names)
     profiles = PR.cluster_profiles(lab, names, prep.features)

@@ -368,6 +368,10 @@ def _sql() -> dict[str, str]:
         "round((SELECT MIN(rate_100k) FROM rollup WHERE rate_100k >= lo), 6) AS whisker_lo, "
         "round((SELECT MAX(rate_100k) FROM rollup WHERE rate_100k <= hi), 6) AS whisker_hi, "
         "(SELECT CAST(COUNT(*) AS BIGINT) FROM rollup WHERE rate_100k < lo OR rate_100k > hi) AS n_outliers FROM f")
+    q["rate_outliers"] = rb + (
+        ", qs AS (SELECT quantile_cont(rate_100k, 0.25) AS q1, quantile_cont(rate_100k, 0.75) AS q3 FROM rollup)\n"
+        "SELECT muni_key, muni, population, total, round(rate_100k, 6) AS rate_100k FROM rollup, qs "
+        "WHERE rate_100k < q1 - (q3 - q1) * 1.5 OR rate_100k > q3 + (q3 - q1) * 1.5")
     q["top_goods"] = b + (
         "SELECT legal_good, CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total FROM incidence WHERE legal_good IS NOT NULL "
         "GROUP BY legal_good ORDER BY total DESC, legal_good LIMIT 10")

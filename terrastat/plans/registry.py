@@ -259,6 +259,11 @@ def rate_box(spark, sf):
     return b.select(*[r6(c).alias(c) if c != "n_outliers" else F.col(c) for c in b.columns])
 
 
+def rate_outliers(spark, sf):
+    o = A.rate_outliers(_rollup(spark, sf))
+    return o.select("muni_key", "muni", "population", "total", r6("rate_100k").alias("rate_100k"))
+
+
 def top_goods(spark, sf):
     return A.top_goods(_inc(spark, sf))
 
@@ -578,7 +583,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_total": kpi_total, "kpi_municipalities": kpi_municipalities,
     "kpi_top_state": kpi_top_state, "kpi_top_good": kpi_top_good,
     "muni_rollup": muni_rollup, "descriptive_stats": descriptive_stats,
-    "rate_histogram": rate_histogram, "rate_box": rate_box, "top_goods": top_goods,
+    "rate_histogram": rate_histogram, "rate_box": rate_box, "rate_outliers": rate_outliers,
+    "top_goods": top_goods,
     "top_rate_munis": top_rate_munis, "pop_rate_points": pop_rate_points,
     "lorenz_curve": lorenz_curve, "gini": gini,
     "pareto_curve": pareto_curve, "pareto_critical": pareto_critical,
