@@ -67,26 +67,33 @@ def _silhouette(labelled: DataFrame, k_pc: int, method: str) -> float:
     return float(s.first()["silhouette"] or 0.0)
 
 
-def evaluate_k(prep: Prepared, ks=SWEEP, seed: int = SEED, method: str = "exact",
-               parallel: int = 4) -> DataFrame:
-    """M1: (k, inertia, silhouette) for each K in the sweep (7 small rows).
+def _sweep(prep: Prepared, ks, seed: int, method: str, parallel: int) -> dict:
+    """k -> (model, labelled, inertia, silhouette) for every K of the sweep.
 
-    The fits are independent jobs over the same checkpointed scores, so up to
-    ``parallel`` of them are submitted at once from driver threads (Spark
-    schedules concurrent jobs); each result is deterministic for its seed.
+    The fits are independent jobs over the same checkpointed scores, so they
+    are submitted together from driver threads (Spark schedules concurrent
+    jobs); each result is deterministic for its seed.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    spark = prep.scores.sparkSession
-
     def one(k: int):
         model, labelled = fit_labels(prep, k, seed)
-        return (int(k), float(model.summary.trainingCost),
-                _silhouette(labelled, prep.pca.n_components, method))
+        return k, (model, labelled, float(model.summary.trainingCost),
+                   _silhouette(labelled, prep.pca.n_components, method))
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        rows = list(pool.map(one, list(ks)))
-    return spark.createDataFrame(rows, "k long, inertia double, silhouette double")
+        return dict(pool.map(one, [int(k) for k in ks]))
+
+
+def _evaluation_frame(prep: Prepared, fits: dict) -> DataFrame:
+    rows = [(k, v[2], v[3]) for k, v in sorted(fits.items())]
+    return prep.scores.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
+
+
+def evaluate_k(prep: Prepared, ks=SWEEP, seed: int = SEED, method: str = "exact",
+               parallel: int = len(SWEEP)) -> DataFrame:
+    """M1: (k, inertia, silhouette) for each K in the sweep (7 small rows)."""
+    return _evaluation_frame(prep, _sweep(prep, ks, seed, method, parallel))
 
 
 @dataclass
@@ -102,10 +109,14 @@ def run_kmeans(mart: DataFrame, k: int = DEFAULT_K, seed: int = SEED,
                method: str = "exact") -> KMeansResult:
     """The whole profiling pipeline: F1-F5, sweep, final fit, naming."""
     prep = prepare(mart)
-    evaluation = checkpointed(evaluate_k(prep, seed=seed, method=method))
-    model, labelled = fit_labels(prep, k, seed)
+    fits = _sweep(prep, SWEEP, seed, method, len(SWEEP))
+    evaluation = checkpointed(_evaluation_frame(prep, fits))
+    if k in fits:  # same data and seed: the sweep already fitted this K
+        model, labelled, _, final_sil = fits[k]
+    else:
+        model, labelled = fit_labels(prep, k, seed)
+        final_sil = _silhouette(labelled, prep.pca.n_components, method)
     labelled = checkpointed(labelled)
-    final_sil = _silhouette(labelled, prep.pca.n_components, method)
     k_pc = prep.pca.n_components
     pcs = [F.col("pc1"), F.col("pc2") if k_pc > 1 else F.lit(None).cast("double").alias("pc2")]
     lab = prep.rates.join(labelled.select("muni_key", "cluster", *pcs), "muni_key")
