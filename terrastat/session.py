@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # target post-shuffle partition size; AQE coalesces small partitions
+    # towards it and splits skewed ones
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # remove checkpoint files once their DataFrame is garbage-collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -51,6 +54,22 @@ def get_session(master: str | None = None, app: str = "terrastat",
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of
+    parquet: enough initial shuffle partitions that each holds about
+    ``target_partition_bytes`` (never fewer than 2 waves of tasks), which AQE
+    then coalesces; scan splits of 256 MB once inputs reach terabytes."""
+    waves = 2 * max(1, total_cores)
+    parts = max(waves, -(-int(input_bytes) // target_partition_bytes))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+    }
+    if input_bytes >= 1 << 40:
+        conf["spark.sql.files.maxPartitionBytes"] = str(256 << 20)
+    return conf
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -25,3 +25,12 @@ def test_small_queries_run(spark):
     for name in ("pareto_curve", "descriptive_stats", "chi_square", "record_enriched", "months_long",
                  "dbscan_members", "cluster_names", "lorenz_curve"):
         assert q[name](spark, SF001).count() >= 0
+
+
+def test_scale_conf():
+    from terrastat.session import scale_conf
+    small = scale_conf(10 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    big = scale_conf(100 << 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
