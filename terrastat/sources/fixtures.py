@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastat.functions.records import MONTH_COLS, rate_per_100k
+from terrastat.operators.common import scalars
+from terrastat.operators.etl import pivot_matrix
 from terrastat.sources.tables import read_table
 
 # Fixed values of the fixture: the incidence year and the population shaping.
@@ -45,7 +47,7 @@ def muni(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .cast("bigint").alias("population")))
 
 
-def _year_range(year: int) -> Column:
+def year_range(year: int) -> Column:
     lo = _dt.datetime(year, 1, 1)
     hi = _dt.datetime(year + 1, 1, 1)
     ts = F.col("l_shipdate")
@@ -62,7 +64,7 @@ def inc_wide(spark: SparkSession, sf_dir: str, year: int = INCIDENCE_YEAR,
     """
     li = (read_table(spark, sf_dir, "lineitem")
           .select("l_suppkey", "l_partkey", "l_quantity", "l_linestatus", "l_shipdate")
-          .where(_year_range(year)))
+          .where(year_range(year)))
     cols = ["p_partkey", "p_type"] + (["p_brand"] if with_brand else [])
     p = read_table(spark, sf_dir, "part").select(*cols)
     j = li.join(p, li.l_partkey == p.p_partkey)
@@ -124,7 +126,6 @@ def mart_features(spark: SparkSession, sf_dir: str) -> list[str]:
 
 def mart(spark: SparkSession, sf_dir: str, features: list[str] | None = None) -> DataFrame:
     """Wide mart: muni ids + one column per feature, 0 where absent."""
-    from terrastat.operators.etl import pivot_matrix
     feats = features or mart_features(spark, sf_dir)
     wide = pivot_matrix(mart_long(spark, sf_dir), ["muni_key"], "feature", "value", feats)
     m = muni(spark, sf_dir).select("muni_key", "muni", "state", "population")
@@ -138,7 +139,6 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
     r = o.groupBy(F.col("o_custkey").alias("k")).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("o_totalprice").alias("a"))
-    from terrastat.operators.common import scalars
     g = r.withColumn("_g", scalars(r, mn=F.avg("n"), sn=F.stddev_pop("n"),
                                    ma=F.avg("a"), sa=F.stddev_pop("a")))
     return g.select("k", ((F.col("n") - F.col("_g.mn")) / F.col("_g.sn")).alias("x"),

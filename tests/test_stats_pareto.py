@@ -1,4 +1,3 @@
-import math
 
 import pandas as pd
 import pytest

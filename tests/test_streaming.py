@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from terrastat.operators import pareto as P
 from terrastat.session import scratch_path
