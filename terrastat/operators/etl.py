@@ -64,6 +64,15 @@ def read_mart_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
             .option("encoding", encoding).csv(path))
 
 
+def mart_csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str,
+                        encoding: str = "UTF-8") -> DataFrame:
+    """E2 once: infer the mart's dynamic schema in a single pass, store it as
+    parquet, and return the parquet reader (typed, columnar, pushdown) that
+    every later step uses."""
+    read_mart_csv(spark, csv_path, encoding).write.mode("overwrite").parquet(parquet_path)
+    return spark.read.parquet(parquet_path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Parquet by default, or header CSV in UTF-8 (no index column)."""

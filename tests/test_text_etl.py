@@ -86,6 +86,9 @@ def test_mart_csv_dynamic_columns(spark):
     assert df.columns == ["Cve_Municipio", "Municipio", "Poblacion_Total", "Robo_a_casa", "Fraude", "Total"]
     assert dict(df.dtypes)["Robo_a_casa"] in ("int", "bigint")
     assert df.where("Cve_Municipio = 1").first().Municipio == "León"
+    from terrastat.session import scratch_path
+    pq = E.mart_csv_to_parquet(spark, p, scratch_path(spark, "t-mart"))
+    assert pq.schema == df.schema and pq.count() == 2
 
 
 def test_profile(spark):
