@@ -34,6 +34,21 @@ def _sums(ids, labels, dist, other_labels) -> list[pd.DataFrame]:
     return out
 
 
+CHUNK_ELEMENTS = 1 << 22  # ~32 MB of float64 differences per chunk
+
+
+def _distances(xl: np.ndarray, xr: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distance block from coordinate differences (no Gram
+    shortcut, which loses precision for near-duplicates), in row chunks so
+    the difference tensor stays small."""
+    out = np.empty((len(xl), len(xr)))
+    step = max(1, CHUNK_ELEMENTS // max(1, len(xr) * xl.shape[1]))
+    for i in range(0, len(xl), step):
+        diff = xl[i:i + step, None, :] - xr[None, :, :]
+        out[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Tile pair (a, b), a <= b: one distance block credits both sides."""
     left = pdf[pdf["_side"] == 0]
@@ -45,8 +60,7 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
         right = left
     xl = np.stack(left["_x"].to_numpy()).astype(np.float64)
     xr = np.stack(right["_x"].to_numpy()).astype(np.float64)
-    diff = xl[:, None, :] - xr[None, :, :]
-    dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    dist = _distances(xl, xr)
     il, ll = left["_id"].to_numpy(), left["_label"].to_numpy()
     ir, lr = right["_id"].to_numpy(), right["_label"].to_numpy()
     parts = _sums(il, ll, dist, lr)
