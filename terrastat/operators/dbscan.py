@@ -77,21 +77,32 @@ def neighbour_pairs(points: DataFrame, id_col: str, coords: list[str], eps: floa
     return j.where(d2 <= F.lit(eps * eps)).select("id", "nid")
 
 
-def fine_cell_offsets(d: int) -> list[tuple[int, ...]]:
-    """Non-zero offsets between fine cells (side eps/sqrt(d)) whose closest
-    points can be within eps: sum over axes of max(|o|-1, 0)^2 <= d."""
-    r = math.ceil(math.sqrt(d))
+# the fine grid is shrunk by this factor so that two points of one cell are
+# within eps even after floating-point rounding of the cell index
+SIDE_SHRINK = 1.0 - 1e-12
+# sub-cell levels (2^L sub-cells per axis) for the dense-cell witness test
+SUB_LEVELS = {1: 6, 2: 3, 3: 2}
+GEOM_TOL = 1e-9
+
+
+def fine_side(eps: float, d: int) -> float:
+    return eps / math.sqrt(d) * SIDE_SHRINK
+
+
+def fine_cell_offsets(d: int, eps: float = 1.0) -> list[tuple[int, ...]]:
+    """Non-zero offsets between fine cells whose closest points can be within
+    eps: side^2 * sum over axes of max(|o|-1, 0)^2 <= eps^2."""
+    side = fine_side(eps, d)
+    r = math.ceil(eps / side) + 1
+    lim = (eps / side) ** 2 * (1 + GEOM_TOL)
     return [o for o in itertools.product(range(-r, r + 1), repeat=d)
-            if any(o) and sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d]
+            if any(o) and sum(max(abs(v) - 1, 0) ** 2 for v in o) <= lim]
 
 
-def fine_grid(points: DataFrame, id_col: str, coords: list[str], eps: float,
-              weight: str | None = None):
-    """(cells, cross_pairs): every point with its fine cell and the cell's
-    (weighted) point count, and all (id, nid, nw) pairs within eps lying in
-    different cells (``nw`` = weight of ``nid``, 1 when unweighted)."""
+def _grid_points(points: DataFrame, id_col: str, coords: list[str], eps: float,
+                 weight: str | None) -> DataFrame:
     d = len(coords)
-    side = eps / math.sqrt(d)
+    side = fine_side(eps, d)
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     base = points.select(F.col(id_col).alias("id"), w.alias("w"),
                          *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(coords)],
@@ -99,21 +110,99 @@ def fine_grid(points: DataFrame, id_col: str, coords: list[str], eps: float,
                            for i, c in enumerate(coords)])
     keys = [f"g{i}" for i in range(d)]
     counts = base.groupBy(*keys).agg(F.sum("w").alias("cell_n"))
-    cells = checkpointed(base.join(counts, keys))
-    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in fine_cell_offsets(d)])
+    return checkpointed(base.join(counts, keys))
+
+
+def _sq_dist(d: int, a: str = "x", b: str = "y"):
+    d2 = None
+    for i in range(d):
+        t = (F.col(f"{a}{i}") - F.col(f"{b}{i}")) * (F.col(f"{a}{i}") - F.col(f"{b}{i}"))
+        d2 = t if d2 is None else d2 + t
+    return d2
+
+
+def cross_pairs(left: DataFrame, cells: DataFrame, d: int, eps: float) -> DataFrame:
+    """(id, nid, nw): points of ``left`` paired with every point of
+    ``cells`` in another fine cell within eps (equi-join on the replicated
+    neighbour-cell offsets, never a cross join)."""
+    keys = [f"g{i}" for i in range(d)]
+    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in fine_cell_offsets(d, eps)])
     shifted = cells.select(F.col("id").alias("nid"), F.col("w").alias("nw"),
                            *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)],
                            *[F.col(f"g{i}").alias(f"h{i}") for i in range(d)],
                            F.explode(offsets).alias("_o"))
     shifted = shifted.select("nid", "nw", *[f"y{i}" for i in range(d)],
                              *[(F.col(f"h{i}") + F.col("_o")[i]).alias(f"g{i}") for i in range(d)])
-    j = cells.select("id", *[f"x{i}" for i in range(d)], *keys).join(shifted, keys)
-    d2 = None
+    j = left.select("id", *[f"x{i}" for i in range(d)], *keys).join(shifted, keys)
+    return j.where(_sq_dist(d) <= F.lit(eps * eps)).select("id", "nid", "nw")
+
+
+def fine_grid(points: DataFrame, id_col: str, coords: list[str], eps: float,
+              weight: str | None = None):
+    """(cells, cross_pairs): every point with its fine cell and the cell's
+    (weighted) point count, and all (id, nid, nw) pairs within eps lying in
+    different cells (``nw`` = weight of ``nid``, 1 when unweighted)."""
+    cells = _grid_points(points, id_col, coords, eps, weight)
+    return cells, cross_pairs(cells, cells, len(coords), eps)
+
+
+def dense_cell_links(dense: DataFrame, d: int, eps: float) -> DataFrame:
+    """Pairs of dense fine cells (every point a core) holding at least one
+    point pair within eps, decided without enumerating their point pairs.
+
+    Each dense cell is cut into 2^L sub-cells per axis. For two sub-cells the
+    integer offset bounds every point distance from below (facing faces) and
+    above (far corners): a sub-cell pair whose far corners are within eps is
+    a witness; one whose faces are farther apart is irrelevant; only the
+    "maybe" sub-cells of cell pairs still lacking a witness get an exact
+    point check. Sub-cell pairs per cell pair are bounded by 4^(L·d)
+    whatever the number of points in the cells.
+    """
+    keys = [f"g{i}" for i in range(d)]
+    level = SUB_LEVELS[d]
+    sub = fine_side(eps, d) / (2 ** level)
+    pts = checkpointed(dense.select(
+        "id", *[f"x{i}" for i in range(d)], *keys,
+        *[F.floor(F.col(f"x{i}") / F.lit(sub)).cast("long").alias(f"u{i}") for i in range(d)]))
+    subs = pts.select(*keys, *[f"u{i}" for i in range(d)]).distinct()
+    # each unordered cell pair once: offsets that are lexicographically positive
+    pos = [o for o in fine_cell_offsets(d, eps) if o > tuple([0] * d)]
+    if not pos:
+        return dense.sparkSession.createDataFrame([], ", ".join(
+            [f"a{i} long" for i in range(d)] + [f"b{i} long" for i in range(d)]))
+    offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in pos])
+    a = subs.select(*[F.col(f"g{i}").alias(f"a{i}") for i in range(d)],
+                    *[F.col(f"u{i}").alias(f"au{i}") for i in range(d)], F.explode(offsets).alias("_o"))
+    a = a.select("*", *[(F.col(f"a{i}") + F.col("_o")[i]).alias(f"b{i}") for i in range(d)]).drop("_o")
+    b = subs.select(*[F.col(f"g{i}").alias(f"b{i}") for i in range(d)],
+                    *[F.col(f"u{i}").alias(f"bu{i}") for i in range(d)])
+    sp = a.join(b, [f"b{i}" for i in range(d)])
+    gap2 = None
+    span2 = None
     for i in range(d):
-        t = (F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}"))
-        d2 = t if d2 is None else d2 + t
-    cross = j.where(d2 <= F.lit(eps * eps)).select("id", "nid", "nw")
-    return cells, cross
+        du = F.abs(F.col(f"bu{i}") - F.col(f"au{i}"))
+        g = F.greatest(du - 1, F.lit(0))
+        t1, t2 = g * g, (du + 1) * (du + 1)
+        gap2 = t1 if gap2 is None else gap2 + t1
+        span2 = t2 if span2 is None else span2 + t2
+    lim = (eps / sub) ** 2
+    sp = checkpointed(sp.select(*[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)],
+                                *[f"au{i}" for i in range(d)], *[f"bu{i}" for i in range(d)],
+                                (span2.cast("double") <= lim * (1 - GEOM_TOL)).alias("sure"),
+                                (gap2.cast("double") <= lim * (1 + GEOM_TOL)).alias("maybe")))
+    cell_pair = [f"a{i}" for i in range(d)] + [f"b{i}" for i in range(d)]
+    sure = sp.where("sure").select(*cell_pair).distinct()
+    maybe = (sp.where("maybe AND NOT sure").join(sure, cell_pair, "left_anti"))
+    pa = pts.select(*[F.col(f"g{i}").alias(f"a{i}") for i in range(d)],
+                    *[F.col(f"u{i}").alias(f"au{i}") for i in range(d)],
+                    *[F.col(f"x{i}").alias(f"x{i}") for i in range(d)])
+    pb = pts.select(*[F.col(f"g{i}").alias(f"b{i}") for i in range(d)],
+                    *[F.col(f"u{i}").alias(f"bu{i}") for i in range(d)],
+                    *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)])
+    checked = (maybe.join(pa, [f"a{i}" for i in range(d)] + [f"au{i}" for i in range(d)])
+               .join(pb, [f"b{i}" for i in range(d)] + [f"bu{i}" for i in range(d)])
+               .where(_sq_dist(d) <= F.lit(eps * eps)).select(*cell_pair).distinct())
+    return sure.unionByName(checked).distinct()
 
 
 def _label_components(core: DataFrame, edges: DataFrame) -> DataFrame:
@@ -131,7 +220,10 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     Exact duplicates are collapsed first (one representative per distinct
     coordinate, the smallest id, with its multiplicity as weight): copies
     share neighbours, core status and label, so a group of copies holding a
-    third of the rows becomes one weighted point.
+    third of the rows becomes one weighted point. ``neighbours`` is exact
+    for points outside dense cells; inside a dense cell (count >= min_samples,
+    all cores) it is the cell count, a lower bound, since no pairs are
+    enumerated there.
     """
     if len(coords) > FINE_GRID_MAX_DIMS:
         return _dbscan_labels_coarse(points, id_col, coords, eps, min_samples, grid_dims)
@@ -141,29 +233,37 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     src = points.select(F.col(id_col).alias("_pid"),
                         *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs)])
     uniq = src.groupBy(*xs).agg(F.min("_pid").alias("id"), F.count(F.lit(1)).alias("mult"))
-    cells, cross = fine_grid(uniq, "id", xs, eps, weight="mult")
-    cross = checkpointed(cross)
+    cells = _grid_points(uniq, "id", xs, eps, "mult").withColumn(
+        "dense", F.col("cell_n") >= min_samples)
+    # pairs only from points of sparse cells (fewer than min_samples each)
+    cross = checkpointed(cross_pairs(cells.where(~F.col("dense")), cells, d, eps))
     ccount = cross.groupBy("id").agg(F.sum("nw").alias("_cx"))
     pts = checkpointed(cells.join(ccount, "id", "left").select(
-        "id", *xs, *keys, (F.col("cell_n") + F.coalesce(F.col("_cx"), F.lit(0))).alias("neighbours"))
-        .withColumn("is_core", F.col("neighbours") >= min_samples))
+        "id", *xs, *keys, "dense",
+        (F.col("cell_n") + F.coalesce(F.col("_cx"), F.lit(0))).alias("neighbours"))
+        .withColumn("is_core", F.col("dense") | (F.col("neighbours") >= min_samples)))
     core = pts.where("is_core").select("id", *keys)
     rep = core.groupBy(*keys).agg(F.min("id").alias("rep"))
     # the cores of a cell are one connected group, so the component graph
     # needs only the cells: vertex = the cell's smallest core, edge = a pair
     # of cells with at least one core-core pair within eps
     core_rep = checkpointed(core.join(rep, keys).select("id", "rep"))
-    cell_edges = (cross.where(F.col("id") < F.col("nid"))
-                  .join(core_rep, "id")
-                  .join(core_rep.select(F.col("id").alias("nid"), F.col("rep").alias("nrep")), "nid")
-                  .where(F.col("rep") != F.col("nrep"))
-                  .select(F.least("rep", "nrep").alias("src"), F.greatest("rep", "nrep").alias("dst"))
-                  .distinct())
+    sparse_edges = (cross.join(core_rep, "id")
+                    .join(core_rep.select(F.col("id").alias("nid"), F.col("rep").alias("nrep")), "nid")
+                    .where(F.col("rep") != F.col("nrep"))
+                    .select(F.least("rep", "nrep").alias("src"), F.greatest("rep", "nrep").alias("dst")))
+    links = dense_cell_links(pts.where("dense"), d, eps)
+    rep_a = rep.select(*[F.col(f"g{i}").alias(f"a{i}") for i in range(d)], F.col("rep").alias("ra"))
+    rep_b = rep.select(*[F.col(f"g{i}").alias(f"b{i}") for i in range(d)], F.col("rep").alias("rb"))
+    dense_edges = (links.join(rep_a, [f"a{i}" for i in range(d)])
+                   .join(rep_b, [f"b{i}" for i in range(d)])
+                   .select(F.least("ra", "rb").alias("src"), F.greatest("ra", "rb").alias("dst")))
+    cell_edges = sparse_edges.unionByName(dense_edges).distinct()
     rep_lab = _label_components(rep.select(F.col("rep").alias("id")), cell_edges)
     core_lab = checkpointed(core_rep.join(rep_lab.select(F.col("id").alias("rep"), "label"), "rep")
                             .select("id", "label"))
-    # border candidates: the cores of the own cell (one label per cell) and
-    # cross-cell core neighbours
+    # border points lie in sparse cells: candidates are the cores of the own
+    # cell (one label per cell) and cross-cell core neighbours
     cell_lab = rep.join(core_lab.select(F.col("id").alias("rep"), "label"), "rep").select(*keys, "label")
     own = pts.where(~F.col("is_core")).join(cell_lab, keys).select("id", "label")
     nbr = cross.join(core_lab.select(F.col("id").alias("nid"), "label"), "nid").select("id", "label")

@@ -249,9 +249,8 @@ def _dbscan_sql(eps: float, min_samples: int) -> str:
              """comp AS (SELECT v, MIN(root) AS c FROM reach GROUP BY v)""",
              """clab AS (SELECT v, CAST(DENSE_RANK() OVER (ORDER BY c) - 1 AS BIGINT) AS label FROM comp)""",
              """blab AS (SELECT p.i, MIN(cl.label) AS label FROM pairs p JOIN clab cl ON p.j = cl.v GROUP BY p.i)""")[5:] + \
-        """SELECT p.k, CAST(COALESCE(cl.label, bl.label, -1) AS BIGINT) AS label, cl.label IS NOT NULL AS is_core,
-  CAST(COALESCE(nb.cnt, 0) AS BIGINT) AS neighbours
-FROM points p LEFT JOIN nb ON p.k = nb.i LEFT JOIN clab cl ON p.k = cl.v LEFT JOIN blab bl ON p.k = bl.i"""
+        """SELECT p.k, CAST(COALESCE(cl.label, bl.label, -1) AS BIGINT) AS label, cl.label IS NOT NULL AS is_core
+FROM points p LEFT JOIN clab cl ON p.k = cl.v LEFT JOIN blab bl ON p.k = bl.i"""
 
 
 def _sql() -> dict[str, str]:

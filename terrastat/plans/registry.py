@@ -495,7 +495,8 @@ def cluster_heat(spark, sf):
 
 # --- DBSCAN ---------------------------------------------------------------------
 def dbscan_labels(spark, sf):
-    return DB.dbscan_labels(fx.points(spark, sf), "k", ["x", "y"], POINTS_EPS, POINTS_MIN_SAMPLES)
+    lab = DB.dbscan_labels(fx.points(spark, sf), "k", ["x", "y"], POINTS_EPS, POINTS_MIN_SAMPLES)
+    return lab.select("k", "label", "is_core")
 
 
 def _dbscan_shape(spark, sf):
