@@ -176,3 +176,14 @@ def test_rank_quantiles_multi_range(spark):
     got = spark.range(1).select(q.alias("q")).first().q
     s = pd.Series(xs)
     assert got == pytest.approx([s.quantile(.1), s.quantile(.5), s.quantile(.9)])
+
+
+def test_chi_square_odd_dof_in_spark(spark):
+    from terrastat.functions.stats import _chi2_sf_scalar
+    data = [("g1", c, v) for c, v in zip(["Rural", "Urbano", "Megalópolis", "X"], [10, 20, 30, 25])]
+    data += [("g2", c, v) for c, v in zip(["Rural", "Urbano", "Megalópolis", "X"], [30, 15, 10, 40])]
+    t = spark.createDataFrame(data, "legal_good string, settlement string, observed bigint")
+    c = D.chi_square(t).first()
+    assert c.dof == 3
+    assert c.p_value == pytest.approx(_chi2_sf_scalar(c.chi2, 3), rel=1e-12)
+    assert 0 < c.p_value < 0.05
