@@ -26,6 +26,9 @@ OPTIONAL_ID = "state"
 EXCLUDED_AGGREGATES = ["Tasa_Global_100k", "Total_Delitos_Absoluto", "Robos_Totales", "Total"]
 MIN_POPULATION = 5000  # inclusive
 PCA_VARIANCE = 0.90
+# above this many multiply-adds the projection uses the fitted model's vector
+# transform instead of one column expression per component
+INLINE_PROJECTION_MAX_TERMS = 4096
 Z_EPS = 1e-9
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -89,7 +92,8 @@ class PcaResult:
 
 
 def pca_scores(scaled: DataFrame, ids: list[str], features: list[str],
-               variance: float = PCA_VARIANCE, min_components: int = 1) -> PcaResult:
+               variance: float = PCA_VARIANCE, min_components: int = 1,
+               inline_max_terms: int = INLINE_PROJECTION_MAX_TERMS) -> PcaResult:
     """fewest components whose cumulative explained variance exceeds
     ``variance``; the sign of each component is fixed so that its
     largest-magnitude loading is positive."""
@@ -104,14 +108,25 @@ def pca_scores(scaled: DataFrame, ids: list[str], features: list[str],
     for j in range(k):
         if pc[np.argmax(np.abs(pc[:, j])), j] < 0:
             pc[:, j] = -pc[:, j]
-    comps = []
-    for j in range(k):
-        expr = None
-        for i, f in enumerate(features):
-            t = F.col(f) * float(pc[i, j])
-            expr = t if expr is None else expr + t
-        comps.append(expr.alias(f"pc{j + 1}"))
-    scores = scaled.select(*ids, *comps)
+    if d * k <= inline_max_terms:
+        # small: plain column arithmetic, inside whole-stage codegen
+        comps = []
+        for j in range(k):
+            expr = None
+            for i, f in enumerate(features):
+                t = F.col(f) * float(pc[i, j])
+                expr = t if expr is None else expr + t
+            comps.append(expr.alias(f"pc{j + 1}"))
+        scores = scaled.select(*ids, *comps)
+    else:
+        # wide: the fitted model projects on the JVM; keep the first k
+        # components and apply the sign fix
+        from pyspark.ml.functions import vector_to_array
+        signs = [1.0 if np.allclose(pc[:, j], model.pc.toArray()[:, j]) else -1.0 for j in range(k)]
+        projected = model.transform(VectorAssembler(inputCols=features, outputCol="_v")
+                                    .transform(scaled)).select(*ids, vector_to_array("_p").alias("_a"))
+        scores = projected.select(*ids, *[(F.col("_a")[j] * signs[j]).alias(f"pc{j + 1}")
+                                          for j in range(k)])
     return PcaResult(scores, k, float(sum(ratios[:k]) * 100.0), ratios, pc)
 
 

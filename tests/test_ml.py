@@ -169,6 +169,19 @@ def test_scaling_zero_variance_and_pca_invariants(spark):
         assert col[np.argmax(np.abs(col))] > 0
 
 
+def test_pca_projection_paths_agree(spark):
+    m = _mart(spark)
+    ids, feats = FE.feature_roles(m)
+    scaled = FE.standardise(FE.feature_rates(m, ids, feats), ids, feats)
+    a = FE.pca_scores(scaled, ids, feats, variance=0.999999)
+    b = FE.pca_scores(scaled, ids, feats, variance=0.999999, inline_max_terms=0)
+    cols = FE.pc_columns(a.n_components)
+    A = {r.muni_key: [r[c] for c in cols] for r in a.scores.collect()}
+    B = {r.muni_key: [r[c] for c in cols] for r in b.scores.collect()}
+    assert A.keys() == B.keys()
+    assert all(np.allclose(A[k], B[k], atol=1e-9) for k in A)
+
+
 def test_cluster_naming(spark):
     m = _mart(spark)
     ids, feats = FE.feature_roles(m)
