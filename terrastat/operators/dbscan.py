@@ -127,13 +127,13 @@ def cross_pairs(left: DataFrame, cells: DataFrame, d: int, eps: float) -> DataFr
     neighbour-cell offsets, never a cross join)."""
     keys = [f"g{i}" for i in range(d)]
     offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in fine_cell_offsets(d, eps)])
-    shifted = cells.select(F.col("id").alias("nid"), F.col("w").alias("nw"),
-                           *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)],
-                           *[F.col(f"g{i}").alias(f"h{i}") for i in range(d)],
-                           F.explode(offsets).alias("_o"))
-    shifted = shifted.select("nid", "nw", *[f"y{i}" for i in range(d)],
-                             *[(F.col(f"h{i}") + F.col("_o")[i]).alias(f"g{i}") for i in range(d)])
-    j = left.select("id", *[f"x{i}" for i in range(d)], *keys).join(shifted, keys)
+    # replicate the (smaller) left side to its neighbour cells
+    shifted = left.select("id", *[f"x{i}" for i in range(d)], *keys, F.explode(offsets).alias("_o"))
+    shifted = shifted.select("id", *[f"x{i}" for i in range(d)],
+                             *[(F.col(f"g{i}") + F.col("_o")[i]).alias(f"g{i}") for i in range(d)])
+    right = cells.select(F.col("id").alias("nid"), F.col("w").alias("nw"),
+                         *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)], *keys)
+    j = shifted.join(right, keys)
     return j.where(_sq_dist(d) <= F.lit(eps * eps)).select("id", "nid", "nw")
 
 
@@ -279,9 +279,18 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
 
 def _dbscan_labels_coarse(points: DataFrame, id_col: str, coords: list[str], eps: float,
                           min_samples: int, grid_dims: int) -> DataFrame:
-    """d > 3: coarse-grid candidate filter, all epsilon-pairs joined."""
-    pairs = checkpointed(neighbour_pairs(points, id_col, coords, eps, grid_dims))
-    counts = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
+    """d > 3: coarse-grid candidate filter on three coordinates; all
+    epsilon-pairs between distinct coordinates are joined. Exact duplicates
+    are collapsed into weighted points first, as in the fine-grid path."""
+    d = len(coords)
+    xs = [f"x{i}" for i in range(d)]
+    src = points.select(F.col(id_col).alias("_pid"),
+                        *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs)])
+    uniq = checkpointed(src.groupBy(*xs).agg(F.min("_pid").alias("id"),
+                                             F.count(F.lit(1)).alias("mult")))
+    pairs = checkpointed(neighbour_pairs(uniq, "id", xs, eps, grid_dims)
+                         .join(uniq.select(F.col("id").alias("nid"), F.col("mult").alias("nw")), "nid"))
+    counts = pairs.groupBy("id").agg(F.sum("nw").alias("neighbours"))
     core = checkpointed(counts.where(F.col("neighbours") >= min_samples).select("id"))
     edges = (pairs.where(F.col("id") < F.col("nid"))
              .join(core, "id", "left_semi")
@@ -290,12 +299,12 @@ def _dbscan_labels_coarse(points: DataFrame, id_col: str, coords: list[str], eps
     core_lab = _label_components(core, edges)
     border = (pairs.join(core_lab.select(F.col("id").alias("nid"), "label"), "nid")
               .groupBy("id").agg(F.min("label").alias("blabel")))
-    out = (points.select(F.col(id_col).alias("id"))
-           .join(counts, "id", "left").join(core_lab, "id", "left").join(border, "id", "left"))
-    return out.select(F.col("id").alias(id_col),
-                      F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label"),
-                      F.col("label").isNotNull().alias("is_core"),
-                      F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbours"))
+    per_point = (uniq.join(counts, "id", "left").join(core_lab, "id", "left").join(border, "id", "left")
+                 .select(*xs, F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label"),
+                         F.col("label").isNotNull().alias("is_core"),
+                         F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbours")))
+    out = src.join(per_point, xs)
+    return out.select(F.col("_pid").alias(id_col), "label", "is_core", "neighbours")
 
 
 @dataclass

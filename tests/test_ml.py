@@ -217,7 +217,7 @@ def test_kmeans_invariants(spark):
     assert len(ev) == 3 and all(-1 <= e.silhouette <= 1 for e in ev)
 
 
-@pytest.mark.parametrize("d,eps,ms", [(1, 0.2, 5), (3, 0.6, 5), (4, 0.9, 5)])
+@pytest.mark.parametrize("d,eps,ms", [(1, 0.2, 5), (3, 0.6, 5), (4, 0.9, 5), (5, 1.0, 4)])
 def test_dbscan_other_dims_match_bruteforce(spark, d, eps, ms):
     rnd = np.random.default_rng(20 + d)
     X = np.vstack([rnd.normal(0, 0.3, (50, d)), rnd.normal(2, 0.3, (40, d)), rnd.uniform(-1, 3, (20, d))])
@@ -243,6 +243,18 @@ def test_dbscan_hot_cell_emits_no_same_cell_pairs(spark):
     assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, 0.3, 5))
 
 
+def test_dbscan_copies_collapse_high_dims(spark):
+    rnd = np.random.default_rng(12)
+    X = np.vstack([np.zeros((60, 5)), np.full((60, 5), 0.2), rnd.uniform(-2, 2, (60, 5))])
+    cols = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame([(i, *[float(v) for v in x]) for i, x in enumerate(X)],
+                               "k bigint, " + ", ".join(f"{c} double" for c in cols))
+    got = {r.k: (r.label, r.neighbours) for r in DB.dbscan_labels(df, "k", cols, 0.5, 5).collect()}
+    assert [got[i][0] for i in range(len(X))] == list(brute_dbscan(X, 0.5, 5))
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    assert [got[i][1] for i in range(len(X))] == list((D <= 0.5).sum(1))
+
+
 def test_dbscan_copies_collapse(spark):
     # two adjacent groups of exact copies (a third of the rows each) plus noise
     rnd = np.random.default_rng(8)
