@@ -47,6 +47,13 @@ def _inc(spark, sf):
     return fx.incidence(spark, sf)
 
 
+def _counts(spark, sf):
+    """The wide monthly counts alone: queries that need no municipality
+    attribute skip the municipality join (Catalyst cannot drop a left join
+    on its own without knowing the key is unique)."""
+    return fx.inc_wide(spark, sf)
+
+
 def _enriched(spark, sf):
     return Q.enrich(_inc(spark, sf), mapping=R.FIXTURE_LEGAL_GOOD_CLASS, with_id=False)
 
@@ -122,7 +129,7 @@ def _months_long(df):
 
 
 def months_long(spark, sf):
-    return _months_long(_inc(spark, sf))
+    return _months_long(_counts(spark, sf))
 
 
 def quarter_totals(spark, sf):
@@ -145,7 +152,7 @@ def month_overflow(spark, sf):
 
 def peak_month(spark, sf):
     pk = R.peak_month()
-    return _inc(spark, sf).select(*KEYS, pk.alias("peak_month"), R.month_name(pk).alias("peak_month_name"),
+    return _counts(spark, sf).select(*KEYS, pk.alias("peak_month"), R.month_name(pk).alias("peak_month_name"),
                                   R.peak_cases().alias("peak_cases"))
 
 
@@ -157,13 +164,13 @@ def risk_level(spark, sf):
 def half_year_trend(spark, sf):
     s1 = sum((F.col(c) for c in R.MONTH_COLS[:6]), F.lit(0))
     s2 = sum((F.col(c) for c in R.MONTH_COLS[6:]), F.lit(0))
-    return _inc(spark, sf).select(*KEYS, s1.cast("bigint").alias("s1"), s2.cast("bigint").alias("s2"),
+    return _counts(spark, sf).select(*KEYS, s1.cast("bigint").alias("s1"), s2.cast("bigint").alias("s2"),
                                   R.half_year_trend().alias("trend"))
 
 
 def crime_class_weight(spark, sf):
     cls = R.crime_class("legal_good", R.FIXTURE_LEGAL_GOOD_CLASS)
-    return _inc(spark, sf).select(*KEYS, cls.alias("crime_class"), R.class_weight(cls).alias("weight"))
+    return _counts(spark, sf).select(*KEYS, cls.alias("crime_class"), R.class_weight(cls).alias("weight"))
 
 
 def urgency_index(spark, sf):
@@ -173,7 +180,7 @@ def urgency_index(spark, sf):
 
 
 def occurrence_pattern(spark, sf):
-    return _inc(spark, sf).select(*KEYS, R.active_months().cast("int").alias("active_months"),
+    return _counts(spark, sf).select(*KEYS, R.active_months().cast("int").alias("active_months"),
                                   R.occurrence_pattern().alias("pattern"))
 
 
@@ -190,7 +197,7 @@ def record_enriched(spark, sf):
 
 # --- explorer and KPIs ---------------------------------------------------------
 def sample_exact(spark, sf):
-    return Q.sample_exact(_inc(spark, sf)).select(*KEYS, "total")
+    return Q.sample_exact(_counts(spark, sf)).select(*KEYS, "total")
 
 
 def filter_options(spark, sf):
@@ -220,7 +227,7 @@ def record_cards(spark, sf):
 
 
 def kpi_total(spark, sf):
-    return Q.kpi_total(_inc(spark, sf))
+    return Q.kpi_total(_counts(spark, sf))
 
 
 def kpi_municipalities(spark, sf):
@@ -232,7 +239,7 @@ def kpi_top_state(spark, sf):
 
 
 def kpi_top_good(spark, sf):
-    return Q.top_by_volume(_inc(spark, sf), "legal_good", "top_legal_good")
+    return Q.top_by_volume(_counts(spark, sf), "legal_good", "top_legal_good")
 
 
 # --- descriptive statistics ---------------------------------------------------
@@ -265,7 +272,7 @@ def rate_outliers(spark, sf):
 
 
 def top_goods(spark, sf):
-    return A.top_goods(_inc(spark, sf))
+    return A.top_goods(_counts(spark, sf))
 
 
 def top_rate_munis(spark, sf):
