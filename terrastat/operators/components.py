@@ -46,9 +46,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
     e = checkpointed(e.unionByName(e.select(F.col("d").alias("s"), F.col("s").alias("d")))
                      .where(F.col("s") != F.col("d")).distinct())
     par = checkpointed(vertices.select(F.col(id_col).alias("v"), F.col(id_col).alias("p")))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         if e.limit(1).count() == 0:
             break
+        if _ == max_rounds:
+            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
         ps = par.select(F.col("v").alias("s"), F.col("p").alias("ps"))
         pd = par.select(F.col("v").alias("d"), F.col("p").alias("pd"))
         ep = e.join(ps, "s").join(pd, "d")
@@ -70,4 +72,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
         par = new
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"pointer jumping did not settle in {max_rounds} steps")
     return par.select(F.col("v").alias(id_col), F.col("p").alias("comp"))
