@@ -282,3 +282,14 @@ def test_dense_cell_links_match_bruteforce(spark, d):
                                "k bigint, " + ", ".join(f"{c} double" for c in cols))
     got = {r.k: r.label for r in DB.dbscan_labels(df, "k", cols, eps, ms).collect()}
     assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, eps, ms))
+
+
+def test_connected_components_long_chain(spark):
+    # a path of 3000 vertices with shuffled ids: diameter 2999, one component
+    rnd = random.Random(3)
+    ids = list(range(3000))
+    rnd.shuffle(ids)
+    v = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    e = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(len(ids) - 1)], "src bigint, dst bigint")
+    got = connected_components(v, e, max_rounds=40).collect()
+    assert len(got) == 3000 and {r.comp for r in got} == {0}
