@@ -4,8 +4,8 @@ hotspots and column profiles.
 
 Everything after the first group-by runs on the contingency table, whose size
 is (#legal goods × 3): the only full-data pass is one partially aggregated
-group-by. Zero-filling uses a pivot over the fixed settlement domain and an
-unpivot back (no cross product).
+group-by. Zero-filling uses conditional sums over the fixed settlement domain
+(one aggregation) and an unpivot back (no cross product).
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def contingency(inc: DataFrame, labels=SETTLEMENT_LABELS) -> DataFrame:
     a zero expected count)."""
     tagged = inc.where(F.col("legal_good").isNotNull()).select(
         "legal_good", settlement_class("population").alias("settlement"), "total")
-    wide = tagged.groupBy("legal_good").pivot("settlement", list(labels)).agg(F.sum("total"))
+    wide = tagged.groupBy("legal_good").agg(*[
+        F.sum(F.when(F.col("settlement") == lab, F.col("total"))).alias(lab) for lab in labels])
     stacked = ", ".join(f"'{lab}', coalesce(`{lab}`, 0L)" for lab in labels)
     long = wide.selectExpr("legal_good", f"stack({len(labels)}, {stacked}) as (settlement, observed)")
     # the only full-data pass: materialise the (#goods x 3) table once, every

@@ -147,10 +147,16 @@ def standardise(inc: DataFrame, catalogue: DataFrame, key: str = "state_key",
 def pivot_matrix(long: DataFrame, ids: list[str], pivot_col: str, value: str,
                  values: list[str]) -> DataFrame:
     """Long -> matrix, one column per value of ``pivot_col`` (explicit
-    list: one pass, stable column order), 0 where absent."""
-    wide = long.groupBy(*ids).pivot(pivot_col, values).agg(F.sum(value))
-    return wide.select(*ids, *[F.coalesce(F.col(v), F.lit(0)).cast("bigint").alias(v)
-                               for v in values])
+    list, stable column order), 0 where absent.
+
+    Written as one conditional sum per value: a single aggregation keyed by
+    ``ids`` with map-side partial sums (``pivot`` plans two aggregations and
+    two shuffles), whose output is already partitioned by ``ids``.
+    """
+    p = F.col(pivot_col)
+    return long.groupBy(*ids).agg(*[
+        F.coalesce(F.sum(F.when(p == v, F.col(value))), F.lit(0)).cast("bigint").alias(v)
+        for v in values])
 
 
 def profile(df: DataFrame, order: list[str], head: int = 3) -> tuple[DataFrame, DataFrame]:
