@@ -31,8 +31,8 @@ def brute_dbscan(X, eps, min_samples):
     """Row-order expansion, as the reference's library does."""
     X = np.asarray(X, float)
     n = len(X)
-    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
-    nb = [np.where(D[i] <= eps)[0] for i in range(n)]
+    D2 = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    nb = [np.where(D2[i] <= eps * eps)[0] for i in range(n)]  # same criterion as the operator
     core = np.array([len(x) >= min_samples for x in nb])
     lab = -np.ones(n, int)
     c = 0

@@ -85,3 +85,22 @@ def test_rank_quantiles_match_pandas(spark, xs, qs):
     got = spark.range(1).select(rank_quantiles(df, "v", qs, "k", rows_per_range=37).alias("q")).first().q
     want = [pd.Series(xs).quantile(q) for q in qs]
     assert got == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(min_value=1, max_value=3),
+       st.lists(st.lists(st.integers(min_value=0, max_value=12), min_size=3, max_size=3),
+                min_size=5, max_size=120),
+       st.sampled_from([0.1, 0.25, 0.3, 0.5]), st.integers(min_value=2, max_value=8))
+def test_dbscan_matches_bruteforce_on_lattice(spark, d, cells, eps, min_samples):
+    """Lattice points (spacing 0.1): duplicates, dense cells and distances
+    exactly at eps, against the row-order expansion."""
+    import numpy as np
+    from tests.test_ml import brute_dbscan
+    from terrastat.operators import dbscan as DB
+    X = np.array([[c * 0.1 for c in p[:d]] for p in cells])
+    cols = [f"c{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *[float(v) for v in x]) for i, x in enumerate(X)],
+                               "k bigint, " + ", ".join(f"{c} double" for c in cols))
+    got = {r.k: r.label for r in DB.dbscan_labels(df, "k", cols, eps, min_samples).collect()}
+    assert [got[i] for i in range(len(X))] == list(brute_dbscan(X, eps, min_samples))
