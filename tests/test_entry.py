@@ -34,3 +34,22 @@ def test_scale_conf():
     big = scale_conf(100 << 40, 8000)
     assert int(big["spark.sql.shuffle.partitions"]) == 65536
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_properties(spark):
+    q = entry.queries()
+    # count-only queries skip the municipality join
+    for name in ("months_long", "peak_month", "kpi_total"):
+        p = _plan(q[name](spark, SF001))
+        assert "supplier.parquet" not in p and "nation.parquet" not in p, name
+    # the mart matrix is one aggregation (conditional sums), not a two-phase pivot
+    p = _plan(q["mart_pivot"](spark, SF001))
+    assert "PivotFirst" not in p and "pivotfirst" not in p.lower()
+    # the Pareto curve: no nested-loop or cartesian join, no Python
+    p = _plan(q["pareto_curve"](spark, SF001))
+    for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
+        assert bad not in p
