@@ -82,6 +82,27 @@ def descriptive_stats(rollup: DataFrame, columns=STAT_COLUMNS, method: str = "au
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+# The reference's statistic labels, in its order.
+STAT_LABELS = ("Media", "Mediana", "Desv. Est.", "Mínimo", "Máximo", "Q1 (25%)", "Q3 (75%)",
+               "Asimetría", "Curtosis")
+STAT_FIELDS = ("mean", "median", "std", "min", "max", "q1", "q3", "skew", "kurtosis")
+PRESENTATION_DECIMALS = 2
+
+
+def descriptive_table(stats: DataFrame, columns=STAT_COLUMNS,
+                      decimals: int = PRESENTATION_DECIMALS) -> DataFrame:
+    """A3 in the reference's presentation: one row per statistic (labelled,
+    with its position), one column per input column, rounded to
+    ``decimals``. Reshapes the 3-row result of ``descriptive_stats``."""
+    cells = F.array(*[F.struct(F.lit(lab).alias("stat"), F.lit(i).alias("position"),
+                               F.col(f).alias("value"))
+                      for i, (lab, f) in enumerate(zip(STAT_LABELS, STAT_FIELDS))])
+    long = stats.select("column", F.explode(cells).alias("c")).select("column", "c.*")
+    return long.groupBy("stat", "position").agg(*[
+        F.round(F.max(F.when(F.col("column") == c, F.col("value"))), decimals).alias(c)
+        for c in columns])
+
+
 def rate_histogram(rollup: DataFrame, value: str = "rate_100k", bins: int = HIST_BINS) -> DataFrame:
     """A4: ``bins`` equal-width bins over [min, max]; the maximum lands in the
     last bin. Non-empty bins with their edges and counts."""

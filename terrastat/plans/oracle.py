@@ -353,6 +353,16 @@ def _sql() -> dict[str, str]:
             f"round(quantile_cont({x}, 0.25), 6) AS q1, round(quantile_cont({x}, 0.75), 6) AS q3, "
             f"round(skewness({x}), 6) AS skew, round(kurtosis({x}), 6) AS kurtosis FROM rollup")
     q["descriptive_stats"] = rb + " UNION ALL ".join(stats)
+    labels = ["Media", "Mediana", "Desv. Est.", "Mínimo", "Máximo", "Q1 (25%)", "Q3 (75%)",
+              "Asimetría", "Curtosis"]
+    funcs = ["AVG({x})", "quantile_cont({x}, 0.5)", "STDDEV_SAMP({x})", "MIN({x})", "MAX({x})",
+             "quantile_cont({x}, 0.25)", "quantile_cont({x}, 0.75)", "skewness({x})", "kurtosis({x})"]
+    table = []
+    for i, (lab, fn) in enumerate(zip(labels, funcs)):
+        cols = ", ".join(f"round({fn.format(x=f'CAST({c} AS DOUBLE)')}, 6) AS {c}"
+                         for c in ("total", "rate_100k", "population"))
+        table.append(f"SELECT '{lab}' AS stat, {i} AS position, {cols} FROM rollup")
+    q["descriptive_table"] = rb + " UNION ALL ".join(table)
     q["rate_histogram"] = rb + (
         ", mm AS (SELECT MIN(rate_100k) AS mn, MAX(rate_100k) AS mx FROM rollup)\n"
         "SELECT bin, round(mn + (bin - 1) * ((mx - mn) / 50), 6) AS bin_lo, round(mn + bin * ((mx - mn) / 50), 6) AS bin_hi, "

@@ -256,6 +256,10 @@ def descriptive_stats(spark, sf):
     return d.select("column", *[r6(c).alias(c) for c in d.columns if c != "column"])
 
 
+def descriptive_table(spark, sf):
+    return A.descriptive_table(A.descriptive_stats(_rollup(spark, sf)), decimals=6)
+
+
 def rate_histogram(spark, sf):
     h = A.rate_histogram(_rollup(spark, sf))
     return h.select("bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "n")
@@ -591,6 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_total": kpi_total, "kpi_municipalities": kpi_municipalities,
     "kpi_top_state": kpi_top_state, "kpi_top_good": kpi_top_good,
     "muni_rollup": muni_rollup, "descriptive_stats": descriptive_stats,
+    "descriptive_table": descriptive_table,
     "rate_histogram": rate_histogram, "rate_box": rate_box, "rate_outliers": rate_outliers,
     "top_goods": top_goods,
     "top_rate_munis": top_rate_munis, "pop_rate_points": pop_rate_points,

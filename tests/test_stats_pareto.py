@@ -187,3 +187,15 @@ def test_chi_square_odd_dof_in_spark(spark):
     assert c.dof == 3
     assert c.p_value == pytest.approx(_chi2_sf_scalar(c.chi2, 3), rel=1e-12)
     assert 0 < c.p_value < 0.05
+
+
+def test_descriptive_table_shape_and_rounding(spark):
+    xs = [1, 2, 2, 3, 10, 25, 7, 100]
+    df = spark.createDataFrame([(float(x), float(x), float(x)) for x in xs],
+                               "total double, rate_100k double, population double")
+    t = {r.stat: (r.position, r.total) for r in A.descriptive_table(A.descriptive_stats(df)).collect()}
+    s = pd.Series(xs, dtype=float)
+    assert list(t) and sorted(p for p, _ in t.values()) == list(range(9))
+    assert t["Media"][1] == round(s.mean(), 2) and t["Mediana"][1] == round(s.median(), 2)
+    assert t["Desv. Est."][1] == round(s.std(), 2) and t["Curtosis"][1] == round(s.kurt(), 2)
+    assert t["Asimetría"][1] == round(s.skew(), 2) and t["Q3 (75%)"][1] == 13.75
