@@ -48,17 +48,24 @@ def main() -> None:
     QUERIES["kpi_total"](spark, sf_dir).collect()
     spark.range(8).withColumn("g", F.col("id") % 2).groupBy("g").applyInPandas(
         lambda pdf: pdf, "id long, g long").collect()
-    times = {}
+    times, failed = {}, {}
     for name in (only or HEADLINE):
         t0 = time.time()
-        df = runners[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        try:
+            df = runners[name](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # keep the JSON line; report the failure
+            failed[name] = str(e)[:200]
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.time() - t0, 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times,
-                      "sf": float(m.group(1)) if m else sf_dir}))
+    out = {"metric": "headline_total_sec", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": float(m.group(1).rstrip(".")) if m else sf_dir}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
