@@ -1,4 +1,5 @@
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
 from tests.conftest import SF001
 
 
@@ -53,3 +54,26 @@ def test_plan_properties(spark):
     p = _plan(q["pareto_curve"](spark, SF001))
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in p
+
+
+def test_fixture_sizes_match_survey(spark):
+    """The derived views reproduce the sizes measured in FIXTURES.md §2.6
+    at sf0.01."""
+    from tests.conftest import SF01
+    from terrastat.operators import dbscan as DB
+    from terrastat.sources import fixtures as fx
+    q = entry.queries()
+    s = q["pareto_summary"](spark, SF01).first()
+    assert (s.critical_count, s.municipalities) == (76, 100)
+    sc = {r.settlement: r["count"] for r in q["settlement_class"](spark, SF01).groupBy("settlement").count().collect()}
+    assert sc == {"Rural": 22, "Urbano": 31, "Megalópolis": 47}
+    e = q["record_enriched"](spark, SF01).where("population > 0")
+    assert {r.risk: r["count"] for r in e.groupBy("risk").count().collect()} == {"Alto": 719, "Medio": 271, "Bajo": 210}
+    assert sorted(r["count"] for r in e.groupBy("pattern").count().collect()) == [14, 150, 1036]
+    assert fx.mart_long(spark, SF01).count() == 2500
+    pts = fx.points(spark, SF01)
+    assert pts.count() == 1500
+    cells, cross = DB.fine_grid(pts, "k", ["x", "y"], 0.2)
+    same_cell = cells.groupBy("g0", "g1").agg((F.sum("w") * F.sum("w")).alias("p")).agg(F.sum("p")).first()[0]
+    assert cross.count() + same_cell == 24812          # epsilon-pairs including self pairs
+    assert DB.dbscan_labels(pts, "k", ["x", "y"], 0.2, 10).where("is_core").count() == 1069
