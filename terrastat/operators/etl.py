@@ -85,6 +85,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
         w.format(fmt).save(path)
 
 
+def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    """The offline ETL output (L0): write once as parquet, partitioned (by
+    state by default for the incidence table) so later filters on the
+    partition column prune whole folders; return the reader."""
+    write_table(df, path, partition_by=partition_by)
+    return df.sparkSession.read.parquet(path)
+
+
 def drop_columns(df: DataFrame, names=DROPPED_BEFORE_MERGE) -> DataFrame:
     """E5: drop, ignoring names that are absent."""
     return df.drop(*names)

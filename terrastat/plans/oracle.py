@@ -276,6 +276,8 @@ def _sql() -> dict[str, str]:
     q["etl_catalogue_unmatched"] = b + (
         f"SELECT i.state_key, i.muni_key, trim(i.legal_good) AS legal_good, trim(i.modality) AS modality "
         f"FROM incidence i WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = i.state_key)")
+    q["etl_partitioned_read"] = b + (
+        f"SELECT state_key, state, {KEYS}, total, population FROM incidence WHERE state_key = 1")
     q["mart_pivot"] = w(MUNI, MART_LONG, MART) + "SELECT * FROM mart"
 
     q["settlement_class"] = w(MUNI) + f"SELECT muni_key, population, {SETTLE} AS settlement FROM muni"

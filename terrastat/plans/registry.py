@@ -113,6 +113,17 @@ def etl_catalogue_unmatched(spark, sf):
     return bad.select("state_key", *KEYS)
 
 
+FILTER_STATE_KEY = 1
+
+
+def etl_partitioned_read(spark, sf):
+    """E4 + E1 with partition pruning: the incidence table written once
+    partitioned by state, then one state read back (a partition filter)."""
+    table = E.materialize(_inc(spark, sf), scratch_path(spark, "incidence"), ["state_key"])
+    return table.where(F.col("state_key") == FILTER_STATE_KEY).select(
+        "state_key", "state", *KEYS, "total", "population")
+
+
 def mart_pivot(spark, sf):
     return fx.mart(spark, sf)
 
@@ -582,7 +593,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "etl_clean_names": etl_clean_names, "etl_annual_total": etl_annual_total,
     "etl_population": etl_population, "etl_merge_rate": etl_merge_rate,
     "etl_catalogue": etl_catalogue, "etl_catalogue_unmatched": etl_catalogue_unmatched,
-    "mart_pivot": mart_pivot,
+    "mart_pivot": mart_pivot, "etl_partitioned_read": etl_partitioned_read,
     "settlement_class": settlement_class, "quarter_totals": quarter_totals,
     "month_names": month_names, "months_long": months_long, "month_overflow": month_overflow,
     "peak_month": peak_month, "risk_level": risk_level, "half_year_trend": half_year_trend,

@@ -77,3 +77,10 @@ def test_fixture_sizes_match_survey(spark):
     same_cell = cells.groupBy("g0", "g1").agg((F.sum("w") * F.sum("w")).alias("p")).agg(F.sum("p")).first()[0]
     assert cross.count() + same_cell == 24812          # epsilon-pairs including self pairs
     assert DB.dbscan_labels(pts, "k", ["x", "y"], 0.2, 10).where("is_core").count() == 1069
+
+
+def test_partitioned_read_prunes(spark):
+    df = entry.queries()["etl_partitioned_read"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(state_key" in plan and "(state_key" in plan
+    assert {r.state_key for r in df.collect()} <= {1}
