@@ -189,8 +189,10 @@ def lorenz_curve(rollup: DataFrame, rows_per_range: int = DEFAULT_ROWS_PER_RANGE
     pts = ranked.select(F.col("rank").alias("point"),
                         (F.col("rank") * 100.0 / n).alias("pop_pct"),
                         F.when(tot != 0, F.col("cum_total") * 100.0 / tot).alias("cases_pct"))
-    origin = r.limit(1).select(F.lit(0).cast("bigint").alias("point"),
-                               F.lit(0.0).alias("pop_pct"), F.lit(0.0).alias("cases_pct"))
+    # a global aggregate yields exactly one row (also on an empty input): the origin
+    origin = r.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("pop_pct"),
+        F.lit(0.0).alias("cases_pct"))
     return origin.unionByName(pts)
 
 
