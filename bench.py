@@ -36,7 +36,7 @@ def main() -> None:
     from terrastat.sources import fixtures as fx
     from pyspark.sql import functions as F
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)))
 
     def dbscan_points(sp, sf):
         # timing setting of the survey: eps 0.1, min_samples 20 on the customer points
