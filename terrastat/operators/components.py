@@ -66,7 +66,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
                          .select(F.col("ns").alias("s"), F.col("nd").alias("d"))
                          .where(F.col("s") != F.col("d")).distinct())
     for _ in range(max_rounds):
-        new = checkpointed(_jump(par))
+        new = checkpointed(_jump(_jump(par)))  # two jumps per check
         changed = (new.join(par.withColumnRenamed("p", "old"), "v")
                    .where(F.col("p") != F.col("old")).limit(1).count())
         par = new
