@@ -74,12 +74,36 @@ def standardise(rates: DataFrame, ids: list[str], features: list[str]) -> DataFr
     return src.select(*ids, *cols)
 
 
-def zscore_stats(rates: DataFrame, features: list[str]):
+# above this many features, per-feature statistics are computed in long form
+LONG_FORM_FEATURES = 256
+
+
+def feature_long(rates: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """(keys, position, v): one row per row and feature (an explode; the
+    group-bys that follow combine map-side)."""
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f).cast("double").alias("v"))
+                      for i, f in enumerate(features)])
+    return rates.select(*keys, F.explode(cells).alias("_e")).select(*keys, "_e.position", "_e.v")
+
+
+def _long_form(features: list[str], long_form: int | None) -> bool:
+    limit = LONG_FORM_FEATURES if long_form is None else long_form
+    return len(features) > limit
+
+
+def zscore_stats(rates: DataFrame, features: list[str], long_form: int | None = None):
     """Global mean and *sample* std per feature, as a scalar struct to attach
     once as a column (the naming z-scores of M6/D6 use ddof 1, unlike the
-    scaler)."""
-    return scalars(rates, **{f"m{i}": F.avg(f) for i, f in enumerate(features)},
-                   **{f"s{i}": F.stddev_samp(f) for i, f in enumerate(features)})
+    scaler). With many features the statistics come from one group-by on
+    (feature) over the long form, then d small rows are folded back."""
+    if not _long_form(features, long_form):
+        return scalars(rates, **{f"m{i}": F.avg(f) for i, f in enumerate(features)},
+                       **{f"s{i}": F.stddev_samp(f) for i, f in enumerate(features)})
+    per = feature_long(rates, [], features).groupBy("position").agg(
+        F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    pos = F.col("position")
+    return scalars(per, **{f"m{i}": F.max(F.when(pos == i, F.col("m"))) for i in range(len(features))},
+                   **{f"s{i}": F.max(F.when(pos == i, F.col("s"))) for i in range(len(features))})
 
 
 @dataclass

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.functions.text import feature_label, round_half_even_str
-from terrastat.operators.features import Z_EPS, zscore_stats
+from terrastat.operators import features as FE
+from terrastat.operators.features import Z_EPS, feature_long, zscore_stats
 
 # Cluster-name texts, noise label, DBSCAN type texts.
 PACIFIC_NAME = "Perfil Pacifico"
@@ -38,11 +39,24 @@ def _long(wide: DataFrame, keys: list[str], features: list[str], value: str) ->
     return wide.select(*keys, F.explode(arr).alias("_e")).select(*keys, "_e.*")
 
 
-def cluster_means(rates: DataFrame, label: str, features: list[str]) -> DataFrame:
-    return rates.groupBy(label).agg(
-        F.count(F.lit(1)).cast("bigint").alias("members"),
-        F.avg("population").alias("mean_population"),
-        *[F.avg(f).alias(f) for f in features])
+def cluster_means(rates: DataFrame, label: str, features: list[str],
+                  long_form: int | None = None) -> DataFrame:
+    """K rows: members, mean population and the mean of every feature.
+    With many features the means come from one group-by on (label, feature)
+    over the long form (one aggregate over the big input instead of d), and
+    only the K×d result is folded back to one column per feature."""
+    if not FE._long_form(features, long_form):
+        return rates.groupBy(label).agg(
+            F.count(F.lit(1)).cast("bigint").alias("members"),
+            F.avg("population").alias("mean_population"),
+            *[F.avg(f).alias(f) for f in features])
+    sizes = rates.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("members"),
+                                     F.avg("population").alias("mean_population"))
+    means = feature_long(rates, [label], features).groupBy(label, "position").agg(F.avg("v").alias("m"))
+    pos = F.col("position")
+    wide = means.groupBy(label).agg(*[F.max(F.when(pos == i, F.col("m"))).alias(f)
+                                      for i, f in enumerate(features)])
+    return sizes.join(wide, label)
 
 
 def cluster_summary(rates: DataFrame, label: str = "cluster") -> DataFrame:

@@ -198,6 +198,21 @@ def test_cluster_naming(spark):
         assert n.cluster_name.startswith("Perfil Pacifico" if z.max() < 0 else "Foco: ")
 
 
+def test_profile_long_form_matches_wide(spark, monkeypatch):
+    m = _mart(spark)
+    ids, feats = FE.feature_roles(m)
+    rates = FE.feature_rates(m, ids, feats).withColumn("cluster", F.col("muni_key") % 3)
+
+    def run():
+        names = {r.cluster: (r.members, r.specialty, round(r.top_z, 9), r.cluster_name)
+                 for r in PR.cluster_names(rates, feats).collect()}
+        z = {(r.cluster, r.feature): round(r.z, 9) for r in PR.cluster_zscores(rates, feats).collect()}
+        return names, z
+    wide = run()
+    monkeypatch.setattr(FE, "LONG_FORM_FEATURES", 0)
+    assert run() == wide
+
+
 def test_kmeans_invariants(spark):
     from terrastat.operators import kmeans as KM
     rnd = random.Random(1)
