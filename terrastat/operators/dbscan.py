@@ -1,29 +1,36 @@
 """DBSCAN (D1-D2) as DataFrame work, and the DBSCAN result frames.
 
-For d <= 3 coordinates (the usual case after PCA or for planar points):
-
-1. Fine grid of side eps/sqrt(d): two points in the same fine cell are
-   always within eps. A cell's own points therefore count as neighbours
-   without enumerating a single pair, and the cores of one cell are one
-   connected group (a star to the cell's smallest core, not all pairs). A
-   cell that holds a third of all points costs one group-by row.
-2. Pairs are only enumerated *between* different cells: one side is
-   replicated to the neighbouring cell offsets that can hold a point within
-   eps (an equi-join on cell keys, never a cross join), then filtered on the
-   exact squared distance over all coordinates.
-3. Core = cell count + cross-cell neighbours >= min_samples (a point is its
-   own neighbour, as in the reference's library).
-4. Edges = same-cell stars + cross-cell core-core pairs; connected
-   components (components.py) give the clusters.
-5. Cluster ids are the rank of each component's smallest core key, minus 1
-   (the library numbers clusters in the order their first core point is
-   met, and keys follow row order).
-6. A border point takes the smallest cluster id among the cores of its own
-   cell and its cross-cell core neighbours; everything else is noise (-1).
+0. Exact duplicates collapse into one weighted point per distinct
+   coordinate (the smallest id represents it); a group of copies holding a
+   third of the rows is one row from here on, and every copy takes its
+   representative's result through one equi-join at the end.
+
+For d <= 3 coordinates (the usual case after PCA, or planar points):
+
+1. Fine grid of side eps/sqrt(d) (shrunk by 1e-12 against rounding): two
+   points of one cell are always within eps. A cell whose weighted count
+   reaches min_samples is *dense*: all its points are cores, no pair needed.
+2. Pairs are enumerated only from points of *sparse* cells (fewer than
+   min_samples each) to points of other cells: the sparse side is
+   replicated to the neighbour-cell offsets that can hold a point within eps
+   (an equi-join on cell keys, never a cross join) and filtered on the exact
+   squared distance. Core = cell count + cross-cell neighbours >= min_samples
+   (a point is its own neighbour, as in the reference's library).
+3. Two adjacent dense cells are linked by a bounded witness test on
+   sub-cells (``dense_cell_links``), never by enumerating their pairs.
+4. Components run on the cell graph (one vertex per cell's smallest core,
+   one edge per linked cell pair; components.py). Cluster ids are the rank
+   of each component's smallest core key, minus 1: the library numbers
+   clusters in the order their first core point is met, and keys follow
+   row order.
+5. A border point (always in a sparse cell) takes the smallest cluster id
+   among the cores of its own cell and its cross-cell core neighbours;
+   everything else is noise (-1).
 
 For d > 3 the neighbour-offset count of the fine grid explodes, so the
 candidate filter falls back to a coarse grid (side eps) on the first three
-coordinates, where all candidate pairs, including same-cell ones, are joined.
+coordinates (the leading principal components), where all candidate pairs
+between distinct coordinates, same-cell ones included, are joined.
 """
 
 from __future__ import annotations
