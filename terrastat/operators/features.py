@@ -4,7 +4,8 @@ The mart is wide (one column per crime subtype). Rates and scaling are one
 ``select`` each with d expressions; global means/stds are one aggregate used
 as a scalar subquery. PCA is Spark ML's distributed covariance with the d×d
 eigen step on the driver (bounded by d, not by rows); the projection is then
-applied as plain column arithmetic so the scores stay inside codegen.
+applied as plain column arithmetic so the scores stay inside codegen (or, for
+wide marts, through the fitted model's JVM vector transform).
 """
 
 from __future__ import annotations

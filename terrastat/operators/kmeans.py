@@ -1,7 +1,8 @@
 """K-Means profiling pipeline (M1-M4, M13) on top of F1-F5 and profiles.py.
 
-F1-F5 run once and the PCA scores are checkpointed; the K sweep and the final
-fit reuse them (the reference recomputed everything twice per page render).
+F1-F5 run once and the PCA scores are checkpointed; the K sweep's fits run
+as concurrent jobs over them, and the final fit for the requested K reuses
+the sweep's (the reference recomputed everything twice per page render).
 Spark ML's KMeans runs distributed Lloyd iterations; inertia is the training
 cost. Labels differ from k-means++ in another library (different seeding),
 so inertia and silhouette, not labels, are what compare across engines.
