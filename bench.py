@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries",
-"sf"}. Each query is planned from the parquet files and fully executed
+"sf"}. ``BENCH_EVENT_LOG=<dir>`` also writes Spark's event log (stage and task
+times) to a fresh folder under <dir>. Each query is planned from the parquet files and fully executed
 (``noop`` sink, so no result is shipped to the driver). An untimed warm-up
 absorbs process start-up: one small query (JVM, codegen) and one tiny
 Arrow-batched group (Python worker start).
@@ -36,7 +37,16 @@ def main() -> None:
     from terrastat.sources import fixtures as fx
     from pyspark.sql import functions as F
 
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # stage and task times for later study: Spark's event log in a fresh
+        # scratch folder (no UI, no server)
+        import tempfile
+        log_dir = tempfile.mkdtemp(prefix="bench-events-", dir=os.environ["BENCH_EVENT_LOG"])
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+        print(f"# event log: {log_dir}", file=sys.stderr)
+    spark = get_session(f"local[{cpus}]", extra=extra,
+                        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)))
 
     def dbscan_points(sp, sf):
         # timing setting of the survey: eps 0.1, min_samples 20 on the customer points
