@@ -61,6 +61,7 @@ def main() -> None:
     times, failed = {}, {}
     for name in (only or HEADLINE):
         t0 = time.time()
+        spark.sparkContext.setJobGroup(name, name)  # attributes jobs in the event log
         try:
             df = runners[name](spark, sf_dir)
             df.write.format("noop").mode("overwrite").save()

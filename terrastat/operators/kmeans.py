@@ -77,7 +77,13 @@ def _sweep(prep: Prepared, ks, seed: int, method: str, parallel: int) -> dict:
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    sc = prep.scores.sparkSession.sparkContext
+    group = sc.getLocalProperty("spark.jobGroup.id")
+    description = sc.getLocalProperty("spark.job.description")
+
     def one(k: int):
+        if group:  # the caller's job group (cancellation, attribution) follows the fits
+            sc.setJobGroup(group, description or group)
         model, labelled = fit_labels(prep, k, seed)
         return k, (model, labelled, float(model.summary.trainingCost),
                    _silhouette(labelled, prep.pca.n_components, method))
