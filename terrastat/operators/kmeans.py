@@ -22,10 +22,11 @@ from terrastat.operators import profiles as PR
 from terrastat.operators.common import checkpointed
 from terrastat.operators.silhouette import best_k, silhouette_score
 
-# The sweep range, default K and seed.
+# The sweep range, default K, seed and iteration cap.
 SWEEP = range(2, 9)
 DEFAULT_K = 4
 SEED = 42
+MAX_ITER = 300  # Lloyd iterations stop earlier once centres settle (tol)
 
 
 @dataclass
@@ -56,7 +57,8 @@ def _vectors(scores: DataFrame, k: int) -> DataFrame:
 def fit_labels(prep: Prepared, k: int = DEFAULT_K, seed: int = SEED):
     """M4: final fit; (model, ids + pcs + cluster)."""
     vec = _vectors(prep.scores, prep.pca.n_components)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
+    model = KMeans(k=k, seed=seed, maxIter=MAX_ITER, featuresCol="features",
+                   predictionCol="cluster").fit(vec)
     labelled = model.transform(vec).drop("features").withColumn("cluster", F.col("cluster").cast("long"))
     return model, labelled
 
