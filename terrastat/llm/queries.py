@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastat.llm import decontaminate, langid, tokens
+from terrastat.llm import (chat, decontaminate, langid, mixing, secrets, sharding, tokens, topk,
+                           urlfilter)
 from terrastat.session import scratch_path
 from terrastat.sources.tables import read_table
 
@@ -32,9 +33,42 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_language_id, op4_decontaminate)}
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 24)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: a page whose id is labelled is bad if toxic or of quality 0."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0))
+        .alias("bad"))
+    judged = pages.join(labels, F.col("page_id") == F.col("doc_id"), "left")
+    return urlfilter.filter_urls(judged, bad=F.col("bad"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_orc, op2_language_id, op3_chat_format, op4_decontaminate, op5_kd_shards,
+    op7_secret_scan, op8_url_filter, op9_mix_sources, op10_top_k)}
