@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastat.llm import (chat, decontaminate, langid, mixing, secrets, sharding, tokens, topk,
-                           urlfilter)
+from terrastat.llm import (chat, decontaminate, jaccard, langid, mixing, secrets, sharding, tokens,
+                           topk, urlfilter)
 from terrastat.session import scratch_path
 from terrastat.sources.tables import read_table
 
@@ -46,6 +46,10 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 24)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
 
@@ -71,4 +75,4 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_orc, op2_language_id, op3_chat_format, op4_decontaminate, op5_kd_shards,
-    op7_secret_scan, op8_url_filter, op9_mix_sources, op10_top_k)}
+    op6_jaccard_join, op7_secret_scan, op8_url_filter, op9_mix_sources, op10_top_k)}
