@@ -1,33 +1,60 @@
-"""The corpus pipeline: each stage reads what its predecessor wrote."""
+"""The corpus pipeline: each stage reads what its predecessor wrote.
+
+A stage takes ``(spark, docs, sf_dir)`` and returns the columns of documents;
+the last returns the shards.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastat.llm import decontaminate, langid
+from terrastat.llm import decontaminate, jaccard, langid, mixing, sharding
 from terrastat.llm.common import staged
 from terrastat.sources.tables import read_table
 
+N_SHARDS = 24
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; the models learn from ``docs``."""
     return langid.recognised(docs, langid.learn(docs.where(~langid.held_out())))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one of smallest id."""
+    return jaccard.representatives(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mix."""
+    return sharding.shard_documents(docs, N_SHARDS)
+
+
 STAGES = [
     ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", shards),
 ]
 
+# Cross-parsing, signature trees and k-d cuts are not SQL; tests/llm holds the
+# stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each but the last written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -191,3 +191,20 @@ def taken(docs: DataFrame, **cols) -> DataFrame:
             .select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"),
                     "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
                     "source", "h"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, each as often as the mix
+    takes it: its words taken over its size, rounded. Rows equal in id and text
+    share their copies evenly; a wordless row takes no words and goes."""
+    share = (taken(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+             .where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies"))
+             .where("__copies > 0"))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    return (docs.withColumn("__key", key)
+            .join(share, F.col(id_col).eqNullSafe(F.col("__id"))
+                  & (F.col("__key") == F.col("__h")))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+            .select(*docs.columns))

@@ -61,7 +61,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0))
         .alias("bad"))
     judged = pages.join(labels, F.col("page_id") == F.col("doc_id"), "left")
-    return urlfilter.filter_urls(judged, bad=F.col("bad"))
+    return urlfilter.filter_urls(judged, bad=F.col("bad")).select(
+        "page_id", "host", "path", "rule", "verdict")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

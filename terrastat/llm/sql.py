@@ -1,3 +1,146 @@
-"""DuckDB SQL for the pipeline operators' queries that SQL can express."""
+"""DuckDB SQL for the pipeline operators' queries that SQL can express. The
+others (tokens in ORC, language ID, decontamination digests, k-d shards, secret
+spans) are held against brute-force versions in tests/llm."""
 
-ORACLE_SQL: dict[str, str] = {}
+from terrastat.llm import urlfilter
+
+# Maximal conversations by comparing whole turn lists.
+CHAT = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         role IS NULL AS no_role, text IS NULL AS no_text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                            role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations),
+p AS (
+  SELECT conv_id, pos, role, text,
+         string_agg(md5(concat_ws('|', role, no_role, no_text, md5(text))), ',' ORDER BY pos)
+           OVER (PARTITION BY conv_id ORDER BY pos) AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t),
+ends AS (
+  SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS n_copies
+  FROM p WHERE pos = n GROUP BY prefix, n),
+kept AS (
+  SELECT * FROM ends e
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = e.n AND p.prefix = e.prefix))
+SELECT k.conv_id, (p.pos - 1) // 1024 AS segment, k.n AS n_turns, k.n_copies,
+       string_agg('<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10), ''
+                  ORDER BY p.pos) AS text
+FROM kept k JOIN p ON p.conv_id IS NOT DISTINCT FROM k.conv_id
+GROUP BY ALL
+"""
+
+# All pairs that share a shingle, then the least id by repeated propagation.
+JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS l
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i
+        FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id
+GROUP BY r.doc_id
+"""
+
+_fit = "(h = '{h}' OR ends_with(h, '.{h}')) AND starts_with(p, '{p}')"
+_ranked = sorted(urlfilter.RULES, key=lambda r: (-len(r[0] + r[1]), r[0]))
+_rule = "CASE " + " ".join(
+    f"WHEN {_fit.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in _ranked) + " END"
+_said = "CASE " + " ".join(
+    f"WHEN {_fit.format(h=h, p=p)} THEN '{v}'" for h, p, v in _ranked) + " END"
+_lo, _hi = urlfilter.STRENGTH
+_two = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
+_three = "array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')"
+_last = "string_split(host, '.')[-1]"
+_listed = f"{_two} IN (" + ", ".join(f"'{x}'" for x in urlfilter.SUFFIXES) + ")"
+
+
+def _strength(level: str) -> str:
+    """The prior strength of a level by moments, as one value."""
+    return f"""(SELECT CASE WHEN m * (1 - m) > 0 AND free > 0 AND between_ > 0 THEN
+      least(greatest(m * (1 - m) / between_ - 1, {_lo}), {_hi}) ELSE {_hi} END
+    FROM (SELECT m, free, ((q - n * m * m) - (k - 1) * m * (1 - m)) / nullif(free, 0) AS between_
+      FROM (SELECT sum(bad) / sum(n) AS m, sum(n) AS n, count(*) AS k,
+                   sum(n * (bad / n) * (bad / n)) AS q,
+                   sum(n) - sum(n * n) / sum(n) AS free
+            FROM {level} WHERE n > 0)))"""
+
+
+URLS = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                       THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+v AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS h,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS p
+  FROM u),
+l AS (
+  SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0
+                          THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS bad
+  FROM labels GROUP BY doc_id),
+hosts AS (
+  SELECT h AS host, count(l.bad)::DOUBLE AS n, coalesce(sum(l.bad), 0)::DOUBLE AS bad
+  FROM v LEFT JOIN l ON l.doc_id = v.page_id GROUP BY h),
+named AS (
+  SELECT *, CASE WHEN {_listed} THEN {_three} ELSE {_two} END AS domain,
+         CASE WHEN {_listed} THEN {_two} ELSE {_last} END AS suffix
+  FROM hosts),
+doms AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+sufs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+every AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS m FROM named),
+x AS (SELECT suffix, (bad + {_strength('sufs')} * (SELECT m FROM every))
+             / (n + {_strength('sufs')}) AS mean FROM sufs),
+d AS (SELECT domain, (bad + {_strength('doms')} * x.mean) / (n + {_strength('doms')}) AS mean
+      FROM doms JOIN x USING (suffix)),
+r AS (SELECT host, n + {_strength('named')} AS total,
+             (bad + {_strength('named')} * d.mean) / (n + {_strength('named')}) AS mean
+      FROM named JOIN d USING (domain))
+SELECT page_id, h AS host, p AS path, {_rule} AS rule,
+       coalesce({_said}, CASE WHEN greatest(0, mean - {urlfilter.Z}
+                * sqrt(mean * (1 - mean) / (total + 1))) >= {urlfilter.MAX_BAD}
+                THEN 'block' ELSE 'allow' END) AS verdict
+FROM v JOIN r ON r.host = v.h
+"""
+
+TOP_K = f"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))
+         AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) AND q.vec_id % 50 = 0),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+            AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": CHAT,
+    "op6_jaccard_join": JACCARD,
+    "op8_url_filter": URLS,
+    "op10_top_k": TOP_K,
+}

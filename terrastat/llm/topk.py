@@ -15,7 +15,8 @@ Defined cases: vectors that are null or hold a null or non-finite component take
 no part, nor do null ids; a query meets the vectors of its own length only; rows
 with the query's own id are no candidates; rows that repeat an id are separate
 candidates, and a repeated query id is answered once, by its least vector; empty
-input gives no rows; other columns are ignored.
+input gives no rows; scores beyond 62 bits raise an OverflowError; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -148,6 +149,9 @@ def _answer(vectors: DataFrame, held: list, most: int, k: int) -> DataFrame:
     """Scores that can be among the ``k`` best of a block of queries."""
     ids = np.array([r.qid for r in held], np.int64)
     vecs = np.array([r.v for r in held], np.int64).reshape(len(held), -1)
+    widest = max(sum(map(abs, r.v)) for r in held) * most + 1
+    if widest >= 2 ** 62:
+        raise OverflowError("scores exceed 64 bits")
     reach = np.abs(vecs).sum(axis=1) * most + 1
     floor = _kth(vectors, ids, vecs, reach, k)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, vecs, floor))
