@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrastat.session import scratch_path
+
 
 def scalars(df: DataFrame, **aggs: Column) -> Column:
     """Global aggregates of ``df`` as one struct-valued scalar subquery.
@@ -21,14 +23,10 @@ def scalars(df: DataFrame, **aggs: Column) -> Column:
     return df.select(F.struct(*[c.alias(k) for k, c in aggs.items()]).alias("s")).scalar()
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable, survives
-    executor loss) and cut its lineage."""
-    from terrastat.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
-def one_row(df: DataFrame, **cols: Column) -> DataFrame:
-    """A one-row result frame built by a global ``agg`` over ``df``."""
-    return df.agg(*[c.alias(k) for k, c in cols.items()])
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as Parquet under the shared checkpoint folder (it
+    survives executor loss) and cut its lineage; later reads prune columns and
+    know the size. For frames that are read at least twice."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

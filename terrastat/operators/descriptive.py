@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from terrastat.functions.records import rate_per_100k
 from terrastat.functions.stats import corrected_kurtosis, corrected_skew
 from terrastat.operators.common import checkpointed, scalars
-from terrastat.operators.scan import DEFAULT_ROWS_PER_RANGE, global_prefix, rank_quantiles
+from terrastat.operators.scan import DEFAULT_ROWS_PER_RANGE, column_quantiles, global_prefix
 
 STAT_COLUMNS = ("total", "rate_100k", "population")
-# above this many rows the quartiles come from distributed ranks, not from one
-# aggregation buffer holding every distinct value
-EXACT_BUFFER_MAX_ROWS = 5_000_000
 QUARTILES = (0.25, 0.5, 0.75)
 HIST_BINS = 50
 TOP_N = 10
@@ -31,48 +28,22 @@ def muni_rollup(inc: DataFrame) -> DataFrame:
             .withColumn("rate_100k", rate_per_100k("total", "population")))
 
 
-def _quantile_method(df: DataFrame, method: str) -> str:
-    if method != "auto":
-        return method
-    return "rank" if df.count() > EXACT_BUFFER_MAX_ROWS else "exact"
-
-
-def _quartiles(df: DataFrame, col: str, method: str, key: str = "muni_key"):
-    """array<double> of Q1, median, Q3 as an aggregate (exact/approx) or a
-    scalar subquery (rank)."""
-    x = F.col(col).cast("double")
-    if method == "approx":
-        return F.percentile_approx(x, list(QUARTILES), 100000).cast("array<double>")
-    if method == "rank":
-        return rank_quantiles(df, col, list(QUARTILES), key)
-    return F.percentile(x, F.array(*[F.lit(q) for q in QUARTILES]))
-
-
-def descriptive_stats(rollup: DataFrame, columns=STAT_COLUMNS, method: str = "auto",
-                      key: str = "muni_key") -> DataFrame:
+def descriptive_stats(rollup: DataFrame, columns=STAT_COLUMNS, key: str = "muni_key") -> DataFrame:
     """A3: mean, median, sample std, min, max, Q1, Q3, bias-corrected skew and
     excess kurtosis for each column, as one row per column.
 
-    One global aggregate computes the moments (partial aggregation per task).
-    Quartiles interpolate linearly. ``method``: ``exact`` (Spark
-    ``percentile``: one buffer of distinct values), ``rank`` (exact, from
-    distributed ranks, for any size), ``approx`` (``percentile_approx``), or
-    ``auto`` (rank above EXACT_BUFFER_MAX_ROWS rows, else exact).
+    One global aggregate computes the moments (partial aggregation per task);
+    the quartiles interpolate linearly between distributed ranks.
     """
-    if method in ("auto", "rank"):
-        rollup = checkpointed(rollup)
-    m = _quantile_method(rollup, method)
+    rollup = checkpointed(rollup)
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
                  corrected_skew(x).alias(f"{c}__skew"), corrected_kurtosis(x).alias(f"{c}__kurt")]
-        if m != "rank":
-            aggs.append(_quartiles(rollup, c, m, key).alias(f"{c}__q"))
-    one = rollup.agg(*aggs)
-    if m == "rank":
-        one = one.select("*", *[_quartiles(rollup, c, m, key).alias(f"{c}__q") for c in columns])
+    quartiles = column_quantiles(rollup, list(columns), list(QUARTILES), key)
+    one = rollup.agg(*aggs).select("*", *[q.alias(f"{c}__q") for c, q in quartiles.items()])
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__mean").alias("mean"),
                      F.col(f"{c}__q")[1].alias("median"), F.col(f"{c}__std").alias("std"),
                      F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"),
@@ -118,15 +89,15 @@ def rate_histogram(rollup: DataFrame, value: str = "rate_100k", bins: int = HIST
                     (mn + F.col("bin") * width).alias("bin_hi"), "n")
 
 
+def _with_quartiles(rollup: DataFrame, value: str, key: str) -> DataFrame:
+    rollup = checkpointed(rollup)
+    return rollup.withColumn("_q", column_quantiles(rollup, [value], list(QUARTILES), key)[value])
+
+
 def rate_box(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER,
-             method: str = "auto", key: str = "muni_key") -> DataFrame:
+             key: str = "muni_key") -> DataFrame:
     """A5: quartiles, 1.5·IQR fences, whiskers and the outlier count."""
-    if method in ("auto", "rank"):
-        rollup = checkpointed(rollup)
-    m = _quantile_method(rollup, method)
-    q = _quartiles(rollup, value, m, key)
-    qcol = q if m == "rank" else scalars(rollup, q=q)["q"]
-    src = rollup.withColumn("_q", qcol)
+    src = _with_quartiles(rollup, value, key)
     q = F.col("_q")
     q1, med, q3 = q[0], q[1], q[2]
     lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
@@ -140,14 +111,9 @@ def rate_box(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER
 
 
 def rate_outliers(rollup: DataFrame, value: str = "rate_100k", k: float = BOX_WHISKER,
-                  method: str = "auto", key: str = "muni_key") -> DataFrame:
+                  key: str = "muni_key") -> DataFrame:
     """A5 outlier rows: beyond the fences."""
-    if method in ("auto", "rank"):
-        rollup = checkpointed(rollup)
-    m = _quantile_method(rollup, method)
-    q = _quartiles(rollup, value, m, key)
-    qcol = q if m == "rank" else scalars(rollup, q=q)["q"]
-    src = rollup.withColumn("_q", qcol)
+    src = _with_quartiles(rollup, value, key)
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
     return src.where((F.col(value) < lo) | (F.col(value) > hi)).drop("_q")
@@ -202,6 +168,8 @@ def gini(rollup: DataFrame, rows_per_range: int = DEFAULT_ROWS_PER_RANGE) -> Dat
     _, ranked = _ranked_ascending(rollup, rows_per_range)
     n = F.count(F.lit(1)).cast("double")
     s = F.sum("total").cast("double")
-    return ranked.agg(F.when(s != 0, 2.0 * F.sum(F.col("rank") * F.col("total")) / (n * s)
+    # whole decimals: rank times total outgrows 64 bits long before the sum does
+    weighted = F.sum(F.col("rank").cast("decimal(38,0)") * F.col("total").cast("decimal(38,0)"))
+    return ranked.agg(F.when(s != 0, 2.0 * weighted.cast("double") / (n * s)
                              - (n + 1) / n).alias("gini"),
                       F.count(F.lit(1)).cast("bigint").alias("municipalities"))

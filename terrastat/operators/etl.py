@@ -118,19 +118,31 @@ def annual_total(cols=MONTH_COLS):
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in cols])
 
 
-def clean_population(pop: DataFrame) -> DataFrame:
-    """Accents stripped; year, state key, sex and partial populations
-    dropped, leaving one total per municipality (partial aggregation before
-    the shuffle, so a municipality with many rows is not a hot spot)."""
+# Fixed value: the census year of the reference's population table.
+POPULATION_YEAR = 2015
+# Spellings of the row that already sums both sexes.
+TOTAL_SEX = ("total", "ambos sexos")
+
+
+def clean_population(pop: DataFrame, year: int = POPULATION_YEAR) -> DataFrame:
+    """Accents stripped; one year (when there is a year column), partial
+    populations only (rows that already sum both sexes are left out), summed to
+    one population per municipality (partial aggregation before the shuffle, so
+    a municipality with many rows is not a hot spot)."""
+    if "year" in pop.columns:
+        pop = pop.where(F.col("year") == year)
+    if "sex" in pop.columns:
+        pop = pop.where(~F.coalesce(F.lower(strip_accents("sex")).isin(*TOTAL_SEX), F.lit(False)))
     return (pop.groupBy("muni_key")
             .agg(F.min(strip_accents("muni")).alias("muni"),
                  F.sum("population").cast("bigint").alias("population")))
 
 
 def merge_population(inc: DataFrame, pop: DataFrame) -> DataFrame:
-    """E11 + E12: left join of one population per key (unique by E10's
-    group-by), unmatched keeps a null population; rate per 100k."""
-    j = inc.join(pop.select("muni_key", "population"), "muni_key", "left")
+    """E11 + E12: left join of one population per key (the largest where a key
+    is listed twice), unmatched keeps a null population; rate per 100k."""
+    one = pop.groupBy("muni_key").agg(F.max("population").alias("population"))
+    j = inc.join(one, "muni_key", "left")
     return j.withColumn("rate_100k", rate_per_100k("total", "population"))
 
 
@@ -144,7 +156,8 @@ def standardise(inc: DataFrame, catalogue: DataFrame, key: str = "state_key",
     trimmed = inc.select(*[F.trim(F.col(c)).alias(c) if c in str_cols else F.col(c)
                            for c in inc.columns]).fillna(0, subset=[c for c in MONTH_COLS
                                                                     if c in inc.columns])
-    cat = catalogue.select(F.col(cat_key).alias(key), F.trim(F.col(cat_name)).alias("_std"))
+    # one spelling a key, so that a code listed twice can't multiply rows
+    cat = catalogue.groupBy(F.col(cat_key).alias(key)).agg(F.min(F.trim(F.col(cat_name))).alias("_std"))
     j = trimmed.join(cat, key, "left")
     std = j.select(*[F.coalesce(F.col("_std"), F.col(name)).alias(name) if c == name else F.col(c)
                      for c in trimmed.columns])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.functions import records as R
 from terrastat.operators.common import checkpointed
+from terrastat.operators.scan import global_prefix
 
 # Filter sentinels and the empty-month text.
 ALL_STATES = "Todas"
@@ -18,39 +19,38 @@ SAMPLE_SIZE = 100000
 SAMPLE_SEED = 42
 CARDS = 50
 
-NATURAL_KEY = ["muni_key", "legal_good", "modality"]
+# what makes a record one of its kind: place, crime down to subtype, modality, year
+NATURAL_KEY = ["muni_key", "legal_good", "crime_type", "subtype", "modality", "year"]
 
 
-# above this many rows the sample avoids TakeOrdered's single final task
-TAKE_ORDERED_MAX_ROWS = 20_000_000
+def _key(df: DataFrame, key: list[str]) -> list[str]:
+    """The key columns that ``df`` has."""
+    return [k for k in key if k in df.columns]
+
+
+def sample_order(key: list[str], seed: int) -> Column:
+    """60 uniform bits from MD5 of the seed and the key values."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def sample_exact(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED,
-                 key: list[str] = NATURAL_KEY,
-                 take_ordered_max_rows: int = TAKE_ORDERED_MAX_ROWS) -> DataFrame:
+                 key: list[str] = NATURAL_KEY) -> DataFrame:
     """Q1: exactly ``n`` rows (the whole table when smaller), reproducible
     for a seed and independent of partitioning: the n smallest values of a
-    seeded 64-bit hash of the natural key (key breaks hash ties).
+    seeded hash of the natural key (the key breaks hash ties).
 
-    Moderate inputs use ``orderBy(hash).limit(n)`` (TakeOrdered: n rows per
-    task). Large inputs first keep rows whose (uniform) hash falls below a
-    cut with margin, widening the cut if too few survive, then rank the
-    survivors exactly with the range-partitioned ``global_prefix``. The
-    result is identical, and no task has to merge partitions × n rows.
+    Rows whose (uniform) hash falls below a cut with margin survive, the cut
+    being widened if too few do; the survivors are ranked exactly with the
+    range-partitioned ``global_prefix``, so no task sees partitions × n rows.
     """
-    from terrastat.operators.scan import global_prefix
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    key = _key(df, key)
+    keyed = df.withColumn("_h", sample_order(key, seed))
     total = df.count()
-    if total <= n:
-        return df
-    if total <= take_ordered_max_rows:
-        return df.orderBy(h, *key).limit(n)
-    keyed = df.withColumn("_h", h)
-    frac = min(1.0, 1.2 * n / total + 1000.0 / total)
+    frac = min(1.0, 1.2 * n / max(total, 1) + 1000.0 / max(total, 1))
     while True:
-        cut = int(-2 ** 63 + frac * 2 ** 64)
-        cand = keyed.where(F.col("_h") < F.lit(cut)) if frac < 1.0 else keyed
-        cand = checkpointed(cand)
+        cand = checkpointed(keyed.where(F.col("_h") < F.lit(int(frac * 2 ** 60))))
         if frac >= 1.0 or cand.count() >= n:
             break
         frac = min(1.0, frac * 2)
@@ -86,15 +86,17 @@ def filter_records(df: DataFrame, state: str = ALL_STATES, muni: str = ALL_OTHER
 def enrich(df: DataFrame, high: float = R.RISK_HIGH, medium: float = R.RISK_MEDIUM,
            mapping: dict | None = None, year: int = R.DEFAULT_YEAR,
            with_id: bool = True) -> DataFrame:
-    """One select deriving every record attribute."""
+    """One select deriving every record attribute.
+    A record keeps its own year; ``year`` fills in where there is no column."""
     cls = R.crime_class("legal_good", mapping)
     weight = R.class_weight(cls)
     peak = R.peak_month()
     cols = []
     if with_id:
-        cols.append(F.xxhash64(*[F.col(k) for k in NATURAL_KEY]).alias("record_id"))
-    cols += [F.lit(year).alias("year"), "state", "muni_key", "muni", "legal_good", "subtype",
-             "modality", "total", "population", "rate_100k",
+        cols.append(F.xxhash64(*[F.col(k) for k in _key(df, NATURAL_KEY)]).alias("record_id"))
+    own_year = F.col("year") if "year" in df.columns else F.lit(year)
+    cols += [own_year.alias("year"), "state", "muni_key", "muni", "legal_good", "crime_type",
+             "subtype", "modality", "total", "population", "rate_100k",
              R.settlement_class("population").alias("settlement"),
              cls.alias("crime_class"), weight.alias("weight"),
              R.urgency_index(F.col("rate_100k"), weight).alias("urgency"),
@@ -134,8 +136,8 @@ def record_cards(enriched: DataFrame, n: int = CARDS) -> DataFrame:
     its own population (the reference used the first row's for all)."""
     title = F.concat_ws("", F.col("muni"), F.lit(" | "), F.col("subtype"), F.lit(" ("),
                         F.col("modality"), F.lit(")"))
-    return (enriched.orderBy(*NATURAL_KEY).limit(n)
-            .select(title.alias("title"), "muni_key", "legal_good", "modality", "subtype",
+    return (enriched.orderBy(*_key(enriched, NATURAL_KEY)).limit(n)
+            .select(title.alias("title"), "muni_key", "legal_good", "modality", "subtype", "year",
                     F.col("weight").alias("priority"), "urgency", "settlement", "rate_100k",
                     "risk", "peak_month_name", "peak_cases", "trend", "pattern"))
 
@@ -165,14 +167,13 @@ def top_by_volume(df: DataFrame, key: str, out: str) -> DataFrame:
 def month_overflow(long: DataFrame, keys: list[str] = NATURAL_KEY, limit: int = 12) -> DataFrame:
     """R5 guard for long monthly input: records carrying more than ``limit``
     monthly counts (one partially aggregated group-by)."""
-    return (long.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_counts"))
+    return (long.groupBy(*_key(long, keys)).agg(F.count(F.lit(1)).cast("bigint").alias("n_counts"))
             .where(F.col("n_counts") > limit))
 
 
-def state_summary(muni: DataFrame) -> DataFrame:
-    """R13 as a bounded per-state summary of its municipalities (count, first
-    and last name); the nested list per state would put an unbounded group
-    into one row."""
-    return muni.groupBy("state_key", "state").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_munis"),
-        F.min("muni").alias("first_muni"), F.max("muni").alias("last_muni"))
+def state_municipalities(muni: DataFrame) -> DataFrame:
+    """Each state's distinct municipalities in name order, one row each
+    with its place in the state."""
+    order = Window.partitionBy("state_key", "state").orderBy("muni", "muni_key")
+    return (muni.select("state_key", "state", "muni_key", "muni").distinct()
+            .withColumn("position", F.row_number().over(order)))

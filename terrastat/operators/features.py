@@ -3,9 +3,8 @@
 The mart is wide (one column per crime subtype). Rates and scaling are one
 ``select`` each with d expressions; global means/stds are one aggregate used
 as a scalar subquery. PCA is Spark ML's distributed covariance with the d×d
-eigen step on the driver (bounded by d, not by rows); the projection is then
-applied as plain column arithmetic so the scores stay inside codegen (or, for
-wide marts, through the fitted model's JVM vector transform).
+eigen step on the driver (bounded by d, not by rows); the projection is the
+fitted model's JVM vector transform.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +27,6 @@ OPTIONAL_ID = "state"
 EXCLUDED_AGGREGATES = ["Tasa_Global_100k", "Total_Delitos_Absoluto", "Robos_Totales", "Total"]
 MIN_POPULATION = 5000  # inclusive
 PCA_VARIANCE = 0.90
-# above this many multiply-adds the projection uses the fitted model's vector
-# transform instead of one column expression per component
-INLINE_PROJECTION_MAX_TERMS = 4096
 Z_EPS = 1e-9
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -75,10 +72,6 @@ def standardise(rates: DataFrame, ids: list[str], features: list[str]) -> DataFr
     return src.select(*ids, *cols)
 
 
-# above this many features, per-feature statistics are computed in long form
-LONG_FORM_FEATURES = 256
-
-
 def feature_long(rates: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, position, v): one row per row and feature (an explode; the
     group-bys that follow combine map-side)."""
@@ -87,19 +80,11 @@ def feature_long(rates: DataFrame, keys: list[str], features: list[str]) -> Data
     return rates.select(*keys, F.explode(cells).alias("_e")).select(*keys, "_e.position", "_e.v")
 
 
-def _long_form(features: list[str], long_form: int | None) -> bool:
-    limit = LONG_FORM_FEATURES if long_form is None else long_form
-    return len(features) > limit
-
-
-def zscore_stats(rates: DataFrame, features: list[str], long_form: int | None = None):
+def zscore_stats(rates: DataFrame, features: list[str]):
     """Global mean and *sample* std per feature, as a scalar struct to attach
     once as a column (the naming z-scores of M6/D6 use ddof 1, unlike the
-    scaler). With many features the statistics come from one group-by on
-    (feature) over the long form, then d small rows are folded back."""
-    if not _long_form(features, long_form):
-        return scalars(rates, **{f"m{i}": F.avg(f) for i, f in enumerate(features)},
-                       **{f"s{i}": F.stddev_samp(f) for i, f in enumerate(features)})
+    scaler). One group-by on (feature) over the long form, then d small rows
+    are folded back."""
     per = feature_long(rates, [], features).groupBy("position").agg(
         F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
     pos = F.col("position")
@@ -117,8 +102,7 @@ class PcaResult:
 
 
 def pca_scores(scaled: DataFrame, ids: list[str], features: list[str],
-               variance: float = PCA_VARIANCE, min_components: int = 1,
-               inline_max_terms: int = INLINE_PROJECTION_MAX_TERMS) -> PcaResult:
+               variance: float = PCA_VARIANCE, min_components: int = 1) -> PcaResult:
     """fewest components whose cumulative explained variance exceeds
     ``variance``; the sign of each component is fixed so that its
     largest-magnitude loading is positive."""
@@ -133,25 +117,12 @@ def pca_scores(scaled: DataFrame, ids: list[str], features: list[str],
     for j in range(k):
         if pc[np.argmax(np.abs(pc[:, j])), j] < 0:
             pc[:, j] = -pc[:, j]
-    if d * k <= inline_max_terms:
-        # small: plain column arithmetic, inside whole-stage codegen
-        comps = []
-        for j in range(k):
-            expr = None
-            for i, f in enumerate(features):
-                t = F.col(f) * float(pc[i, j])
-                expr = t if expr is None else expr + t
-            comps.append(expr.alias(f"pc{j + 1}"))
-        scores = scaled.select(*ids, *comps)
-    else:
-        # wide: the fitted model projects on the JVM; keep the first k
-        # components and apply the sign fix
-        from pyspark.ml.functions import vector_to_array
-        signs = [1.0 if np.allclose(pc[:, j], model.pc.toArray()[:, j]) else -1.0 for j in range(k)]
-        projected = model.transform(VectorAssembler(inputCols=features, outputCol="_v")
-                                    .transform(scaled)).select(*ids, vector_to_array("_p").alias("_a"))
-        scores = projected.select(*ids, *[(F.col("_a")[j] * signs[j]).alias(f"pc{j + 1}")
-                                          for j in range(k)])
+    # the fitted model projects on the JVM; keep the first k components and
+    # apply the sign fix
+    signs = [1.0 if np.allclose(pc[:, j], model.pc.toArray()[:, j]) else -1.0 for j in range(k)]
+    projected = model.transform(vec).select(*ids, vector_to_array("_p").alias("_a"))
+    scores = projected.select(*ids, *[(F.col("_a")[j] * signs[j]).alias(f"pc{j + 1}")
+                                      for j in range(k)])
     return PcaResult(scores, k, float(sum(ratios[:k]) * 100.0), ratios, pc)
 
 

@@ -1,7 +1,7 @@
 """Cluster profiling shared by K-Means (M5-M12) and DBSCAN.
 
-Per-cluster means are one wide ``groupBy(label).agg(avg ...)`` with partial
-aggregation (K rows out); only that K-row table is reshaped to long form.
+Per-cluster means are one group-by on (label, feature) over the long form with
+partial aggregation (K × d rows out), folded back to a K-row table.
 Arg-max over features is a ``greatest`` of (z, -position, name) structs: a
 row-wise expression, no shuffle.
 """
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.functions.text import feature_label, round_half_even_str
-from terrastat.operators import features as FE
 from terrastat.operators.features import Z_EPS, feature_long, zscore_stats
 
 # Cluster-name texts, noise label, DBSCAN type texts.
@@ -28,8 +27,9 @@ OUTLIER_LIST = 15
 
 def _argmax(values: list[Column], names: list[str]) -> Column:
     """struct(z, pos, feature) of the largest value, first position on ties."""
-    return F.greatest(*[F.struct(v.alias("z"), F.lit(-i).alias("neg_pos"), F.lit(n).alias("feature"))
-                        for i, (v, n) in enumerate(zip(values, names))])
+    cells = [F.struct(v.alias("z"), F.lit(-i).alias("neg_pos"), F.lit(n).alias("feature"))
+             for i, (v, n) in enumerate(zip(values, names))]
+    return F.greatest(*cells) if len(cells) > 1 else cells[0]
 
 
 def _long(wide: DataFrame, keys: list[str], features: list[str], value: str) -> DataFrame:
@@ -39,17 +39,11 @@ def _long(wide: DataFrame, keys: list[str], features: list[str], value: str) ->
     return wide.select(*keys, F.explode(arr).alias("_e")).select(*keys, "_e.*")
 
 
-def cluster_means(rates: DataFrame, label: str, features: list[str],
-                  long_form: int | None = None) -> DataFrame:
-    """K rows: members, mean population and the mean of every feature.
-    With many features the means come from one group-by on (label, feature)
-    over the long form (one aggregate over the big input instead of d), and
-    only the K×d result is folded back to one column per feature."""
-    if not FE._long_form(features, long_form):
-        return rates.groupBy(label).agg(
-            F.count(F.lit(1)).cast("bigint").alias("members"),
-            F.avg("population").alias("mean_population"),
-            *[F.avg(f).alias(f) for f in features])
+def cluster_means(rates: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """K rows: members, mean population and the mean of every feature. The
+    means come from one group-by on (label, feature) over the long form (one
+    aggregate over the big input instead of d), and only the K×d result is
+    folded back to one column per feature."""
     sizes = rates.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("members"),
                                      F.avg("population").alias("mean_population"))
     means = feature_long(rates, [label], features).groupBy(label, "position").agg(F.avg("v").alias("m"))

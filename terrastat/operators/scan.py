@@ -8,7 +8,8 @@ ranges by the tie-break. Each range gets its offset (sum and count of all
 earlier ranges, a B-row frame broadcast back), and a ROWS window partitioned
 by range finishes the job. The bucket is a deterministic expression over
 literals, so a recomputed task after executor loss lands rows in the same
-range.
+range. The same path runs at every size: at least ``MIN_RANGES`` ranges, and at
+most ``MAX_RANGES``, which bounds the sample and the offsets on the driver.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from terrastat.operators.common import checkpointed
 
-# One range holds at most this many rows, so even the single-range case
-# (small inputs) is a bounded task.
+# Rows aimed at for one range.
 DEFAULT_ROWS_PER_RANGE = 1_000_000
+MIN_RANGES, MAX_RANGES = 8, 4096
 SAMPLE_PER_RANGE = 64
 
 
@@ -91,19 +92,11 @@ def global_prefix(df: DataFrame, order: list[tuple[str, bool]], value: str | Non
     """
     src = checkpointed(df) if materialize else df
     n = src.count()
-    ranges = max(1, math.ceil(n / max(1, rows_per_range)))
-    bounds = _sample_bounds(src, order, n, ranges, seed) if ranges > 1 else []
-    keyed = src.withColumn("_rng", _bucket_expr(order, bounds) if bounds else F.lit(0))
+    ranges = min(MAX_RANGES, max(MIN_RANGES, math.ceil(n / max(1, rows_per_range))))
+    keyed = src.withColumn("_rng", _bucket_expr(order, _sample_bounds(src, order, n, ranges, seed)))
     w = Window.partitionBy("_rng").orderBy(*[_sort_col(c, a) for c, a in order])
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = [F.col(c) for c in df.columns]
-    if not bounds:
-        # one range (at most rows_per_range rows): no offsets to add
-        out.append(F.row_number().over(w).cast("bigint").alias(rank_col))
-        if value is not None:
-            out.append(F.sum(F.col(value)).over(running).alias(cum_col))
-        return keyed.select(*out)
-
     aggs = [F.count(F.lit(1)).alias("_rn")]
     if value is not None:
         aggs.append(F.sum(F.col(value)).alias("_rs"))
@@ -124,30 +117,46 @@ def global_prefix(df: DataFrame, order: list[tuple[str, bool]], value: str | Non
 
 def rank_quantiles(df: DataFrame, value: str, qs: list[float], key: str,
                    rows_per_range: int = DEFAULT_ROWS_PER_RANGE) -> Column:
+    """Exact quantiles of one column, see ``column_quantiles``; a scalar
+    subquery Column holding ``array<double>`` (null when no row)."""
+    return column_quantiles(df, [value], qs, key, rows_per_range)[value]
+
+
+def column_quantiles(df: DataFrame, columns: list[str], qs: list[float], key: str,
+                     rows_per_range: int = DEFAULT_ROWS_PER_RANGE) -> dict[str, Column]:
     """Exact linear-interpolation quantiles (pandas / ``percentile``
-    semantics) for inputs too large for one aggregation buffer.
+    semantics) of several columns by ranks.
 
-    Rows are ranked in (value, key) order by ``global_prefix``; quantile q
-    sits at h = (n - 1)·q and interpolates between ranks floor(h) + 1 and
-    ceil(h) + 1, so only 2·len(qs) rows are read back. Returns a scalar
-    subquery Column holding ``array<double>`` (null when no row).
+    The columns' non-null values are stacked and ranked in (column, value,
+    key) order by one ``global_prefix``; quantile q of a column of n values
+    sits at h = (n - 1)·q and interpolates between its ranks floor(h) + 1 and
+    ceil(h) + 1, so only 2·len(qs) rows a column are read back.
     """
-    src = checkpointed(df.select(key, F.col(value).cast("double").alias("_x"))
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x"))
+                      for i, c in enumerate(columns)])
+    # the key only splits a value that many rows share; any number will do
+    tie = F.col(key) if key in df.columns else F.monotonically_increasing_id()
+    src = checkpointed(df.select(tie.alias("_k"), F.explode(cells).alias("_e"))
+                       .select("_k", F.col("_e.c").alias("_c"), F.col("_e.x").alias("_x"))
                        .where(F.col("_x").isNotNull()))
-    n = src.count()
-    if n == 0:
-        return F.lit(None).cast("array<double>")
-    ranked = global_prefix(src, [("_x", True), (key, True)], None, rank_col="_rk",
+    counts = {r["_c"]: r["n"] for r in src.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranked = global_prefix(src, [("_c", True), ("_x", True), ("_k", True)], None, rank_col="_rk",
                            rows_per_range=rows_per_range, materialize=False)
-    picks = []
-    needed = set()
-    for q in qs:
-        h = (n - 1) * float(q)
-        lo, hi = math.floor(h) + 1, math.ceil(h) + 1
-        needed.update((lo, hi))
-        picks.append((lo, hi, h - math.floor(h)))
-    chosen = ranked.where(F.col("_rk").isin(*sorted(needed)))
-    vals = [F.max(F.when(F.col("_rk") == lo, F.col("_x"))) * (1.0 - frac)
-            + F.max(F.when(F.col("_rk") == hi, F.col("_x"))) * frac
-            for lo, hi, frac in picks]
-    return chosen.select(F.array(*vals).alias("q")).scalar()
+    picks, needed, before = {}, set(), 0
+    for i, c in enumerate(columns):
+        n = counts.get(i, 0)
+        picks[c] = [] if n else None
+        for q in qs if n else []:
+            h = (n - 1) * float(q)
+            lo, hi = before + math.floor(h) + 1, before + math.ceil(h) + 1
+            needed.update((lo, hi))
+            picks[c].append((lo, hi, h - math.floor(h)))
+        before += n
+    chosen = checkpointed(ranked.where(F.col("_rk").isin(*sorted(needed))).select("_rk", "_x"))
+    out = {}
+    for c, p in picks.items():
+        vals = [F.max(F.when(F.col("_rk") == lo, F.col("_x"))) * (1.0 - frac)
+                + F.max(F.when(F.col("_rk") == hi, F.col("_x"))) * frac for lo, hi, frac in p or []]
+        out[c] = (chosen.select(F.array(*vals).alias("q")).scalar() if p
+                  else F.lit(None).cast("array<double>"))
+    return out

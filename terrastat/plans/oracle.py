@@ -29,16 +29,16 @@ MUNI = """muni AS (
 
 INC = f"""inc AS (
   SELECT CAST(l_suppkey AS BIGINT) AS muni_key, p_type AS legal_good, l_linestatus AS modality,
-    {_month_sums},
+    CAST(year(l_shipdate) AS INTEGER) AS year, {_month_sums},
     CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total
   FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1999-01-01'
-  GROUP BY 1, 2, 3)"""
+  GROUP BY 1, 2, 3, 4)"""
 
 INCIDENCE = f"""incidence AS (
   SELECT m.state_key, m.state, i.muni_key, m.muni, i.legal_good, i.legal_good AS crime_type,
     i.legal_good AS subtype, i.modality, {', '.join('i.' + m for m in MONTHS)}, i.total, m.population,
-    CASE WHEN m.population > 0 THEN CAST(i.total AS DOUBLE) / m.population * 100000.0 ELSE 0.0 END AS rate_100k
+    CASE WHEN m.population > 0 THEN CAST(i.total AS DOUBLE) / m.population * 100000.0 ELSE 0.0 END AS rate_100k,
+    i.year
   FROM inc i LEFT JOIN muni m ON i.muni_key = m.muni_key)"""
 
 MART_LONG = """mart_long AS (
@@ -51,7 +51,7 @@ _pivot = ",\n    ".join(
 MART = f"""mart AS (
   SELECT m.muni_key, m.muni, m.state, m.population,
     {_pivot}
-  FROM muni m JOIN mart_long l ON m.muni_key = l.muni_key
+  FROM muni m LEFT JOIN mart_long l ON m.muni_key = l.muni_key
   GROUP BY m.muni_key, m.muni, m.state, m.population)"""
 
 _rates = ", ".join(
@@ -66,16 +66,23 @@ _unpivot = " UNION ALL ".join(
     for i, f in enumerate(FEATURES))
 RATES_LONG = f"rates_long AS ({_unpivot})"
 
-POP_LONG = """pop_long AS (
-  SELECT muni_key, 'Múnicipio ' || muni AS muni, state_key, 'Hombres' AS sex, 2015 AS year,
+POP_LONG = """pop_now AS (
+  SELECT muni_key, 'Múnicipio ' || muni AS muni, state_key, 'Hombres' AS sex,
     CAST(FLOOR(population / 2) AS BIGINT) AS population FROM muni
   UNION ALL
-  SELECT muni_key, 'Múnicipio ' || muni AS muni, state_key, 'Mujeres' AS sex, 2015 AS year,
-    population - CAST(FLOOR(population / 2) AS BIGINT) AS population FROM muni)"""
+  SELECT muni_key, 'Múnicipio ' || muni AS muni, state_key, 'Mujeres' AS sex,
+    population - CAST(FLOOR(population / 2) AS BIGINT) AS population FROM muni
+  UNION ALL
+  SELECT muni_key, 'Múnicipio ' || muni AS muni, state_key, 'Total' AS sex, population FROM muni),
+pop_long AS (
+  SELECT *, 2015 AS year FROM pop_now
+  UNION ALL
+  SELECT muni_key, muni, state_key, sex, CAST(FLOOR(population / 2) AS BIGINT) AS population, 2010 AS year
+  FROM pop_now)"""
 
 POP_CLEAN = """pop_clean AS (
   SELECT muni_key, MIN(strip_accents(muni)) AS muni, CAST(SUM(population) AS BIGINT) AS population
-  FROM pop_long GROUP BY muni_key)"""
+  FROM pop_long WHERE year = 2015 AND sex <> 'Total' GROUP BY muni_key)"""
 
 POINTS = """points AS (
   SELECT k, (n - mn) / sn AS x, (a - ma) / sa AS y
@@ -145,7 +152,7 @@ def w(*ctes: str) -> str:
 
 
 BASE = (MUNI, INC, INCIDENCE)
-KEYS = "muni_key, legal_good, modality"
+KEYS = "muni_key, legal_good, modality, year"
 R6 = "round({0}, 6) AS {1}"
 
 
@@ -172,7 +179,7 @@ _weight = ("CASE WHEN legal_good IN ('ECONOMY', 'LARGE') THEN 10 WHEN legal_good
            "WHEN legal_good = 'PROMO' THEN 6 WHEN legal_good = 'SMALL' THEN 9 ELSE 1 END")
 
 ENRICHED = f"""enriched AS (
-  SELECT 2015 AS year, state, muni_key, muni, legal_good, subtype, modality, total, population, rate_100k,
+  SELECT year, state, muni_key, muni, legal_good, subtype, modality, total, population, rate_100k,
     {SETTLE} AS settlement, {_class} AS crime_class, CAST({_weight} AS INTEGER) AS weight,
     rate_100k * {_weight} AS urgency, {_risk} AS risk,
     CAST({_peak} AS INTEGER) AS peak_month, {_month_names}[{_peak}] AS peak_month_name,
@@ -259,26 +266,29 @@ def _sql() -> dict[str, str]:
     q["etl_contract"] = b + f"SELECT {_contract_sel} FROM incidence"
     q["etl_round_trip"] = q["etl_contract"]
     q["profile_table"] = b + "SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(22 AS BIGINT) AS n_columns FROM incidence"
-    q["profile_head"] = b + f"SELECT {_contract_sel} FROM incidence ORDER BY muni_key, legal_good, modality LIMIT 3"
+    q["profile_head"] = b + f"SELECT {_contract_sel} FROM incidence ORDER BY muni_key, legal_good, modality, {', '.join(MONTHS)}, total LIMIT 3"
     q["etl_clean_names"] = w(MUNI, POP_LONG) + \
         "SELECT muni_key, strip_accents(muni) AS muni, state_key, sex, population FROM pop_long"
     q["etl_annual_total"] = w(INC) + \
         f"SELECT {KEYS}, CAST({' + '.join(f'COALESCE({m}, 0)' for m in MONTHS)} AS BIGINT) AS annual_total, total FROM inc"
     q["etl_population"] = w(MUNI, POP_LONG, POP_CLEAN) + "SELECT * FROM pop_clean"
     q["etl_merge_rate"] = w(MUNI, INC, POP_LONG, POP_CLEAN) + (
-        f"SELECT i.muni_key, i.legal_good, i.modality, i.total, p.population, "
+        f"SELECT i.muni_key, i.legal_good, i.modality, i.year, i.total, p.population, "
         f"round(CASE WHEN p.population > 0 THEN CAST(i.total AS DOUBLE) / p.population * 100000.0 ELSE 0.0 END, 6) "
         f"AS rate_100k FROM inc i LEFT JOIN pop_clean p ON i.muni_key = p.muni_key")
     q["etl_catalogue"] = b + (
-        f"SELECT i.state_key, COALESCE(trim(n.n_name), trim(i.state)) AS state, i.muni_key, trim(i.legal_good) AS legal_good, "
-        f"trim(i.modality) AS modality, COALESCE(i.m01, 0) AS m01, i.total "
-        f"FROM incidence i LEFT JOIN nation n ON i.state_key = n.n_nationkey")
+        f"SELECT i.state_key, COALESCE('Edo. ' || n.n_name, trim(i.state)) AS state, i.muni_key, trim(i.legal_good) AS legal_good, "
+        f"trim(i.modality) AS modality, i.year, COALESCE(i.m01, 0) AS m01, i.total "
+        f"FROM incidence i LEFT JOIN nation n ON i.state_key = n.n_nationkey AND n.n_nationkey % 5 <> 0")
     q["etl_catalogue_unmatched"] = b + (
-        f"SELECT i.state_key, i.muni_key, trim(i.legal_good) AS legal_good, trim(i.modality) AS modality "
-        f"FROM incidence i WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = i.state_key)")
+        f"SELECT i.state_key, i.muni_key, trim(i.legal_good) AS legal_good, trim(i.modality) AS modality, i.year "
+        f"FROM incidence i WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = i.state_key "
+        f"AND n.n_nationkey % 5 <> 0)")
     q["etl_partitioned_read"] = b + (
         f"SELECT state_key, state, {KEYS}, total, population FROM incidence WHERE state_key = 1")
     q["mart_pivot"] = w(MUNI, MART_LONG, MART) + "SELECT * FROM mart"
+    q["etl_mart_csv"] = q["mart_pivot"]
+    q["etl_latin1_read"] = w(MUNI, POP_LONG) + "SELECT muni_key, muni, year, sex, population FROM pop_long"
 
     q["settlement_class"] = w(MUNI) + f"SELECT muni_key, population, {SETTLE} AS settlement FROM muni"
     q["months_long"] = w(*BASE, MONTHS_LONG) + "SELECT * FROM months_long"
@@ -288,12 +298,9 @@ def _sql() -> dict[str, str]:
     q["month_names"] = w(*BASE, MONTHS_LONG) + (
         f"SELECT month, {_month_names}[month] AS month_name, CAST(SUM(cases) AS BIGINT) AS cases "
         f"FROM months_long GROUP BY 1, 2")
-    q["month_overflow"] = (
-        "WITH g AS (SELECT l_suppkey, p_type, l_linestatus, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey "
-        "WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1999-01-01' "
-        "GROUP BY l_suppkey, p_type, l_linestatus, p_brand)\n"
-        "SELECT CAST(l_suppkey AS BIGINT) AS muni_key, p_type AS legal_good, l_linestatus AS modality, "
-        "CAST(COUNT(*) * 12 AS BIGINT) AS n_counts FROM g GROUP BY 1, 2, 3 HAVING COUNT(*) * 12 > 12")
+    q["month_overflow"] = w(*BASE, MONTHS_LONG) + (
+        f"SELECT {KEYS}, CAST(COUNT(*) AS BIGINT) AS n_counts FROM (SELECT * FROM months_long "
+        f"UNION ALL SELECT * FROM months_long WHERE legal_good = 'PROMO') GROUP BY {KEYS} HAVING COUNT(*) > 12")
     q["peak_month"] = b + (
         f"SELECT {KEYS}, CAST({_peak} AS INTEGER) AS peak_month, {_month_names}[{_peak}] AS peak_month_name, "
         f"list_max({_peak_arr}) AS peak_cases FROM incidence")
@@ -306,15 +313,16 @@ def _sql() -> dict[str, str]:
     q["occurrence_pattern"] = b + (
         f"SELECT {KEYS}, CAST({_active} AS INTEGER) AS active_months, {_pattern} AS pattern FROM incidence")
     q["state_municipalities"] = w(MUNI) + (
-        "SELECT state_key, state, CAST(COUNT(*) AS BIGINT) AS n_munis, MIN(muni) AS first_muni, "
-        "MAX(muni) AS last_muni FROM muni GROUP BY state_key, state")
+        "SELECT state_key, state, muni_key, muni, CAST(row_number() OVER (PARTITION BY state_key, state "
+        "ORDER BY muni, muni_key) AS INTEGER) AS position FROM muni")
     q["record_enriched"] = w(*BASE, ENRICHED) + (
         "SELECT year, state, muni_key, muni, legal_good, subtype, modality, total, population, "
         "round(rate_100k, 6) AS rate_100k, settlement, crime_class, weight, round(urgency, 6) AS urgency, risk, "
         "peak_month, peak_month_name, peak_cases, trend, pattern FROM enriched")
 
-    # whole table when it holds fewer rows than the sample size (100,000)
-    q["sample_exact"] = b + f"SELECT {KEYS}, total FROM incidence LIMIT 100000"
+    q["sample_exact"] = w(INC) + (
+        f"SELECT {KEYS}, total FROM inc ORDER BY CAST('0x' || substr(md5(concat_ws('|', '42', "
+        f"CAST(muni_key AS VARCHAR), legal_good, modality, CAST(year AS VARCHAR))), 1, 15) AS BIGINT), {KEYS} LIMIT 500")
     q["filter_options"] = b + (
         "SELECT DISTINCT 'state' AS kind, state AS value FROM incidence WHERE state IS NOT NULL "
         "UNION ALL SELECT DISTINCT 'muni' AS kind, muni AS value FROM incidence WHERE state = 'NATION_1' "
@@ -332,9 +340,9 @@ def _sql() -> dict[str, str]:
         f"AS predominant_month, CAST(COALESCE((SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM enriched "
         f"WHERE peak_cases > 0 GROUP BY peak_month)), 0) AS BIGINT) AS records")
     q["record_cards"] = w(*BASE, ENRICHED) + (
-        "SELECT muni || ' | ' || subtype || ' (' || modality || ')' AS title, muni_key, legal_good, modality, subtype, "
+        "SELECT muni || ' | ' || subtype || ' (' || modality || ')' AS title, muni_key, legal_good, modality, subtype, year, "
         "weight AS priority, round(urgency, 6) AS urgency, settlement, round(rate_100k, 6) AS rate_100k, risk, "
-        "peak_month_name, peak_cases, trend, pattern FROM enriched ORDER BY muni_key, legal_good, modality LIMIT 50")
+        "peak_month_name, peak_cases, trend, pattern FROM enriched ORDER BY muni_key, legal_good, modality, year LIMIT 50")
     q["kpi_total"] = b + "SELECT CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total_cases FROM incidence"
     q["kpi_municipalities"] = b + "SELECT CAST(COUNT(DISTINCT muni) AS BIGINT) AS municipalities FROM incidence"
     q["kpi_top_state"] = b + (
@@ -400,7 +408,7 @@ def _sql() -> dict[str, str]:
         "round(CASE WHEN tot <> 0 THEN cum * 100.0 / tot END, 6) FROM rk")
     q["gini"] = rb + (
         ", rk AS (SELECT total, row_number() OVER (ORDER BY total, muni_key) AS i FROM rollup)\n"
-        "SELECT round(CASE WHEN SUM(total) <> 0 THEN 2.0 * SUM(i * total) / (COUNT(*) * CAST(SUM(total) AS DOUBLE)) "
+        "SELECT round(CASE WHEN SUM(total) <> 0 THEN 2.0 * CAST(SUM(CAST(i AS HUGEINT) * total) AS DOUBLE) / (COUNT(*) * CAST(SUM(total) AS DOUBLE)) "
         "- (COUNT(*) + 1.0) / COUNT(*) END, 6) AS gini, CAST(COUNT(*) AS BIGINT) AS municipalities FROM rk")
 
     pc = w(*BASE, PROLLUP, CURVE)
@@ -447,9 +455,14 @@ def _sql() -> dict[str, str]:
     mb = w(MUNI, MART_LONG, MART, RATES)
     feats = ", ".join(FEATURES)
     q["features_filtered"] = w(MUNI, MART_LONG, MART) + "SELECT * FROM mart WHERE population >= 5000"
-    q["feature_roles"] = w(MART_LONG) + (
-        "SELECT DISTINCT feature, 'feature' AS role, CAST(regexp_extract(feature, '(\\d+)$', 1) AS INTEGER) AS position "
-        "FROM mart_long")
+    roles = [("muni_key", "id", 0, "SUM(muni_key)"), ("muni", "id", 1, "MAX(NULL)"),
+             ("population", "id", 2, "SUM(population)"), ("state", "id", 3, "MAX(NULL)")]
+    roles += [(f, "feature", i, f"SUM({f})") for i, f in enumerate(FEATURES)]
+    every = f"SUM({' + '.join(FEATURES)})"
+    roles += [("Total", "excluded", "NULL", every), ("Robos_Totales", "excluded", "NULL", every)]
+    q["feature_roles"] = w(MUNI, MART_LONG, MART) + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{r}' AS role, CAST({i} AS INTEGER) AS position, "
+        f"CAST({x} AS BIGINT) AS total FROM mart" for c, r, i, x in roles)
     q["feature_rates"] = mb + "SELECT muni_key, muni, population, state, " + ", ".join(
         f"round({f}, 6) AS {f}" for f in FEATURES) + " FROM rates"
     q["features_scaled"] = mb + ", st AS (SELECT " + ", ".join(

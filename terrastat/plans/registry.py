@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrastat.functions import records as R
 from terrastat.operators import dbscan as DB
@@ -29,7 +30,7 @@ from terrastat.session import scratch_path
 from terrastat.sources import fixtures as fx
 from terrastat.sources.tables import read_table
 
-KEYS = ["muni_key", "legal_good", "modality"]
+KEYS = ["muni_key", "legal_good", "modality", "year"]
 # parameters of the registered queries (fixture-specific choices)
 FILTER_STATE = "NATION_1"
 FILTER_GOOD = "PROMO"
@@ -76,8 +77,9 @@ def profile_table(spark, sf):
 
 
 def profile_head(spark, sf):
-    return E.profile(etl_contract(spark, sf),
-                     ["Cve_Municipio", "Bien_juridico_afectado", "Modalidad"])[1]
+    # the contract has no year: the counts break ties between a record's years
+    return E.profile(etl_contract(spark, sf), ["Cve_Municipio", "Bien_juridico_afectado", "Modalidad",
+                                               *E.CONTRACT[8:21]])[1]
 
 
 def etl_clean_names(spark, sf):
@@ -99,20 +101,44 @@ def etl_merge_rate(spark, sf):
     return m.select(*KEYS, "total", "population", r6("rate_100k").alias("rate_100k"))
 
 
+def _catalogue(spark, sf):
+    """A catalogue that spells names its own way and lacks every fifth code."""
+    nation = read_table(spark, sf, "nation").where(F.col("n_nationkey") % 5 != 0)
+    return nation.select(F.col("n_nationkey").alias("cat_key"),
+                         F.concat(F.lit(" Edo. "), F.col("n_name")).alias("cat_name"))
+
+
 def etl_catalogue(spark, sf):
-    cat = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("cat_key"),
-                                                 F.col("n_name").alias("cat_name"))
-    std, _ = E.standardise(_inc(spark, sf), cat)
+    std, _ = E.standardise(_inc(spark, sf), _catalogue(spark, sf))
     return std.select("state_key", "state", *KEYS, "m01", "total")
 
 
 def etl_catalogue_unmatched(spark, sf):
-    cat = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("cat_key"),
-                                                 F.col("n_name").alias("cat_name"))
-    _, bad = E.standardise(_inc(spark, sf), cat)
+    _, bad = E.standardise(_inc(spark, sf), _catalogue(spark, sf))
     return bad.select("state_key", *KEYS)
 
 
+def etl_mart_csv(spark, sf):
+    """The mart written as header CSV and read back with its dynamic
+    columns."""
+    folder = scratch_path(spark, "mart-csv")
+    E.write_table(fx.mart(spark, sf), f"{folder}/csv", fmt="csv")
+    mart = E.mart_csv_to_parquet(spark, f"{folder}/csv", f"{folder}/parquet")
+    return mart.select(*[F.col(c).cast("bigint") if c not in ("muni", "state") else F.col(c)
+                         for c in mart.columns])
+
+
+def etl_latin1_read(spark, sf):
+    """Accented names written in Latin-1 and read back in that encoding."""
+    path = scratch_path(spark, "latin1-csv")
+    names = fx.population_long(spark, sf).select("muni_key", "muni", "year", "sex", "population")
+    names.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    schema = T.StructType([T.StructField("muni_key", T.LongType()), T.StructField("muni", T.StringType()),
+                           T.StructField("year", T.IntegerType()), T.StructField("sex", T.StringType()),
+                           T.StructField("population", T.LongType())])
+    return E.read_incidence_csv(spark, path, encoding="ISO-8859-1", schema=schema, canonical=False)
+
+
 FILTER_STATE_KEY = 1
 
 
@@ -154,11 +180,10 @@ def month_names(spark, sf):
 
 
 def month_overflow(spark, sf):
-    """R5 guard on a long input whose records carry one monthly row per
-    crime subtype: records with more than 12 monthly counts."""
-    wide = fx.inc_wide(spark, sf, with_brand=True)
-    long = wide.select(*KEYS, F.explode(R.months_array()).alias("cases"))
-    return Q.month_overflow(long, KEYS)
+    """R5 guard on a long input in which one legal good was loaded twice:
+    records with more than 12 monthly counts."""
+    long = _counts(spark, sf).select(*KEYS, F.explode(R.months_array()).alias("cases"))
+    return Q.month_overflow(long.unionByName(long.where(F.col("legal_good") == FILTER_GOOD)))
 
 
 def peak_month(spark, sf):
@@ -196,19 +221,23 @@ def occurrence_pattern(spark, sf):
 
 
 def state_municipalities(spark, sf):
-    """R13 as a bounded summary per state."""
-    return Q.state_summary(fx.muni(spark, sf))
+    """Each state's municipalities in order."""
+    return Q.state_municipalities(fx.muni(spark, sf))
 
 
 def record_enriched(spark, sf):
     e = _enriched(spark, sf)
     return e.select(*[r6(c).alias(c) if c in ("rate_100k", "urgency") else F.col(c)
-                      for c in e.columns])
+                      for c in e.columns if c != "crime_type"])
 
 
 # --- explorer and KPIs ---------------------------------------------------------
+SAMPLE_ROWS = 500
+
+
 def sample_exact(spark, sf):
-    return Q.sample_exact(_counts(spark, sf)).select(*KEYS, "total")
+    """Q1 with a size below the row count at every scale."""
+    return Q.sample_exact(_counts(spark, sf), SAMPLE_ROWS).select(*KEYS, "total")
 
 
 def filter_options(spark, sf):
@@ -395,12 +424,22 @@ def features_filtered(spark, sf):
 
 
 def feature_roles(spark, sf):
-    """F2 over the mart's long form: the distinct feature names with their
-    position in the natural order (ids and excluded aggregates removed)."""
-    feats = fx.mart_long(spark, sf).select("feature").distinct().where(
-        ~F.col("feature").isin(*(FE.ID_COLUMNS + [FE.OPTIONAL_ID] + FE.EXCLUDED_AGGREGATES)))
-    pos = F.regexp_extract("feature", r"(\d+)$", 1).cast("int")
-    return feats.select("feature", F.lit("feature").alias("role"), pos.alias("position"))
+    """F2 on a mart with ids, excluded aggregates and features: the role the
+    operator gives each column, its place in the role, and the column's sum
+    over the mart (null for names)."""
+    mart = fx.mart(spark, sf)
+    every = sum((F.col(c) for c in mart.columns[4:]), F.lit(0))
+    mart = mart.withColumn("Total", every).withColumn("Robos_Totales", every)
+    ids, feats = FE.feature_roles(mart)
+    cells = []
+    for c, kind in mart.dtypes:
+        role = "id" if c in ids else "feature" if c in feats else "excluded"
+        place = (ids if role == "id" else feats).index(c) if role != "excluded" else None
+        value = F.lit(None) if kind == "string" else F.sum(c)
+        cells.append(F.struct(F.lit(c).alias("feature"), F.lit(role).alias("role"),
+                              F.lit(place).cast("int").alias("position"),
+                              value.cast("bigint").alias("total")))
+    return mart.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
 def feature_rates(spark, sf):
@@ -594,6 +633,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "etl_population": etl_population, "etl_merge_rate": etl_merge_rate,
     "etl_catalogue": etl_catalogue, "etl_catalogue_unmatched": etl_catalogue_unmatched,
     "mart_pivot": mart_pivot, "etl_partitioned_read": etl_partitioned_read,
+    "etl_mart_csv": etl_mart_csv, "etl_latin1_read": etl_latin1_read,
     "settlement_class": settlement_class, "quarter_totals": quarter_totals,
     "month_names": month_names, "months_long": months_long, "month_overflow": month_overflow,
     "peak_month": peak_month, "risk_level": risk_level, "half_year_trend": half_year_trend,

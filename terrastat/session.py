@@ -54,29 +54,6 @@ def get_session(master: str | None = None, app: str = "terrastat",
     return spark
 
 
-MAX_SHUFFLE_PARTITIONS = 65536
-
-
-def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20,
-               max_partitions: int = MAX_SHUFFLE_PARTITIONS) -> dict:
-    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of
-    parquet: about ``target_partition_bytes`` of input per initial shuffle
-    partition (never fewer than 2 waves of tasks, never more than
-    ``max_partitions``: map x reduce shuffle blocks grow with the product,
-    and shuffled bytes are far below input bytes after pruning and partial
-    aggregation), which AQE then coalesces or splits; scan splits of 256 MB
-    once inputs reach terabytes."""
-    waves = 2 * max(1, total_cores)
-    parts = max(waves, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
-    conf = {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-    }
-    if input_bytes >= 1 << 40:
-        conf["spark.sql.files.maxPartitionBytes"] = str(256 << 20)
-    return conf
-
-
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -1,19 +1,16 @@
 """Incidence-shaped views derived from the star schema.
 
 Role mapping: supplier = municipality, nation = state, ``p_type`` = legal good,
-``l_linestatus`` = modality, month of ``l_shipdate`` in one year = month
+``l_linestatus`` = modality, year and month of ``l_shipdate`` = year and month
 column, ``l_quantity`` = cases. ``p_brand`` gives the mart features.
 
-All views are lazy DataFrames: scans are column-pruned, the year filter is a
-range on ``l_shipdate`` so it reaches the parquet reader as a pushed filter,
-and the month columns come from one partially aggregated group-by.
+All views are lazy DataFrames over whole tables: scans are column-pruned and
+the month columns come from one partially aggregated group-by.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastat.functions.records import MONTH_COLS, rate_per_100k
@@ -21,8 +18,7 @@ from terrastat.operators.common import scalars
 from terrastat.operators.etl import pivot_matrix
 from terrastat.sources.tables import read_table
 
-# Fixed values of the fixture: the incidence year and the population shaping.
-INCIDENCE_YEAR = 1998
+# Fixed values of the fixture: the population shaping.
 POPULATION_SCALE = 1500000
 ACCTBAL_SHIFT = 1000.0
 ACCTBAL_SPAN = 11000.0
@@ -47,47 +43,36 @@ def muni(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .cast("bigint").alias("population")))
 
 
-def year_range(year: int) -> Column:
-    lo = _dt.datetime(year, 1, 1)
-    hi = _dt.datetime(year + 1, 1, 1)
-    ts = F.col("l_shipdate")
-    return (ts >= F.lit(lo).cast("timestamp_ntz")) & (ts < F.lit(hi).cast("timestamp_ntz"))
-
-
-def inc_wide(spark: SparkSession, sf_dir: str, year: int = INCIDENCE_YEAR,
-             with_brand: bool = False) -> DataFrame:
-    """Wide incidence counts: (muni_key, legal_good, modality, m01..m12, total).
+def inc_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide incidence counts: (muni_key, legal_good, modality, year, m01..m12,
+    total), a record for every year of the fact table.
 
     One group-by over lineitem ⋈ part with conditional sums; partial
-    aggregation runs before the shuffle. ``with_brand`` adds ``p_brand`` to
-    the grain as the crime subtype (used by the mart pivot only).
+    aggregation runs before the shuffle.
     """
-    li = (read_table(spark, sf_dir, "lineitem")
-          .select("l_suppkey", "l_partkey", "l_quantity", "l_linestatus", "l_shipdate")
-          .where(year_range(year)))
-    cols = ["p_partkey", "p_type"] + (["p_brand"] if with_brand else [])
-    p = read_table(spark, sf_dir, "part").select(*cols)
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_partkey", "l_quantity", "l_linestatus", "l_shipdate")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(p, li.l_partkey == p.p_partkey)
     month = F.month("l_shipdate")
     q = F.col("l_quantity").cast("bigint")
     keys = [F.col("l_suppkey").cast("bigint").alias("muni_key"),
             F.col("p_type").alias("legal_good"),
-            F.col("l_linestatus").alias("modality")]
-    if with_brand:
-        keys.append(F.col("p_brand").alias("subtype"))
+            F.col("l_linestatus").alias("modality"),
+            F.year("l_shipdate").alias("year")]
     aggs = [F.sum(F.when(month == i, q).otherwise(F.lit(0).cast("bigint"))).cast("bigint").alias(c)
             for i, c in enumerate(MONTH_COLS, start=1)]
     aggs.append(F.sum(q).cast("bigint").alias("total"))
     return j.groupBy(*keys).agg(*aggs)
 
 
-def incidence(spark: SparkSession, sf_dir: str, year: int = INCIDENCE_YEAR) -> DataFrame:
-    """The full incidence record table in canonical column order.
+def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full incidence record table in canonical column order, then year.
 
     Left join keeps a null population for unmatched municipalities (E11);
     ``crime_type`` and ``subtype`` carry the legal good at this grain.
     """
-    w = inc_wide(spark, sf_dir, year)
+    w = inc_wide(spark, sf_dir)
     m = muni(spark, sf_dir)
     j = w.join(m, "muni_key", "left")
     return j.select(
@@ -95,7 +80,7 @@ def incidence(spark: SparkSession, sf_dir: str, year: int = INCIDENCE_YEAR) -> D
         F.col("legal_good").alias("crime_type"),
         F.col("legal_good").alias("subtype"),
         "modality", *MONTH_COLS, "total", "population",
-        rate_per_100k(F.col("total"), F.col("population")).alias("rate_100k"))
+        rate_per_100k(F.col("total"), F.col("population")).alias("rate_100k"), "year")
 
 
 def mart_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +122,9 @@ def mart(spark: SparkSession, sf_dir: str, features: list[str] | None = None) ->
         F.col("l_quantity").cast("bigint").alias("value"))
     wide = pivot_matrix(rows, ["muni_key"], "feature", "value", feats)
     m = muni(spark, sf_dir).select("muni_key", "muni", "state", "population")
-    return m.join(wide, "muni_key", "inner").select(
-        "muni_key", "muni", "state", "population", *feats)
+    return m.join(wide, "muni_key", "left").select(
+        "muni_key", "muni", "state", "population",
+        *[F.coalesce(f, F.lit(0)).cast("bigint").alias(f) for f in feats])
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,16 +139,20 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("a") - F.col("_g.ma")) / F.col("_g.sa")).alias("y"))
 
 
-def population_long(spark: SparkSession, sf_dir: str, year: int = 2015) -> DataFrame:
+def population_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw population table shaped like a census extract: one row per
-    municipality × sex with accented names, derived from ``muni`` (E10 input)."""
+    municipality × year × sex, totals among the sexes, with accented names,
+    derived from ``muni`` (E10 input). The older year has half of everyone."""
     m = muni(spark, sf_dir)
     half = F.floor(F.col("population") / 2).cast("bigint")
-    sexes = F.array(
-        F.struct(F.lit("Hombres").alias("sex"), half.alias("pop")),
-        F.struct(F.lit("Mujeres").alias("sex"), (F.col("population") - half).alias("pop")))
+    older = lambda c: F.floor(c / 2).cast("bigint")
+    rows = [(sex, 2015, pop) for sex, pop in (("Hombres", half), ("Mujeres", F.col("population") - half),
+                                              ("Total", F.col("population")))]
+    rows += [(sex, 2010, older(pop)) for sex, _, pop in rows]
+    sexes = F.array(*[F.struct(F.lit(sex).alias("sex"), F.lit(year).alias("year"), pop.alias("pop"))
+                      for sex, year, pop in rows])
     return (m.select("muni_key", "muni", "state_key", F.explode(sexes).alias("s"))
             .select("muni_key",
                     F.concat(F.lit("Múnicipio "), F.col("muni")).alias("muni"),
                     "state_key", F.col("s.sex").alias("sex"),
-                    F.lit(year).alias("year"), F.col("s.pop").alias("population")))
+                    F.col("s.year").alias("year"), F.col("s.pop").alias("population")))

@@ -28,10 +28,9 @@ def lineitem_stream(spark: SparkSession, source_dir: str, glob: str = "lineitem*
             .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
 
 
-def rollup_stream(spark: SparkSession, lineitems: DataFrame, dim_dir: str,
-                  year: int = fx.INCIDENCE_YEAR) -> DataFrame:
+def rollup_stream(spark: SparkSession, lineitems: DataFrame, dim_dir: str) -> DataFrame:
     """Streaming roll-up: (muni_key, muni, state, total)."""
-    li = lineitems.where(fx.year_range(year)).select(
+    li = lineitems.select(
         F.col("l_suppkey").cast("bigint").alias("muni_key"), "l_partkey",
         F.col("l_quantity").cast("bigint").alias("cases"))
     part = read_table(spark, dim_dir, "part").select("p_partkey")

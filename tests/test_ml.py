@@ -169,17 +169,15 @@ def test_scaling_zero_variance_and_pca_invariants(spark):
         assert col[np.argmax(np.abs(col))] > 0
 
 
-def test_pca_projection_paths_agree(spark):
+def test_pca_projection_is_the_loadings_product(spark):
     m = _mart(spark)
     ids, feats = FE.feature_roles(m)
     scaled = FE.standardise(FE.feature_rates(m, ids, feats), ids, feats)
     a = FE.pca_scores(scaled, ids, feats, variance=0.999999)
-    b = FE.pca_scores(scaled, ids, feats, variance=0.999999, inline_max_terms=0)
     cols = FE.pc_columns(a.n_components)
-    A = {r.muni_key: [r[c] for c in cols] for r in a.scores.collect()}
-    B = {r.muni_key: [r[c] for c in cols] for r in b.scores.collect()}
-    assert A.keys() == B.keys()
-    assert all(np.allclose(A[k], B[k], atol=1e-9) for k in A)
+    got = {r.muni_key: [r[c] for c in cols] for r in a.scores.collect()}
+    for r in scaled.collect():
+        assert np.allclose(got[r.muni_key], np.array([r[f] for f in feats]) @ a.loadings, atol=1e-9)
 
 
 def test_cluster_naming(spark):
@@ -198,20 +196,12 @@ def test_cluster_naming(spark):
         assert n.cluster_name.startswith("Perfil Pacifico" if z.max() < 0 else "Foco: ")
 
 
-def test_profile_long_form_matches_wide(spark, monkeypatch):
+def test_one_feature_mart(spark):
     m = _mart(spark)
     ids, feats = FE.feature_roles(m)
-    rates = FE.feature_rates(m, ids, feats).withColumn("cluster", F.col("muni_key") % 3)
-
-    def run():
-        names = {r.cluster: (r.members, r.specialty, round(r.top_z, 9), r.cluster_name)
-                 for r in PR.cluster_names(rates, feats).collect()}
-        z = {(r.cluster, r.feature): round(r.z, 9) for r in PR.cluster_zscores(rates, feats).collect()}
-        return names, z
-    wide = run()
-    monkeypatch.setattr(FE, "LONG_FORM_FEATURES", 0)
-    assert run() == wide
-
+    rates = FE.feature_rates(m, ids, feats[:1]).withColumn("cluster", F.col("muni_key") % 3)
+    names = PR.cluster_names(rates, feats[:1]).collect()
+    assert {n.specialty for n in names} == {feats[0]}
 
 def test_kmeans_invariants(spark):
     from terrastat.operators import kmeans as KM

@@ -113,14 +113,21 @@ def test_sample_exact_size_and_reproducible(make_inc):
     ka = sorted(r.muni_key for r in a.collect())
     assert len(ka) == 7 and ka == sorted(r.muni_key for r in b.collect())
     assert Q.sample_exact(df, n=500).count() == 50
-    # the large-input path (hash cut + distributed rank) picks the same rows
-    big = Q.sample_exact(df, n=7, take_ordered_max_rows=10)
-    assert sorted(r.muni_key for r in big.collect()) == ka
 
 
-def test_sample_exact_hash_cut_path(spark):
+def test_sample_exact_takes_the_smallest_hashes(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("muni_key"), F.lit("G").alias("legal_good"),
                                      (F.col("id") % 2).cast("string").alias("modality"))
-    want = sorted(r.muni_key for r in Q.sample_exact(df, n=25).collect())
-    got = sorted(r.muni_key for r in Q.sample_exact(df, n=25, take_ordered_max_rows=100).collect())
+    order = Q.sample_order(["muni_key", "legal_good", "modality"], Q.SAMPLE_SEED)
+    want = sorted(r.muni_key for r in df.orderBy(order).limit(25).collect())
+    got = sorted(r.muni_key for r in Q.sample_exact(df, n=25).collect())
     assert len(got) == 25 and got == want
+
+
+def test_records_of_different_subtypes_and_years_have_their_own_ids(make_inc):
+    df = make_inc([wide_row(muni_key=1), wide_row(muni_key=1)])
+    years = df.withColumn("subtype", F.lit("a")).unionByName(df.withColumn("subtype", F.lit("b")))
+    years = years.dropDuplicates(["subtype"]).crossJoin(df.sparkSession.range(2015, 2018).select(
+        F.col("id").cast("int").alias("year")))
+    ids = Q.enrich(years).select("record_id", "year").collect()
+    assert len({r.record_id for r in ids}) == 6 and {r.year for r in ids} == {2015, 2016, 2017}

@@ -51,7 +51,7 @@ def test_pivot_zero_fill(spark):
 def test_population_merge_keeps_unmatched(spark):
     inc = spark.createDataFrame([(1, 10), (2, 20)], "muni_key bigint, total bigint")
     pop = spark.createDataFrame([(1, "Múni", 5), (1, "Múni", 5)], "muni_key bigint, muni string, population bigint")
-    clean = E.clean_population(pop)
+    clean = E.clean_population(pop)  # one year, no totals among the parts
     assert clean.first().muni == "Muni" and clean.first().population == 10
     m = {r.muni_key: (r.population, r.rate_100k) for r in E.merge_population(inc, clean).collect()}
     assert m == {1: (10, 100000.0), 2: (None, 0.0)}
