@@ -7,8 +7,8 @@ file; ``start`` is that plus the ids of all earlier files. Stripes are read in
 parallel by Spark's ORC reader, and a filter on ``doc_id`` prunes files by
 stripe statistics, row groups by row index, and groups by the Bloom filter.
 
-The tokenizer runs once per distinct space-separated piece: its rules never
-join ids across a white-space character, so a text's ids are its pieces' ids in
+The tokenizer sees each distinct piece between spaces or line ends once: its
+rules never join ids across white space, so a text's ids are its pieces' ids in
 order. A worker keeps at most ``CACHE_PIECES`` pieces.
 
 Defined cases: a null text is an empty text (only the end id); documents with
@@ -25,8 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 CACHED_CHARS = 64
+WORDS_A_CALL = 2000
+# Closing punctuation that the tokenizer's rules keep apart from
+# letters and join to one word (no apostrophe), and the mark of a word's end.
+CLOSING = ".,;:!?%&*$#"
+WORD_END = "</w>"
 BATCH_CHARS = 4 << 20
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 1000
@@ -38,50 +43,103 @@ FILE_SCHEMA = "doc_id bigint, local_start bigint, n_tokens bigint, ids array<int
 _WORKER: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _WORKER:
+class Encoder:
+    """A tokenizer with a cache of pieces, one for a worker process.
+
+    Most pieces are one word of letters below U+0250 with closing punctuation:
+    the tokenizer's rules make those two words of their own, so the letters go
+    to it lower-cased, many in one call, and its end-of-word ids tell them apart.
+    All other pieces go to it as they are.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith(WORD_END)
+        self.simple = self.ends.any()
+        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes()
+                for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), WORDS_A_CALL):
+            part = words[at:at + WORDS_A_CALL]
+            ids = np.array(self._one(" ".join(part)), "<u4")
+            to = np.flatnonzero(self.ends[ids]) + 1
+            if len(to) != len(part) or (len(to) and to[-1] != len(ids)):
+                self.words.update(zip(part, self._each(part)))
+                continue
+            raw = ids.tobytes()
+            begins = np.concatenate([[0], to[:-1]]) * 4
+            self.words.update(zip(part, (raw[a:b] for a, b in zip(begins.tolist(),
+                                                                  (to * 4).tolist()))))
+
+    def _one(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache lacks."""
+        if len(self.cache) + len(pieces) > CACHE_PIECES:
+            self.cache.clear()
+            self.words.clear()
+        cut, odd = [], []
+        for p in pieces:
+            word = p.rstrip(CLOSING)
+            if (self.simple and word.isalpha() and max(word) < "\u0250"
+                    and "\u0130" not in word):
+                cut.append((p, word.lower(), p[len(word):]))
+            else:
+                odd.append(p)
+        # the sets are sorted, so that a task run again makes the same calls
+        self._learn_words(sorted({w for _, w, _ in cut if w not in self.words}))
+        tails = sorted({t for _, _, t in cut if t and t not in self.words})
+        self.words.update(zip(tails, self._each(tails)))
+        words = self.words
+        new = {p: words[w] + words[t] if t else words[w] for p, w, t in cut}
+        new.update(zip(odd, self._each(odd)))
+        self.cache.update((p, i) for p, i in new.items() if len(p) <= CACHED_CHARS)
+        return new
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        get, split, missing = self.cache.get, [], set()
+        for t in texts:
+            pieces = t.replace("\n", " ").split(" ")
+            got = list(map(get, pieces))
+            if None in got:
+                missing.update(p for p, g in zip(pieces, got) if g is None)
+                got = [p if g is None else g for p, g in zip(pieces, got)]
+            split.append(got)
+        if not missing:
+            return [b"".join(x) for x in split]
+        new = self._learn(missing)
+        return [b"".join([g if type(g) is bytes else new[g] for g in x]) for x in split]
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _WORKER:
         _WORKER.clear()
-        _WORKER[path] = (Tokenizer.from_file(path), {})
+        _WORKER[path] = Encoder(path)
     return _WORKER[path]
 
 
-def _ids(tok, pieces: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes()
-            for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-
-def encode_texts(tok, cache: dict[str, bytes], texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    split = [t.split(" ") for t in texts]
-    wanted: set[str] = set()
-    for pieces in split:
-        wanted.update(pieces)
-    long = {p for p in wanted if len(p) > CACHED_CHARS}
-    new = [p for p in wanted if p not in cache and p not in long]
-    if len(cache) + len(new) > CACHE_PIECES:
-        cache.clear()
-        new = [p for p in wanted if p not in long]
-    for at in range(0, len(new), 50_000):
-        part = new[at:at + 50_000]
-        cache.update(zip(part, _ids(tok, part)))
-    if not long:
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
-    once = dict(zip(long, _ids(tok, list(long))))
-    return [b"".join([cache[p] if p in cache else once[p] for p in pieces]) for pieces in split]
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id",
                  text_col: str = "text", end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES,
                  rows_per_index: int = ROWS_PER_INDEX) -> None:
     """Tokenise ``docs`` and write ORC files under ``path`` in id order."""
 
     def encode(batches):
-        tok, cache = _tokenizer(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         before = 0
         for batch in batches:
@@ -92,8 +150,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
             while at < n:
                 done = lengths[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(lengths, done + BATCH_CHARS, "right")))
-                raw = [x + end for x in encode_texts(
-                    tok, cache, [t or "" for t in texts[at:to].to_pylist()])]
+                raw = [x + end for x in encoder.encode(
+                    [t or "" for t in texts[at:to].to_pylist()])]
                 counts = np.array([len(x) // 4 for x in raw], np.int64)
                 starts = before + np.concatenate([[0], np.cumsum(counts)])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
