@@ -89,6 +89,9 @@ def neighbour_pairs(points: DataFrame, id_col: str, coords: list[str], eps: floa
 SIDE_SHRINK = 1.0 - 1e-12
 # sub-cell levels (2^L sub-cells per axis) for the dense-cell witness test
 SUB_LEVELS = {1: 6, 2: 3, 3: 2}
+# further cuts of undecided sub-cells: how many, and by 2^step per axis each
+REFINE = 3
+SUB_STEP = {1: 3, 2: 2, 3: 1}
 GEOM_TOL = 1e-9
 
 
@@ -153,6 +156,20 @@ def fine_grid(points: DataFrame, id_col: str, coords: list[str], eps: float,
     return cells, cross_pairs(cells, cells, len(coords), eps)
 
 
+def _bounds(d: int, sub: float, eps: float):
+    """(sure, maybe) of a sub-cell pair from the offsets of au* and bu*: the
+    far corners are within eps; the facing sides are."""
+    gap2 = span2 = None
+    for i in range(d):
+        du = F.abs(F.col(f"bu{i}") - F.col(f"au{i}"))
+        g = F.greatest(du - 1, F.lit(0)).cast("double")
+        t1, t2 = g * g, (du + 1).cast("double") * (du + 1).cast("double")
+        gap2 = t1 if gap2 is None else gap2 + t1
+        span2 = t2 if span2 is None else span2 + t2
+    lim = (eps / sub) ** 2
+    return span2 <= lim * (1 - GEOM_TOL), gap2 <= lim * (1 + GEOM_TOL)
+
+
 def dense_cell_links(dense: DataFrame, d: int, eps: float) -> DataFrame:
     """Pairs of dense fine cells (every point a core) holding at least one
     point pair within eps, decided without enumerating their point pairs.
@@ -160,55 +177,69 @@ def dense_cell_links(dense: DataFrame, d: int, eps: float) -> DataFrame:
     Each dense cell is cut into 2^L sub-cells per axis. For two sub-cells the
     integer offset bounds every point distance from below (facing faces) and
     above (far corners): a sub-cell pair whose far corners are within eps is
-    a witness; one whose faces are farther apart is irrelevant; only the
-    "maybe" sub-cells of cell pairs still lacking a witness get an exact
-    point check. Sub-cell pairs per cell pair are bounded by 4^(L·d)
-    whatever the number of points in the cells.
+    a witness; one whose faces are farther apart is irrelevant. The "maybe"
+    pairs of cell pairs that still lack a witness are cut again, ``REFINE``
+    times; what is left lies within a few thousandths of a cell of the exact
+    distance eps, and only there points are compared.
     """
     keys = [f"g{i}" for i in range(d)]
-    level = SUB_LEVELS[d]
-    sub = fine_side(eps, d) / (2 ** level)
+    ak, bk = [f"a{i}" for i in range(d)], [f"b{i}" for i in range(d)]
+    au, bu = [f"au{i}" for i in range(d)], [f"bu{i}" for i in range(d)]
+    levels = [SUB_LEVELS[d] + i * SUB_STEP[d] for i in range(REFINE + 1)]
+    side = fine_side(eps, d)
+    finest = side / (2 ** levels[-1])
     pts = checkpointed(dense.select(
         "id", *[f"x{i}" for i in range(d)], *keys,
-        *[F.floor(F.col(f"x{i}") / F.lit(sub)).cast("long").alias(f"u{i}") for i in range(d)]))
-    subs = pts.select(*keys, *[f"u{i}" for i in range(d)]).distinct()
+        *[F.floor(F.col(f"x{i}") / F.lit(finest)).cast("long").alias(f"u{i}") for i in range(d)]))
+
+    def at(level: int, name: str):
+        return [F.shiftright(f"u{i}", levels[-1] - level).alias(f"{name}{i}") for i in range(d)]
+
+    def judged(pairs: DataFrame, level: int) -> DataFrame:
+        sure, maybe = _bounds(d, side / (2 ** level), eps)
+        return checkpointed(pairs.select(*ak, *bk, *au, *bu, sure.alias("sure"), maybe.alias("maybe"))
+                            .where("maybe"))
+
     # each unordered cell pair once: offsets that are lexicographically positive
     pos = [o for o in fine_cell_offsets(d, eps) if o > tuple([0] * d)]
     if not pos:
-        return dense.sparkSession.createDataFrame([], ", ".join(
-            [f"a{i} long" for i in range(d)] + [f"b{i} long" for i in range(d)]))
+        return dense.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in ak + bk))
     offsets = F.array(*[F.array(*[F.lit(v) for v in o]) for o in pos])
-    a = subs.select(*[F.col(f"g{i}").alias(f"a{i}") for i in range(d)],
-                    *[F.col(f"u{i}").alias(f"au{i}") for i in range(d)], F.explode(offsets).alias("_o"))
+    subs = pts.select(*keys, *at(levels[0], "u")).distinct()
+    a = subs.select(*[F.col(k).alias(n) for k, n in zip(keys, ak)],
+                    *[F.col(f"u{i}").alias(n) for i, n in enumerate(au)], F.explode(offsets).alias("_o"))
     a = a.select("*", *[(F.col(f"a{i}") + F.col("_o")[i]).alias(f"b{i}") for i in range(d)]).drop("_o")
-    b = subs.select(*[F.col(f"g{i}").alias(f"b{i}") for i in range(d)],
-                    *[F.col(f"u{i}").alias(f"bu{i}") for i in range(d)])
-    sp = a.join(b, [f"b{i}" for i in range(d)])
-    gap2 = None
-    span2 = None
-    for i in range(d):
-        du = F.abs(F.col(f"bu{i}") - F.col(f"au{i}"))
-        g = F.greatest(du - 1, F.lit(0))
-        t1, t2 = g * g, (du + 1) * (du + 1)
-        gap2 = t1 if gap2 is None else gap2 + t1
-        span2 = t2 if span2 is None else span2 + t2
-    lim = (eps / sub) ** 2
-    sp = checkpointed(sp.select(*[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)],
-                                *[f"au{i}" for i in range(d)], *[f"bu{i}" for i in range(d)],
-                                (span2.cast("double") <= lim * (1 - GEOM_TOL)).alias("sure"),
-                                (gap2.cast("double") <= lim * (1 + GEOM_TOL)).alias("maybe")))
-    cell_pair = [f"a{i}" for i in range(d)] + [f"b{i}" for i in range(d)]
-    sure = sp.where("sure").select(*cell_pair).distinct()
-    maybe = (sp.where("maybe AND NOT sure").join(sure, cell_pair, "left_anti"))
-    pa = pts.select(*[F.col(f"g{i}").alias(f"a{i}") for i in range(d)],
-                    *[F.col(f"u{i}").alias(f"au{i}") for i in range(d)],
-                    *[F.col(f"x{i}").alias(f"x{i}") for i in range(d)])
-    pb = pts.select(*[F.col(f"g{i}").alias(f"b{i}") for i in range(d)],
-                    *[F.col(f"u{i}").alias(f"bu{i}") for i in range(d)],
+    b = subs.select(*[F.col(k).alias(n) for k, n in zip(keys, bk)],
+                    *[F.col(f"u{i}").alias(n) for i, n in enumerate(bu)])
+    sp = judged(a.join(b, bk), levels[0])
+    sure = sp.where("sure").select(*ak, *bk).distinct()
+    maybe = sp.where("not sure").join(sure, ak + bk, "left_anti")
+    last = levels[0]
+    for before, level in zip(levels, levels[1:]):
+        if maybe.limit(1).count() == 0:
+            break
+        fine = pts.select(*keys, *at(before, "p"), *at(level, "c")).distinct()
+        fa = fine.select(*[F.col(k).alias(n) for k, n in zip(keys, ak)],
+                         *[F.col(f"p{i}").alias(n) for i, n in enumerate(au)],
+                         *[F.col(f"c{i}").alias(f"ac{i}") for i in range(d)])
+        fb = fine.select(*[F.col(k).alias(n) for k, n in zip(keys, bk)],
+                         *[F.col(f"p{i}").alias(n) for i, n in enumerate(bu)],
+                         *[F.col(f"c{i}").alias(f"bc{i}") for i in range(d)])
+        cut = maybe.select(*ak, *bk, *au, *bu).join(fa, ak + au).join(fb, bk + bu).select(
+            *ak, *bk, *[F.col(f"ac{i}").alias(n) for i, n in enumerate(au)],
+            *[F.col(f"bc{i}").alias(n) for i, n in enumerate(bu)])
+        sp = judged(cut, level)
+        found = sp.where("sure").select(*ak, *bk).distinct()
+        sure = checkpointed(sure.unionByName(found))
+        maybe = sp.where("not sure").join(found, ak + bk, "left_anti")
+        last = level
+    pa = pts.select(*[F.col(k).alias(n) for k, n in zip(keys, ak)],
+                    *[c.alias(n) for c, n in zip(at(last, "u"), au)], *[f"x{i}" for i in range(d)])
+    pb = pts.select(*[F.col(k).alias(n) for k, n in zip(keys, bk)],
+                    *[c.alias(n) for c, n in zip(at(last, "u"), bu)],
                     *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)])
-    checked = (maybe.join(pa, [f"a{i}" for i in range(d)] + [f"au{i}" for i in range(d)])
-               .join(pb, [f"b{i}" for i in range(d)] + [f"bu{i}" for i in range(d)])
-               .where(_sq_dist(d) <= F.lit(eps * eps)).select(*cell_pair).distinct())
+    checked = (maybe.join(pa, ak + au).join(pb, bk + bu)
+               .where(_sq_dist(d) <= F.lit(eps * eps)).select(*ak, *bk).distinct())
     return sure.unionByName(checked).distinct()
 
 
@@ -227,13 +258,28 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     Exact duplicates are collapsed first (one representative per distinct
     coordinate, the smallest id, with its multiplicity as weight): copies
     share neighbours, core status and label, so a group of copies holding a
-    third of the rows becomes one weighted point. ``neighbours`` is exact
-    for points outside dense cells; inside a dense cell (count >= min_samples,
-    all cores) it is the cell count, a lower bound, since no pairs are
-    enumerated there.
+    third of the rows becomes one weighted point. ``neighbours`` is the number
+    of points within eps, the point included, where it was counted, and null
+    elsewhere: in a dense cell (count >= min_samples, all cores), where no
+    pairs are enumerated, and for a point without a place. A point with a null
+    or NaN coordinate has no place: it is noise.
     """
+    lost = F.lit(False)
+    for c in coords:
+        lost = lost | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    placeless = points.where(lost).select(
+        id_col, F.lit(-1).cast("long").alias("label"), F.lit(False).alias("is_core"),
+        F.lit(None).cast("long").alias("neighbours"))
+    placed = points.where(~lost)
     if len(coords) > FINE_GRID_MAX_DIMS:
-        return _dbscan_labels_coarse(points, id_col, coords, eps, min_samples, grid_dims)
+        found = _dbscan_labels_coarse(placed, id_col, coords, eps, min_samples, grid_dims)
+    else:
+        found = _dbscan_labels_fine(placed, id_col, coords, eps, min_samples)
+    return found.unionByName(placeless)
+
+
+def _dbscan_labels_fine(points: DataFrame, id_col: str, coords: list[str], eps: float,
+                        min_samples: int) -> DataFrame:
     d = len(coords)
     keys = [f"g{i}" for i in range(d)]
     xs = [f"x{i}" for i in range(d)]
@@ -277,7 +323,8 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     border = own.unionByName(nbr).groupBy("id").agg(F.min("label").alias("blabel"))
     per_point = pts.join(core_lab, "id", "left").join(border, "id", "left").select(
         *xs, F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label"),
-        F.col("label").isNotNull().alias("is_core"), F.col("neighbours").cast("long").alias("neighbours"))
+        F.col("label").isNotNull().alias("is_core"),
+        F.when(~F.col("dense"), F.col("neighbours")).cast("long").alias("neighbours"))
     # every copy takes its representative's result (equi-join on coordinates;
     # a heavy coordinate is one row on the build side)
     out = src.join(per_point, xs)

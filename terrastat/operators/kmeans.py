@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from terrastat.operators import features as FE
 from terrastat.operators import profiles as PR
 from terrastat.operators.common import checkpointed
-from terrastat.operators.silhouette import best_k, silhouette_score
+from terrastat.operators.silhouette import best_k, silhouette_means, silhouette_score
 
 # The sweep range, default K, seed and iteration cap.
 SWEEP = range(2, 9)
@@ -63,19 +63,12 @@ def fit_labels(prep: Prepared, k: int = DEFAULT_K, seed: int = SEED):
     return model, labelled
 
 
-def _silhouette(labelled: DataFrame, k_pc: int, method: str) -> float:
-    arr = F.array(*[F.col(c) for c in FE.pc_columns(k_pc)])
-    s = silhouette_score(labelled.select("muni_key", arr.alias("x"), "cluster"),
-                         "muni_key", "x", "cluster", method=method)
-    return float(s.first()["silhouette"] or 0.0)
+def _fits(prep: Prepared, ks, seed: int, parallel: int) -> dict:
+    """k -> (model, labelled, inertia) for every K of the sweep.
 
-
-def _sweep(prep: Prepared, ks, seed: int, method: str, parallel: int) -> dict:
-    """k -> (model, labelled, inertia, silhouette) for every K of the sweep.
-
-    The fits are independent jobs over the same checkpointed scores, so they
-    are submitted together from driver threads (Spark schedules concurrent
-    jobs); each result is deterministic for its seed.
+    The fits are independent jobs over the same stored scores, so they are
+    submitted together from driver threads (Spark schedules concurrent jobs);
+    each result is deterministic for its seed.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -87,22 +80,38 @@ def _sweep(prep: Prepared, ks, seed: int, method: str, parallel: int) -> dict:
         if group:  # the caller's job group (cancellation, attribution) follows the fits
             sc.setJobGroup(group, description or group)
         model, labelled = fit_labels(prep, k, seed)
-        return k, (model, labelled, float(model.summary.trainingCost),
-                   _silhouette(labelled, prep.pca.n_components, method))
+        return k, (model, labelled, float(model.summary.trainingCost))
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         return dict(pool.map(one, [int(k) for k in ks]))
 
 
-def _evaluation_frame(prep: Prepared, fits: dict) -> DataFrame:
-    rows = [(k, v[2], v[3]) for k, v in sorted(fits.items())]
+def _silhouettes(prep: Prepared, models: dict[int, object], method: str) -> dict[int, float]:
+    """k -> mean silhouette; the exact one of all K from one pass."""
+    ks = sorted(models)
+    k_pc = prep.pca.n_components
+    x = F.array(*[F.col(c) for c in FE.pc_columns(k_pc)]).alias("x")
+    rows = _vectors(prep.scores, k_pc)
+    for k in ks:
+        rows = models[k].transform(rows).withColumnRenamed("cluster", f"cluster_{k}")
+    rows = checkpointed(rows.select("muni_key", x, *[f"cluster_{k}" for k in ks]))
+    if method == "exact":
+        got = silhouette_means(rows, "muni_key", "x", [f"cluster_{k}" for k in ks]).collect()
+        return {ks[r.position]: float(r.silhouette or 0.0) for r in got}
+    return {k: float(silhouette_score(rows, "muni_key", "x", f"cluster_{k}", method=method)
+                     .first()["silhouette"] or 0.0) for k in ks}
+
+
+def _evaluation_frame(prep: Prepared, fits: dict, silhouettes: dict) -> DataFrame:
+    rows = [(k, v[2], silhouettes.get(k)) for k, v in sorted(fits.items())]
     return prep.scores.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
 
 
 def evaluate_k(prep: Prepared, ks=SWEEP, seed: int = SEED, method: str = "exact",
                parallel: int = len(SWEEP)) -> DataFrame:
     """M1: (k, inertia, silhouette) for each K in the sweep (7 small rows)."""
-    return _evaluation_frame(prep, _sweep(prep, ks, seed, method, parallel))
+    fits = _fits(prep, ks, seed, parallel)
+    return _evaluation_frame(prep, fits, _silhouettes(prep, {k: v[0] for k, v in fits.items()}, method))
 
 
 @dataclass
@@ -110,31 +119,29 @@ class KMeansResult:
     members: DataFrame        # ids + rates + cluster + cluster_name + pc1/pc2
     names: DataFrame
     profiles: DataFrame
-    evaluation: DataFrame
-    metrics: DataFrame
+    evaluation: DataFrame | None  # None without the sweep
+    metrics: DataFrame | None
 
 
-def run_kmeans(mart: DataFrame, k: int = DEFAULT_K, seed: int = SEED,
-               method: str = "exact") -> KMeansResult:
-    """The whole profiling pipeline: F1-F5, sweep, final fit, naming."""
+def run_kmeans(mart: DataFrame, k: int = DEFAULT_K, seed: int = SEED, method: str = "exact",
+               sweep: bool = True) -> KMeansResult:
+    """The whole profiling pipeline: F1-F5, sweep, final fit, naming. Without
+    ``sweep`` only the final K is fitted and no silhouette is computed."""
     prep = prepare(mart)
-    fits = _sweep(prep, SWEEP, seed, method, len(SWEEP))
-    evaluation = checkpointed(_evaluation_frame(prep, fits))
-    if k in fits:  # same data and seed: the sweep already fitted this K
-        model, labelled, _, final_sil = fits[k]
-    else:
-        model, labelled = fit_labels(prep, k, seed)
-        final_sil = _silhouette(labelled, prep.pca.n_components, method)
-    labelled = checkpointed(labelled)
+    fits = _fits(prep, sorted({k, *SWEEP}) if sweep else [k], seed, len(SWEEP))
+    labelled = checkpointed(fits[k][1])  # same data and seed as a fit of its own
     k_pc = prep.pca.n_components
     pcs = [F.col("pc1"), F.col("pc2") if k_pc > 1 else F.lit(None).cast("double").alias("pc2")]
     lab = prep.rates.join(labelled.select("muni_key", "cluster", *pcs), "muni_key")
     names = checkpointed(PR.cluster_names(lab, prep.features))
     members = PR.members_named(lab, names)
     profiles = PR.cluster_profiles(lab, names, prep.features)
-    best = best_k(evaluation)
-    metrics = best.select(
-        F.lit(final_sil).alias("silhouette_final"), "best_k", "best_silhouette",
+    if not sweep:
+        return KMeansResult(members, names, profiles, None, None)
+    silhouettes = _silhouettes(prep, {n: v[0] for n, v in fits.items()}, method)
+    evaluation = checkpointed(_evaluation_frame(prep, {n: fits[n] for n in SWEEP}, silhouettes))
+    metrics = best_k(evaluation).select(
+        F.lit(silhouettes[k]).alias("silhouette_final"), "best_k", "best_silhouette",
         F.lit(prep.pca.retained_pct).alias("retained_pct"),
         F.lit(prep.pca.n_components).alias("dims"))
     return KMeansResult(members, names, profiles, evaluation, metrics)

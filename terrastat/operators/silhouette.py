@@ -1,12 +1,13 @@
 """Mean silhouette (M2), Euclidean and exact, without materialising pairs.
 
-Points are hashed into T tiles of about ``tile_rows`` rows. Each tile pair
-(a, b) with a <= b is one group holding the points of tile a (left) and
-tile b (right); an Arrow-batched ``applyInPandas`` computes the |a|×|b|
-distance block once in NumPy and emits, per point and per cluster of the
-other side, the distance sum and count (both directions, so symmetric work
-is done once). Groups are bounded by 2·tile_rows rows whatever the skew of labels,
-and the output is (points × clusters) partial sums, never pairs.
+Points are hashed into T tiles of about ``tile_rows`` rows, and each tile is
+packed into one row of arrays. Tile pairs (a, b) with a <= b meet in an
+equi-join on the tile number; an Arrow batch function computes the |a|×|b|
+distance block once in NumPy, for any number of labelings at the same time, and
+returns two packed rows: for each point of a tile and each cluster, the sum of
+distances to the other side. These are added up per tile, T rows each. So the
+shuffle carries about T²/2 packed rows, not a row a point and pair, and a tile
+is bounded by ``tile_rows`` whatever the skew of labels.
 ``method='squared'`` is Spark ML's ClusteringEvaluator (squared Euclidean),
 a different quantity, offered under its own name.
 """
@@ -16,24 +17,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_TILE_ROWS = 2048
-
-_BLOCK_SCHEMA = "id long, label long, other long, dsum double, cnt long"
-
-
-def _sums(ids, labels, dist, other_labels) -> list[pd.DataFrame]:
-    out = []
-    for c in np.unique(other_labels):
-        m = other_labels == c
-        out.append(pd.DataFrame({"id": ids, "label": labels, "other": np.full(len(ids), c),
-                                 "dsum": dist[:, m].sum(axis=1), "cnt": np.full(len(ids), int(m.sum()))}))
-    return out
-
+from terrastat.operators.common import checkpointed
 
+DEFAULT_TILE_ROWS = 4096
 CHUNK_ELEMENTS = 1 << 22  # ~32 MB of float64 differences per chunk
 
 
@@ -49,55 +39,125 @@ def _distances(xl: np.ndarray, xr: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Tile pair (a, b), a <= b: one distance block credits both sides."""
-    left = pdf[pdf["_side"] == 0]
-    right = pdf[pdf["_side"] == 1]
-    if left.empty:
-        return pd.DataFrame({"id": [], "label": [], "other": [], "dsum": [], "cnt": []})
-    same_tile = right.empty  # a == b: the tile is paired with itself
-    if same_tile:
-        right = left
-    xl = np.stack(left["_x"].to_numpy()).astype(np.float64)
-    xr = np.stack(right["_x"].to_numpy()).astype(np.float64)
-    dist = _distances(xl, xr)
-    il, ll = left["_id"].to_numpy(), left["_label"].to_numpy()
-    ir, lr = right["_id"].to_numpy(), right["_label"].to_numpy()
-    parts = _sums(il, ll, dist, lr)
-    if not same_tile:
-        parts += _sums(ir, lr, dist.T, ll)
-    return pd.concat(parts, ignore_index=True)
+def _one_hot(labels: np.ndarray, domains: list[list[int]]) -> np.ndarray:
+    """rows × (clusters of all labelings): which clusters a row is in."""
+    parts = [labels[:, [k]] == np.array(d)[None, :] for k, d in enumerate(domains)]
+    return np.concatenate(parts, axis=1).astype(np.float64)
+
+
+def _tiles(df: DataFrame, id_col: str, x_col: str, label_cols: list[str], tiles: int) -> DataFrame:
+    """(tile, ids, labels, xs): one row a tile, its points in id order."""
+    point = F.struct(F.col(id_col).alias("id"),
+                     F.array(*[F.col(c).cast("long") for c in label_cols]).alias("l"),
+                     F.col(x_col).cast("array<double>").alias("x"))
+    packed = df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(tiles)).alias("tile")).agg(
+        F.array_sort(F.collect_list(point)).alias("p"))  # about tile_rows points
+    return checkpointed(packed.select(
+        "tile", F.transform("p", lambda q: q["id"]).alias("ids"),
+        F.flatten(F.transform("p", lambda q: q["l"])).alias("labels"),
+        F.flatten(F.transform("p", lambda q: q["x"])).alias("xs")))
+
+
+def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str],
+                    tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+    """Per point and labeling: id, position of the label column, label,
+    silhouette s(i) = (b - a)/max(a, b); a singleton cluster's point scores 0.
+    ``x_col`` is an array<double|float> column."""
+    n = df.count()
+    tiles = _tiles(df, id_col, x_col, label_cols, max(1, math.ceil(n / tile_rows)))
+    count = len(label_cols)
+    sizes = df.select(F.posexplode(F.array(*[F.col(c).cast("long") for c in label_cols]))
+                      .alias("k", "label")).groupBy("k", "label").agg(
+        F.count(F.lit(1)).alias("n")).orderBy("k", "label").collect()  # one row a cluster
+    domains = [[r.label for r in sizes if r.k == k] for k in range(count)]
+    cluster_n = np.array([r.n for r in sizes], np.float64)
+
+    left = tiles.select(F.col("tile").alias("a"), F.col("labels").alias("la"), F.col("xs").alias("xa"))
+    right = tiles.select(F.col("tile").alias("b"), F.col("labels").alias("lb"), F.col("xs").alias("xb"))
+    last = F.lit(max(1, math.ceil(n / tile_rows)) - 1).cast("long")
+    pairs = (left.withColumn("b", F.explode(F.sequence(F.col("a").cast("long"), last)))
+             .join(right.withColumn("b", F.col("b").cast("long")), "b"))
+
+    def blocks(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                la = np.array(r["la"], np.int64).reshape(-1, count)
+                lb = np.array(r["lb"], np.int64).reshape(-1, count)
+                xa = np.array(r["xa"], np.float64).reshape(len(la), -1)
+                xb = np.array(r["xb"], np.float64).reshape(len(lb), -1)
+                d = _distances(xa, xb)
+                out = [(r["a"], (d @ _one_hot(lb, domains)).tobytes())]
+                if r["a"] != r["b"]:
+                    out.append((r["b"], (d.T @ _one_hot(la, domains)).tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t for t, _ in out], pa.int64()),
+                     pa.array([m for _, m in out], pa.binary())], names=["tile", "sums"])
+
+    def add(batches):  # sorted by tile
+        tile, total = None, None
+        for batch in batches:
+            for t, m in zip(batch.column("tile").to_pylist(), batch.column("sums").to_pylist()):
+                part = np.frombuffer(m, np.float64)
+                if t != tile:
+                    if tile is not None:
+                        yield _packed(tile, total)
+                    tile, total = t, part.copy()
+                else:
+                    total += part
+        if tile is not None:
+            yield _packed(tile, total)
+
+    def _packed(tile, total):
+        return pa.RecordBatch.from_arrays([pa.array([tile], pa.int64()),
+                                           pa.array([total.tobytes()], pa.binary())],
+                                          names=["tile", "sums"])
+
+    id_type = dict(df.dtypes)[id_col]
+
+    def scores(batches):
+        starts = np.cumsum([0] + [len(d) for d in domains])
+        for batch in batches:
+            ids_of = batch.column("ids")
+            for i, r in enumerate(batch.select(["labels", "sums"]).to_pylist()):
+                labels = np.array(r["labels"], np.int64).reshape(-1, count)
+                sums = np.frombuffer(r["sums"], np.float64).reshape(len(labels), -1)
+                for k, domain in enumerate(domains):
+                    s, size = sums[:, starts[k]:starts[k + 1]], cluster_n[starts[k]:starts[k + 1]]
+                    own = np.searchsorted(domain, labels[:, k])
+                    rows = np.arange(len(labels))
+                    alone = size[own] <= 1
+                    a = s[rows, own] / np.maximum(size[own] - 1, 1)
+                    mean = s / size[None, :]
+                    mean[rows, own] = np.inf
+                    b = mean.min(axis=1)
+                    high = np.maximum(a, b)
+                    ok = ~alone & np.isfinite(b) & (high > 0)
+                    v = np.where(ok, (np.where(ok, b, 0) - a) / np.where(ok, high, 1), 0.0)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids_of[i].values, pa.array(np.full(len(rows), k), pa.int64()),
+                         pa.array(labels[:, k]), pa.array(v)],
+                        names=["id", "position", "label", "silhouette"])
+
+    summed = (pairs.select("a", "b", "la", "lb", "xa", "xb").mapInArrow(blocks, "tile long, sums binary")
+              .repartition("tile").sortWithinPartitions("tile").mapInArrow(add, "tile long, sums binary"))
+    return (tiles.select(F.col("tile").cast("long").alias("tile"), "ids", "labels").join(summed, "tile")
+            .select("ids", "labels", "sums")
+            .mapInArrow(scores, f"id {id_type}, position long, label long, silhouette double"))
 
 
 def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
                        tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
-    """Per-point silhouette s(i) = (b - a)/max(a, b); a singleton cluster's
-    point scores 0. ``x_col`` is an array<double|float> column."""
-    pts = df.select(F.col(id_col).cast("long").alias("_id"),
-                    F.col(label_col).cast("long").alias("_label"),
-                    F.col(x_col).cast("array<double>").alias("_x"))
-    n = pts.count()
-    tiles = max(1, math.ceil(n / tile_rows))
-    t = F.pmod(F.xxhash64("_id"), F.lit(tiles))
-    # a point of tile t is the left side of pairs (t, u >= t) and the right
-    # side of pairs (u < t, t); the diagonal pair (t, t) holds one copy
-    up = F.sequence(t, F.lit(tiles - 1))
-    down = F.when(t > 0, F.sequence(F.lit(0), t - 1)).otherwise(F.array().cast("array<bigint>"))
-    left = pts.select("*", t.alias("_a"), F.explode(up).alias("_b"), F.lit(0).alias("_side"))
-    right = pts.select("*", F.explode(down).alias("_a"), t.alias("_b"), F.lit(1).alias("_side"))
-    sums = (left.unionByName(right).groupBy("_a", "_b").applyInPandas(_block, _BLOCK_SCHEMA)
-            .groupBy("id", "label", "other").agg(F.sum("dsum").alias("dsum"),
-                                                  F.sum("cnt").alias("cnt")))
-    own = F.col("other") == F.col("label")
-    per = sums.groupBy("id", "label").agg(
-        F.max(F.when(own, F.col("cnt"))).alias("n_own"),
-        F.max(F.when(own, F.col("dsum"))).alias("d_own"),
-        F.min(F.when(~own, F.col("dsum") / F.col("cnt"))).alias("b"))
-    a = F.col("d_own") / (F.col("n_own") - 1)
-    b = F.col("b")
-    s = (F.when((F.col("n_own") <= 1) | b.isNull(), F.lit(0.0))
-         .otherwise(F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0))))
-    return per.select(F.col("id").alias(id_col), F.col("label").alias(label_col), s.alias("silhouette"))
+    """``silhouette_many`` for one labeling: id, label, silhouette."""
+    return silhouette_many(df, id_col, x_col, [label_col], tile_rows).select(
+        F.col("id").alias(id_col), F.col("label").alias(label_col), "silhouette")
+
+
+def silhouette_means(df: DataFrame, id_col: str, x_col: str, label_cols: list[str],
+                     tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+    """(position, silhouette): the mean of each labeling, from one pass over
+    the distance blocks."""
+    return silhouette_many(df, id_col, x_col, label_cols, tile_rows).groupBy("position").agg(
+        F.avg("silhouette").alias("silhouette"))
 
 
 def silhouette_score(df: DataFrame, id_col: str, x_col: str, label_col: str,

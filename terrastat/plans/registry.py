@@ -25,7 +25,7 @@ from terrastat.operators import kmeans as KM
 from terrastat.operators import pareto as P
 from terrastat.operators import profiles as PR
 from terrastat.operators.common import checkpointed
-from terrastat.operators.silhouette import best_k, silhouette_score
+from terrastat.operators.silhouette import best_k, silhouette_means, silhouette_score
 from terrastat.session import scratch_path
 from terrastat.sources import fixtures as fx
 from terrastat.sources.tables import read_table
@@ -470,22 +470,24 @@ def _embeddings(spark, sf):
     return read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
 
 
+SILHOUETTE_TILE = 200  # several tiles at every scale of the driver's tables
+
+
 def silhouette_exact(spark, sf):
-    s = silhouette_score(_embeddings(spark, sf), "vec_id", "embedding", "label")
+    s = silhouette_score(_embeddings(spark, sf), "vec_id", "embedding", "label",
+                         tile_rows=SILHOUETTE_TILE)
     return s.select(r6("silhouette").alias("silhouette"))
 
 
 def silhouette_sweep(spark, sf):
     """Exact silhouette of the labelings vec_id % K, K = 2..8 (an evaluation
-    table computed from the data)."""
-    emb = _embeddings(spark, sf)
-    out = None
-    for k in SWEEP_KS:
-        lab = emb.select("vec_id", "embedding", F.pmod(F.col("vec_id"), F.lit(k)).alias("lk"))
-        s = silhouette_score(lab, "vec_id", "embedding", "lk").select(
-            F.lit(k).cast("bigint").alias("k"), r6("silhouette").alias("silhouette"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    table computed from the data), all from one pass over the blocks."""
+    emb = _embeddings(spark, sf).select("vec_id", "embedding", *[
+        F.pmod(F.col("vec_id"), F.lit(k)).alias(f"l{k}") for k in SWEEP_KS])
+    means = silhouette_means(emb, "vec_id", "embedding", [f"l{k}" for k in SWEEP_KS],
+                             tile_rows=SILHOUETTE_TILE)
+    return means.select((F.col("position") + SWEEP_KS[0]).cast("bigint").alias("k"),
+                        r6("silhouette").alias("silhouette"))
 
 
 def best_k_query(spark, sf):
@@ -603,12 +605,12 @@ def dbscan_display(spark, sf):
 
 def kmeans_cluster_names(spark, sf):
     """M5-M9 on the real K-Means labels (K = 4)."""
-    return KM.run_kmeans(fx.mart(spark, sf)).names
+    return KM.run_kmeans(fx.mart(spark, sf), sweep=False).names
 
 
 def kmeans_profiles(spark, sf):
     """M10 on the real K-Means labels, long form."""
-    return KM.run_kmeans(fx.mart(spark, sf)).profiles
+    return KM.run_kmeans(fx.mart(spark, sf), sweep=False).profiles
 
 
 def dbscan_pipeline_outliers(spark, sf):
