@@ -136,16 +136,18 @@ class Models:
                 breaks.add(len(symbols))
                 symbols += self.symbols([f])[0].tolist()
             nxt = suffix_automaton(symbols, breaks)
-            # (target state * width) * 2 + 1 where a phrase ended before the symbol
-            table = np.empty((len(nxt), self.width), np.int64)
-            restart = np.zeros(self.width, np.int64)
+            # (target state * width) * 2, + 1 where a phrase starts at the symbol;
+            # the last state follows a symbol that the sample lacks
+            lacking = len(nxt)
+            restart = np.full(self.width, lacking, np.int64)
             for c, q in nxt[0].items():
                 restart[c] = q
+            table = np.empty((len(nxt) + 1, self.width), np.int64)
             table[:] = restart * self.width * 2 + 1
             for s, row in enumerate(nxt):
                 for c, q in row.items():
                     table[s, c] = q * self.width * 2
-            table[0] = restart * self.width * 2 + (restart == 0)  # the first phrase counts apart
+            table[0] = restart * self.width * 2  # a text's first phrase is counted apart
             small = np.int32 if table.size * 2 < 2 ** 31 else np.int64
             self.tables.append(table.astype(small).ravel())
             self.weights.append(math.log2(max(2, len(symbols))))
