@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.functions.records import SETTLEMENT_LABELS, settlement_class
@@ -44,24 +44,26 @@ def contingency(inc: DataFrame, labels=SETTLEMENT_LABELS) -> DataFrame:
         F.sum(F.when(F.col("settlement") == lab, F.col("total"))).alias(lab) for lab in labels])
     stacked = ", ".join(f"'{lab}', coalesce(`{lab}`, 0L)" for lab in labels)
     long = wide.selectExpr("legal_good", f"stack({len(labels)}, {stacked}) as (settlement, observed)")
-    # the only full-data pass: materialise the (#goods x 3) table once, every
-    # later step (marginals, expected counts, residuals) reads it
-    long = checkpointed(long.withColumn("observed", F.col("observed").cast("bigint")))
-    rows = long.groupBy("legal_good").agg(F.sum("observed").alias("_r"))
-    cols = long.groupBy("settlement").agg(F.sum("observed").alias("_c"))
-    keep = (long.join(rows.where(F.col("_r") > 0).select("legal_good"), "legal_good", "left_semi")
-            .join(F.broadcast(cols.where(F.col("_c") > 0).select("settlement")),  # <= 3 rows
-                  "settlement", "left_semi"))
+    long = long.withColumn("observed", F.col("observed").cast("bigint"))
+    marginals = long.select("*", *_marginals())  # #goods x 3 rows
+    keep = marginals.where((F.col("row_total") > 0) & (F.col("col_total") > 0))
+    # the only full-data pass: store the table once, every later step (marginals,
+    # expected counts, residuals) reads it
     return checkpointed(keep.select("legal_good", "settlement", "observed"))
 
 
+def _marginals() -> list[F.Column]:
+    """Row and column totals beside every cell of the contingency table."""
+    total = F.sum("observed")
+    return [total.over(Window.partitionBy("legal_good")).alias("row_total"),
+            total.over(Window.partitionBy("settlement")).alias("col_total")]
+
+
 def expected_cells(table: DataFrame) -> DataFrame:
-    """Observed, expected = row·col/N, with the marginals joined back."""
-    rows = table.groupBy("legal_good").agg(F.sum("observed").alias("row_total"))
-    cols = table.groupBy("settlement").agg(F.sum("observed").alias("col_total"))
+    """Observed, expected = row·col/N."""
     n = table.select(F.sum("observed").alias("n")).scalar()
-    return (table.join(rows, "legal_good").join(F.broadcast(cols), "settlement")  # <= 3 rows
-            .withColumn("expected", F.col("row_total").cast("double") * F.col("col_total") / n))
+    return table.select("*", *_marginals()).withColumn(
+        "expected", F.col("row_total").cast("double") * F.col("col_total") / n)
 
 
 def chi_square(table: DataFrame) -> DataFrame:
