@@ -10,7 +10,9 @@ Plan, every step over all documents:
    ``CHUNK_CODES`` codes, the ``HOT_MAX`` most counted. Any order gives the same
    links; this one keeps a passage that many documents share out of the keys. A
    *bucket* is the classes with one prefix shingle. Class and place travel, not
-   the sets; a bucket row stays only if size and place leave it a partner.
+   the sets; a bucket row stays only if size and place leave it a partner, and
+   of buckets with the same classes only the first by code stays, since a pair
+   can't meet there for the first time in a later one.
 3. In a bucket a *signature tree* is built over the classes by size. A leaf holds
    ``LEAF`` bitmaps of one bit a shingle or more, a node the OR of its children's
    bitmaps, the size range and the largest ``n - bits`` (shingles that share a
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.llm.common import staged
-from terrastat.llm.shingles import set_id, shingle_set
+from terrastat.llm.shingles import mix, set_id, shingle_set
 from terrastat.operators.components import connected_components
 
 PERCENT = 80
@@ -157,8 +159,16 @@ def _has_partner(cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarra
     return ok
 
 
+def _member_ids(cls: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A code of the set of classes of each run that starts at ``edge``."""
+    x = np.add.reduceat(mix(cls.astype(np.uint64) ^ np.uint64(0xA5A5A5A5DEADBEEF)), edge)
+    y = np.add.reduceat(mix(cls.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), edge)
+    return (mix(x ^ (y << np.uint64(1))) >> np.uint64(1)).astype(np.int64)
+
+
 def viable(rows: DataFrame) -> DataFrame:
-    """Prefix rows with a possible partner in their bucket, a class once."""
+    """Prefix rows with a possible partner in their bucket, a class once, and
+    ``members``, a code of the bucket's classes that stay."""
 
     def judge(code, cls, n, place):
         """Mask over whole buckets, sorted by code."""
@@ -184,7 +194,7 @@ def viable(rows: DataFrame) -> DataFrame:
             if flood is not None:
                 passed = cols[0] == flood
                 if passed.any():
-                    yield _rows(*[c[passed] for c in cols])
+                    yield _rows(*[c[passed] for c in cols], whole=False)
                 cols = [c[~passed] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -198,19 +208,30 @@ def viable(rows: DataFrame) -> DataFrame:
                 yield _rows(*[c[keep] for c in done])
             if len(held[0]) > VIABLE_MAX:  # all of it stays: exact, only less pruned
                 flood = int(held[0][0])
-                yield _rows(*held)
+                yield _rows(*held, whole=False)
                 held = None
         if held is not None:
             keep = judge(*held)
             yield _rows(*[c[keep] for c in held])
 
-    def _rows(code, cls, n, place):
+    def _rows(code, cls, n, place, whole=True):
+        members = code
+        if whole and len(code):
+            edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            members = np.repeat(_member_ids(cls, edge), np.diff(np.append(edge, len(code))))
         return pa.RecordBatch.from_arrays(
             [pa.array(code), pa.array(cls), pa.array(n.astype(np.int32)),
-             pa.array(place.astype(np.int32))], names=["code", "class", "n", "place"])
+             pa.array(place.astype(np.int32)), pa.array(members)],
+            names=["code", "class", "n", "place", "members"])
 
     return (rows.repartition("code").sortWithinPartitions("code")
-            .mapInArrow(run, "code bigint, class bigint, n int, place int"))
+            .mapInArrow(run, "code bigint, class bigint, n int, place int, members bigint"))
+
+
+def first_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of the first bucket, by code, of each set of classes."""
+    first = rows.groupBy("members").agg(F.min("code").alias("code"))
+    return rows.join(first, ["members", "code"], "left_semi").drop("members")
 
 
 # ---- signatures -------------------------------------------------------------
@@ -261,9 +282,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame, few: bool, *, id_col: str = "
                                                                 pa.binary(), pa.binary()))],
                     names=["class", "n", "codes", "bitmap"])
 
-    # one document an id as a rule; an id that repeats can bring others
-    return (rows.select("text").mapInArrow(run, "class bigint, n int, codes binary, bitmap binary")
-            .dropDuplicates(["class"]))
+    sets = staged(rows.select("text").mapInArrow(
+        run, "class bigint, n int, codes binary, bitmap binary"), "jac-class-sets")
+    # one document an id as a rule; ids that repeat can bring a class again
+    seen = sets.agg(F.count("class").alias("n"), F.countDistinct("class").alias("d")).first()
+    return sets if seen["n"] == seen["d"] else staged(sets.dropDuplicates(["class"]),
+                                                      "jac-class-sets")
 
 
 # ---- signature trees --------------------------------------------------------
@@ -465,7 +489,12 @@ def verified(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (na + nb - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = (F.broadcast(pairs) if few else pairs).join(a, "a").join(b, "b")
+    if few:
+        ends = pairs.select("b").distinct()
+        joined = F.broadcast(pairs).join(a, "a").join(
+            b.join(F.broadcast(ends), "b", "left_semi"), "b")
+    else:
+        joined = pairs.join(a, "a").join(b, "b")
     return joined.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -485,15 +514,14 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id",
     hot = (found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
            .orderBy(F.col("n").desc(), "a").limit(HOT_MAX).collect())
     rows = prefixes(docs, np.sort(np.array([r["a"] for r in hot], np.uint64)), text_col=text_col)
-    buckets = staged(viable(rows), "jac-buckets")
+    buckets = staged(first_buckets(staged(viable(rows), "jac-viable")), "jac-buckets")
 
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     lists = buckets.groupBy("class").agg(F.array_sort(F.collect_set("code")).alias("l"))
     holder = meta.groupBy(F.col("class").alias("m_class")).agg(F.min(key).alias("id"))
     wanted = staged(lists.join(holder, F.col("class") == F.col("m_class"))
                     .select("class", "id", "l"), "jac-wanted")
-    sets = staged(class_sets(docs, wanted, _few(wanted), id_col=id_col, text_col=text_col),
-                  "jac-class-sets")
+    sets = class_sets(docs, wanted, _few(wanted), id_col=id_col, text_col=text_col)
 
     def as_bytes(batches):
         for batch in batches:
