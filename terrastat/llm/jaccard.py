@@ -18,13 +18,13 @@ Plan, every step over all documents:
    bitmaps, the size range and the largest ``n - bits`` (shingles that share a
    bit). Two node sets are traversed together; ``common bits + the smaller
    excess`` bounds any overlap below them, and node pairs whose bound or size
-   ratio can't reach the threshold are pruned, as are nodes of one component. A
-   pair comes out only in the bucket of its first common shingle, so once.
+   ratio can't reach the threshold are pruned, as are nodes of one component.
 4. Pairs are verified on the whole sets. A first round meets each bucket's
    ``LEADS`` smallest classes with all others; its links make components. The
-   second round meets every other pair of classes in different components, so a
-   large group of near copies costs few pairs and no link between components is
-   missed. Buckets over ``BLOCK`` classes are cut into blocks, all pairs of
+   second round takes the buckets that still hold two components and meets every
+   pair of classes in different ones, each in the bucket of its first common
+   shingle, so once. A large group of near copies thus costs few pairs, and no
+   link between components is missed. Buckets over ``BLOCK`` classes are cut into blocks, all pairs of
    blocks being separate groups, so a task's memory is bounded.
 
 Defined cases: a null, empty or wordless text has the empty set, no links and
@@ -53,6 +53,7 @@ VIABLE_MAX = 20_000
 BLOCK = 4096
 LEADS = 8
 LEAF, FAN = 32, 8
+SENT_MAX = 500_000
 BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
 
@@ -398,7 +399,9 @@ def _bucket_pairs(code: int, side: list[int], cls, n, place, comp, maps, lists,
     before = [None] * len(cls)
 
     def first(i: int, j: int) -> bool:
-        """No earlier common viable shingle."""
+        """No earlier common bucket."""
+        if stars:
+            return True
         for k in (i, j):
             if before[k] is None:
                 own = np.frombuffer(lists[k], "<i8")
@@ -421,27 +424,37 @@ def _bucket_pairs(code: int, side: list[int], cls, n, place, comp, maps, lists,
             yield min(cls[i], cls[j]), max(cls[i], cls[j])
 
 
-def tree_pairs(rows: DataFrame, stars: bool) -> DataFrame:
-    """(a, b) from bucket rows (code, class, n, place, comp, bitmap, codes_list),
-    cut into groups of at most two blocks."""
+def tree_pairs(rows: DataFrame, sets: DataFrame, stars: bool) -> DataFrame:
+    """Distinct (a, b) from bucket rows (code, class, n, place, comp), of the
+    buckets with two components, cut into groups of at most two blocks."""
     per = rows.groupBy(F.col("code").alias("p_code")).agg(F.count(F.lit(1)).alias("rows"),
                                                           F.min("comp").alias("c0"),
                                                           F.max("comp").alias("c1"))
     live = per.where("c0 <> c1").select(
         "p_code", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    open_rows = staged(rows.join(live, F.col("code") == F.col("p_code")).drop("p_code"), "jac-open")
+    bitmaps = sets.select("class", "bitmap")
+    if stars:
+        signed = open_rows.join(bitmaps, "class").withColumn("seen", F.lit(b""))
+    else:  # with the codes of each class's open buckets
+        lists = open_rows.groupBy("class").agg(F.array_sort(F.collect_set("code")).alias("l"))
+        signed = open_rows.join(bitmaps.join(lists.mapInArrow(
+            _as_bytes, "class bigint, seen binary"), "class"), "class")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    cut = (rows.join(live, F.col("code") == F.col("p_code")).withColumn("side", own)
+    cut = (signed.withColumn("side", own)
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .select("code", F.least("side", "other").alias("i"),
                    F.greatest("side", "other").alias("j"), "side", "class", "n", "place", "comp",
                    "bitmap", "seen"))
 
     def run(batches):
-        key, held = None, []
+        key, held, sent = None, [], set()
 
         def flush():
             if len(held) < 2:
                 return None
+            if len(sent) > SENT_MAX:
+                sent.clear()
             cls = [r["class"] for r in held]
             pairs = list(_bucket_pairs(
                 key[0], [r["side"] for r in held], cls, np.array([r["n"] for r in held], np.int64),
@@ -449,6 +462,8 @@ def tree_pairs(rows: DataFrame, stars: bool) -> DataFrame:
                 np.array([r["comp"] for r in held], np.int64),
                 [np.frombuffer(r["bitmap"], np.uint64) for r in held],
                 [r["seen"] for r in held], stars))
+            pairs = [p for p in pairs if p not in sent]
+            sent.update(pairs)
             if not pairs:
                 return None
             a, b = zip(*pairs)
@@ -467,7 +482,14 @@ def tree_pairs(rows: DataFrame, stars: bool) -> DataFrame:
             yield out
 
     return (cut.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
-            .mapInArrow(run, "a bigint, b bigint"))
+            .mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def _as_bytes(batches):
+    for batch in batches:
+        raw = [np.asarray(x.values, "<i8").tobytes() for x in batch.column("l")]
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(raw, pa.binary())],
+                                         names=["class", "seen"])
 
 
 # ---- verification and components --------------------------------------------
@@ -517,30 +539,17 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id",
     buckets = staged(first_buckets(staged(viable(rows), "jac-viable")), "jac-buckets")
 
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    lists = buckets.groupBy("class").agg(F.array_sort(F.collect_set("code")).alias("l"))
     holder = meta.groupBy(F.col("class").alias("m_class")).agg(F.min(key).alias("id"))
-    wanted = staged(lists.join(holder, F.col("class") == F.col("m_class"))
-                    .select("class", "id", "l"), "jac-wanted")
+    wanted = staged(buckets.select("class").distinct().join(
+        holder, F.col("class") == F.col("m_class")).select("class", "id"), "jac-wanted")
     sets = class_sets(docs, wanted, _few(wanted), id_col=id_col, text_col=text_col)
 
-    def as_bytes(batches):
-        for batch in batches:
-            l = batch.column("l")
-            raw = [np.asarray(x.values, "<i8").tobytes() for x in l]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(raw, pa.binary())],
-                                             names=["class", "seen"])
-
-    signed = (sets.select("class", "bitmap")
-              .join(wanted.select("class", "l").mapInArrow(as_bytes, "class bigint, seen binary"),
-                    "class"))
-    full = buckets.join(signed, "class")
-
-    pairs = staged(tree_pairs(full.withColumn("comp", F.col("class")), True), "jac-pairs")
+    pairs = staged(tree_pairs(buckets.withColumn("comp", F.col("class")), sets, True), "jac-pairs")
     links = staged(verified(pairs, sets, _few(pairs)), "jac-links")
     comps = _components(spark, links)
-    labelled = full.join(comps.select(F.col("id").alias("class"), "comp"), "class", "left").select(
-        "code", "class", "n", "place", F.coalesce("comp", "class").alias("comp"), "bitmap", "seen")
-    pairs = staged(tree_pairs(labelled, False), "jac-pairs")
+    labelled = buckets.join(comps.select(F.col("id").alias("class"), "comp"), "class", "left").select(
+        "code", "class", "n", "place", F.coalesce("comp", "class").alias("comp"))
+    pairs = staged(tree_pairs(labelled, sets, False), "jac-pairs")
     more = staged(verified(pairs, sets, _few(pairs)), "jac-links")
     if more.limit(1).count():
         comps = _components(spark, links.unionByName(more))
@@ -558,9 +567,11 @@ def _components(spark, links: DataFrame) -> DataFrame:
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component)."""
     linked = staged(link_components(docs, id_col=id_col, text_col=text_col), "jac-documents")
-    least = (linked.where("component is not null").groupBy(F.col("component").alias("c"))
-             .agg(F.min("doc_id").alias("least")))
-    return linked.join(least, F.col("component") == F.col("c"), "left").select(
+    least = staged(linked.where("component is not null").groupBy(F.col("component").alias("c"))
+                   .agg(F.min("doc_id").alias("least")), "jac-least")
+    # a large component is many rows of one key: no shuffle where the frame is small
+    return linked.join(F.broadcast(least) if _few(least) else least,
+                       F.col("component") == F.col("c"), "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
         .alias("component_id"))
