@@ -20,10 +20,10 @@ Plan, every step over all documents:
    excess`` bounds any overlap below them, and node pairs whose bound or size
    ratio can't reach the threshold are pruned, as are nodes of one component.
 4. Pairs are verified on the whole sets. A first round meets each bucket's
-   ``LEADS`` smallest classes with all others; its links make components. The
-   second round takes the buckets that still hold two components and meets every
-   pair of classes in different ones, each in the bucket of its first common
-   shingle, so once. A large group of near copies thus costs few pairs, and no
+   ``LEADS`` smallest classes with all others and verifies, for each class, the
+   lead of the highest bound; the links make components. The second round takes
+   the buckets that still hold two components and meets every pair of classes in
+   different ones, each in the bucket of its first common shingle, so once. A large group of near copies thus costs few pairs, and no
    link between components is missed. Buckets over ``BLOCK`` classes are cut into blocks, all pairs of
    blocks being separate groups, so a task's memory is bounded.
 
@@ -53,11 +53,18 @@ VIABLE_MAX = 20_000
 BLOCK = 4096
 LEADS = 8
 LEAF, FAN = 32, 8
-SENT_MAX = 500_000
+SLICE_ROWS = 512
 BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
 
 
+def _slices(batches, rows: int = SLICE_ROWS):
+    """Short batches: a batch of long texts and its sets would fill a worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 # ---- sets and prefixes ------------------------------------------------------
 
 def _codes48(codes: np.ndarray) -> np.ndarray:
@@ -90,7 +97,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             return pa.RecordBatch.from_arrays([pa.array(c, t or pa.int64()) for c, t in
                                                zip(cols, types)], names=["kind", "a", "b", "c"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column("text").to_pylist()
             sets = [shingle_set(t) for t in texts]
             ids = [set_id(s) if len(s) else 0 for s in sets]
@@ -120,7 +127,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, *, text_col: str = "text") -> Dat
 
     def run(batches):
         hot, seen = shared.value, set()
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text)
@@ -270,7 +277,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, few: bool, *, id_col: str = "
         F.broadcast(ids) if few else ids, F.col("id") == F.col("w_id"), "left_semi")
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text)
@@ -360,7 +367,8 @@ def _may_link(x: Node, y: Node) -> bool:
 
 
 def traverse(x: Node, y: Node, n: np.ndarray, rest: np.ndarray, comp: np.ndarray):
-    """Row pairs of two trees whose bound, sizes and places allow a link."""
+    """(row, row, overlap bound) of two trees' rows whose bound, sizes and places
+    allow a link."""
     stack = [(x, y)]
     while stack:
         a, b = stack.pop()
@@ -387,11 +395,11 @@ def traverse(x: Node, y: Node, n: np.ndarray, rest: np.ndarray, comp: np.ndarray
         if a is b:
             ok &= np.triu(np.ones_like(ok), 1)
         for i, j in zip(*np.nonzero(ok)):
-            yield int(ra[i]), int(rb[j])
+            yield int(ra[i]), int(rb[j]), int(bound[i, j])
 
 
 def _bucket_pairs(code: int, side: list[int], cls, n, place, comp, maps, lists, stars: bool):
-    """Pairs of one group: block against block, or a block with itself."""
+    """(a, b, score) of one group: block against block, or a block with itself."""
     rest = n - place
     order = sorted(range(len(cls)), key=lambda i: cls[i])
     leads = set(order[:LEADS])
@@ -414,19 +422,26 @@ def _bucket_pairs(code: int, side: list[int], cls, n, place, comp, maps, lists,
         found = traverse(lead_tree, lead_tree, n, rest, comp)
         more = traverse(lead_tree, build(others, n, maps, comp), n, rest, comp) if others else ()
         pairs = [*found, *more]
-    elif others:
-        tree = build(others, n, maps, comp)
-        pairs = traverse(tree, tree, n, rest, comp)
     else:
-        pairs = []
-    for i, j in pairs:
-        if (not cross or side[i] != side[j]) and first(i, j):
-            yield min(cls[i], cls[j]), max(cls[i], cls[j])
+        tree = build(order, n, maps, comp)
+        pairs = traverse(tree, tree, n, rest, comp)
+    best: dict[int, tuple] = {}
+    for i, j, bound in pairs:
+        if (cross and side[i] == side[j]) or not first(i, j):
+            continue
+        a, b = sorted((cls[i], cls[j]))
+        if stars:  # the likeliest lead of each class
+            best[b] = max(best.get(b, (0.0, 0)), (bound / (int(n[i]) + int(n[j]) - bound), a))
+        else:
+            yield a, b, 0.0
+    for b, (score, a) in best.items():
+        yield a, b, score
 
 
 def tree_pairs(rows: DataFrame, sets: DataFrame, stars: bool) -> DataFrame:
     """Distinct (a, b) from bucket rows (code, class, n, place, comp), of the
-    buckets with two components, cut into groups of at most two blocks."""
+    buckets with two components, cut into groups of at most two blocks. With
+    ``stars``, one ``a`` for each ``b``: the lead of the highest bound."""
     per = rows.groupBy(F.col("code").alias("p_code")).agg(F.count(F.lit(1)).alias("rows"),
                                                           F.min("comp").alias("c0"),
                                                           F.max("comp").alias("c1"))
@@ -448,13 +463,11 @@ def tree_pairs(rows: DataFrame, sets: DataFrame, stars: bool) -> DataFrame:
                    "bitmap", "seen"))
 
     def run(batches):
-        key, held, sent = None, [], set()
+        key, held = None, []
 
         def flush():
             if len(held) < 2:
                 return None
-            if len(sent) > SENT_MAX:
-                sent.clear()
             cls = [r["class"] for r in held]
             pairs = list(_bucket_pairs(
                 key[0], [r["side"] for r in held], cls, np.array([r["n"] for r in held], np.int64),
@@ -462,13 +475,12 @@ def tree_pairs(rows: DataFrame, sets: DataFrame, stars: bool) -> DataFrame:
                 np.array([r["comp"] for r in held], np.int64),
                 [np.frombuffer(r["bitmap"], np.uint64) for r in held],
                 [r["seen"] for r in held], stars))
-            pairs = [p for p in pairs if p not in sent]
-            sent.update(pairs)
             if not pairs:
                 return None
-            a, b = zip(*pairs)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                              names=["a", "b"])
+            a, b, score = zip(*pairs)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())],
+                names=["a", "b", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -481,8 +493,11 @@ def tree_pairs(rows: DataFrame, sets: DataFrame, stars: bool) -> DataFrame:
         if (out := flush()) is not None:
             yield out
 
-    return (cut.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
-            .mapInArrow(run, "a bigint, b bigint").distinct())
+    found = (cut.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
+             .mapInArrow(run, "a bigint, b bigint, score double"))
+    if stars:
+        return found.groupBy("b").agg(F.max(F.struct("score", "a")).alias("m")).select("m.a", "b")
+    return found.select("a", "b").distinct()
 
 
 def _as_bytes(batches):
@@ -500,7 +515,7 @@ def verified(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
     b = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"))
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for na, nb, ca, cb in zip(*(batch.column(c).to_pylist()
                                         for c in ("na", "nb", "ca", "cb"))):
@@ -511,10 +526,10 @@ def verified(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (na + nb - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    if few:
-        ends = pairs.select("b").distinct()
-        joined = F.broadcast(pairs).join(a, "a").join(
-            b.join(F.broadcast(ends), "b", "left_semi"), "b")
+    if few:  # sets of b go to a, whose classes are fewer
+        ends = pairs.select("a").distinct()
+        joined = F.broadcast(pairs).join(b, "b").join(
+            a.join(F.broadcast(ends), "a", "left_semi"), "a")
     else:
         joined = pairs.join(a, "a").join(b, "b")
     return joined.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a bigint, b bigint")
