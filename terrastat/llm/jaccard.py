@@ -10,9 +10,12 @@ Plan, every step over all documents:
    ``CHUNK_CODES`` codes, the ``HOT_MAX`` most counted. Any order gives the same
    links; this one keeps a passage that many documents share out of the keys. A
    *bucket* is the classes with one prefix shingle. Class and place travel, not
-   the sets; a bucket row stays only if size and place leave it a partner, and
-   of buckets with the same classes only the first by code stays, since a pair
-   can't meet there for the first time in a later one.
+   the sets. A bucket row stays only if size and place leave it a partner. With
+   a prefix longer by a part ``b`` of the size, two sets share at least one more
+   shingle for each that both prefixes gained, so a class that shares fewer with
+   anyone of its size range goes: chance collisions of unrelated texts end here.
+   Of buckets with the same classes only the first by code stays, since a pair
+   can't meet for the first time in a later one.
 3. In a bucket a *signature tree* is built over the classes by size. A leaf holds
    ``LEAF`` bitmaps of one bit a shingle or more, a node the OR of its children's
    bitmaps, the size range and the largest ``n - bits`` (shingles that share a
@@ -42,10 +45,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.llm.common import staged
-from terrastat.llm.shingles import mix, set_id, shingle_set
+from terrastat.llm.shingles import set_id, shingle_set
 from terrastat.operators.components import connected_components
 
 PERCENT = 80
+EXTRA_PERCENT = 8
 CHUNK_CODES = 2_000_000
 HOT_LOCAL = 5
 HOT_MAX = 200_000
@@ -77,9 +81,15 @@ def _needed(a, b):
 
 
 def _prefix(n: int) -> int:
+    """Two linked sets share a shingle in their first so many."""
     return n - -(-PERCENT * n // 100) + 1
 
 
+def _extra(n: int) -> int:
+    """With so many more, they share one more for each that both have."""
+    return EXTRA_PERCENT * n // 100
+
+
 def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """kind 0: (doc_id, class, n) a document; kind 1: (code, count) of shingles
     that recur within a chunk of distinct sets."""
@@ -138,7 +148,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, *, text_col: str = "text") -> Dat
                 at = np.minimum(np.searchsorted(hot, codes), max(0, len(hot) - 1))
                 late = hot[at] == codes if len(hot) else np.zeros(len(codes), bool)
                 order = np.concatenate([codes[~late], codes[late] + np.uint64(1 << 48)])
-                first = order[:_prefix(len(s))].astype(np.int64)
+                first = order[:_prefix(len(s)) + _extra(len(s))].astype(np.int64)
                 out.append((first, np.full(len(first), i), np.full(len(first), len(s), np.int32),
                             np.arange(len(first), dtype=np.int32)))
             if out:
@@ -152,47 +162,45 @@ def prefixes(docs: DataFrame, hot: np.ndarray, *, text_col: str = "text") -> Dat
 
 # ---- buckets ----------------------------------------------------------------
 
-def _has_partner(cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Rows of one bucket that size and place leave a partner of another class.
-    With this shingle the first in common, an overlap is at most what remains."""
+def _has_partner(cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple:
+    """Rows of one bucket with a partner of another class by size, and by size
+    and place: with this shingle the first in common, an overlap is at most what
+    remains."""
     rest = n - place
-    ok = np.zeros(len(n), bool)
+    sized, first = np.zeros(len(n), bool), np.zeros(len(n), bool)
     for lo in range(0, len(n), 256):
         a = slice(lo, lo + 256)
         need = _needed(n[a, None], n[None, :])
-        ok[a] = ((cls[a, None] != cls[None, :]) & (rest[a, None] >= need)
-                 & (rest[None, :] >= need)
-                 & (100 * np.minimum(n[a, None], n[None, :])
-                    >= PERCENT * np.maximum(n[a, None], n[None, :]))).any(axis=1)
-    return ok
-
-
-def _member_ids(cls: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """A code of the set of classes of each run that starts at ``edge``."""
-    x = np.add.reduceat(mix(cls.astype(np.uint64) ^ np.uint64(0xA5A5A5A5DEADBEEF)), edge)
-    y = np.add.reduceat(mix(cls.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), edge)
-    return (mix(x ^ (y << np.uint64(1))) >> np.uint64(1)).astype(np.int64)
+        fit = ((cls[a, None] != cls[None, :])
+               & (100 * np.minimum(n[a, None], n[None, :])
+                  >= PERCENT * np.maximum(n[a, None], n[None, :])))
+        sized[a] = fit.any(axis=1)
+        first[a] = (fit & (rest[a, None] >= need) & (rest[None, :] >= need)).any(axis=1)
+    return sized, first
 
 
 def viable(rows: DataFrame) -> DataFrame:
-    """Prefix rows with a possible partner in their bucket, a class once, and
-    ``members``, a code of the bucket's classes that stay."""
+    """Prefix rows with a partner by size in their bucket, a class once, and
+    ``first``: whether the bucket can be the first that two classes share."""
 
     def judge(code, cls, n, place):
-        """Mask over whole buckets, sorted by code."""
-        keep = np.zeros(len(code), bool)
+        """Masks over whole buckets, sorted by code."""
+        keep, first = np.zeros(len(code), bool), np.zeros(len(code), bool)
         edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         size = np.diff(np.append(edge, len(code)))
         two = edge[size == 2]  # most buckets: tested all at once
-        need = _needed(n[two], n[two + 1])
-        good = two[(cls[two] != cls[two + 1]) & (n[two] - place[two] >= need)
-                   & (n[two + 1] - place[two + 1] >= need)]
-        keep[good] = keep[good + 1] = True
+        a, b = n[two], n[two + 1]
+        fit = ((cls[two] != cls[two + 1])
+               & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)))
+        need = _needed(a, b)
+        early = fit & (a - place[two] >= need) & (b - place[two + 1] >= need)
+        for mask, good in ((keep, two[fit]), (first, two[early])):
+            mask[good] = mask[good + 1] = True
         for e, z in zip(edge[size > 2], size[size > 2]):
             own = np.unique(cls[e:e + z], return_index=True)[1] + e
             if len(own) > 1:
-                keep[own] = _has_partner(cls[own], n[own], place[own])
-        return keep
+                keep[own], first[own] = _has_partner(cls[own], n[own], place[own])
+        return keep, first
 
     def run(batches):
         names = ["code", "class", "n", "place"]
@@ -202,7 +210,7 @@ def viable(rows: DataFrame) -> DataFrame:
             if flood is not None:
                 passed = cols[0] == flood
                 if passed.any():
-                    yield _rows(*[c[passed] for c in cols], whole=False)
+                    yield _rows(cols, passed, passed)
                 cols = [c[~passed] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -212,34 +220,42 @@ def viable(rows: DataFrame) -> DataFrame:
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             done, held = [c[:last] for c in cols], [c[last:] for c in cols]
             if last:
-                keep = judge(*done)
-                yield _rows(*[c[keep] for c in done])
+                yield _rows(done, *judge(*done))
             if len(held[0]) > VIABLE_MAX:  # all of it stays: exact, only less pruned
                 flood = int(held[0][0])
-                yield _rows(*held, whole=False)
+                every = np.ones(len(held[0]), bool)
+                yield _rows(held, every, every)
                 held = None
         if held is not None:
-            keep = judge(*held)
-            yield _rows(*[c[keep] for c in held])
-
-    def _rows(code, cls, n, place, whole=True):
-        members = code
-        if whole and len(code):
-            edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            members = np.repeat(_member_ids(cls, edge), np.diff(np.append(edge, len(code))))
+            yield _rows(held, *judge(*held))
+
+    def _rows(cols, keep, first):
+        code, cls, n, place = (c[keep] for c in cols)
         return pa.RecordBatch.from_arrays(
             [pa.array(code), pa.array(cls), pa.array(n.astype(np.int32)),
-             pa.array(place.astype(np.int32)), pa.array(members)],
-            names=["code", "class", "n", "place", "members"])
+             pa.array(place.astype(np.int32)), pa.array(first[keep])],
+            names=["code", "class", "n", "place", "first"])
 
     return (rows.repartition("code").sortWithinPartitions("code")
-            .mapInArrow(run, "code bigint, class bigint, n int, place int, members bigint"))
-
-
-def first_buckets(rows: DataFrame) -> DataFrame:
-    """The rows of the first bucket, by code, of each set of classes."""
-    first = rows.groupBy("members").agg(F.min("code").alias("code"))
-    return rows.join(first, ["members", "code"], "left_semi").drop("members")
+            .mapInArrow(run, "code bigint, class bigint, n int, place int, first boolean"))
+
+
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """The rows that candidates can come from. A class stays if it shares as
+    many shingles as a link to the smallest set of its size range demands; a
+    bucket if it has two such classes and is, by code, the first of its set of
+    classes."""
+    least = F.expr(f"1 + ({EXTRA_PERCENT} * (({PERCENT} * n + 99) div 100)) div 100")
+    # rows of one class are at most its prefix; counted before the shuffle
+    enough = (rows.groupBy("class").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+              .where(F.col("shared") >= least).select("class"))
+    kept = staged(rows.where("first").drop("first").join(enough, "class", "left_semi")
+                  .dropDuplicates(["code", "class"]), "jac-kept")
+    codes = kept.groupBy("code").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(2), "class")).alias("y")).where("size > 1")
+    first = codes.groupBy("size", "x", "y").agg(F.min("code").alias("code")).select("code")
+    return kept.join(first, "code", "left_semi")
 
 
 # ---- signatures -------------------------------------------------------------
@@ -551,7 +567,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id",
     hot = (found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
            .orderBy(F.col("n").desc(), "a").limit(HOT_MAX).collect())
     rows = prefixes(docs, np.sort(np.array([r["a"] for r in hot], np.uint64)), text_col=text_col)
-    buckets = staged(first_buckets(staged(viable(rows), "jac-viable")), "jac-buckets")
+    buckets = staged(open_buckets(staged(viable(rows), "jac-viable")), "jac-buckets")
 
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     holder = meta.groupBy(F.col("class").alias("m_class")).agg(F.min(key).alias("id"))
