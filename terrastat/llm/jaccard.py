@@ -41,8 +41,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from terrastat.llm.common import staged
 from terrastat.llm.shingles import set_id, shingle_set
@@ -610,22 +611,55 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, all columns
-    unchanged; of rows that share an id, all but one go unless their text has no
-    words."""
-    found = staged(components(docs, id_col=id_col, text_col=text_col), "jac-found")
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    again = (found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("doc_id"))
-
-    def side(ids: DataFrame) -> tuple[DataFrame, Column]:
-        ids = ids.select(F.col("doc_id").alias("__id"))
-        return (F.broadcast(ids) if _few(ids) else ids), F.col(id_col).cast("bigint") == F.col("__id")
-
-    kept = docs.join(*side(staged(gone, "jac-gone")), "left_anti")
-    twice = staged(again, "jac-again")
-    once = kept.join(*side(twice), "left_anti")
-    nth = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    several = (kept.join(*side(twice), "left_semi").withColumn("__nth", F.row_number().over(nth))
-               .where("__nth = 1").drop("__nth"))
-    return once.unionByName(several)
+    """One row of ``docs`` a component, all columns unchanged, and every row
+    without words. A component keeps its smallest (id, class), null ids last;
+    of several rows of that pair the one of least hash of the text, then of the
+    whole row. So an id keeps a row in each component where it is the smallest."""
+    found = staged(link_components(docs, id_col=id_col, text_col=text_col), "jac-found")
+    chosen = staged(found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("m"))
+        .select("m.doc_id", "m.class"), "jac-chosen")
+    # the id alone decides, unless it keeps one of several rows or is null
+    ids = staged(found.select("doc_id", F.lit(1).alias("n"), (F.col("n_shingles") == 0).alias("k"))
+                 .unionByName(chosen.select("doc_id", F.lit(0).alias("n"), F.lit(True).alias("k")))
+                 .groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("k").alias("keeps")), "jac-ids")
+    several = F.col("doc_id").isNull() | (F.col("keeps") & (F.col("n") > 1))
+    key = F.col(id_col).cast("bigint")
+
+    def side(rows: DataFrame) -> DataFrame:
+        rows = staged(rows, "jac-side")
+        return F.broadcast(rows) if _few(rows) else rows
+
+    gone = side(ids.where(~F.col("keeps") & F.col("doc_id").isNotNull())
+                .select(F.col("doc_id").alias("__id")))
+    kept = docs.join(gone, key == F.col("__id"), "left_anti")
+    again = ids.where(several).select(F.col("doc_id").alias("__id"))
+    if not again.limit(1).count():
+        return kept
+    again = side(again)
+    same = key.eqNullSafe(F.col("__id"))
+    once = kept.join(again, same, "left_anti")
+    rows = staged(_with_class(kept.join(again, same, "left_semi"), text_col), "jac-again")
+    # a pair may hold many rows: least within a task first, then one row a task
+    order = F.struct(F.xxhash64(text_col), F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    pairs = (rows.where("__class is not null").groupBy(key.alias("__key"), "__class")
+             .agg(F.min_by(F.struct(*docs.columns), order).alias("__row")))
+    wanted = side(chosen.select(F.col("doc_id").alias("__id"), F.col("class").alias("__kept")))
+    first = pairs.join(wanted, F.col("__key").eqNullSafe(F.col("__id"))
+                       & (F.col("__class") == F.col("__kept")), "left_semi").select("__row.*")
+    wordless = rows.where("__class is null").drop("__class")
+    return once.unionByName(wordless).unionByName(first)
+
+
+def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` and ``__class``, the row's class as in ``measure``; null without words."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            sets = map(shingle_set, batch.column(batch.schema.names.index(text_col)).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([set_id(s) if len(s) else None for s in sets],
+                                          pa.int64())], names=[*batch.schema.names, "__class"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields,
+                                            StructField("__class", LongType())]))

@@ -92,6 +92,28 @@ def test_empty_and_wordless(spark):
     assert J.representatives(spark.createDataFrame(rows, schema)).count() == 4
 
 
+def test_representatives_of_repeated_and_null_ids(spark):
+    schema = "doc_id long, text string, n int"
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " tail"
+    rows = [(5, a, 0), (5, b, 0), (9, near(a), 0),           # 9 goes, both texts of 5 stay
+            (1, c, 0), (12, near(c), 0), (12, d, 0),         # 12 keeps its unlinked text
+            (None, e, 0), (None, near(e), 0), (None, e, 1),  # one of three
+            (None, near(b), 0), (None, "", 0),               # a linked id is before null
+            (20, f, 0), (20, f.upper(), 0), (20, near(f), 0), (20, " ", 0), (20, None, 0)]
+    rows += [(30, d + " " + a, k % 2) for k in range(50)]    # a pair of many rows
+    docs = spark.createDataFrame(rows, schema)
+    got = J.representatives(docs).collect()
+    assert collections.Counter(r.doc_id for r in got) == {5: 2, 1: 1, 12: 1, None: 2, 20: 3, 30: 1}
+    assert sum(not shingles(r.text) for r in got) == 3
+    sets = {(r.doc_id, shingles(r.text)) for r in got}
+    assert {(5, shingles(a)), (5, shingles(b)), (1, shingles(c)), (12, shingles(d))} <= sets
+    again = J.representatives(docs.repartition(7)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
+
+
 def test_sets_and_prefixes():
     rng = random.Random(8)
     for _ in range(200):
