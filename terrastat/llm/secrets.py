@@ -7,8 +7,11 @@ class (hexadecimal, upper-case alphanumeric, base64). Counts are kept as the
 window slides: the character that enters and the one that leaves change one
 count each, and with them the running sum of ``c * log2(c)``. A candidate whose
 best window reaches its class's threshold is a span, unless the allow-list
-suppresses it (a run of letters only, placeholders, dates and versions, UUIDs,
-ordered or repeated alphabets). Base spans are never suppressed.
+suppresses it (a run of letters only, dates and versions, UUIDs, lower-case
+paths, and placeholder words or ordered alphabets that leave no ``WINDOW``
+characters in a row without them: a secret glued to such a word stays a span,
+and so does any candidate with a stretch that long beside the word). Base spans
+are never suppressed.
 
 Positions come from alternating (gap, match) pairs: one regular expression
 yields both, and running sums of their lengths give code-point offsets.
@@ -40,12 +43,14 @@ CLASSES = {
     "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.4),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 }
+WORDS = ("(?:example|sample|changeme|placeholder|your[_-]|dummy|redacted|xxxx|test[_-]"
+         "|abcdefghij|0123456789|qwertyuiop)")
 ALLOW = (
     r"^[A-Za-z]+$",
-    r"(?i)example|sample|changeme|placeholder|your[_-]|dummy|redacted|xxxx|test[_-]",
+    # no window's length free of words, from the start or from a word's end
+    rf"(?i)^(?!(?:.*{WORDS})?(?:(?!{WORDS}).){{{WINDOW}}})",
     r"^[0-9]{1,4}([-_/=][0-9]{1,4})+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefghij|0123456789|qwertyuiop",
     r"^[a-z]+([-_/][a-z]+)+$",
 )
 
