@@ -16,7 +16,8 @@ N_SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; the models learn from ``docs``."""
+    """Documents with a recognised language; the models learn from ``docs``.
+    Without any label, documents with a letter."""
     return langid.recognised(docs, langid.learn(docs.where(~langid.held_out())))
 
 

@@ -250,12 +250,19 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], *, text_col: str = "
 def recognised(docs: DataFrame, sample: dict[str, list[str]], *, text_col: str = "text",
                min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` with a language (not ``und``) and a score of at
-    least ``min_score``, all columns unchanged."""
+    least ``min_score``, all columns unchanged. Where nothing was learned no
+    language can be told: the rows whose text has a letter, whatever the score."""
     predict = _predictor(docs.sparkSession, sample)
+    learned = bool(sample)
 
     def keep(batches):
         for batch in batches:
-            langs, scores = predict(batch.column(batch.schema.names.index(text_col)).to_pylist())
+            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            if not learned:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts],
+                                            pa.bool_()))
+                continue
+            langs, scores = predict(texts)
             yield batch.filter(pa.array([x != UND and s >= min_score
                                          for x, s in zip(langs, scores)], pa.bool_()))
 

@@ -69,6 +69,16 @@ def test_defined_cases(spark):
     assert langid.learn(nobody) == {} and langid.identify(docs.limit(0), sample).count() == 0
 
 
+def test_pipeline_stage_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, None) for i, t in enumerate(["plain text", None, "", "12 ?!", "中", "plain text"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [i for i, _, _ in rows if i % 6 in (0, 4, 5)]
+
+
 def test_suffix_automaton_accepts_the_substrings():
     s = [1, 2, 1, 1, 2, 3]
     nxt = langid.suffix_automaton(s + [2, 2], {0, 6})
