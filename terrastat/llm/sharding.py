@@ -5,14 +5,15 @@ its widest metadata dimension (spread over the table's spread), at the point
 that divides its weight in that ratio: the weighted median for even ``k``. All
 nodes of a level are cut together. A cut is found on a 62-bit key, exact to the
 row: the dimension's value in 2**20 steps, then a group code that keeps equal
-rows side by side, then a code of the id. Each pass sums weights into ``BINS``
+rows side by side, then a code of the row and of its number among its copies.
+Each pass sums weights into ``BINS``
 bins a node between the bounds left by the pass before; a node is done when the
 crossing bin holds one key, or weighs less than ``TOLERANCE`` of a leaf. Only
 node bounds reach the driver: at most one row a leaf.
 
 Defined cases: null metadata counts as 0, null weights as 0; ties are cut by
-group code, then id; rows with equal ids and equal groups stay together; an
-empty table gives no cuts and no rows; a table lighter than the leaves leaves
+group code, then id; rows that are repeated whole are numbered and cut like
+others, so a row of many copies is spread over shards and slots; an empty table gives no cuts and no rows; a table lighter than the leaves leaves
 some of them empty.
 """
 
@@ -28,6 +29,7 @@ TOLERANCE = 0.002
 STEPS = 1 << 20
 GROUP_BITS, ID_BITS = 20, 22
 SLOT_BLOCKS = 64
+COPIES = 1024
 
 
 def _node_table(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -69,6 +71,22 @@ def _cuts(table: DataFrame, nodes: dict[int, dict], target_leaf: float) -> dict[
     return cuts
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` and ``copy``, 0-based among equal rows. Copies are counted before
+    the shuffle; those of a row over ``COPIES`` are dealt out in chunks."""
+    counted = staged(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "kd-copies")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n))
+    few = counted.where(F.col("n") <= COPIES).select(*rows.columns, upto(F.col("n") - 1).alias("copy"))
+    many = counted.where(F.col("n") > COPIES)
+    if not many.limit(1).count():
+        return few
+    chunks = many.select("*", upto(F.expr(f"(n - 1) div {COPIES}")).alias("chunk"))
+    first = F.col("chunk") * COPIES
+    dealt = chunks.repartition(*rows.columns, "chunk").select(*rows.columns, upto(
+        F.least(F.lit(COPIES), F.col("n") - first) - 1).alias("nth"), first.alias("first"))
+    return few.unionByName(dealt.select(*rows.columns, (F.col("first") + F.col("nth")).alias("copy")))
+
+
 def kd_shards(rows: DataFrame, *, id_col: str, group: Column, weight: Column,
               dimensions: list[Column], carry: dict[str, Column] | None = None,
               n_shards: int | None = None, target_weight: float | None = None) -> DataFrame:
@@ -76,11 +94,11 @@ def kd_shards(rows: DataFrame, *, id_col: str, group: Column, weight: Column,
     to right) and ``slot`` (0-based in the shard). Give the number of shards, or
     the target weight of one."""
     spark, carry = rows.sparkSession, carry or {}
-    table = staged(rows.select(
+    table = staged(_numbered(rows.select(
         F.col(id_col).alias("id"), *[c.alias(k) for k, c in carry.items()],
         F.coalesce(weight, F.lit(0)).cast("bigint").alias("weight"),
         F.coalesce(group.cast("bigint"), F.lit(0)).alias("group"),
-        F.array(*[F.coalesce(d.cast("double"), F.lit(0.0)) for d in dimensions]).alias("at")), "kd")
+        F.array(*[F.coalesce(d.cast("double"), F.lit(0.0)) for d in dimensions]).alias("at"))), "kd")
     count = len(dimensions)
     whole = table.agg(F.sum("weight").alias("w"), *[
         f(F.col("at")[i]).alias(f"{name}{i}") for i in range(count)
@@ -94,11 +112,11 @@ def kd_shards(rows: DataFrame, *, id_col: str, group: Column, weight: Column,
         step = (F.floor((F.col("at")[i] - F.lit(float(whole[f"lo{i}"]))) / F.lit(float(spread[i]))
                         * (STEPS - 1)).cast("bigint") if spread[i] else F.lit(0).cast("bigint"))
         tail = (F.shiftleft(F.pmod(F.col("group"), F.lit(1 << GROUP_BITS)), ID_BITS)
-                + F.pmod(F.xxhash64("id", "group"), F.lit(1 << ID_BITS)))
+                + F.pmod(F.xxhash64("id", "group", "at", "copy"), F.lit(1 << ID_BITS)))
         return F.shiftleft(step, GROUP_BITS + ID_BITS) + tail
 
     tree = {0: n_shards}  # first shard of a node: leaves below it
-    table = table.select("id", *carry, "weight", "group", F.lit(0).alias("node"),
+    table = table.select("id", *carry, "weight", "group", "copy", F.lit(0).alias("node"),
                          (F.array(*[key(i) for i in range(count)]) if total or any(spread)
                           else F.array(*[F.lit(0).cast("bigint")] * count)).alias("keys"))
     level = 0
@@ -120,7 +138,7 @@ def kd_shards(rows: DataFrame, *, id_col: str, group: Column, weight: Column,
                                      for n, c in cuts.items()] or [(-1, 0, 0, 0)],
                              "p_node int, dim int, cut bigint, right int")
         table = staged(table.join(params, F.col("node") == F.col("p_node"), "left").select(
-            "id", *carry, "weight", "group",
+            "id", *carry, "weight", "group", "copy",
             F.when(F.col("keys")[F.col("dim")] >= F.col("cut"), F.col("right"))
             .otherwise(F.col("node")).alias("node"), "keys"), f"kd-{level}")
         tree = {m: k for n, total_k in tree.items() for m, k in (
@@ -129,14 +147,14 @@ def kd_shards(rows: DataFrame, *, id_col: str, group: Column, weight: Column,
         level += 1
 
     # slots: blocks of a shard by hash, numbered apart and offset
-    numbered = table.withColumn("block", F.pmod(F.xxhash64("id", "group", "weight"),
+    numbered = table.withColumn("block", F.pmod(F.xxhash64("id", "group", "weight", "copy"),
                                                 F.lit(SLOT_BLOCKS)))
     per = numbered.groupBy("node", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = (Window.partitionBy("node").orderBy("block")
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = per.select(F.col("node").alias("o_node"), F.col("block").alias("o_block"),
                          F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("node", "block").orderBy("id", "group", "weight")
+    inside = Window.partitionBy("node", "block").orderBy("id", "group", "weight", "copy")
     return (numbered.withColumn("nth", F.row_number().over(inside) - 1)
             .join(F.broadcast(offsets) if n_shards * SLOT_BLOCKS <= 100_000 else offsets,
                   (F.col("node") == F.col("o_node")) & (F.col("block") == F.col("o_block")))

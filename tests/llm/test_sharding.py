@@ -45,6 +45,25 @@ def test_defined_cases(spark):
     assert twice.count() == 6
 
 
+def test_copies_of_one_row_are_divided(spark):
+    hot = sharding.COPIES * 2 + 7
+    rows = [(i, f"text {i % 900}") for i in range(hot)] + [(-5, "a text")] * hot + [(None, "none")] * hot
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows],
+                                 "doc_id long, text string, lang string, source string")
+    out = sharding.shard_documents(docs, 8).collect()
+    size = [0] * 8
+    for r in out:
+        size[r.shard] += r.size
+    assert all(abs(8 * x - sum(size)) <= 0.05 * sum(size) + 8 * 20 for x in size)
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    blocks = Counter((r.shard, r.slot) for r in out)
+    assert max(blocks.values()) == 1
+    again = sharding.shard_documents(docs.repartition(5), 8).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+
+
 def test_cuts_follow_the_widest_dimension_to_target_weight(spark):
     pts = spark.createDataFrame([(i, float(i), float(i % 10)) for i in range(1000)],
                                 "k long, x double, y double")
