@@ -580,8 +580,8 @@ EMBEDDING_EPS = 0.12
 
 
 def dbscan_high_dims(spark, sf):
-    """D1 + D2 in more than three coordinates: the leading components of the
-    embeddings, min_samples 5 meaning automatic: max(4, 2·dims) = 10."""
+    """D1 + D2 in more than three coordinates: the first five raw coordinates of
+    the embeddings (no PCA), min_samples 5 meaning automatic: max(4, 2·dims) = 10."""
     coords = [f"e{i}" for i in range(EMBEDDING_DIMS)]
     pts = _embeddings(spark, sf).select("vec_id", *[
         F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(coords)])
