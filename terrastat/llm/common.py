@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from terrastat.session import scratch_path
@@ -13,3 +16,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SLICE_BYTES = 2 << 20
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
+    """Slices of an Arrow batch whose ``column`` (text or binary) holds about
+    ``limit`` bytes each, and one row at least: what a task turns into Python
+    objects at once is bounded by bytes, not by rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(np.asarray(sizes, np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
