@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastat.llm import (bpe, chat, decontaminate, jaccard, langid, mixing, secrets, sharding,
-                           tokens, topk, urlfilter)
+                           tokens, topk, urlfilter, whitening)
 from terrastat.session import scratch_path
 from terrastat.sources.tables import read_table
 
@@ -75,6 +75,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(BYTE_TOKENIZER)
     return bpe.digest(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
@@ -82,4 +86,5 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_orc, op2_language_id, op3_chat_format, op4_decontaminate, op5_kd_shards,
-    op6_jaccard_join, op7_secret_scan, op8_url_filter, op9_mix_sources, op10_top_k, op12_bpe)}
+    op6_jaccard_join, op7_secret_scan, op8_url_filter, op9_mix_sources, op10_top_k, op11_whitening,
+    op12_bpe)}
