@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastat.llm import (bpe, chat, decontaminate, jaccard, langid, mixing, secrets, sharding,
-                           tokens, topk, urlfilter, whitening)
+from terrastat.llm import (bpe, chat, decontaminate, jaccard, langid, mixing, repair, secrets,
+                           sharding, tokens, topk, urlfilter, whitening)
 from terrastat.session import scratch_path
 from terrastat.sources.tables import read_table
 
@@ -84,7 +84,12 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return repair.digest(turns, repair.repair(repair.damaged(turns)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_orc, op2_language_id, op3_chat_format, op4_decontaminate, op5_kd_shards,
     op6_jaccard_join, op7_secret_scan, op8_url_filter, op9_mix_sources, op10_top_k, op11_whitening,
-    op12_bpe)}
+    op12_bpe, op13_repair)}

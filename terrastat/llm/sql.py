@@ -1,6 +1,7 @@
 """DuckDB SQL for the pipeline operators' queries that SQL can express. The
 others (tokens in ORC, language ID, decontamination digests, k-d shards, secret
-spans) are held against brute-force versions in tests/llm."""
+spans, the mix, whitening, byte-pair ids) are held against brute force, libraries
+or invariants in tests/llm."""
 
 from terrastat.llm import urlfilter
 
@@ -138,9 +139,104 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+def _add(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A parse (cost and audit as one string that sorts, repaired text) and an edit."""
+    text = "" if line is None else f" || CASE WHEN {state}.r = '' THEN '' ELSE chr(10) END || {line}"
+    return (f"CASE WHEN {state} IS NOT NULL THEN {{'k': lpad(CAST(CAST(left({state}.k, 9) AS BIGINT)"
+            f" + {cost} AS VARCHAR), 9, '0') || substr({state}.k, 10) || '{letter}', "
+            f"'r': {state}.r{text}}} END")
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _repair() -> str:
+    """The cheapest repair as a recursion over turns: the best parse that has
+    read nothing (e), a system turn (s), or ends in user (u) or assistant (a)."""
+    # states after insertions: a user turn first, then perhaps an assistant's
+    user = _least("d.u", *[_add(f"d.{x}", "5", "I", "'user:'") for x in "esa"])
+    assistant = _least("h.a", _add("h.u", "5", "I", "'assistant:'"))
+    own, given = "o.role || ':' || o.text", "CASE WHEN o.must THEN NULL ELSE {} END"
+
+    def kept(state: str, initial: str) -> str:
+        return given.format(f"CASE WHEN o.initial = '{initial}' THEN "
+                            f"{_add(state, 'o.fine', 'K', own)} END")
+
+    def renamed(state: str, role: str) -> str:
+        return given.format(_add(state, "o.fine + 1", "R", f"'{role}:' || o.text"))
+
+    step = {"e": _add("i.e", "2", "D"),
+            "s": _least(_add("i.s", "2", "D"), kept("i.e", "s")),
+            "u": _least(_add("i.u", "2", "D"), *[kept(f"i.{x}", "u") for x in "esa"],
+                        *[renamed(f"i.{x}", "user") for x in "esa"]),
+            "a": _least(_add("i.a", "2", "D"), kept("i.u", "a"), renamed("i.u", "assistant"))}
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(
+           list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+             || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) % 20 AS kind
+  FROM conversations, crc),
+rows_after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+              ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+         left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12)
+                                         || chr(13)) AS bare
+  FROM rows_after),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS earlier FROM placed),
+o AS (
+  SELECT conv_id, turn, n, role, text, initial, earlier, bare = '' AS blank,
+         bare <> '' AND again AS repeats,
+         bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+         bare = '' OR again AS must, CASE WHEN cut THEN 5 ELSE 0 END AS fine FROM seen),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (repeats) AS duplicate,
+         count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au'))
+           AS illegal, max(n) AS n
+  FROM o GROUP BY conv_id),
+d AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, {{'k': '000000000', 'r': ''}} AS e,
+         CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR)) AS s,
+         CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR)) AS u,
+         CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR)) AS a FROM o
+  UNION ALL
+  SELECT o.conv_id, o.n, {step['e']}, {step['s']}, {step['u']}, {step['a']}
+  FROM (SELECT h.conv_id, h.n, h.e, h.s, h.u, {assistant} AS a FROM
+          (SELECT d.conv_id, d.n, d.e, d.s, {user} AS u, d.a FROM d) h) i
+  JOIN o ON o.conv_id IS NOT DISTINCT FROM i.conv_id AND o.n = i.n + 1),
+last AS (
+  SELECT d.conv_id, f.gaps, f.blank, f.duplicate, f.truncated, f.illegal,
+         d.e, {user} AS u, d.a
+  FROM d JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.n),
+best AS (
+  SELECT i.*, {_least('i.e', 'i.a', _add('i.u', '5', 'I', "'assistant:'"))} AS w FROM last i)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(left(w.k, 9) AS BIGINT), 0) AS cost,
+       coalesce(substr(w.k, 10), '') AS audit, sha256(coalesce(w.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": CHAT,
     "op6_jaccard_join": JACCARD,
     "op8_url_filter": URLS,
     "op10_top_k": TOP_K,
+    "op13_repair": _repair(),
 }
