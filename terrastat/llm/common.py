@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from terrastat.session import scratch_path
 
@@ -19,6 +22,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 SLICE_BYTES = 2 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+# Spark's own values of the two settings, replaced by those above.
+DEFAULT_ROWS, DEFAULT_BYTES = "10000", "67108864b"
+
+# What a worker process holds beyond a batch: one operator's tables at a time.
+_HELD: dict = {}
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
@@ -33,3 +42,54 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def held(key, make: Callable):
+    """An operator's table, made once a worker process; another key of the same
+    operator takes its place."""
+    if _HELD.get("key") != key:
+        _HELD.pop("table", None)
+        _HELD.update(key=key, table=make())
+    return _HELD["table"]
+
+
+def enter(owner: str) -> None:
+    """Called where a task begins: tables of another operator, left in a worker
+    that Spark uses again, go first."""
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+
+
+def give_back() -> None:
+    """Return free memory of Arrow and the C library to the system: a worker
+    that waits for its next task should not keep what a task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries
+        pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Short Arrow batches, unless the session asks for others."""
+    for name, default, value in (("maxRecordsPerBatch", DEFAULT_ROWS, BATCH_ROWS),
+                                 ("maxBytesPerBatch", DEFAULT_BYTES, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(value))
+
+
+def mapped(rows: DataFrame, run: Callable[[Iterator], Iterator], schema, owner: str) -> DataFrame:
+    """``rows.mapInArrow`` with bounded memory in the workers: short batches, one
+    operator's tables at a time, and free memory given back after each task."""
+    small_batches(rows.sparkSession)
+
+    def task(batches):
+        enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(task, schema)

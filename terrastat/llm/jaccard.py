@@ -22,19 +22,30 @@ Plan, every step over all documents:
    bit). Two node sets are traversed together; ``common bits + the smaller
    excess`` bounds any overlap below them, and node pairs whose bound or size
    ratio can't reach the threshold are pruned, as are nodes of one component.
-4. Pairs are verified on the whole sets. A first round meets each bucket's
-   ``LEADS`` smallest classes with all others and verifies, for each class, the
-   lead of the highest bound; the links make components. The second round takes
-   the buckets that still hold two components and meets every pair of classes in
-   different ones, each in the bucket of its first common shingle, so once. A large group of near copies thus costs few pairs, and no
-   link between components is missed. Buckets over ``BLOCK`` classes are cut into blocks, all pairs of
-   blocks being separate groups, so a task's memory is bounded.
+4. A first round meets each bucket's ``LEADS`` smallest classes with all others
+   and verifies, for each class, the lead of the highest bound; the links make
+   components. The second round takes the buckets that still hold two components.
+   Bitmaps first mark the classes that are in a pair which they can't rule out, in
+   the first bucket that the pair shares. Whole sets are then sent for these rows
+   alone and verified where they meet: pairs of one component are passed over as
+   links join components, and only the links come out. So no pair of classes ever
+   is a row, a large group of near copies costs few comparisons, and no link
+   between components is missed. Buckets over ``BLOCK`` classes or ``BLOCK_CODES``
+   codes are cut into blocks, all pairs of blocks being separate groups, so a
+   task's memory is bounded in rows and bytes (one set larger than a block is a
+   block of its own).
+
+Plan choices, none of which changes a result (a test holds them to that): frames
+of at most ``BROADCAST_ROWS`` short rows are broadcast; a bucket over
+``VIABLE_MAX`` rows is kept whole where the size test would prune it; at most
+``HOT_MAX`` frequent shingles are moved to the order's end.
 
 Defined cases: a null, empty or wordless text has the empty set, no links and
 itself as component; texts of fewer than five words are one shingle; repeated
-rows are answered each; extra columns are ignored. Class ids have 63 bits and
-shingles 48 after step 1: for sets of a million shingles the chance that a pair
-holds a false common shingle is below one in a hundred.
+rows are answered each; extra columns are ignored. Sets are compared on 64-bit
+shingle codes; equal 63-bit class ids are taken as equal sets, so among D distinct
+sets about D*D / 2**64 false merges are to be expected: one in 18 million at 10**6
+sets, about five in all at 10**10.
 """
 
 from __future__ import annotations
@@ -45,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from terrastat.llm.common import staged
+from terrastat.llm.common import byte_slices, mapped, staged
 from terrastat.llm.shingles import set_id, shingle_set
 from terrastat.operators.components import connected_components
 
@@ -55,19 +66,20 @@ CHUNK_CODES = 2_000_000
 HOT_LOCAL = 5
 HOT_MAX = 200_000
 VIABLE_MAX = 20_000
-BLOCK = 4096
+JUDGED = 1 << 19
+BLOCK, BLOCK_CODES = 4096, 1 << 21
 LEADS = 8
 LEAF, FAN = 32, 8
-SLICE_ROWS = 512
+SLICE_BYTES = 1 << 20
 BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
+OWNER = "jaccard"
 
 
-def _slices(batches, rows: int = SLICE_ROWS):
+def _slices(batches, column: str | int = "text"):
     """Short batches: a batch of long texts and its sets would fill a worker."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        yield from byte_slices(batch, column, SLICE_BYTES)
 
 
 # ---- sets and prefixes ------------------------------------------------------
@@ -99,8 +111,12 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         parts, seen, held = [], set(), 0
 
         def frequent():
-            code, count = np.unique(np.concatenate(parts), return_counts=True)
-            code, count = code[count >= HOT_LOCAL], count[count >= HOT_LOCAL]
+            every = np.concatenate(parts)
+            parts.clear()
+            every.sort()
+            edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            count = np.diff(np.append(edge, len(every)))
+            code, count = every[edge[count >= HOT_LOCAL]], count[count >= HOT_LOCAL]
             zero = np.ones(len(code), np.int64)
             return _batch([zero, code.astype(np.int64), count, zero], [None, None, None, None])
 
@@ -128,7 +144,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield frequent()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "kind bigint, a bigint, b bigint, c bigint")
+    return mapped(rows, run, "kind bigint, a bigint, b bigint, c bigint", OWNER)
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, *, text_col: str = "text") -> DataFrame:
@@ -157,8 +173,8 @@ def prefixes(docs: DataFrame, hot: np.ndarray, *, text_col: str = "text") -> Dat
                     [pa.array(np.concatenate(c)) for c in zip(*out)],
                     names=["code", "class", "n", "place"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(
-        run, "code bigint, class bigint, n int, place int")
+    return mapped(docs.select(F.col(text_col).alias("text")), run,
+                  "code bigint, class bigint, n int, place int", OWNER)
 
 
 # ---- buckets ----------------------------------------------------------------
@@ -169,8 +185,9 @@ def _has_partner(cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple:
     remains."""
     rest = n - place
     sized, first = np.zeros(len(n), bool), np.zeros(len(n), bool)
-    for lo in range(0, len(n), 256):
-        a = slice(lo, lo + 256)
+    step = max(1, JUDGED // max(1, len(n)))
+    for lo in range(0, len(n), step):
+        a = slice(lo, lo + step)
         need = _needed(n[a, None], n[None, :])
         fit = ((cls[a, None] != cls[None, :])
                & (100 * np.minimum(n[a, None], n[None, :])
@@ -237,8 +254,8 @@ def viable(rows: DataFrame) -> DataFrame:
              pa.array(place.astype(np.int32)), pa.array(first[keep])],
             names=["code", "class", "n", "place", "first"])
 
-    return (rows.repartition("code").sortWithinPartitions("code")
-            .mapInArrow(run, "code bigint, class bigint, n int, place int, first boolean"))
+    return mapped(rows.repartition("code").sortWithinPartitions("code"), run,
+                  "code bigint, class bigint, n int, place int, first boolean", OWNER)
 
 
 def open_buckets(rows: DataFrame) -> DataFrame:
@@ -262,13 +279,11 @@ def open_buckets(rows: DataFrame) -> DataFrame:
 # ---- signatures -------------------------------------------------------------
 
 def _pack(codes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(codes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return codes.astype("<u8").tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def _bitmap(codes: np.ndarray, n: int) -> bytes:
@@ -299,16 +314,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame, few: bool, *, id_col: str = "
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text)
                 if len(s):
-                    codes = _codes48(s)
-                    out.append((set_id(s), len(s), _pack(codes), _bitmap(codes, len(s))))
+                    out.append((set_id(s), len(s), _pack(s), _bitmap(s, len(s))))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(),
                                                                 pa.binary(), pa.binary()))],
                     names=["class", "n", "codes", "bitmap"])
 
-    sets = staged(rows.select("text").mapInArrow(
-        run, "class bigint, n int, codes binary, bitmap binary"), "jac-class-sets")
+    sets = staged(mapped(rows.select("text"), run,
+                         "class bigint, n int, codes binary, bitmap binary", OWNER),
+                  "jac-class-sets")
     # one document an id as a rule; ids that repeat can bring a class again
     seen = sets.agg(F.count("class").alias("n"), F.countDistinct("class").alias("d")).first()
     return sets if seen["n"] == seen["d"] else staged(sets.dropDuplicates(["class"]),
@@ -415,132 +430,175 @@ def traverse(x: Node, y: Node, n: np.ndarray, rest: np.ndarray, comp: np.ndarray
             yield int(ra[i]), int(rb[j]), int(bound[i, j])
 
 
-def _bucket_pairs(code: int, side: list[int], cls, n, place, comp, maps, lists, stars: bool):
-    """(a, b, score) of one group: block against block, or a block with itself."""
-    rest = n - place
-    order = sorted(range(len(cls)), key=lambda i: cls[i])
-    leads = set(order[:LEADS])
-    others = [i for i in range(len(cls)) if i not in leads]
-    before = [None] * len(cls)
-
-    def first(i: int, j: int) -> bool:
-        """No earlier common bucket."""
-        if stars:
-            return True
-        for k in (i, j):
-            if before[k] is None:
-                own = np.frombuffer(lists[k], "<i8")
-                before[k] = set(own[own < code].tolist())
-        return before[i].isdisjoint(before[j])
-
-    cross = len(set(side)) > 1
-    if stars:
-        lead_tree = build(list(leads), n, maps, comp)
-        found = traverse(lead_tree, lead_tree, n, rest, comp)
-        more = traverse(lead_tree, build(others, n, maps, comp), n, rest, comp) if others else ()
-        pairs = [*found, *more]
-    else:
-        tree = build(order, n, maps, comp)
-        pairs = traverse(tree, tree, n, rest, comp)
-    best: dict[int, tuple] = {}
-    for i, j, bound in pairs:
-        if (cross and side[i] == side[j]) or not first(i, j):
-            continue
-        a, b = sorted((cls[i], cls[j]))
-        if stars:  # the likeliest lead of each class
-            best[b] = max(best.get(b, (0.0, 0)), (bound / (int(n[i]) + int(n[j]) - bound), a))
-        else:
-            yield a, b, 0.0
-    for b, (score, a) in best.items():
-        yield a, b, score
-
-
-def tree_pairs(rows: DataFrame, sets: DataFrame, stars: bool) -> DataFrame:
-    """Distinct (a, b) from bucket rows (code, class, n, place, comp), of the
-    buckets with two components, cut into groups of at most two blocks. With
-    ``stars``, one ``a`` for each ``b``: the lead of the highest bound."""
-    per = rows.groupBy(F.col("code").alias("p_code")).agg(F.count(F.lit(1)).alias("rows"),
-                                                          F.min("comp").alias("c0"),
-                                                          F.max("comp").alias("c1"))
-    live = per.where("c0 <> c1").select(
-        "p_code", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+def _by_group(batches, columns: tuple[str, ...]):
+    """((code, i, j), columns of the group's rows): rows come sorted by group,
+    and a group is bounded in rows and codes by its blocks."""
+    key, held = None, []
+    for batch in batches:
+        marks = list(zip(*(batch.column(c).to_pylist() for c in ("code", "i", "j"))))
+        edges = [0, *(k for k in range(1, len(marks)) if marks[k] != marks[k - 1]), len(marks)]
+        for at, to in zip(edges, edges[1:]):
+            if marks[at] != key and held:
+                yield key, _columns(held, columns)
+                held = []
+            key = marks[at]
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield key, _columns(held, columns)
+
+
+def _columns(parts: list[pa.RecordBatch], names: tuple[str, ...]) -> list:
+    table = pa.Table.from_batches(parts)
+    return [table.column(c).to_numpy().astype(np.int64)
+            if pa.types.is_integer(table.schema.field(c).type) else table.column(c).to_pylist()
+            for c in names]
+
+
+def _cut(rows: DataFrame, sets: DataFrame, listed: bool) -> DataFrame:
+    """Bucket rows (code, class, n, place, comp) of the buckets with two
+    components, with bitmaps, cut into groups (code, i, j) of at most two blocks.
+    ``listed``: also ``seen``, the codes of the class's open buckets before it."""
+    per = rows.groupBy(F.col("code").alias("p_code")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("codes"), F.min("comp").alias("c0"),
+        F.max("comp").alias("c1"))
+    live = per.where("c0 <> c1").select("p_code", F.ceil(F.greatest(
+        F.col("rows") / BLOCK, F.col("codes") / BLOCK_CODES)).cast("int").alias("blocks"))
     open_rows = staged(rows.join(live, F.col("code") == F.col("p_code")).drop("p_code"), "jac-open")
-    bitmaps = sets.select("class", "bitmap")
-    if stars:
-        signed = open_rows.join(bitmaps, "class").withColumn("seen", F.lit(b""))
-    else:  # with the codes of each class's open buckets
-        lists = open_rows.groupBy("class").agg(F.array_sort(F.collect_set("code")).alias("l"))
-        signed = open_rows.join(bitmaps.join(lists.mapInArrow(
-            _as_bytes, "class bigint, seen binary"), "class"), "class")
+    signed = open_rows.join(sets.select("class", "bitmap"), "class")
+    if listed:
+        lists = open_rows.groupBy("class").agg(F.collect_set("code").alias("l"))  # of its prefix
+        signed = signed.join(lists, "class").withColumn(
+            "seen", F.filter("l", lambda c: c < F.col("code"))).drop("l")
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    cut = (signed.withColumn("side", own)
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("code", F.least("side", "other").alias("i"),
-                   F.greatest("side", "other").alias("j"), "side", "class", "n", "place", "comp",
-                   "bitmap", "seen"))
+    return (signed.withColumn("side", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("code", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+                    "side", "class", "n", "place", "comp", "bitmap",
+                    *(["seen"] if listed else [])))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
+
+
+def _maps(raw: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in raw]
+
+
+def lead_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): for each class ``b`` the likeliest of the ``LEADS`` smallest
+    classes of its buckets, so at most one row a class."""
 
     def run(batches):
-        key, held = None, []
-
-        def flush():
-            if len(held) < 2:
-                return None
-            cls = [r["class"] for r in held]
-            pairs = list(_bucket_pairs(
-                key[0], [r["side"] for r in held], cls, np.array([r["n"] for r in held], np.int64),
-                np.array([r["place"] for r in held], np.int64),
-                np.array([r["comp"] for r in held], np.int64),
-                [np.frombuffer(r["bitmap"], np.uint64) for r in held],
-                [r["seen"] for r in held], stars))
-            if not pairs:
-                return None
-            a, b, score = zip(*pairs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())],
-                names=["a", "b", "score"])
+        for _, (cls, n, place, comp, raw) in _by_group(
+                batches, ("class", "n", "place", "comp", "bitmap")):
+            maps, rest = _maps(raw), n - place
+            order = np.argsort(cls, kind="stable")
+            leads, others = order[:LEADS].tolist(), order[LEADS:].tolist()
+            tree = build(leads, n, maps, comp)
+            pairs = [*traverse(tree, tree, n, rest, comp)]
+            if others:
+                pairs += traverse(tree, build(others, n, maps, comp), n, rest, comp)
+            best: dict[int, tuple] = {}
+            for i, j, bound in pairs:
+                a, b = sorted((int(cls[i]), int(cls[j])))
+                best[b] = max(best.get(b, (0.0, 0)), (bound / (int(n[i]) + int(n[j]) - bound), a))
+            if best:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for _, a in best.values()], pa.int64()),
+                     pa.array(list(best), pa.int64()),
+                     pa.array([x for x, _ in best.values()], pa.float64())],
+                    names=["a", "b", "score"])
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                k = (r["code"], r["i"], r["j"])
-                if k != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    key, held = k, []
-                held.append(r)
-        if (out := flush()) is not None:
-            yield out
-
-    found = (cut.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
-             .mapInArrow(run, "a bigint, b bigint, score double"))
-    if stars:
-        return found.groupBy("b").agg(F.max(F.struct("score", "a")).alias("m")).select("m.a", "b")
-    return found.select("a", "b").distinct()
-
-
-def _as_bytes(batches):
-    for batch in batches:
-        raw = [np.asarray(x.values, "<i8").tobytes() for x in batch.column("l")]
-        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(raw, pa.binary())],
-                                         names=["class", "seen"])
+    found = mapped(_grouped(_cut(rows, sets, False)), run, "a bigint, b bigint, score double",
+                   OWNER)
+    return found.groupBy("b").agg(F.max(F.struct("score", "a")).alias("m")).select("m.a", "b")
+
+
+UNDECIDED = "code bigint, i int, j int, side int, class bigint, n int, place int, comp bigint"
+
+
+def undecided(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of groups whose class is in a pair that no bitmap rules out, in
+    the first of the pair's buckets: at most one for each row, never a pair."""
+
+    def run(batches):
+        for (code, i, j), (side, cls, n, place, comp, raw, lists) in _by_group(
+                batches, ("side", "class", "n", "place", "comp", "bitmap", "seen")):
+            before = list(map(frozenset, lists))
+            tree = build(list(range(len(cls))), n, _maps(raw), comp)
+            open_ = np.zeros(len(cls), bool)
+            for a, b, _ in traverse(tree, tree, n, n - place, comp):
+                if (not (open_[a] and open_[b]) and (i == j or side[a] != side[b])
+                        and before[a].isdisjoint(before[b])):
+                    open_[a] = open_[b] = True
+            if open_.any():
+                m = int(open_.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, code)), pa.array(np.full(m, i, np.int32)),
+                     pa.array(np.full(m, j, np.int32)), pa.array(side[open_].astype(np.int32)),
+                     pa.array(cls[open_]), pa.array(n[open_].astype(np.int32)),
+                     pa.array(place[open_].astype(np.int32)), pa.array(comp[open_])],
+                    names=[x.split()[0] for x in UNDECIDED.split(", ")])
+
+    return mapped(_grouped(_cut(rows, sets, True)), run, UNDECIDED, OWNER)
+
+
+def links_in_place(rows: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
+    """(a, b) links of undecided rows (``few``: few enough to broadcast, so that
+    only the sets they ask for are sent): the whole sets meet in their group, where
+    pairs of one component are passed over as links join components, so a group
+    gives fewer links than it has rows."""
+
+    def run(batches):
+        for (_, i, j), (side, cls, n, place, comp, raw) in _by_group(
+                batches, ("side", "class", "n", "place", "comp", "codes")):
+            codes = [_unpack(x) for x in raw]
+            maps = [np.frombuffer(_bitmap(c, len(c)), np.uint64) for c in codes]
+            parent = {int(c): int(c) for c in comp}
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            tree = build(list(range(len(cls))), n, maps, comp)
+            out = []
+            for a, b, _ in traverse(tree, tree, n, n - place, comp):
+                if i != j and side[a] == side[b]:
+                    continue
+                ra, rb = root(int(comp[a])), root(int(comp[b]))
+                if ra != rb and _linked(codes[a], codes[b]):
+                    parent[ra] = rb
+                    out.append((int(cls[a]), int(cls[b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
+                                                 names=["a", "b"])
+
+    whole = sets.select("class", "codes").join(F.broadcast(rows) if few else rows, "class")
+    return mapped(_grouped(whole), run, "a bigint, b bigint", OWNER)
 
 
 # ---- verification and components --------------------------------------------
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, as sorted codes, reach the threshold."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
-    a = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("codes").alias("ca"))
-    b = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("codes").alias("cb"))
+    a = sets.select(F.col("class").alias("a"), F.col("codes").alias("ca"))
+    b = sets.select(F.col("class").alias("b"), F.col("codes").alias("cb"))
 
     def run(batches):
-        for batch in _slices(batches):
-            keep = []
-            for na, nb, ca, cb in zip(*(batch.column(c).to_pylist()
-                                        for c in ("na", "nb", "ca", "cb"))):
-                x, y = _unpack(ca), _unpack(cb)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= PERCENT * (na + nb - both))
+        for batch in _slices(batches, "ca"):
+            keep = [_linked(_unpack(x), _unpack(y)) for x, y in
+                    zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     if few:  # sets of b go to a, whose classes are fewer
@@ -549,7 +607,7 @@ def verified(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
             a.join(F.broadcast(ends), "a", "left_semi"), "a")
     else:
         joined = pairs.join(a, "a").join(b, "b")
-    return joined.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a bigint, b bigint")
+    return mapped(joined.select("a", "b", "ca", "cb"), run, "a bigint, b bigint", OWNER)
 
 
 def _few(df: DataFrame) -> bool:
@@ -576,13 +634,13 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id",
         holder, F.col("class") == F.col("m_class")).select("class", "id"), "jac-wanted")
     sets = class_sets(docs, wanted, _few(wanted), id_col=id_col, text_col=text_col)
 
-    pairs = staged(tree_pairs(buckets.withColumn("comp", F.col("class")), sets, True), "jac-pairs")
+    pairs = staged(lead_pairs(buckets.withColumn("comp", F.col("class")), sets), "jac-pairs")
     links = staged(verified(pairs, sets, _few(pairs)), "jac-links")
     comps = _components(spark, links)
     labelled = buckets.join(comps.select(F.col("id").alias("class"), "comp"), "class", "left").select(
         "code", "class", "n", "place", F.coalesce("comp", "class").alias("comp"))
-    pairs = staged(tree_pairs(labelled, sets, False), "jac-pairs")
-    more = staged(verified(pairs, sets, _few(pairs)), "jac-links")
+    rest = staged(undecided(labelled, sets), "jac-undecided")
+    more = staged(links_in_place(rest, sets, _few(rest)), "jac-links")
     if more.limit(1).count():
         comps = _components(spark, links.unionByName(more))
     named = comps.select(F.col("id").alias("c_class"), "comp")
@@ -653,13 +711,14 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id",
 
 def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` and ``__class``, the row's class as in ``measure``; null without words."""
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in _slices(batches):
-            sets = map(shingle_set, batch.column(batch.schema.names.index(text_col)).to_pylist())
+        for batch in _slices(batches, at):
+            sets = map(shingle_set, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([set_id(s) if len(s) else None for s in sets],
                                           pa.int64())], names=[*batch.schema.names, "__class"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields,
-                                            StructField("__class", LongType())]))
+    return mapped(docs, run, StructType([*docs.schema.fields,
+                                         StructField("__class", LongType())]), OWNER)

@@ -70,6 +70,44 @@ def test_components_against_brute_force(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_plan_choices_agree(spark, monkeypatch):
+    """Few and small blocks, no broadcasts, floods and no frequent shingles."""
+    rows = made(21, 8, 24)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("BROADCAST_ROWS", 0), ("VIABLE_MAX", 3), ("HOT_MAX", 1),
+                        ("BLOCK_CODES", 300), ("JUDGED", 8), ("LEADS", 1), ("SLICE_BYTES", 50)):
+        monkeypatch.setattr(J, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in J.components(docs.repartition(3)).collect()}
+    assert got == brute(rows)
+
+
+def test_no_pair_becomes_a_row(spark, monkeypatch):
+    """A group of near copies just under the threshold: the rows that the
+    second round sends grow with the classes, not with their pairs."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    source = [word() for _ in range(200)]
+    rows = []
+    for k in range(220):
+        w = list(source)
+        for at in rng.sample(range(0, 200, 10), 4):
+            w[at] = word()
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {}
+    for name in ("undecided", "links_in_place", "lead_pairs"):
+        def counted(*args, f=getattr(J, name), name=name):
+            out = J.staged(f(*args), "t-count")
+            counts[name] = out.count()
+            return out
+        monkeypatch.setattr(J, name, counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.components(docs).collect()}
+    assert got == brute(rows)
+    assert counts["lead_pairs"] <= len(rows) and counts["links_in_place"] < 220 * 20
+    assert counts["undecided"] <= 220 * 60  # a class in at most its prefix's buckets
+
+
 def test_given_tables_and_representatives(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
