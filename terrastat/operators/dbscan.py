@@ -27,10 +27,9 @@ For d <= 3 coordinates (the usual case after PCA, or planar points):
    among the cores of its own cell and its cross-cell core neighbours;
    everything else is noise (-1).
 
-For d > 3 the neighbour-offset count of the fine grid explodes, so the
-candidate filter falls back to a coarse grid (side eps) on the first three
-coordinates (the leading principal components), where all candidate pairs
-between distinct coordinates, same-cell ones included, are joined.
+For d > 3 the neighbour-offset count of the fine grid explodes. There points are
+partitioned around pivots, with halos, triangle-inequality pruning and dense
+balls of radius eps/2 (pivots.py); steps 4 and 5 are the same.
 """
 
 from __future__ import annotations
@@ -42,6 +41,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrastat.operators import pivots as PV
 from terrastat.operators.common import checkpointed
 from terrastat.operators.components import connected_components
 from terrastat.operators.scan import global_prefix
@@ -252,7 +252,7 @@ def _label_components(core: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float = DEFAULT_EPS,
-                  min_samples: int = DEFAULT_MIN_SAMPLES, grid_dims: int = GRID_DIMS) -> DataFrame:
+                  min_samples: int = DEFAULT_MIN_SAMPLES, count_all: bool = False) -> DataFrame:
     """(id, label, is_core, neighbours); label -1 is noise.
 
     Exact duplicates are collapsed first (one representative per distinct
@@ -260,9 +260,11 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     share neighbours, core status and label, so a group of copies holding a
     third of the rows becomes one weighted point. ``neighbours`` is the number
     of points within eps, the point included, where it was counted, and null
-    elsewhere: in a dense cell (count >= min_samples, all cores), where no
-    pairs are enumerated, and for a point without a place. A point with a null
-    or NaN coordinate has no place: it is noise.
+    elsewhere: in a dense cell or ball (count >= min_samples, all cores), where
+    no pairs are enumerated, beside a dense ball, and for a point without a
+    place. ``count_all`` (above three coordinates) does without balls, so that
+    every count is exact. A point with a null or NaN coordinate has no place:
+    it is noise.
     """
     lost = F.lit(False)
     for c in coords:
@@ -272,7 +274,7 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
         F.lit(None).cast("long").alias("neighbours"))
     placed = points.where(~lost)
     if len(coords) > FINE_GRID_MAX_DIMS:
-        found = _dbscan_labels_coarse(placed, id_col, coords, eps, min_samples, grid_dims)
+        found = _dbscan_labels_pivots(placed, id_col, coords, eps, min_samples, count_all)
     else:
         found = _dbscan_labels_fine(placed, id_col, coords, eps, min_samples)
     return found.unionByName(placeless)
@@ -331,34 +333,65 @@ def _dbscan_labels_fine(points: DataFrame, id_col: str, coords: list[str], eps:
     return out.select(F.col("_pid").alias(id_col), "label", "is_core", "neighbours")
 
 
-def _dbscan_labels_coarse(points: DataFrame, id_col: str, coords: list[str], eps: float,
-                          min_samples: int, grid_dims: int) -> DataFrame:
-    """d > 3: coarse-grid candidate filter on three coordinates; all
-    epsilon-pairs between distinct coordinates are joined. Exact duplicates
-    are collapsed into weighted points first, as in the fine-grid path."""
-    d = len(coords)
-    xs = [f"x{i}" for i in range(d)]
+def _dbscan_labels_pivots(points: DataFrame, id_col: str, coords: list[str], eps: float,
+                          min_samples: int, count_all: bool) -> DataFrame:
+    """More than three coordinates: cells around pivots, dense balls, blocks
+    (``pivots``). Exact duplicates are one weighted point, as in the fine grid."""
     src = points.select(F.col(id_col).alias("_pid"),
-                        *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs)])
-    uniq = checkpointed(src.groupBy(*xs).agg(F.min("_pid").alias("id"),
-                                             F.count(F.lit(1)).alias("mult")))
-    pairs = checkpointed(neighbour_pairs(uniq, "id", xs, eps, grid_dims)
-                         .join(uniq.select(F.col("id").alias("nid"), F.col("mult").alias("nw")), "nid"))
-    counts = pairs.groupBy("id").agg(F.sum("nw").alias("neighbours"))
-    core = checkpointed(counts.where(F.col("neighbours") >= min_samples).select("id"))
-    edges = (pairs.where(F.col("id") < F.col("nid"))
-             .join(core, "id", "left_semi")
-             .join(core.select(F.col("id").alias("nid")), "nid", "left_semi")
-             .select(F.col("id").alias("src"), F.col("nid").alias("dst")))
-    core_lab = _label_components(core, edges)
-    border = (pairs.join(core_lab.select(F.col("id").alias("nid"), "label"), "nid")
-              .groupBy("id").agg(F.min("label").alias("blabel")))
-    per_point = (uniq.join(counts, "id", "left").join(core_lab, "id", "left").join(border, "id", "left")
-                 .select(*xs, F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("label"),
-                         F.col("label").isNotNull().alias("is_core"),
-                         F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbours")))
-    out = src.join(per_point, xs)
-    return out.select(F.col("_pid").alias(id_col), "label", "is_core", "neighbours")
+                        F.array(*[F.col(c).cast("double") for c in coords]).alias("x"))
+    uniq = checkpointed(src.groupBy("x").agg(F.min("_pid").alias("id"),
+                                             F.count(F.lit(1)).alias("w")))
+    n = uniq.count()
+    if n == 0:
+        return points.select(id_col, F.lit(-1).cast("long").alias("label"),
+                             F.lit(False).alias("is_core"), F.lit(None).cast("long").alias("neighbours"))
+    plan = PV.layout(uniq, n, eps, min_samples, not count_all)
+    placed = checkpointed(PV.place(uniq, plan))
+    weights = placed.where("ball >= 0").groupBy("ball").agg(F.sum("w").alias("bw"),
+                                                            F.min("id").alias("rep"))
+    dense = checkpointed(weights.where(F.col("bw") >= min_samples))
+    balls = sorted(r.ball for r in dense.collect())  # at most PV.BALLS
+    inside = F.col("ball").isin(balls) if balls else F.lit(False)
+    loose, members = placed.where(~inside), placed.where(inside)
+    counts = PV.count_neighbours(loose, eps)
+    hits = None
+    if balls:
+        hits = checkpointed(PV.near_balls(loose, members, plan, min_samples).where("n > 0"))
+        more = hits.groupBy("id").agg(F.sum("n").alias("m"))
+        counts = counts.join(more, "id", "left").select(
+            "id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.col("m").isNull().alias("exact"))
+    else:
+        counts = counts.select("id", "n", F.lit(True).alias("exact"))
+    judged = checkpointed(loose.join(counts, "id").withColumn("is_core", F.col("n") >= min_samples))
+    links = checkpointed(PV.loose_links(judged, eps))
+    status = judged.select("id", "is_core")
+    cores = status.where("is_core").select("id")
+    edges = links.join(cores, "id", "left_semi").select(F.col("id").alias("src"),
+                                                        F.col("core").alias("dst"))
+    border = links.join(cores, "id", "left_anti")
+    if balls:
+        reps = dense.select("ball", "rep")
+        touched = hits.join(reps, "ball").select("id", F.col("rep").alias("core"))
+        edges = (edges.unionByName(touched.join(cores, "id", "left_semi").select(
+                     F.col("id").alias("src"), F.col("core").alias("dst")))
+                 .unionByName(PV.ball_links(members, plan, balls)
+                              .join(reps.toDF("a", "src"), "a").join(reps.toDF("b", "dst"), "b")
+                              .select("src", "dst")))
+        border = border.unionByName(touched.join(cores, "id", "left_anti"))
+        cores = cores.unionByName(reps.select(F.col("rep").alias("id")))
+    labels = _label_components(cores, checkpointed(edges))
+    near = (border.join(labels.select(F.col("id").alias("core"), "label"), "core")
+            .groupBy("id").agg(F.min("label").alias("near")))
+    out = (judged.select("x", "id", "is_core", F.when(F.col("exact"), F.col("n")).alias("neighbours"))
+           .join(labels, "id", "left").join(near, "id", "left")
+           .select("x", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("label"), "is_core",
+                   F.col("neighbours").cast("long").alias("neighbours")))
+    if balls:
+        of_ball = reps.join(labels.withColumnRenamed("id", "rep"), "rep").select("ball", "label")
+        out = out.unionByName(members.join(of_ball, "ball").select(
+            "x", F.col("label").cast("long").alias("label"), F.lit(True).alias("is_core"),
+            F.lit(None).cast("long").alias("neighbours")))
+    return src.join(out, "x").select(F.col("_pid").alias(id_col), "label", "is_core", "neighbours")
 
 
 @dataclass

@@ -1,23 +1,21 @@
 """K-Means profiling pipeline (M1-M4, M13) on top of F1-F5 and profiles.py.
 
-F1-F5 run once and the PCA scores are checkpointed; the K sweep's fits run
-as concurrent jobs over them, and the final fit for the requested K reuses
-the sweep's (the reference recomputed everything twice per page render).
-Spark ML's KMeans runs distributed Lloyd iterations; inertia is the training
-cost. Labels differ from k-means++ in another library (different seeding),
-so inertia and silhouette, not labels, are what compare across engines.
+F1-F5 run once and the PCA scores are checkpointed; all K of the sweep are
+fitted together, each Lloyd step being one scan of them (lloyd.py), and the final
+fit for the requested K is the sweep's (the reference recomputed everything twice
+per page render). Seeding is a fixed sequence, so fits are the same on every run
+and SQL can repeat them; labels differ from k-means++ in another library.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrastat.operators import features as FE
+from terrastat.operators import lloyd as LL
 from terrastat.operators import profiles as PR
 from terrastat.operators.common import checkpointed
 from terrastat.operators.silhouette import best_k, silhouette_means, silhouette_score
@@ -26,7 +24,7 @@ from terrastat.operators.silhouette import best_k, silhouette_means, silhouette_
 SWEEP = range(2, 9)
 DEFAULT_K = 4
 SEED = 42
-MAX_ITER = 300  # Lloyd iterations stop earlier once centres settle (tol)
+MAX_ITER = 300  # Lloyd steps end earlier, once no label changes
 
 
 @dataclass
@@ -50,68 +48,50 @@ def prepare(mart: DataFrame, variance: float = FE.PCA_VARIANCE) -> Prepared:
     return Prepared(ids, feats, rates, scores, pca)
 
 
-def _vectors(scores: DataFrame, k: int) -> DataFrame:
-    return VectorAssembler(inputCols=FE.pc_columns(k), outputCol="features").transform(scores)
+def _points(prep: Prepared) -> DataFrame:
+    return prep.scores.select(F.col("muni_key").alias("id"), F.array(*[
+        F.col(c) for c in FE.pc_columns(prep.pca.n_components)]).alias("x"))
 
 
-def fit_labels(prep: Prepared, k: int = DEFAULT_K, seed: int = SEED):
-    """M4: final fit; (model, ids + pcs + cluster)."""
-    vec = _vectors(prep.scores, prep.pca.n_components)
-    model = KMeans(k=k, seed=seed, maxIter=MAX_ITER, featuresCol="features",
-                   predictionCol="cluster").fit(vec)
-    labelled = model.transform(vec).drop("features").withColumn("cluster", F.col("cluster").cast("long"))
-    return model, labelled
-
-
-def _fits(prep: Prepared, ks, seed: int, parallel: int) -> dict:
-    """k -> (model, labelled, inertia) for every K of the sweep.
+def _fits(prep: Prepared, ks, seed: int) -> tuple[dict[int, LL.Fit], DataFrame]:
+    """K -> fit, and (muni_key, x, cluster_K...) of every point."""
+    ks = sorted({int(k) for k in ks})
+    fits, labelled = LL.sweep(_points(prep), ks, seed, MAX_ITER)
+    return fits, labelled.select(F.col("id").alias("muni_key"), "x", *[
+        F.col("l")[i].cast("long").alias(f"cluster_{k}") for i, k in enumerate(ks)])
 
-    The fits are independent jobs over the same stored scores, so they are
-    submitted together from driver threads (Spark schedules concurrent jobs);
-    each result is deterministic for its seed.
-    """
-    from concurrent.futures import ThreadPoolExecutor
 
-    sc = prep.scores.sparkSession.sparkContext
-    group = sc.getLocalProperty("spark.jobGroup.id")
-    description = sc.getLocalProperty("spark.job.description")
+def _of(prep: Prepared, labelled: DataFrame, k: int) -> DataFrame:
+    """ids + pcs + cluster of one K."""
+    return prep.scores.join(labelled.select("muni_key", F.col(f"cluster_{k}").alias("cluster")),
+                            "muni_key").select(*prep.scores.columns, "cluster")
 
-    def one(k: int):
-        if group:  # the caller's job group (cancellation, attribution) follows the fits
-            sc.setJobGroup(group, description or group)
-        model, labelled = fit_labels(prep, k, seed)
-        return k, (model, labelled, float(model.summary.trainingCost))
 
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        return dict(pool.map(one, [int(k) for k in ks]))
+def fit_labels(prep: Prepared, k: int = DEFAULT_K, seed: int = SEED):
+    """M4: final fit; (fit, ids + pcs + cluster)."""
+    fits, labelled = _fits(prep, [k], seed)
+    return fits[k], _of(prep, labelled, k)
 
 
-def _silhouettes(prep: Prepared, models: dict[int, object], method: str) -> dict[int, float]:
+def _silhouettes(labelled: DataFrame, ks, method: str) -> dict[int, float]:
     """k -> mean silhouette; the exact one of all K from one pass."""
-    ks = sorted(models)
-    k_pc = prep.pca.n_components
-    x = F.array(*[F.col(c) for c in FE.pc_columns(k_pc)]).alias("x")
-    rows = _vectors(prep.scores, k_pc)
-    for k in ks:
-        rows = models[k].transform(rows).withColumnRenamed("cluster", f"cluster_{k}")
-    rows = checkpointed(rows.select("muni_key", x, *[f"cluster_{k}" for k in ks]))
+    ks = sorted(ks)
     if method == "exact":
-        got = silhouette_means(rows, "muni_key", "x", [f"cluster_{k}" for k in ks]).collect()
+        got = silhouette_means(labelled, "muni_key", "x", [f"cluster_{k}" for k in ks]).collect()
         return {ks[r.position]: float(r.silhouette or 0.0) for r in got}
-    return {k: float(silhouette_score(rows, "muni_key", "x", f"cluster_{k}", method=method)
+    return {k: float(silhouette_score(labelled, "muni_key", "x", f"cluster_{k}", method=method)
                      .first()["silhouette"] or 0.0) for k in ks}
 
 
 def _evaluation_frame(prep: Prepared, fits: dict, silhouettes: dict) -> DataFrame:
-    rows = [(k, v[2], silhouettes.get(k)) for k, v in sorted(fits.items())]
+    rows = [(k, v.inertia, silhouettes.get(k)) for k, v in sorted(fits.items())]
     return prep.scores.sparkSession.createDataFrame(rows, "k long, inertia double, silhouette double")
 
 
-def evaluate_k(prep: Prepared, ks=SWEEP, seed: int = SEED, method: str = "exact",
-               parallel: int = len(SWEEP)) -> DataFrame:
+def evaluate_k(prep: Prepared, ks=SWEEP, seed: int = SEED, method: str = "exact") -> DataFrame:
     """M1: (k, inertia, silhouette) for each K in the sweep (7 small rows)."""
-    fits = _fits(prep, ks, seed, parallel)
-    return _evaluation_frame(prep, fits, _silhouettes(prep, {k: v[0] for k, v in fits.items()}, method))
+    fits, labelled = _fits(prep, ks, seed)
+    return _evaluation_frame(prep, fits, _silhouettes(labelled, fits, method))
 
 
 @dataclass
@@ -128,8 +108,8 @@ def run_kmeans(mart: DataFrame, k: int = DEFAULT_K, seed: int = SEED, method: st
     """The whole profiling pipeline: F1-F5, sweep, final fit, naming. Without
     ``sweep`` only the final K is fitted and no silhouette is computed."""
     prep = prepare(mart)
-    fits = _fits(prep, sorted({k, *SWEEP}) if sweep else [k], seed, len(SWEEP))
-    labelled = checkpointed(fits[k][1])  # same data and seed as a fit of its own
+    fits, every = _fits(prep, {k, *SWEEP} if sweep else [k], seed)
+    labelled = checkpointed(_of(prep, every, k))  # the same as a fit of its own
     k_pc = prep.pca.n_components
     pcs = [F.col("pc1"), F.col("pc2") if k_pc > 1 else F.lit(None).cast("double").alias("pc2")]
     lab = prep.rates.join(labelled.select("muni_key", "cluster", *pcs), "muni_key")
@@ -138,7 +118,7 @@ def run_kmeans(mart: DataFrame, k: int = DEFAULT_K, seed: int = SEED, method: st
     profiles = PR.cluster_profiles(lab, names, prep.features)
     if not sweep:
         return KMeansResult(members, names, profiles, None, None)
-    silhouettes = _silhouettes(prep, {n: v[0] for n, v in fits.items()}, method)
+    silhouettes = _silhouettes(every, fits, method)
     evaluation = checkpointed(_evaluation_frame(prep, {n: fits[n] for n in SWEEP}, silhouettes))
     metrics = best_k(evaluation).select(
         F.lit(silhouettes[k]).alias("silhouette_final"), "best_k", "best_silhouette",

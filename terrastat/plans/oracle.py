@@ -241,9 +241,10 @@ sil AS (
     ELSE 0.0 END AS s FROM ab)"""
 
 
-def _dbscan_sql(eps: float, min_samples: int, points: str = POINTS, coords: tuple = ("x", "y"),
+def _dbscan_sql(eps: float, min_samples: int, points: str = POINTS, coords: tuple | None = ("x", "y"),
                 counted: bool = False) -> str:
-    near = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in coords)
+    near = (" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in coords) if coords else
+            "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))")
     count = ", CAST(nb.cnt AS BIGINT) AS neighbours" if counted else ""
     return "WITH RECURSIVE " + w(points, f"""pairs AS (
   SELECT a.k AS i, b.k AS j FROM points a JOIN points b ON {near} <= {eps * eps})""",
@@ -262,6 +263,117 @@ def _dbscan_sql(eps: float, min_samples: int, points: str = POINTS, coords: tupl
 FROM points p JOIN nb ON nb.i = p.k LEFT JOIN clab cl ON p.k = cl.v LEFT JOIN blab bl ON p.k = bl.i"""
 
 
+SQUARINGS = 24  # powers up to 2**24 of the covariance: what is left is one component
+
+
+def _pca_ctes(comps: int) -> list[str]:
+    """PCA of ``feat`` (id, pos, v) without an eigenvalue routine: the covariance is
+    squared again and again until only its leading component is left, which is then
+    taken off. Gives ``eig`` (component, lam), ``trace`` and ``axis`` (component, i, v)."""
+    out = ["fmean AS (SELECT pos, AVG(v) AS m FROM feat GROUP BY pos)",
+           """cov1 AS MATERIALIZED (
+  SELECT a.pos AS i, b.pos AS j, AVG((a.v - p.m) * (b.v - q.m)) AS v
+  FROM feat a JOIN feat b ON a.id = b.id JOIN fmean p ON p.pos = a.pos JOIN fmean q ON q.pos = b.pos
+  GROUP BY a.pos, b.pos)"""]
+    for r in range(1, comps + 1):
+        out += [f"""pow{r}(step, i, j, v) AS (
+  SELECT 0, i, j, v / sqrt(SUM(v * v) OVER ()) FROM cov{r}
+  UNION ALL
+  SELECT step + 1, i, j, v / sqrt(SUM(v * v) OVER ()) FROM (
+    SELECT a.step, a.i, b.j, SUM(a.v * b.v) AS v FROM pow{r} a JOIN pow{r} b ON a.j = b.i
+    WHERE a.step < {SQUARINGS} GROUP BY a.step, a.i, b.j))""",
+                f"""axis{r} AS MATERIALIZED (
+  SELECT i, v / sqrt(SUM(v * v) OVER ()) * sign(arg_max(v, abs(v)) OVER ()) AS v
+  FROM pow{r} WHERE step = {SQUARINGS} AND j = (
+    SELECT i FROM pow{r} WHERE step = {SQUARINGS} AND i = j ORDER BY v DESC LIMIT 1))""",
+                f"""lam{r} AS MATERIALIZED (
+  SELECT SUM(x.v * c.v * y.v) AS lam FROM cov1 c JOIN axis{r} x ON x.i = c.i JOIN axis{r} y ON y.i = c.j)"""]
+        if r < comps:
+            out.append(f"""cov{r + 1} AS MATERIALIZED (
+  SELECT c.i, c.j, c.v - l.lam * x.v * y.v AS v
+  FROM cov{r} c JOIN axis{r} x ON x.i = c.i JOIN axis{r} y ON y.i = c.j, lam{r} l)""")
+    out += ["eig AS (" + " UNION ALL ".join(
+                f"SELECT {r} AS component, lam FROM lam{r}" for r in range(1, comps + 1)) + ")",
+            "trace AS (SELECT SUM(v) AS t FROM cov1 WHERE i = j)",
+            "axis AS (" + " UNION ALL ".join(
+                f"SELECT {r} AS component, i, v FROM axis{r}" for r in range(1, comps + 1)) + ")"]
+    return out
+
+
+def _apart(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+LLOYD_STEPS = 60
+KMEANS_SEED = 42
+
+
+def _kmeans_ctes(ks: list[int]) -> list[str]:
+    """K-Means of ``pts`` (id, x: DOUBLE[]) for each K: seeds drawn along the running
+    sum of squared distances, then Lloyd steps. Gives ``klab`` (k, id, x, label, d)."""
+    draw = [(KMEANS_SEED + j) * 0.6180339887498949 % 1.0 for j in range(max(ks))]
+    out = ["seed_rank AS MATERIALIZED (SELECT id, x, row_number() OVER (ORDER BY id) AS rn, "
+           "COUNT(*) OVER () AS n FROM pts)",
+           f"seed0 AS MATERIALIZED (SELECT x FROM seed_rank WHERE rn = CAST(floor({draw[0]!r} * n) AS BIGINT) + 1)",
+           f"far1 AS MATERIALIZED (SELECT r.id, r.x, {_apart('r.x', 's.x')} AS d FROM seed_rank r, seed0 s)"]
+    for j in range(1, max(ks)):
+        out.append(f"""seed{j} AS MATERIALIZED (
+  SELECT x FROM (SELECT id, x, SUM(d) OVER (ORDER BY id) AS c, SUM(d) OVER () AS t FROM far{j})
+  WHERE c > {draw[j]!r} * t ORDER BY id LIMIT 1)""")
+        if j + 1 < max(ks):
+            out.append(f"far{j + 1} AS MATERIALIZED (SELECT f.id, f.x, "
+                       f"least(f.d, {_apart('f.x', 's.x')}) AS d FROM far{j} f, seed{j} s)")
+    first = " UNION ALL ".join(f"SELECT {j} AS c, x FROM seed{j}" for j in range(max(ks)))
+    near = "arg_min({val}, {{'d': " + _apart("p.x", "l.x") + ", 'c': l.c}})"
+    return out + [
+        f"ks AS (SELECT unnest([{', '.join(map(str, ks))}]) AS k)", f"seeds AS ({first})",
+        f"""lloyd(k, step, c, x) AS (
+  SELECT k, 0, c, x FROM ks JOIN seeds ON c < k
+  UNION ALL
+  SELECT k, step + 1, c, list(m ORDER BY dim) FROM (
+    SELECT k, step, c, dim, AVG(v) AS m FROM (
+      SELECT k, step, c, unnest(x) AS v, unnest(range(len(x))) AS dim FROM (
+        SELECT l.k, l.step, p.id, p.x, {near.format(val='l.c')} AS c
+        FROM lloyd l, pts p WHERE l.step < {LLOYD_STEPS} GROUP BY l.k, l.step, p.id, p.x))
+    GROUP BY k, step, c, dim) GROUP BY k, step, c)""",
+        f"""klab AS MATERIALIZED (
+  SELECT l.k, p.id, p.x, {near.format(val='l.c')} AS label, MIN({_apart('p.x', 'l.x')}) AS d
+  FROM lloyd l, pts p WHERE l.step = {LLOYD_STEPS} GROUP BY l.k, p.id, p.x)"""]
+
+
+KMEANS_EVAL = f"""kpair AS (
+  SELECT a.k, a.id, a.label AS li, b.label AS lj, SUM(sqrt({_apart('a.x', 'b.x')})) AS ds, COUNT(*) AS c
+  FROM klab a JOIN klab b ON a.k = b.k GROUP BY a.k, a.id, a.label, b.label),
+kab AS (
+  SELECT k, id, MAX(CASE WHEN li = lj THEN c END) AS n, MAX(CASE WHEN li = lj THEN ds END) AS ds,
+    MIN(CASE WHEN li <> lj THEN ds / c END) AS b FROM kpair GROUP BY k, id),
+ksil AS (
+  SELECT k, AVG(CASE WHEN n <= 1 OR b IS NULL OR greatest(ds / (n - 1), b) = 0 THEN 0.0
+    ELSE (b - ds / (n - 1)) / greatest(ds / (n - 1), b) END) AS silhouette FROM kab GROUP BY k),
+kev AS (SELECT k, SUM(d) AS inertia, ANY_VALUE(silhouette) AS silhouette
+  FROM klab JOIN ksil USING (k) GROUP BY k)"""
+
+
+def _mart_pca(comps: int) -> list[str]:
+    """``feat`` from the scaled rates of the mart, and its PCA."""
+    scaled = "feat AS (" + " UNION ALL ".join(
+        f"SELECT muni_key AS id, {i} AS pos, CASE WHEN STDDEV_POP({f}) OVER () > 0 THEN "
+        f"({f} - AVG({f}) OVER ()) / STDDEV_POP({f}) OVER () ELSE 0.0 END AS v FROM rates"
+        for i, f in enumerate(FEATURES)) + ")"
+    return [MUNI, MART_LONG, MART, RATES, scaled, *_pca_ctes(comps)]
+
+
+def _pcs(comps: int) -> str:
+    """``pcs`` (id, pc1...) of ``feat``."""
+    pc = ", ".join(f"SUM(CASE WHEN component = {r} THEN f.v * a.v END) AS pc{r}"
+                   for r in range(1, comps + 1))
+    return f"pcs AS MATERIALIZED (SELECT f.id, {pc} FROM feat f JOIN axis a ON a.i = f.pos GROUP BY f.id)"
+
+
+def _recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + w(*parts)[5:]
+
+
 def _sql() -> dict[str, str]:
     b = w(*BASE)
     q: dict[str, str] = {}
@@ -513,6 +625,47 @@ def _sql() -> dict[str, str]:
     emb = "points AS (SELECT vec_id AS k, " + ", ".join(
         f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(dims)) + " FROM embeddings)"
     q["dbscan_high_dims"] = _dbscan_sql(0.12, 10, emb, tuple(dims), counted=True)
+    n_feat = len(FEATURES)
+    q["pca_variance"] = _recursive(*_mart_pca(n_feat)) + (
+        "SELECT CAST(component AS INTEGER) AS component, round(ratio, 6) AS ratio, "
+        "round(cumulative, 6) AS cumulative, COALESCE(earlier, 0) <= 0.9 AS retained FROM ("
+        "SELECT component, ratio, SUM(ratio) OVER (ORDER BY component) AS cumulative, "
+        "SUM(ratio) OVER (ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier "
+        "FROM (SELECT component, lam / t AS ratio FROM eig, trace))")
+    # the mart keeps one component at the scale of the comparison
+    one = [*_mart_pca(1), _pcs(1)]
+    q["pca_scores"] = _recursive(*one) + (
+        "SELECT r.muni_key, r.muni, r.population, r.state, round(p.pc1, 6) AS pc1 "
+        "FROM rates r JOIN pcs p ON p.id = r.muni_key")
+    emb_feat = """long AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS pos,
+    CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+feat AS (SELECT id, pos, CASE WHEN STDDEV_POP(v) OVER p > 0 THEN (v - AVG(v) OVER p) / STDDEV_POP(v) OVER p
+  ELSE 0.0 END AS v FROM long WINDOW p AS (PARTITION BY pos))"""
+    three = [emb_feat, *_pca_ctes(3)]
+    q["pca_embeddings"] = _recursive(*three, _pcs(3)) + (
+        "SELECT id AS vec_id, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2, round(pc3, 6) AS pc3 FROM pcs")
+    q["pca_embeddings_variance"] = _recursive(*three) + (
+        "SELECT CAST(component AS INTEGER) AS component, round(lam / t, 9) AS ratio FROM eig, trace")
+    mart_pts = [*one, "pts AS MATERIALIZED (SELECT id, [pc1] AS x FROM pcs)"]
+    swept = _recursive(*mart_pts, *_kmeans_ctes(list(range(2, 9))), KMEANS_EVAL)
+    q["kmeans_evaluation"] = swept + (
+        "SELECT CAST(k AS BIGINT) AS k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette FROM kev")
+    q["kmeans_metrics"] = swept + (
+        "SELECT round((SELECT silhouette FROM kev WHERE k = 4), 6) AS silhouette_final, "
+        "CAST(k AS BIGINT) AS best_k, round(silhouette, 6) AS best_silhouette, "
+        "round((SELECT lam / t * 100.0 FROM eig, trace), 6) AS retained_pct, CAST(1 AS INTEGER) AS dims "
+        "FROM kev ORDER BY kev.silhouette DESC, k LIMIT 1")
+    four = _recursive(*mart_pts, *_kmeans_ctes([4]))
+    q["kmeans_labels"] = four + (
+        "SELECT r.muni_key, r.muni, r.population, CAST(l.label AS BIGINT) AS cluster "
+        "FROM rates r JOIN klab l ON l.id = r.muni_key")
+    q["kmeans_embeddings"] = _recursive(
+        "pts AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
+        *_kmeans_ctes([3, 8])) + (
+        "SELECT id AS vec_id, CAST(k AS BIGINT) AS k, CAST(label AS BIGINT) AS cluster, "
+        "round(sqrt(d), 6) AS distance FROM klab")
+    q["dbscan_embeddings"] = _dbscan_sql(
+        1.17, 5, "points AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)", None)
     q["kmeans_assignment"] = w(MUNI, MART_LONG, MART) + (
         "SELECT COUNT(*) AS points, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced "
         "FROM mart WHERE population >= 5000")

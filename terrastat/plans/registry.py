@@ -452,9 +452,12 @@ def features_scaled(spark, sf):
     return _round_feats(FE.standardise(rates, ids, feats), feats)
 
 
+ALL_DIMS = 64  # coordinates of an embedding
+
+
 def pca_scores(spark, sf):
     prep = KM.prepare(fx.mart(spark, sf))
-    return prep.scores
+    return _round_feats(prep.scores, FE.pc_columns(prep.pca.n_components))
 
 
 def pca_variance(spark, sf):
@@ -462,7 +465,28 @@ def pca_variance(spark, sf):
     ratios = prep.pca.ratios
     rows = [(i + 1, float(r), float(sum(ratios[:i + 1])), i < prep.pca.n_components)
             for i, r in enumerate(ratios)]
-    return spark.createDataFrame(rows, "component int, ratio double, cumulative double, retained boolean")
+    out = spark.createDataFrame(rows, "component int, ratio double, cumulative double, retained boolean")
+    return out.withColumn("ratio", r6("ratio")).withColumn("cumulative", r6("cumulative"))
+
+
+def _embedding_pca(spark, sf):
+    """F4 + F5 over all coordinates of the embeddings, three components at least."""
+    names = [f"e{i}" for i in range(ALL_DIMS)]
+    wide = _embeddings(spark, sf).select("vec_id", *[
+        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    return FE.pca_scores(FE.standardise(checkpointed(wide), ["vec_id"], names), ["vec_id"], names,
+                         min_components=EMBEDDING_PCS)
+
+
+def pca_embeddings(spark, sf):
+    pcs = FE.pc_columns(EMBEDDING_PCS)
+    return _round_feats(_embedding_pca(spark, sf).scores.select("vec_id", *pcs), pcs)
+
+
+def pca_embeddings_variance(spark, sf):
+    ratios = _embedding_pca(spark, sf).ratios[:EMBEDDING_PCS]
+    return spark.createDataFrame([(i + 1, round(r, 9)) for i, r in enumerate(ratios)],
+                                 "component int, ratio double")
 
 
 # --- silhouette / K -------------------------------------------------------------
@@ -470,6 +494,7 @@ def _embeddings(spark, sf):
     return read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
 
 
+EMBEDDING_PCS, EMBEDDING_KS = 3, [3, 8]
 SILHOUETTE_TILE = 200  # several tiles at every scale of the driver's tables
 
 
@@ -495,7 +520,24 @@ def best_k_query(spark, sf):
 
 
 def kmeans_evaluation(spark, sf):
-    return KM.evaluate_k(KM.prepare(fx.mart(spark, sf)))
+    ev = KM.evaluate_k(KM.prepare(fx.mart(spark, sf)))
+    return ev.select("k", r6("inertia").alias("inertia"), r6("silhouette").alias("silhouette"))
+
+
+def kmeans_embeddings(spark, sf):
+    """M4 over all coordinates of the embeddings: label and distance to the own
+    centre for two K of one sweep."""
+    points = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    fits, labelled = KM.LL.sweep(points, EMBEDDING_KS, KM.SEED)
+    rows = []
+    for i, k in enumerate(EMBEDDING_KS):
+        centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in fits[k].centres])
+        own = F.zip_with(F.col("x"), centres[F.col("l")[i]], lambda a, b: (a - b) * (a - b))
+        rows.append(labelled.select(
+            F.col("id").alias("vec_id"), F.lit(k).cast("bigint").alias("k"),
+            F.col("l")[i].cast("bigint").alias("cluster"),
+            F.round(F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, v: s + v)), 6).alias("distance")))
+    return rows[0].unionByName(rows[1])
 
 
 def kmeans_labels(spark, sf):
@@ -517,7 +559,8 @@ def kmeans_assignment(spark, sf):
 
 
 def kmeans_metrics(spark, sf):
-    return KM.run_kmeans(fx.mart(spark, sf)).metrics
+    m = KM.run_kmeans(fx.mart(spark, sf)).metrics
+    return m.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
 # --- cluster profiles on fixed labels -------------------------------------------
@@ -586,10 +629,22 @@ def dbscan_high_dims(spark, sf):
     pts = _embeddings(spark, sf).select("vec_id", *[
         F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(coords)])
     min_samples = DB.effective_min_samples(5, EMBEDDING_DIMS, legacy_auto=True)
-    lab = DB.dbscan_labels(pts, "vec_id", coords, EMBEDDING_EPS, min_samples)
+    lab = DB.dbscan_labels(pts, "vec_id", coords, EMBEDDING_EPS, min_samples, count_all=True)
     return lab.select(F.col("vec_id").alias("k"), "label", "is_core", "neighbours")
 
 
+ALL_DIMS_EPS, ALL_DIMS_MIN_SAMPLES = 1.17, 5
+
+
+def dbscan_embeddings(spark, sf):
+    """D2 over all coordinates of the embeddings."""
+    coords = [f"e{i}" for i in range(ALL_DIMS)]
+    pts = _embeddings(spark, sf).select("vec_id", *[
+        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(coords)])
+    lab = DB.dbscan_labels(pts, "vec_id", coords, ALL_DIMS_EPS, ALL_DIMS_MIN_SAMPLES)
+    return lab.select(F.col("vec_id").alias("k"), "label", "is_core")
+
+
 def _dbscan_shape(spark, sf):
     rates, ids, feats = _prep_rates(spark, sf)
     lab = F.when(F.pmod(F.col("muni_key"), F.lit(5)) == 0, F.lit(-1)).otherwise(
@@ -689,15 +744,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "features_filtered": features_filtered, "feature_roles": feature_roles,
     "feature_rates": feature_rates, "features_scaled": features_scaled,
     "pca_scores": pca_scores, "pca_variance": pca_variance,
+    "pca_embeddings": pca_embeddings, "pca_embeddings_variance": pca_embeddings_variance,
     "silhouette_exact": silhouette_exact, "silhouette_sweep": silhouette_sweep,
     "best_k": best_k_query,
     "kmeans_evaluation": kmeans_evaluation, "kmeans_labels": kmeans_labels,
-    "kmeans_assignment": kmeans_assignment,
+    "kmeans_assignment": kmeans_assignment, "kmeans_embeddings": kmeans_embeddings,
     "kmeans_metrics": kmeans_metrics,
     "cluster_summary": cluster_summary, "cluster_zscores": cluster_zscores,
     "cluster_names": cluster_names, "cluster_members_named": cluster_members_named,
     "cluster_profiles": cluster_profiles, "cluster_top3": cluster_top3, "cluster_heat": cluster_heat,
-    "dbscan_labels": dbscan_labels, "dbscan_high_dims": dbscan_high_dims, "dbscan_members": dbscan_members,
+    "dbscan_labels": dbscan_labels, "dbscan_high_dims": dbscan_high_dims,
+    "dbscan_embeddings": dbscan_embeddings, "dbscan_members": dbscan_members,
     "dbscan_metrics": dbscan_metrics, "dbscan_summary": dbscan_summary,
     "outlier_anomaly": outlier_anomaly, "outlier_list": outlier_list,
     "dbscan_display": dbscan_display, "dbscan_pipeline": dbscan_pipeline,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrastat.operators import dbscan as DB
 from terrastat.operators import features as FE
+from terrastat.operators import pivots as PV
 from terrastat.operators import profiles as PR
 from terrastat.operators.components import connected_components
 from terrastat.operators.silhouette import best_k, silhouette_samples, silhouette_score
@@ -312,3 +313,84 @@ def test_connected_components_long_chain(spark):
     e = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(len(ids) - 1)], "src bigint, dst bigint")
     got = connected_components(v, e, max_rounds=40).collect()
     assert len(got) == 3000 and {r.comp for r in got} == {0}
+
+
+# --- DBSCAN above three coordinates ---------------------------------------------
+def _cloud(seed, d=6):
+    """Blobs of several widths, a tight ball, copies and a background."""
+    rnd = np.random.default_rng(seed)
+    centres = rnd.uniform(-4, 4, (4, d))
+    X = np.vstack([rnd.normal(c, s, (n, d)) for c, s, n in
+                   zip(centres, (0.25, 0.05, 0.5, 0.02), (60, 80, 40, 120))]
+                  + [rnd.uniform(-5, 5, (60, d)), np.repeat(centres[:1] + 0.1, 15, axis=0)])
+    return X[rnd.permutation(len(X))]
+
+
+def _high(spark, X):
+    names = [f"c{i}" for i in range(X.shape[1])]
+    return spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)],
+                                 "k bigint, " + ", ".join(f"{c} double" for c in names)), names
+
+
+@pytest.mark.parametrize("eps,ms,count_all", [(0.5, 5, False), (0.9, 12, False), (0.25, 4, True),
+                                              (0.02, 3, False), (50.0, 4, False)])
+def test_dbscan_pivots_match_brute_force(spark, monkeypatch, eps, ms, count_all):
+    monkeypatch.setattr(PV, "BLOCK", 40)
+    monkeypatch.setattr(PV, "ROWS_PER_PIVOT", 30)
+    X = _cloud(3)
+    df, names = _high(spark, X)
+    got = sorted(DB.dbscan_labels(df.repartition(3), "k", names, eps, ms, count_all).collect())
+    assert [r.label for r in got] == list(brute_dbscan(X, eps, ms))
+    near = (np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)) <= eps).sum(1)
+    assert [r.is_core for r in got] == list(near >= ms)
+    assert all(r.neighbours == n for r, n in zip(got, near) if r.neighbours is not None)
+    if count_all:
+        assert all(r.neighbours is not None for r in got)
+
+
+def test_dbscan_pivots_between_dense_balls(spark, monkeypatch):
+    """Dense balls whose leaders are one to two eps apart, with and without a
+    pair within eps."""
+    rnd = np.random.default_rng(5)
+    ball = lambda c, n: rnd.normal(0, 0.02, (n, 4)) + np.array([c, 0, 0, 0])
+    X = np.vstack([ball(0, 50), ball(1.05, 50), ball(2.3, 50), ball(5, 50), ball(6.02, 50)])
+    df, names = _high(spark, X)
+    for block in (2048, 16):
+        monkeypatch.setattr(PV, "BLOCK", block)
+        got = sorted(DB.dbscan_labels(df, "k", names, 1.0, 5).collect())
+        assert [r.label for r in got] == list(brute_dbscan(X, 1.0, 5))
+
+
+def test_dbscan_pivots_odd_rows(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, None, 0.0), (2, 1.0, float("nan"), 1.0, 1.0),
+                                (3, 1.0, 1.0, 1.0, 1.0), (4, 1.0, 1.0, 1.0, 1.0)],
+                               "k bigint, a double, b double, c double, d double")
+    cols = ["a", "b", "c", "d"]
+    got = {r.k: r.label for r in DB.dbscan_labels(df, "k", cols, 0.5, 2).collect()}
+    assert got == {1: -1, 2: -1, 3: 0, 4: 0}
+    assert DB.dbscan_labels(df.limit(0), "k", cols, 0.5, 2).collect() == []
+    plan = DB.dbscan_labels(df, "k", cols, 0.5, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_dbscan_pairs_stay_linear_beside_a_dense_ball(spark):
+    """A ball with a third of the rows: doubling the rows about doubles the
+    comparisons, which stay far below the ball's pairs."""
+    eps, ms, looked = 0.4, 10, []
+    for n in (1500, 3000):
+        rnd = np.random.default_rng(n)
+        X = np.vstack([rnd.normal(0, 0.02, (n // 3, 8)), rnd.uniform(-3, 3, (2 * n // 3, 8))])
+        pts = spark.createDataFrame([(i, 1, list(map(float, x))) for i, x in enumerate(X)],
+                                    "id bigint, w bigint, x array<double>")
+        plan = PV.layout(pts, n, eps, ms, True)
+        placed = DB.checkpointed(PV.place(pts, plan))
+        dense = [r.ball for r in placed.where("ball >= 0").groupBy("ball").sum("w").collect()
+                 if r["sum(w)"] >= ms]
+        inside = F.col("ball").isin(dense)
+        loose, members = placed.where(~inside), placed.where(inside)
+        assert members.count() >= n // 3
+        a = PV.near_balls(loose, members, plan, ms).agg(F.sum("looked")).first()[0] or 0
+        b = PV.count_neighbours(loose, eps).agg(F.sum("looked")).first()[0]
+        looked.append((a, b))
+        assert a < 4 * n and a + b < (n // 3) ** 2 / 2 + (2 * n // 3) ** 2
+    assert looked[1][0] <= 4 * max(looked[0][0], 1000)
