@@ -252,7 +252,7 @@ def _label_components(core: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float = DEFAULT_EPS,
-                  min_samples: int = DEFAULT_MIN_SAMPLES, count_all: bool = False) -> DataFrame:
+                  min_samples: int = DEFAULT_MIN_SAMPLES, count_all: bool = True) -> DataFrame:
     """(id, label, is_core, neighbours); label -1 is noise.
 
     Exact duplicates are collapsed first (one representative per distinct
@@ -260,11 +260,11 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     share neighbours, core status and label, so a group of copies holding a
     third of the rows becomes one weighted point. ``neighbours`` is the number
     of points within eps, the point included, where it was counted, and null
-    elsewhere: in a dense cell or ball (count >= min_samples, all cores), where
-    no pairs are enumerated, beside a dense ball, and for a point without a
-    place. ``count_all`` (above three coordinates) does without balls, so that
-    every count is exact. A point with a null or NaN coordinate has no place:
-    it is noise.
+    elsewhere: in a dense cell (count >= min_samples, all cores), where no pairs
+    are enumerated, and for a point without a place. Above three coordinates
+    every count is exact unless ``count_all`` is off: then dense balls spare
+    their points' pairs, and counts in and beside such a ball are null. A point
+    with a null or NaN coordinate has no place: it is noise.
     """
     lost = F.lit(False)
     for c in coords:
@@ -425,7 +425,7 @@ def run_dbscan(mart: DataFrame, eps: float = DEFAULT_EPS, min_samples: int | Non
     prep = prepare(mart)
     k = prep.pca.n_components
     ms = effective_min_samples(min_samples, k, legacy_auto)
-    labels = dbscan_labels(prep.scores, "muni_key", FE.pc_columns(k), eps, ms)
+    labels = dbscan_labels(prep.scores, "muni_key", FE.pc_columns(k), eps, ms, count_all=False)
     pcs = [F.col("pc1")] + ([F.col("pc2")] if k > 1 else [F.lit(None).cast("double").alias("pc2")])
     members = (prep.rates.join(labels.select("muni_key", F.col("label").alias("cluster")), "muni_key")
                .join(prep.scores.select("muni_key", *pcs), "muni_key"))

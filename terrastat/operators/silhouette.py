@@ -8,6 +8,8 @@ returns two packed rows: for each point of a tile and each cluster, the sum of
 distances to the other side. These are added up per tile, T rows each. So the
 shuffle carries about T²/2 packed rows, not a row a point and pair, and a tile
 is bounded by ``tile_rows`` whatever the skew of labels.
+A single labeling needs fewer blocks: ``silhouette_samples`` skips the clusters
+that a bound rules out.
 ``method='squared'`` is Spark ML's ClusteringEvaluator (squared Euclidean),
 a different quantity, offered under its own name.
 """
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrastat.operators.blocks import matrix, packed, summed
 from terrastat.operators.common import checkpointed
 
 DEFAULT_TILE_ROWS = 4096
@@ -145,11 +148,157 @@ def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str
             .mapInArrow(scores, f"id {id_type}, position long, label long, silhouette double"))
 
 
+def _packs(rows: DataFrame, key: str, tile_rows: int) -> DataFrame:
+    """(key, tile, ids, xs): rows (id, key, x) packed by key into tiles of about
+    ``tile_rows``."""
+    per = rows.groupBy(F.col(key).alias("_k")).agg(
+        F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_t"))
+    placed = rows.join(per, F.col(key) == F.col("_k")).withColumn(
+        "tile", F.pmod(F.xxhash64("id"), F.col("_t")).cast("int"))
+    points = F.array_sort(F.collect_list(F.struct("id", "x")))  # about tile_rows points
+    return checkpointed(placed.groupBy(key, "tile").agg(points.alias("p")).select(
+        key, "tile", F.transform("p", lambda q: q["id"]).alias("ids"),
+        F.flatten(F.transform("p", lambda q: q["x"])).alias("xs")))
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as arrays, read from its buffer."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
+    return [flat[a - ends[0]:b - ends[0]] for a, b in zip(ends, ends[1:])]
+
+
+def _distance_sums(queries: DataFrame, targets: DataFrame, tile_rows: int) -> DataFrame:
+    """(id, c, s): the sum of distances of each query (id, c, x) to the points of
+    cluster ``c``, whose tiles are in ``targets``."""
+    tiles = _packs(queries, "c", tile_rows)
+    id_type = dict(queries.dtypes)["id"]
+    left = tiles.select("c", "tile", F.size("ids").alias("n"), F.col("xs").alias("xa"))
+    right = targets.select(F.col("c").alias("tc"), F.col("xs").alias("xb"), F.size("ids").alias("m"))
+    pairs = left.join(right, F.col("c") == F.col("tc")).select("c", "tile", "n", "m", "xa", "xb")
+
+    def blocks(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_pylist(), batch.column("m").to_pylist()
+            for k, (xa, xb) in enumerate(zip(_lists(batch.column("xa")), _lists(batch.column("xb")))):
+                s = _distances(xa.reshape(n[k], -1), xb.reshape(m[k], -1)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("c").slice(k, 1), batch.column("tile").slice(k, 1),
+                     pa.array([s.tobytes()], pa.binary())], names=["c", "tile", "sums"])
+
+    def add(batches):  # sorted by tile
+        key, total = None, None
+        for batch in batches:
+            for c, t, raw in zip(*(batch.column(x).to_pylist() for x in ("c", "tile", "sums"))):
+                part = np.frombuffer(raw, np.float64)
+                if (c, t) != key and key is not None:
+                    yield one(key, total)
+                total = part.copy() if (c, t) != key else total + part
+                key = (c, t)
+        if key is not None:
+            yield one(key, total)
+
+    def one(key, total):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
+             pa.array([total.tobytes()], pa.binary())], names=["c", "tile", "sums"])
+
+    def unpack(batches):
+        for batch in batches:
+            sums = [np.frombuffer(x, np.float64) for x in batch.column("sums").to_pylist()]
+            c = np.repeat(np.asarray(batch.column("c")), [len(x) for x in sums])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("ids").flatten(), pa.array(c.astype(np.int32)),
+                 pa.array(np.concatenate(sums))], names=["id", "c", "s"])
+
+    schema = "c int, tile int, sums binary"
+    added = (pairs.mapInArrow(blocks, schema).repartition("c", "tile")
+             .sortWithinPartitions("c", "tile").mapInArrow(add, schema))
+    return (tiles.select("c", "tile", "ids").join(added, ["c", "tile"]).select("ids", "c", "sums")
+            .mapInArrow(unpack, f"id {id_type}, c int, s double"))
+
+
 def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
                        tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
-    """``silhouette_many`` for one labeling: id, label, silhouette."""
-    return silhouette_many(df, id_col, x_col, [label_col], tile_rows).select(
-        F.col("id").alias(id_col), F.col("label").alias(label_col), "silhouette")
+    """id, label, silhouette of one labeling, with as few distances as it needs: a
+    point's mean distance to a cluster is at least its distance to the cluster's
+    mean (Jensen), so with the distances to its own cluster and to the one of the
+    nearest mean known, clusters whose mean lies beyond the best so far can't be
+    the nearest and are skipped. The others are summed in a second round."""
+    rows = checkpointed(df.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("l"),
+                                  F.col(x_col).cast("array<double>").alias("x")))
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()  # one a cluster
+    labels = np.array([r.l for r in sizes], np.int64)
+    id_type, label_type = dict(rows.dtypes)["id"], dict(df.dtypes)[label_col]
+    if len(labels) < 2:  # no other cluster
+        return rows.select(F.col("id").alias(id_col), F.col("l").cast(label_type).alias(label_col),
+                           F.lit(0.0).alias("silhouette"))
+
+    def totals(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = matrix(batch.column("x"))
+            at = np.searchsorted(labels, np.asarray(batch.column("l")))
+            for c in np.unique(at):
+                parts[int(c)] = parts.get(int(c), 0) + x[at == c].sum(axis=0)
+        yield from packed(parts)
+
+    sums = summed(rows, totals)
+    means = np.array([sums[c] / r.n for c, r in enumerate(sizes)])
+    shared = rows.sparkSession.sparkContext.broadcast((labels, means))
+
+    def place(batches):
+        """(id, own, x, near): the cluster and the one of the nearest other mean."""
+        labels, means = shared.value
+        for batch in batches:
+            own = np.searchsorted(labels, np.asarray(batch.column("l"))).astype(np.int32)
+            far = _distances(matrix(batch.column("x")), means)
+            far[np.arange(len(own)), own] = np.inf
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(own), batch.column("x"),
+                 pa.array(far.argmin(axis=1).astype(np.int32))], names=["id", "own", "x", "near"])
+
+    placed = checkpointed(rows.mapInArrow(place, f"id {id_type}, own int, x array<double>, near int"))
+    targets = _packs(placed.select("id", F.col("own").alias("c"), "x"), "c", tile_rows)
+    count = F.array(*[F.lit(int(r.n)).cast("double") for r in sizes])
+
+    def mean_to(sums: DataFrame) -> DataFrame:
+        return sums.select("id", "c", "s", (F.col("s") / count[F.col("c")]).alias("mean"))
+
+    first = placed.select("id", "x", F.explode(F.array("own", "near")).alias("c"))
+    known = checkpointed(
+        mean_to(_distance_sums(first, targets, tile_rows))
+        .join(placed.select("id", "own", "near"), "id").groupBy("id", "own", "near")
+        .agg(F.max(F.when(F.col("c") == F.col("own"), F.col("s"))).alias("inside"),
+             F.max(F.when(F.col("c") == F.col("near"), F.col("mean"))).alias("b")))
+
+    def beyond(batches):
+        """(id, c, x): the clusters that may still be nearer than ``b``."""
+        labels, means = shared.value
+        for batch in batches:
+            far = _distances(matrix(batch.column("x")), means)
+            rows_of = np.arange(len(far))
+            for c in ("own", "near"):
+                far[rows_of, np.asarray(batch.column(c))] = np.inf
+            at, c = np.nonzero(far < np.asarray(batch.column("b"))[:, None] * (1 + 1e-9))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(take), pa.array(c.astype(np.int32)),
+                 batch.column("x").take(take)], names=["id", "c", "x"])
+
+    open_ = checkpointed(placed.join(known.select("id", "b"), "id").mapInArrow(
+        beyond, f"id {id_type}, c int, x array<double>"))
+    more = (mean_to(_distance_sums(open_, targets, tile_rows)).groupBy("id")
+            .agg(F.min("mean").alias("other")))
+    n = count[F.col("own")]
+    a, b = F.col("inside") / (n - 1), F.least("b", "other")
+    high = F.greatest(F.col("a"), F.col("b"))
+    scored = known.join(more, "id", "left").select(
+        "id", "own", F.when(n > 1, a).alias("a"), b.alias("b")).select(
+        "id", "own", F.when(F.col("a").isNotNull() & (high > 0), (F.col("b") - F.col("a")) / high)
+        .otherwise(F.lit(0.0)).alias("silhouette"))
+    names = F.array(*[F.lit(int(x)) for x in labels])
+    return scored.select(F.col("id").alias(id_col),
+                         names[F.col("own")].cast(label_type).alias(label_col), "silhouette")
 
 
 def silhouette_means(df: DataFrame, id_col: str, x_col: str, label_cols: list[str],

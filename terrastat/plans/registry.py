@@ -629,7 +629,7 @@ def dbscan_high_dims(spark, sf):
     pts = _embeddings(spark, sf).select("vec_id", *[
         F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(coords)])
     min_samples = DB.effective_min_samples(5, EMBEDDING_DIMS, legacy_auto=True)
-    lab = DB.dbscan_labels(pts, "vec_id", coords, EMBEDDING_EPS, min_samples, count_all=True)
+    lab = DB.dbscan_labels(pts, "vec_id", coords, EMBEDDING_EPS, min_samples)
     return lab.select(F.col("vec_id").alias("k"), "label", "is_core", "neighbours")
 
 
@@ -641,7 +641,7 @@ def dbscan_embeddings(spark, sf):
     coords = [f"e{i}" for i in range(ALL_DIMS)]
     pts = _embeddings(spark, sf).select("vec_id", *[
         F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(coords)])
-    lab = DB.dbscan_labels(pts, "vec_id", coords, ALL_DIMS_EPS, ALL_DIMS_MIN_SAMPLES)
+    lab = DB.dbscan_labels(pts, "vec_id", coords, ALL_DIMS_EPS, ALL_DIMS_MIN_SAMPLES, count_all=False)
     return lab.select(F.col("vec_id").alias("k"), "label", "is_core")
 
 

@@ -8,6 +8,7 @@ from terrastat.operators import dbscan as DB
 from terrastat.operators import features as FE
 from terrastat.operators import pivots as PV
 from terrastat.operators import profiles as PR
+from terrastat.operators import silhouette as SI
 from terrastat.operators.components import connected_components
 from terrastat.operators.silhouette import best_k, silhouette_samples, silhouette_score
 
@@ -357,7 +358,7 @@ def test_dbscan_pivots_between_dense_balls(spark, monkeypatch):
     df, names = _high(spark, X)
     for block in (2048, 16):
         monkeypatch.setattr(PV, "BLOCK", block)
-        got = sorted(DB.dbscan_labels(df, "k", names, 1.0, 5).collect())
+        got = sorted(DB.dbscan_labels(df, "k", names, 1.0, 5, count_all=False).collect())
         assert [r.label for r in got] == list(brute_dbscan(X, 1.0, 5))
 
 
@@ -368,6 +369,8 @@ def test_dbscan_pivots_odd_rows(spark):
     cols = ["a", "b", "c", "d"]
     got = {r.k: r.label for r in DB.dbscan_labels(df, "k", cols, 0.5, 2).collect()}
     assert got == {1: -1, 2: -1, 3: 0, 4: 0}
+    got = DB.dbscan_labels(df, "k", cols, 0.5, 2, count_all=False).collect()
+    assert {r.k: r.label for r in got} == {1: -1, 2: -1, 3: 0, 4: 0}
     assert DB.dbscan_labels(df.limit(0), "k", cols, 0.5, 2).collect() == []
     plan = DB.dbscan_labels(df, "k", cols, 0.5, 2)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
@@ -394,3 +397,51 @@ def test_dbscan_pairs_stay_linear_beside_a_dense_ball(spark):
         looked.append((a, b))
         assert a < 4 * n and a + b < (n // 3) ** 2 / 2 + (2 * n // 3) ** 2
     assert looked[1][0] <= 4 * max(looked[0][0], 1000)
+
+
+# --- silhouette with pruned clusters --------------------------------------------
+def _labelled_cloud(spark, k, n, spread, seed=2):
+    rnd = np.random.default_rng(seed)
+    centres = rnd.uniform(-10, 10, (k, 3))
+    lab = np.arange(n) % k
+    X = centres[lab] + rnd.normal(0, spread, (n, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in x], int(c)) for i, (x, c) in enumerate(zip(X, lab))],
+                               "id bigint, x array<double>, label int")
+    return X, lab, df
+
+
+@pytest.mark.parametrize("spread", [0.3, 6.0])
+def test_pruned_silhouette_equals_the_whole_one(spark, spread):
+    X, lab, df = _labelled_cloud(spark, 7, 210, spread)
+    got = {r.id: r.silhouette for r in silhouette_samples(df, "id", "x", "label", tile_rows=16).collect()}
+    many = SI.silhouette_many(df, "id", "x", ["label"], tile_rows=16).collect()
+    assert len(got) == len(X)
+    for r in many:
+        assert got[r.id] == pytest.approx(r.silhouette, abs=1e-12)
+
+
+def test_pruned_silhouette_skips_far_clusters(spark, monkeypatch):
+    """On clustered data most other clusters need no distance."""
+    X, lab, df = _labelled_cloud(spark, 12, 480, 0.2)
+    looked, original = [], SI._distance_sums
+
+    def counted(queries, targets, tile_rows):
+        sizes = np.bincount(lab)
+        per = {r.c: r["count"] for r in queries.groupBy("c").count().collect()}
+        looked.append(sum(int(sizes[c]) * n for c, n in per.items()))
+        return original(queries, targets, tile_rows)
+
+    monkeypatch.setattr(SI, "_distance_sums", counted)
+    got = silhouette_score(df, "id", "x", "label", tile_rows=32).first().silhouette
+    assert got == pytest.approx(brute_silhouette(X, lab), rel=1e-9)
+    own, off = 480 * 40, 480 * 440
+    assert sum(looked) - own <= off / 2
+
+
+def test_pruned_silhouette_odd_rows(spark):
+    schema = "id bigint, x array<double>, label int"
+    one = spark.createDataFrame([(1, [0.0], 4), (2, [1.0], 4)], schema)
+    assert [r.silhouette for r in silhouette_samples(one, "id", "x", "label").collect()] == [0.0, 0.0]
+    assert silhouette_samples(one.limit(0), "id", "x", "label").collect() == []
+    same = spark.createDataFrame([(1, [0.0], 4), (2, [0.0], 4), (3, [0.0], 5), (4, [0.0], -1)], schema)
+    assert {r.silhouette for r in silhouette_samples(same, "id", "x", "label").collect()} == {0.0}
