@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def _c(x) -> Column:
@@ -54,7 +52,8 @@ def chi2_sf_even(stat, dof) -> Column:
 
 
 def _chi2_sf_scalar(x: float, dof: int) -> float:
-    """Exact chi-square survival for integer dof (erfc series for odd dof)."""
+    """Chi-square survival of one number, by other formulas (finite sums and erfc):
+    what the tests hold the column expressions against."""
     if x is None or dof is None or math.isnan(x) or dof <= 0:
         return float("nan")
     if x <= 0:
@@ -76,14 +75,48 @@ def _chi2_sf_scalar(x: float, dof: int) -> float:
     return p + acc
 
 
-@F.pandas_udf(DoubleType())
-def chi2_sf_any(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """Vectorised (Arrow) chi-square survival for any dof; used on one-row
-    test summaries only, where odd dof has no closed form in SQL."""
-    return pd.Series([_chi2_sf_scalar(float(a), int(b)) if pd.notna(a) and pd.notna(b)
-                      else float("nan") for a, b in zip(stat, dof)])
+def _ln_gamma(a: Column) -> Column:
+    """ln Γ(a) for a > 0: Stirling's series at a + 15, and the recurrence down."""
+    z = a + 15.0
+    down = F.lit(0.0)
+    for i in range(15):
+        down = down + F.log(a + float(i))
+    z3 = z * z * z
+    return ((z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1.0 / (12.0 * z)
+            - 1.0 / (360.0 * z3) + 1.0 / (1260.0 * z3 * z * z) - 1.0 / (1680.0 * z3 * z3 * z) - down)
+
+
+def gamma_q(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma function for a > 0, x > 0: one minus the
+    power series below a + 1, the continued fraction (Lentz's steps) above."""
+    front = F.exp(a * F.log(x) - x - _ln_gamma(a))
+    # both need a multiple of sqrt(a) steps where x is near a, few elsewhere
+    steps = F.sequence(F.lit(1), (F.lit(100.0) + 12.0 * F.sqrt(a)).cast("int"))
+    series = F.aggregate(
+        steps, F.struct((1.0 / a).alias("t"), (1.0 / a).alias("s")),
+        lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"),
+                                (acc["s"] + acc["t"] * x / (a + n)).alias("s")),
+        lambda acc: acc["s"])
+
+    def step(acc, n):
+        b = acc["b"] + 2.0
+        an = n * (a - n)
+        c, d = b + an / acc["c"], 1.0 / (an * acc["d"] + b)
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    b0 = x + 1.0 - a
+    fraction = F.aggregate(steps, F.struct(b0.alias("b"), F.lit(1e300).alias("c"),
+                                           (1.0 / b0).alias("d"), (1.0 / b0).alias("h")),
+                           step, lambda acc: acc["h"])
+    return F.when(x < a + 1.0, 1.0 - front * series).otherwise(front * fraction)
 
 
 def chi2_sf(stat, dof) -> Column:
-    """Closed form on the JVM for even dof, Arrow UDF for odd dof."""
-    return F.when(_c(dof) % 2 == 0, chi2_sf_even(stat, dof)).otherwise(chi2_sf_any(_c(stat), _c(dof)))
+    """Chi-square survival for any dof, on the JVM: the closed form for even dof,
+    the incomplete gamma function for odd; 1 for a statistic of 0, null without a
+    degree of freedom."""
+    x, k = _c(stat).cast("double"), _c(dof).cast("double")
+    odd = F.when(k <= 0, F.lit(None).cast("double")).when(x <= 0, F.lit(1.0)).otherwise(
+        gamma_q(k / 2.0, x / 2.0))
+    p = F.when(_c(dof) % 2 == 0, chi2_sf_even(stat, dof)).otherwise(odd)
+    return F.when(p.isNotNull(), F.least(p, F.lit(1.0)))  # rounding

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrastat.functions.records import SETTLEMENT_LABELS, settlement_class
-from terrastat.functions.stats import chi2_sf, chi2_sf_even
+from terrastat.functions.stats import chi2_sf
 from terrastat.operators.common import checkpointed
 
 # Strength labels, cut points, hotspot rule and alert text.
@@ -38,14 +38,19 @@ def contingency(inc: DataFrame, labels=SETTLEMENT_LABELS) -> DataFrame:
     """(legal_good, settlement, observed), zero-filled; rows and columns
     with a zero marginal are removed (the reference's library would fail on
     a zero expected count)."""
-    tagged = inc.where(F.col("legal_good").isNotNull()).select(
-        "legal_good", settlement_class("population").alias("settlement"), "total")
+    return contingency_of(inc.where(F.col("legal_good").isNotNull()).select(
+        "legal_good", settlement_class("population").alias("settlement"), "total"), labels)
+
+
+def contingency_of(tagged: DataFrame, labels) -> DataFrame:
+    """The same for rows (legal_good, settlement, total) of any two categories,
+    the second with the levels ``labels``."""
     wide = tagged.groupBy("legal_good").agg(*[
         F.sum(F.when(F.col("settlement") == lab, F.col("total"))).alias(lab) for lab in labels])
     stacked = ", ".join(f"'{lab}', coalesce(`{lab}`, 0L)" for lab in labels)
     long = wide.selectExpr("legal_good", f"stack({len(labels)}, {stacked}) as (settlement, observed)")
     long = long.withColumn("observed", F.col("observed").cast("bigint"))
-    marginals = long.select("*", *_marginals())  # #goods x 3 rows
+    marginals = long.select("*", *_marginals())  # #goods x levels rows
     keep = marginals.where((F.col("row_total") > 0) & (F.col("col_total") > 0))
     # the only full-data pass: store the table once, every later step (marginals,
     # expected counts, residuals) reads it
@@ -83,14 +88,7 @@ def chi_square(table: DataFrame) -> DataFrame:
         "dof", "n", F.least(F.col("_r") - 1, F.col("_c") - 1).cast("int").alias("min_dim"))
     v = F.when((F.col("min_dim") > 0) & (F.col("n") > 0),
                F.sqrt(F.col("chi2") / (F.col("n") * F.col("min_dim"))))
-    # dof comes from the small materialised table: read it once so that the
-    # common even case stays a JVM expression (a Python UDF inside CASE would
-    # still be evaluated for every row)
-    dims = table.agg(F.countDistinct("legal_good").alias("r"),
-                     F.countDistinct("settlement").alias("c")).first()
-    dof_value = (dims.r - 1) * (dims.c - 1)
-    p = (chi2_sf_even(F.col("chi2"), F.col("dof")) if dof_value % 2 == 0 and dof_value > 0
-         else chi2_sf(F.col("chi2"), F.col("dof")))
+    p = chi2_sf(F.col("chi2"), F.col("dof"))
     return with_dof.select("chi2", "dof", p.alias("p_value"),
                            "n", "min_dim", v.alias("cramers_v"))
 

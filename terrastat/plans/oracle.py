@@ -625,6 +625,24 @@ def _sql() -> dict[str, str]:
     emb = "points AS (SELECT vec_id AS k, " + ", ".join(
         f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(dims)) + " FROM embeddings)"
     q["dbscan_high_dims"] = _dbscan_sql(0.12, 10, emb, tuple(dims), counted=True)
+    q["descriptive_stats_sketch"] = w(INC) + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({x} AS DOUBLE) AS q, COUNT({c}) AS n, true AS within FROM inc"
+        for c in ("total", "m01", "m12") for x in (0.01, 0.25, 0.5, 0.75, 0.99))
+    q["chi_square_odd"] = """WITH cells AS (
+  SELECT p_type AS r, quarter(l_shipdate) AS c, CAST(COUNT(*) AS DOUBLE) AS o
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+grid AS (
+  SELECT a.r, b.c, COALESCE(x.o, 0) AS o, a.t AS rt, b.t AS ct, SUM(COALESCE(x.o, 0)) OVER () AS n
+  FROM (SELECT r, SUM(o) AS t FROM cells GROUP BY r) a CROSS JOIN (SELECT c, SUM(o) AS t FROM cells GROUP BY c) b
+  LEFT JOIN cells x ON x.r = a.r AND x.c = b.c),
+stat AS (
+  SELECT SUM((o - rt * ct / n) ^ 2 / (rt * ct / n)) AS chi2, ANY_VALUE(n) AS n,
+    CAST((COUNT(DISTINCT r) - 1) * (COUNT(DISTINCT c) - 1) AS INTEGER) AS dof FROM grid),
+half AS (SELECT *, chi2 / 2 AS x, dof / 2.0 AS a FROM stat)
+SELECT round(chi2, 6) AS chi2, dof, CAST(n AS BIGINT) AS n,
+  round(1 - exp(a * ln(x) - x - lgamma(a + 1)) * list_reduce(range(1, 4000), lambda s, k:
+    {'t': s.t * x / (a + k), 's': s.s + s.t * x / (a + k)}, {'t': CAST(1 AS DOUBLE), 's': CAST(1 AS DOUBLE)}).s, 6) AS p_value
+FROM half"""
     n_feat = len(FEATURES)
     q["pca_variance"] = _recursive(*_mart_pca(n_feat)) + (
         "SELECT CAST(component AS INTEGER) AS component, round(ratio, 6) AS ratio, "

@@ -296,6 +296,29 @@ def descriptive_stats(spark, sf):
     return d.select("column", *[r6(c).alias(c) for c in d.columns if c != "column"])
 
 
+SKETCH_COLUMNS = ("total", "m01", "m12")
+SKETCH_QS = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+def descriptive_stats_sketch(spark, sf):
+    """A3 by sketches over every incidence record: for each column and quantile,
+    the number of values and whether the exact rank range of the sketch's answer
+    lies within the stated error."""
+    rows = fx.inc_wide(spark, sf).select(*SKETCH_COLUMNS)
+    one = rows.agg(*A.sketch_quantiles(rows, SKETCH_COLUMNS, SKETCH_QS)).first()
+    cells = []
+    for c in SKETCH_COLUMNS:
+        for q, v in zip(SKETCH_QS, one[f"{c}__q"]):
+            cells.append(F.struct(F.lit(c).alias("column"), F.lit(q).alias("q"),
+                                  F.count(c).alias("n"), F.count(F.when(F.col(c) < v, 1)).alias("below"),
+                                  F.count(F.when(F.col(c) <= v, 1)).alias("upto")))
+    ranks = rows.agg(F.array(*cells).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    bound = A.sketch_rank_error()
+    off = F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("q"),
+                     F.col("q") - F.col("upto") / F.col("n"))
+    return ranks.select("column", "q", "n", (off <= bound).alias("within"))
+
+
 def descriptive_table(spark, sf):
     return A.descriptive_table(A.descriptive_stats(_rollup(spark, sf)), decimals=6)
 
@@ -384,6 +407,22 @@ def chi_square(spark, sf):
                     F.when(p > 0, F.round(-F.log10(p), 4)).alias("p_neglog10"), "n")
 
 
+QUARTERS = ("Q1", "Q2", "Q3", "Q4")
+
+
+def chi_square_odd(spark, sf):
+    """C2 with an odd number of degrees of freedom: records by legal good and
+    quarter of the year."""
+    li = read_table(spark, sf, "lineitem").select("l_partkey", "l_shipdate")
+    part = read_table(spark, sf, "part").select("p_partkey", "p_type")
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("p_type").alias("legal_good"),
+        F.concat(F.lit("Q"), F.quarter("l_shipdate").cast("string")).alias("settlement"),
+        F.lit(1).alias("total"))
+    c = D.chi_square(D.contingency_of(rows, QUARTERS))
+    return c.select(r6("chi2").alias("chi2"), "dof", r6("p_value").alias("p_value"), "n")
+
+
 def cramers_v(spark, sf):
     c = D.chi_square(_table(spark, sf))
     return c.select("n", "min_dim", r6("cramers_v").alias("cramers_v"))
@@ -731,14 +770,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpi_total": kpi_total, "kpi_municipalities": kpi_municipalities,
     "kpi_top_state": kpi_top_state, "kpi_top_good": kpi_top_good,
     "muni_rollup": muni_rollup, "descriptive_stats": descriptive_stats,
-    "descriptive_table": descriptive_table,
+    "descriptive_table": descriptive_table, "descriptive_stats_sketch": descriptive_stats_sketch,
     "rate_histogram": rate_histogram, "rate_box": rate_box, "rate_outliers": rate_outliers,
     "top_goods": top_goods,
     "top_rate_munis": top_rate_munis, "pop_rate_points": pop_rate_points,
     "lorenz_curve": lorenz_curve, "gini": gini,
     "pareto_curve": pareto_curve, "pareto_critical": pareto_critical,
     "pareto_summary": pareto_summary, "pareto_rank": pareto_rank, "pareto_top10": pareto_top10,
-    "contingency": contingency, "chi_square": chi_square, "cramers_v": cramers_v,
+    "contingency": contingency, "chi_square": chi_square, "chi_square_odd": chi_square_odd, "cramers_v": cramers_v,
     "residuals": residuals, "hotspots": hotspots, "column_profile": column_profile,
     "dependence_diagnosis": dependence_diagnosis,
     "features_filtered": features_filtered, "feature_roles": feature_roles,

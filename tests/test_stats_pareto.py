@@ -203,3 +203,37 @@ def test_descriptive_table_shape_and_rounding(spark):
     assert t["Media"][1] == round(s.mean(), 2) and t["Mediana"][1] == round(s.median(), 2)
     assert t["Desv. Est."][1] == round(s.std(), 2) and t["Curtosis"][1] == round(s.kurt(), 2)
     assert t["Asimetría"][1] == round(s.skew(), 2) and t["Q3 (75%)"][1] == 13.75
+
+
+def test_chi2_survival_on_the_jvm(spark):
+    from terrastat.functions.stats import _chi2_sf_scalar, chi2_sf
+    rows = [(x, k) for k in (1, 2, 3, 5, 9, 30, 101, 447, 5001)
+            for x in (0.0, 1e-6, 0.5, k * 0.5, k - 0.5, float(k), k + 1.0, k * 1.3, k * 2.0 + 40)]
+    df = spark.createDataFrame(rows, "x double, k int")
+    plan = df.select(chi2_sf("x", "k"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    for r in df.select("x", "k", chi2_sf("x", "k").alias("p")).collect():
+        want = _chi2_sf_scalar(r.x, r.k)
+        if r.k < 1000:  # the scalar's sums over- and underflow beyond
+            assert r.p == pytest.approx(want, rel=1e-9, abs=1e-13), (r.x, r.k)
+        assert 0 <= r.p <= 1
+    none = df.limit(1).select(chi2_sf(F.lit(None).cast("double"), F.lit(3)).alias("p"),
+                              chi2_sf(F.lit(1.0), F.lit(-1)).alias("q")).first()
+    assert none.p is None and none.q is None
+
+
+def test_sketch_quartiles_keep_their_bound(spark):
+    import numpy as np
+    from terrastat.operators import descriptive as A
+    rnd = np.random.default_rng(7)
+    x = np.concatenate([rnd.normal(0, 1, 20_000), np.full(10_000, 0.25), rnd.exponential(50, 10_000)])
+    rnd.shuffle(x)
+    df = spark.createDataFrame([(float(v), None) for v in x], "total double, empty double").repartition(7)
+    got = {r.column: r for r in A.descriptive_stats_sketch(df, ["total", "empty"], k=200).collect()}
+    bound, r = A.sketch_rank_error(200), got["total"]
+    for q, v in ((0.25, r.q1), (0.5, r.median), (0.75, r.q3)):
+        assert (x < v).mean() - bound <= q <= (x <= v).mean() + bound
+    assert r["mean"] == pytest.approx(x.mean()) and r["max"] == x.max()
+    assert got["empty"].median is None and got["empty"]["mean"] is None
+    plan = A.descriptive_stats_sketch(df, ["total"])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.replace("SortAggregate", "") and plan.count("Exchange") == 1
