@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrastat.functions.records import MONTH_COLS, rate_per_100k
 from terrastat.functions.text import strip_accents
+from terrastat.operators.common import checkpointed
 
 # --- Fixed values: the reference's 22-column incidence contract, in order --
 CONTRACT = [
@@ -57,6 +59,48 @@ def read_incidence_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
     return to_canonical_names(df) if canonical else df
 
 
+# Reasons why a record is set aside.
+TOO_SHORT, TOO_LONG, NOT_A_NUMBER, MALFORMED = ("too few fields", "too many fields",
+                                                "not a number: ", "malformed")
+
+
+def read_incidence_quarantine(spark: SparkSession, path: str, encoding: str = "UTF-8",
+                              schema: T.StructType = CONTRACT_SCHEMA, header: bool = True,
+                              canonical: bool = True) -> tuple[DataFrame, DataFrame]:
+    """E1/E3 where single records may be broken: (the good rows, the rejected
+    records with ``reason`` and ``file``), so one bad line does not end the job.
+
+    Every column is parsed once (a pruned read would not see a broken column that
+    nobody asks for) and stored with the raw text of the broken records; the reason
+    comes from reading that text again as strings. An empty field is a null value,
+    not an error; an empty file gives no rows on either side.
+    """
+    raw = T.StructField("_raw", T.StringType())
+    table = checkpointed(
+        spark.read.schema(T.StructType([*schema.fields, raw])).option("header", header)
+        .option("encoding", encoding).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_raw").csv(path)
+        .withColumn("_file", F.col("_metadata.file_name")))
+    good = table.where(F.col("_raw").isNull()).drop("_raw", "_file")
+    names = [f.name for f in schema.fields]
+    fields = ", ".join(f"`{c}` string" for c in [*names, "_more"])
+    # an absent field is null, an empty one is not
+    text = F.from_csv("_raw", F.lit(fields), {"nullValue": "\u0001", "emptyValue": ""})
+    broken = F.lit(None).cast("string")
+    for f in reversed(schema.fields):
+        if isinstance(f.dataType, (T.IntegralType, T.FractionalType)):
+            value = F.col(f"_t.`{f.name}`")
+            broken = F.when((value != "") & value.try_cast(f.dataType).isNull(),
+                            F.lit(NOT_A_NUMBER + f.name)).otherwise(broken)
+    reason = (F.when(F.col("_t._more").isNotNull(), F.lit(TOO_LONG))
+              .when(F.col(f"_t.`{names[-1]}`").isNull(), F.lit(TOO_SHORT))
+              .otherwise(F.coalesce(broken, F.lit(MALFORMED))))
+    rejects = (table.where(F.col("_raw").isNotNull()).withColumn("_t", text)
+               .select(F.col("_raw").alias("record"), reason.alias("reason"),
+                       F.col("_file").alias("file")))
+    return (to_canonical_names(good) if canonical else good), rejects
+
+
 def read_mart_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """The mart has dynamic columns; infer once, then persist as parquet
     for every later read."""
@@ -93,6 +137,57 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+Z_BITS, Z_SAMPLE = 7, 4096
+
+
+def z_key(df: DataFrame, columns: list[str]) -> Column:
+    """A Z-order key: each column's place among bounds from a bounded sample of its
+    distinct values (2**``Z_BITS`` ranges), the places' bits interleaved, so rows
+    near in any of the columns are near in the key. Null values come first."""
+    key = F.lit(0).cast("bigint")
+    for k, c in enumerate(columns):
+        values = df.select(c).where(F.col(c).isNotNull()).distinct()
+        n = values.count()
+        share = int(min(1.0, Z_SAMPLE / max(1, n)) * (1 << 30)) + 1
+        some = sorted(r[0] for r in values.where(F.pmod(F.xxhash64(c), F.lit(1 << 30)) < share)
+                      .limit(2 * Z_SAMPLE).collect())
+        ranges = min(1 << Z_BITS, len(some))
+        bounds = [some[i * len(some) // ranges] for i in range(1, ranges)]
+        place = F.lit(0)
+        if bounds:
+            known = F.array(*[F.lit(b) for b in bounds])
+            place = F.coalesce(F.size(F.filter(known, lambda b: b <= F.col(c))), F.lit(0))
+            # few ranges fill all bits too
+            place = F.floor(place * (1 << Z_BITS) / F.lit(ranges)).cast("int")
+        for bit in range(Z_BITS):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(place, bit).bitwiseAND(1).cast("bigint"),
+                                            bit * len(columns) + k))
+    return key
+
+
+def write_clustered(df: DataFrame, path: str, columns: list[str], files: int) -> DataFrame:
+    """E4 for several optional filters: about ``files`` parquet files, each a range
+    of the Z-order key over ``columns``, so its column minima and maxima are narrow
+    in all of them and any subset of equality filters skips files. The columns
+    themselves end the range key, so many equal rows still divide by the others."""
+    src = checkpointed(df)  # read for the bounds, the ranges and the rows
+    keyed = src.withColumn("_z", z_key(src, columns))
+    order = [F.col("_z"), *[F.col(c).asc_nulls_first() for c in src.columns]]
+    (keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_z")
+     .write.mode("overwrite").parquet(path))
+    return df.sparkSession.read.parquet(path)
+
+
+def bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Store ``df`` under ``path`` as a table bucketed and sorted by ``key``: joins and
+    group-bys on the key with tables of as many buckets need no shuffle of it."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+     .saveAsTable(name))
+    return spark.table(name)
+
+
 def drop_columns(df: DataFrame, names=DROPPED_BEFORE_MERGE) -> DataFrame:
     """E5: drop, ignoring names that are absent."""
     return df.drop(*names)

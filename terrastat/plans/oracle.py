@@ -390,6 +390,18 @@ def _sql() -> dict[str, str]:
         f"SELECT i.muni_key, i.legal_good, i.modality, i.year, i.total, p.population, "
         f"round(CASE WHEN p.population > 0 THEN CAST(i.total AS DOUBLE) / p.population * 100000.0 ELSE 0.0 END, 6) "
         f"AS rate_100k FROM inc i LEFT JOIN pop_clean p ON i.muni_key = p.muni_key")
+    q["etl_merge_bucketed"] = q["etl_merge_rate"]
+    cells = [f"COALESCE(CAST({c} AS VARCHAR), '')" for c in CONTRACT]
+    word = [f"CASE WHEN k = 3 THEN 'n/d' ELSE {x} END" if c == "Marzo" else x
+            for c, x in zip(CONTRACT, cells)]
+    sep = " || ',' || "
+    told = b + f", told AS (SELECT *, Cve_Municipio % 7 AS k FROM (SELECT {_contract_sel} FROM incidence))\n"
+    q["etl_rejects"] = told + (
+        f"SELECT CASE k WHEN 1 THEN {sep.join(cells[:-1])} "
+        f"WHEN 2 THEN {sep.join(cells)} || ',9' ELSE {sep.join(word)} END AS record, "
+        "CASE k WHEN 1 THEN 'too few fields' WHEN 2 THEN 'too many fields' ELSE 'not a number: Marzo' END "
+        "AS reason FROM told WHERE k BETWEEN 1 AND 3")
+    q["etl_accepted"] = told + f"SELECT {', '.join(CONTRACT)} FROM told WHERE k NOT BETWEEN 1 AND 3"
     q["etl_catalogue"] = b + (
         f"SELECT i.state_key, COALESCE('Edo. ' || n.n_name, trim(i.state)) AS state, i.muni_key, trim(i.legal_good) AS legal_good, "
         f"trim(i.modality) AS modality, i.year, COALESCE(i.m01, 0) AS m01, i.total "
@@ -443,6 +455,7 @@ def _sql() -> dict[str, str]:
         "UNION ALL SELECT DISTINCT 'legal_good' AS kind, legal_good AS value FROM incidence WHERE legal_good IS NOT NULL")
     q["filtered_records"] = b + (
         f"SELECT state, {KEYS}, total FROM incidence WHERE state = 'NATION_1' AND legal_good = 'PROMO'")
+    q["filtered_records_clustered"] = q["filtered_records"]
     q["risk_counts"] = w(*BASE, ENRICHED) + (
         "SELECT l.risk, CAST(COALESCE(c.n, 0) AS BIGINT) AS records_at_level, "
         "(SELECT CAST(COUNT(*) AS BIGINT) FROM enriched) AS records "

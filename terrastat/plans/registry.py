@@ -101,6 +101,44 @@ def etl_merge_rate(spark, sf):
     return m.select(*KEYS, "total", "population", r6("rate_100k").alias("rate_100k"))
 
 
+BUCKETS = 8
+
+
+def etl_merge_bucketed(spark, sf):
+    """E11 + E12 on tables bucketed by municipality: neither side is shuffled."""
+    inc = E.bucketed(fx.inc_wide(spark, sf), scratch_path(spark, "inc-bucketed"), "muni_key", BUCKETS)
+    pop = E.bucketed(E.clean_population(fx.population_long(spark, sf)),
+                     scratch_path(spark, "pop-bucketed"), "muni_key", BUCKETS)
+    return E.merge_population(inc, pop).select(*KEYS, "total", "population",
+                                               r6("rate_100k").alias("rate_100k"))
+
+
+def _damaged_csv(spark, sf):
+    """The incidence as CSV lines without header, some of them short, long or with
+    a word in the place of a number, by the municipality's key."""
+    table = etl_contract(spark, sf)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns]
+    kind = F.pmod("Cve_Municipio", F.lit(7))
+    word = [F.when(kind == 3, F.lit("n/d")).otherwise(c) if n == "Marzo" else c
+            for n, c in zip(table.columns, cells)]
+    line = (F.when(kind == 1, F.concat_ws(",", *cells[:-1]))
+            .when(kind == 2, F.concat_ws(",", *cells, F.lit("9")))
+            .otherwise(F.concat_ws(",", *word)))
+    path = scratch_path(spark, "damaged-csv")
+    table.select(line.alias("value")).write.text(path)
+    return E.read_incidence_quarantine(spark, path, header=False, canonical=False)
+
+
+def etl_rejects(spark, sf):
+    """E1 quarantine: the broken records and why."""
+    return _damaged_csv(spark, sf)[1].select("record", "reason")
+
+
+def etl_accepted(spark, sf):
+    """E1 quarantine: the rows that are whole."""
+    return _damaged_csv(spark, sf)[0]
+
+
 def _catalogue(spark, sf):
     """A catalogue that spells names its own way and lacks every fifth code."""
     nation = read_table(spark, sf, "nation").where(F.col("n_nationkey") % 5 != 0)
@@ -253,6 +291,17 @@ def filtered_records(spark, sf):
     return f.select("state", *KEYS, "total")
 
 
+CLUSTER_COLUMNS, CLUSTER_FILES = ["state", "muni", "legal_good"], 16
+
+
+def filtered_records_clustered(spark, sf):
+    """Q3 over a table clustered by all three filter columns."""
+    table = E.write_clustered(_inc(spark, sf), scratch_path(spark, "clustered"), CLUSTER_COLUMNS,
+                              CLUSTER_FILES)
+    f = Q.filter_records(table, state=FILTER_STATE, legal_good=FILTER_GOOD)
+    return f.select("state", *KEYS, "total")
+
+
 def risk_counts(spark, sf):
     return Q.risk_counts(_enriched(spark, sf))
 
@@ -755,6 +804,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_table": profile_table, "profile_head": profile_head,
     "etl_clean_names": etl_clean_names, "etl_annual_total": etl_annual_total,
     "etl_population": etl_population, "etl_merge_rate": etl_merge_rate,
+    "etl_merge_bucketed": etl_merge_bucketed, "etl_rejects": etl_rejects, "etl_accepted": etl_accepted,
+    "filtered_records_clustered": filtered_records_clustered,
     "etl_catalogue": etl_catalogue, "etl_catalogue_unmatched": etl_catalogue_unmatched,
     "mart_pivot": mart_pivot, "etl_partitioned_read": etl_partitioned_read,
     "etl_mart_csv": etl_mart_csv, "etl_latin1_read": etl_latin1_read,

@@ -97,3 +97,93 @@ def test_profile(spark):
     c = counts.first()
     assert (c.n_rows, c.n_columns) == (10, 2)
     assert [r.k for r in head.collect()] == [0, 1, 2]
+
+
+# --- quarantine, layout, co-location ----------------------------------------------
+def test_quarantine_sets_broken_records_aside(spark, tmp_path):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("name", T.StringType()),
+                           T.StructField("v", T.LongType())])
+    lines = ["k,name,v", "1,a,10", '2,"b, c",20', "3,d", "4,e,40,x", "5,f,many", "six,g,60", "7,,", "8,h,",
+             '9,"quoted, twice",90', "", "99999999999,i,1"]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    good, bad = E.read_incidence_quarantine(spark, str(tmp_path / "in.csv"), schema=schema,
+                                            canonical=False)
+    assert sorted(tuple(r) for r in good.collect()) == [
+        (1, "a", 10), (2, "b, c", 20), (7, None, None), (8, "h", None), (9, "quoted, twice", 90)]
+    got = {r.record: r.reason for r in bad.collect()}
+    assert got == {"3,d": "too few fields", "4,e,40,x": "too many fields", "5,f,many": "not a number: v",
+                   "six,g,60": "not a number: k", "99999999999,i,1": "not a number: k"}
+    assert {r.file for r in bad.collect()} == {"in.csv"}
+    assert good.select("name").count() == 5  # a pruned read sees the same rows
+    (tmp_path / "none.csv").write_text("k,name,v\n")
+    good, bad = E.read_incidence_quarantine(spark, str(tmp_path / "none.csv"), schema=schema,
+                                            canonical=False)
+    assert good.count() == 0 and bad.count() == 0
+
+
+def test_quarantine_reads_latin1(spark, tmp_path):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("v", T.LongType())])
+    (tmp_path / "in.csv").write_bytes("name,v\nÁvila,1\nMüñoz,x\n".encode("latin-1"))
+    good, bad = E.read_incidence_quarantine(spark, str(tmp_path / "in.csv"), "ISO-8859-1", schema,
+                                            canonical=False)
+    assert [r.name for r in good.collect()] == ["Ávila"]
+    assert [r.record for r in bad.collect()] == ["Müñoz,x"]
+
+
+def test_clustered_files_are_skipped_by_any_filter(spark, tmp_path):
+    import pyarrow.parquet as pq
+    rows = [(f"s{i % 13:02d}", f"m{i % 89:02d}", f"g{i % 31:02d}", i) for i in range(12_000)]
+    rows += [(None, "m00", "g00", -1)] * 50
+    df = spark.createDataFrame(rows, "state string, muni string, legal_good string, v long").repartition(5)
+    path = str(tmp_path / "z")
+    table = E.write_clustered(df, path, ["state", "muni", "legal_good"], 32)
+    assert sorted(map(repr, table.collect())) == sorted(map(repr, df.collect()))
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "z").glob("part-*.parquet")]
+    assert len(files) >= 24
+
+    def kept(**want):
+        n = 0
+        for f in files:
+            ranges = {}
+            for g in range(f.num_row_groups):
+                for c in range(f.num_columns):
+                    col = f.row_group(g).column(c)
+                    if col.statistics is not None and col.statistics.has_min_max:
+                        lo, hi = col.statistics.min, col.statistics.max
+                        a, b = ranges.get(col.path_in_schema, (lo, hi))
+                        ranges[col.path_in_schema] = (min(a, lo), max(b, hi))
+            n += all(c in ranges and ranges[c][0] <= v <= ranges[c][1] for c, v in want.items())
+        return n / len(files)
+
+    # each filter alone skips files, and together they skip most
+    for want in ({"state": "s05"}, {"muni": "m40"}, {"legal_good": "g17"}):
+        assert kept(**want) <= 0.75, want
+    assert kept(state="s05", muni="m40") <= 0.5
+    assert kept(state="s05", muni="m40", legal_good="g17") <= 0.3
+    plan = table.where("state = 's05'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(state,s05)" in plan
+
+
+def test_clustering_defined_cases(spark, tmp_path):
+    schema = "state string, muni string, v long"
+    empty = spark.createDataFrame([], schema)
+    assert E.write_clustered(empty, str(tmp_path / "a"), ["state", "muni"], 4).count() == 0
+    nulls = spark.createDataFrame([(None, None, 1), (None, None, 1), ("a", None, None)], schema)
+    assert E.write_clustered(nulls, str(tmp_path / "b"), ["state", "muni"], 4).count() == 3
+
+
+def test_bucketed_merge_shuffles_no_facts(spark):
+    from terrastat.plans.registry import QUERIES
+    from tests.conftest import SF001
+    merged = QUERIES["etl_merge_bucketed"](spark, SF001)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        rows = merged.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    want = QUERIES["etl_merge_rate"](spark, SF001).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, want))
