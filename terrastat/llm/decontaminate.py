@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrastat.llm.common import byte_slices, held, mapped
+
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 
@@ -38,34 +40,28 @@ _TABLE = bytes((b | 0x20) if 0x41 <= b <= 0x5A else (b if b in _KEEP else 0x20)
                for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-_CACHE: dict = {}
-
 
 def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _automaton(key, items: list[tuple[str, str]], window: int):
-    """Automaton whose values are (words in the pattern, item numbers), cached
-    per worker process; only the latest is kept."""
-    if key not in _CACHE:
-        import ahocorasick
-
-        patterns: dict[bytes, tuple[int, set[str]]] = {}
-        for item_id, text in items:
-            w = words_of(text)
-            n = min(window, len(w))
-            for i in range(len(w) - n + 1 if n else 0):
-                p = b" " + b" ".join(w[i:i + n]) + b" "
-                patterns.setdefault(p, (n, set()))[1].add(item_id)
-        a = ahocorasick.Automaton()
-        for p, v in patterns.items():
-            a.add_word(p.decode("latin-1"), v)
-        if patterns:
-            a.make_automaton()
-        _CACHE.clear()
-        _CACHE[key] = a if patterns else None
-    return _CACHE[key]
+def _automaton(items: list[tuple[str, str]], window: int):
+    """Automaton whose values are (words in the pattern, item numbers)."""
+    import ahocorasick
+
+    patterns: dict[bytes, tuple[int, set[str]]] = {}
+    for item_id, text in items:
+        w = words_of(text)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            p = b" " + b" ".join(w[i:i + n]) + b" "
+            patterns.setdefault(p, (n, set()))[1].add(item_id)
+    a = ahocorasick.Automaton()
+    for p, v in patterns.items():
+        a.add_word(p.decode("latin-1"), v)
+    if patterns:
+        a.make_automaton()
+    return a if patterns else None
 
 
 def _scan(words: list[bytes], automaton) -> tuple[list[tuple[int, int]], set[str]]:
@@ -126,8 +122,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     for key, shared in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def scan(batches, key=key, shared=shared):
-            automaton = _automaton(key, shared.value, window)
-            for batch in batches:
+            automaton = held(key, lambda: _automaton(shared.value, window))
+            for batch in (part for b in batches for part in byte_slices(b, "__text")):
                 hits, items, n_words = [], [], []
                 texts = batch.column("__text").to_pylist()
                 before_h, before_i = (batch.column(c).to_pylist() for c in ("hits", "items"))
@@ -149,7 +145,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                 cols["n_words"] = pa.array(n_words, pa.int64())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-        df = df.mapInArrow(scan, schema)
+        df = mapped(df, scan, schema, "decontaminate")
     return df.drop("__text")
 
 
@@ -170,17 +166,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
                    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without an occurrence, all columns unchanged."""
-    out = docs
+    out, at = docs, docs.columns.index(text_col)
     for key, shared in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def keep(batches, key=key, shared=shared):
-            automaton = _automaton(key, shared.value, window)
-            for batch in batches:
-                texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            automaton = held(key, lambda: _automaton(shared.value, window))
+            for batch in (part for b in batches for part in byte_slices(b, at)):
+                texts = batch.column(at).to_pylist()
                 yield batch.filter(pa.array([not _scan(words_of(t), automaton)[0] for t in texts],
                                             pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = mapped(out, keep, docs.schema, "decontaminate")
     return out
 
 

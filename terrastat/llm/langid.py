@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrastat.llm.common import byte_slices, held, mapped
+
 FRAGMENTS = 128
 FRAGMENT_CHARS = 256
 BLOCK = 256
-LANES = 16_384
-BATCH_CHARS = 4 << 20
+LANES = 4096
+BATCH_CHARS = 1 << 20
 UND = "und"
 
-_CACHE: dict = {}
-
 
 def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
           fragments: int = FRAGMENTS, fragment_chars: int = FRAGMENT_CHARS) -> dict[str, list[str]]:
@@ -142,14 +142,14 @@ class Models:
             restart = np.full(self.width, lacking, np.int64)
             for c, q in nxt[0].items():
                 restart[c] = q
-            table = np.empty((len(nxt) + 1, self.width), np.int64)
+            small = np.int32 if (lacking + 1) * self.width * 2 < 2 ** 31 else np.int64
+            table = np.empty((lacking + 1, self.width), small)
             table[:] = restart * self.width * 2 + 1
             for s, row in enumerate(nxt):
                 for c, q in row.items():
                     table[s, c] = q * self.width * 2
             table[0] = restart * self.width * 2  # a text's first phrase is counted apart
-            small = np.int32 if table.size * 2 < 2 ** 31 else np.int64
-            self.tables.append(table.astype(small).ravel())
+            self.tables.append(table.ravel())
             self.weights.append(math.log2(max(2, len(symbols))))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,13 +210,6 @@ class Models:
         return langs, scores
 
 
-def _models(key: str, sample: dict[str, list[str]]) -> Models:
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Models(sample)
-    return _CACHE[key]
-
-
 def _predictor(spark, sample: dict[str, list[str]]):
     # bounded by languages * FRAGMENTS * FRAGMENT_CHARS; tables are built per worker
     shared, key = spark.sparkContext.broadcast(sample), uuid.uuid4().hex
@@ -224,7 +217,7 @@ def _predictor(spark, sample: dict[str, list[str]]):
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not shared.value:
             return [UND] * len(texts), [0.0] * len(texts)
-        return _models(key, shared.value).predict(texts)
+        return held(key, lambda: Models(shared.value)).predict(texts)
 
     return predict
 
@@ -237,14 +230,15 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], *, text_col: str = "
 
     def run(batches):
         for batch in batches:
-            langs, scores = predict(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carry), pa.array(langs, pa.string()),
-                 pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
+            for part in byte_slices(batch, "__text"):
+                langs, scores = predict(part.column("__text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in carry), pa.array(langs, pa.string()),
+                     pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
     rows = docs.select(*carry, F.col(text_col).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))
+    return mapped(rows, run, ", ".join([*fields, "lang_pred string, score double"]), "langid")
 
 
 def recognised(docs: DataFrame, sample: dict[str, list[str]], *, text_col: str = "text",
@@ -257,16 +251,16 @@ def recognised(docs: DataFrame, sample: dict[str, list[str]], *, text_col: str =
 
     def keep(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            if not learned:
-                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts],
-                                            pa.bool_()))
-                continue
-            langs, scores = predict(texts)
-            yield batch.filter(pa.array([x != UND and s >= min_score
-                                         for x, s in zip(langs, scores)], pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+            at = batch.schema.names.index(text_col)
+            for part in byte_slices(batch, at):
+                texts = part.column(at).to_pylist()
+                if learned:
+                    stay = [x != UND and s >= min_score for x, s in zip(*predict(texts))]
+                else:
+                    stay = [any(map(str.isalpha, t or "")) for t in texts]
+                yield part.filter(pa.array(stay, pa.bool_()))
+
+    return mapped(docs, keep, docs.schema, "langid")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
