@@ -66,3 +66,30 @@ def test_empty_and_repeated(spark):
     tokens.write_tokens(twice, path, tokenizer_path())
     got = tokens.token_index(spark, path).orderBy("start").collect()
     assert [r.start for r in got] == [0, 2, 4, 6] and got[0].doc_id is None
+
+
+AWKWARD = [*"abcdefghij   \n\t\r'stmdlvre.,!0123ABÉÈÀ", "İ", "ŉ", "ß", "՘", "é", "中",
+           "\U0001f600", "\x1c", "\x85", " ", " ", "​", "<|endoftext|>",
+           "<|startoftext|>", "̀", "²", "ⅷ", "١", "ﬁ", "ǅ", "　", "aaaaaaaaaaaa" * 7,
+           "word", "The", "its'"]
+
+
+def test_random_strings_give_the_librarys_ids(library, monkeypatch):
+    import random
+
+    rng, encoder = random.Random(3), tokens.Encoder(tokenizer_path())
+    for k in range(60):
+        if k == 30:
+            monkeypatch.setattr(tokens, "CACHE_PIECES", 50)  # forgotten again and again
+        texts = []
+        for _ in range(100):
+            top = rng.choice([0x300, 0x3000, 0x110000])
+            some = [chr(c) for c in (rng.randrange(top) for _ in range(rng.randrange(12)))
+                    if not 0xD800 <= c < 0xE000]
+            some += [rng.choice(AWKWARD) for _ in range(rng.randrange(30))]
+            rng.shuffle(some)
+            texts.append("".join(some))
+        want = [np.array(e.ids, "<u4").tobytes()
+                for e in library.encode_batch(texts, add_special_tokens=False)]
+        for text, a, b in zip(texts, encoder.encode(texts), want):
+            assert a == b, text
