@@ -656,6 +656,15 @@ SELECT round(chi2, 6) AS chi2, dof, CAST(n AS BIGINT) AS n,
   round(1 - exp(a * ln(x) - x - lgamma(a + 1)) * list_reduce(range(1, 4000), lambda s, k:
     {'t': s.t * x / (a + k), 's': s.s + s.t * x / (a + k)}, {'t': CAST(1 AS DOUBLE), 's': CAST(1 AS DOUBLE)}).s, 6) AS p_value
 FROM half"""
+    places = "places AS (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {i} AS position" for i, f in enumerate(FEATURES)) + ")"
+    q["mart_sparse"] = w(MUNI, MART_LONG, places) + (
+        "SELECT l.muni_key, CAST(p.position AS INTEGER) AS position, l.value FROM mart_long l "
+        "JOIN places p USING (feature) JOIN muni USING (muni_key) WHERE l.value <> 0")
+    q["features_scaled_sparse"] = w(MUNI, MART_LONG, MART, RATES, RATES_LONG) + (
+        "SELECT muni_key, CAST(position AS INTEGER) AS position, round(CASE WHEN STDDEV_POP(rate) OVER p > 0 "
+        "THEN (rate - AVG(rate) OVER p) / STDDEV_POP(rate) OVER p ELSE 0.0 END, 6) AS z "
+        "FROM rates_long WINDOW p AS (PARTITION BY position)")
     n_feat = len(FEATURES)
     q["pca_variance"] = _recursive(*_mart_pca(n_feat)) + (
         "SELECT CAST(component AS INTEGER) AS component, round(ratio, 6) AS ratio, "

@@ -24,6 +24,7 @@ from terrastat.operators import features as FE
 from terrastat.operators import kmeans as KM
 from terrastat.operators import pareto as P
 from terrastat.operators import profiles as PR
+from terrastat.operators import sparse as SP
 from terrastat.operators.common import checkpointed
 from terrastat.operators.silhouette import best_k, silhouette_means, silhouette_score
 from terrastat.session import scratch_path
@@ -503,6 +504,30 @@ def _prep_rates(spark, sf):
     return checkpointed(FE.feature_rates(m, ids, feats)), ids, feats
 
 
+def _sparse(spark, sf):
+    """The mart's sparse rows: ids + cells of the brands."""
+    feats = fx.mart_features(spark, sf)
+    cells = SP.sparse_matrix(fx.mart_long(spark, sf), ["muni_key"], "feature", "value", feats)
+    m = fx.muni(spark, sf).select("muni_key", "muni", "state", "population")
+    mart = m.join(cells, "muni_key", "left").withColumn(
+        "cells", F.coalesce("cells", F.array().cast(SP.CELLS.format("bigint"))))
+    return mart, feats
+
+
+def mart_sparse(spark, sf):
+    """E14 as sparse rows, a row a cell."""
+    mart, _ = _sparse(spark, sf)
+    return mart.select("muni_key", F.explode("cells").alias("c")).select("muni_key", "c.position", "c.value")
+
+
+def features_scaled_sparse(spark, sf):
+    """F1 + F3 + F4 on sparse rows, a row a feature."""
+    mart, feats = _sparse(spark, sf)
+    rates = checkpointed(SP.sparse_rates(FE.filter_population(mart)))
+    x = SP.scaled_rows(rates, ["muni_key"], SP.sparse_stats(rates, len(feats)))
+    return x.select("muni_key", F.posexplode("x").alias("position", "z")).withColumn("z", r6("z"))
+
+
 def _round_feats(df, feats):
     return df.select(*[r6(c).alias(c) if c in feats else F.col(c) for c in df.columns])
 
@@ -833,6 +858,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dependence_diagnosis": dependence_diagnosis,
     "features_filtered": features_filtered, "feature_roles": feature_roles,
     "feature_rates": feature_rates, "features_scaled": features_scaled,
+    "mart_sparse": mart_sparse, "features_scaled_sparse": features_scaled_sparse,
     "pca_scores": pca_scores, "pca_variance": pca_variance,
     "pca_embeddings": pca_embeddings, "pca_embeddings_variance": pca_embeddings_variance,
     "silhouette_exact": silhouette_exact, "silhouette_sweep": silhouette_sweep,

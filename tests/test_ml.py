@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from terrastat.operators import dbscan as DB
 from terrastat.operators import features as FE
+from terrastat.operators import lloyd as LL
 from terrastat.operators import pivots as PV
 from terrastat.operators import profiles as PR
 from terrastat.operators import silhouette as SI
+from terrastat.operators import sparse as SP
 from terrastat.operators.components import connected_components
 from terrastat.operators.silhouette import best_k, silhouette_samples, silhouette_score
 
@@ -445,3 +447,133 @@ def test_pruned_silhouette_odd_rows(spark):
     assert silhouette_samples(one.limit(0), "id", "x", "label").collect() == []
     same = spark.createDataFrame([(1, [0.0], 4), (2, [0.0], 4), (3, [0.0], 5), (4, [0.0], -1)], schema)
     assert {r.silhouette for r in silhouette_samples(same, "id", "x", "label").collect()} == {0.0}
+
+
+# --- thousands of features ------------------------------------------------------
+def test_sparse_mart_of_5000_features(spark):
+    d, n = 5000, 150
+    rnd = np.random.default_rng(9)
+    names = [f"f{i}" for i in range(d)]
+    dense = np.zeros((n, d))
+    rows = []
+    for i in range(n):
+        for j in rnd.choice(d - 1, 60, replace=False):  # the last feature never occurs
+            for _ in range(int(rnd.integers(1, 3))):
+                v = int(rnd.integers(1, 9))
+                rows.append((i, names[j], v))
+                dense[i, j] += v
+    rows += [(0, "unlisted", 5), (n, "unlisted", 5), (0, names[3], None)]
+    long = spark.createDataFrame(rows, "muni_key bigint, feature string, value bigint")
+    mart = SP.sparse_matrix(long, ["muni_key"], "feature", "value", names)
+    got = {r.muni_key: {c.position: c.value for c in r.cells} for r in mart.collect()}
+    assert got[n] == {}
+    for i in range(n):
+        assert got[i] == {int(j): dense[i, j] for j in np.flatnonzero(dense[i])}
+    plan = mart._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 20_000 and "CartesianProduct" not in plan and "Python" not in plan
+    pop = mart.where(F.col("muni_key") < n).withColumn("population", F.lit(200_000)).withColumn(
+        "cluster", F.col("muni_key") % 3)
+    rates = DB.checkpointed(SP.sparse_rates(pop))
+    stats = SP.sparse_stats(rates, d)
+    X = dense / 200_000 * 100_000
+    assert np.allclose(stats.mean, X.mean(0)) and np.allclose(stats.std, X.std(0))
+    scaled = SP.scaled_rows(rates, ["muni_key"], stats)
+    S = np.array([r.x for r in scaled.orderBy("muni_key").collect()])
+    want = np.where(X.std(0) > 0, (X - X.mean(0)) / np.where(X.std(0) > 0, X.std(0), 1), 0)
+    assert np.allclose(S, want, atol=1e-9)
+    axes, ratios, kept = FE.principal_axes(DB.checkpointed(scaled.select("x")), d, 0.05)
+    full = np.linalg.svd(want - want.mean(0), compute_uv=False) ** 2
+    assert np.allclose(ratios[:kept], (full / full.sum())[:kept], atol=1e-9)
+    prof = {(r.cluster, r.position): r["mean"] for r in SP.sparse_profile(rates, "cluster").collect()}
+    for c in range(3):
+        m = X[np.arange(n) % 3 == c].mean(0)
+        assert all(prof.get((c, j), 0.0) == pytest.approx(m[j]) for j in range(d))
+
+
+def test_sparse_rows_equal_the_dense_path(spark):
+    m = _mart(spark).drop("Total")
+    ids, feats = FE.feature_roles(m)
+    dense = FE.standardise(FE.feature_rates(m, ids, feats), ids, feats)
+    long = m.select("muni_key", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in feats])).alias("e")
+    ).select("muni_key", "e.*")
+    mart = SP.sparse_matrix(long, ["muni_key"], "feature", "value", feats).join(
+        m.select("muni_key", "population"), "muni_key")
+    rates = SP.sparse_rates(mart)
+    got = {r.muni_key: r.x for r in
+           SP.scaled_rows(rates, ["muni_key"], SP.sparse_stats(rates, len(feats))).collect()}
+    for r in dense.collect():
+        assert np.allclose(got[r.muni_key], [r[f] for f in feats], atol=1e-9)
+
+
+def test_principal_axes_grow_until_the_variance_is_met(spark, monkeypatch):
+    """A basis smaller than the space, iterated and widened."""
+    monkeypatch.setattr(FE, "FULL_DIMS", 4)
+    monkeypatch.setattr(FE, "FIRST_BASIS", 10)
+    rnd = np.random.default_rng(1)
+    scale = np.concatenate([np.linspace(9, 5, 12), np.full(28, 0.4)])
+    X = rnd.normal(size=(400, 40)) * scale @ np.linalg.qr(rnd.normal(size=(40, 40)))[0] + 3
+    df = spark.createDataFrame([([float(v) for v in x],) for x in X], "x array<double>").repartition(3)
+    axes, ratios, kept = FE.principal_axes(df, 40, 0.95)
+    C = np.cov(X, rowvar=False, bias=True)
+    e, v = np.linalg.eigh(C)
+    e, v = e[::-1], v[:, ::-1]
+    assert kept == int(np.searchsorted(np.cumsum(e) / e.sum(), 0.95, side="right") + 1) and kept > 10
+    assert np.allclose(ratios[:kept], e[:kept] / e.sum(), rtol=1e-9)
+    assert np.allclose(np.abs((axes[:, :kept] * v[:, :kept]).sum(0)), 1, atol=1e-6)
+
+
+# --- K-Means steps ----------------------------------------------------------------
+def _plain_kmeans(X, k, seed, limit=300):
+    """The same seeds and Lloyd steps without bounds."""
+    draw = lambda j: (seed + j) * 0.6180339887498949 % 1.0
+    C = [X[int(draw(0) * len(X))]]
+    for j in range(1, k):
+        d = ((X[:, None] - np.array(C)[None]) ** 2).sum(-1).min(1)
+        if d.sum() <= 0:
+            C.append(X[int(draw(j) * len(X))])
+            continue
+        C.append(X[int(np.searchsorted(np.cumsum(d), draw(j) * d.sum(), side="right"))])
+    C, lab = np.array(C, float), None
+    for _ in range(limit):
+        new = ((X[:, None] - C[None]) ** 2).sum(-1).argmin(1)
+        if lab is not None and (new == lab).all():
+            break
+        lab = new
+        C = np.array([X[lab == c].mean(0) if (lab == c).any() else C[c] for c in range(k)])
+    return C, lab, ((X - C[lab]) ** 2).sum()
+
+
+def test_kmeans_sweep_equals_plain_lloyd(spark):
+    rnd = np.random.default_rng(4)
+    X = np.vstack([rnd.normal(c, 0.6, (70, 5)) for c in rnd.uniform(-4, 4, (5, 5))])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)],
+                               "id bigint, x array<double>").repartition(3)
+    looked = []
+    fits, lab = LL.sweep(df, [2, 5, 8], 42, looked=looked)
+    got = np.array([r.l for r in lab.orderBy("id").collect()])
+    for i, k in enumerate((2, 5, 8)):
+        C, want, inertia = _plain_kmeans(X, k, 42)
+        assert (got[:, i] == want).all()
+        assert np.allclose(fits[k].centres, C) and fits[k].inertia == pytest.approx(inertia)
+    # bounds spare most distances once centres move little
+    assert looked[-1] < looked[0] / 3
+
+
+def test_kmeans_defined_cases(spark):
+    schema = "id bigint, x array<double>"
+    fits, lab = LL.sweep(spark.createDataFrame([], schema), [2, 3])
+    assert fits[2].inertia == 0 and lab.collect() == []
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], schema)
+    fits, lab = LL.sweep(same, [2, 3])
+    assert fits[3].inertia == 0 and {tuple(r.l) for r in lab.collect()} == {(0, 0)}
+    few = spark.createDataFrame([(1, [0.0]), (2, [5.0])], schema)
+    fits, lab = LL.sweep(few, [4])
+    assert fits[4].inertia == 0
+    ranges, LL.RANGES = LL.RANGES, 3
+    try:  # seeds don't depend on how the running sum is cut
+        pts = spark.createDataFrame([(i, [float(i * i % 37)]) for i in range(90)], schema)
+        a = LL.seeds(pts, 6, 7)
+    finally:
+        LL.RANGES = ranges
+    assert (a == LL.seeds(pts, 6, 7)).all()
