@@ -15,7 +15,8 @@ sequence leaves over follow at the end.
 Blocks: a source's documents in hashed order, ``MAX_EPOCHS`` times over, are a
 stream of words; block ``k`` is words ``[k * B, (k + 1) * B)``, the last one
 ending at the target. Positions are running sums over hash buckets of a source,
-so a source with most of the rows is many tasks. Slots meet blocks in an
+so a source with most of the rows is many tasks; rows that repeat are placed as one
+row with a count and dealt out to tasks afterwards. Slots meet blocks in an
 equi-join on (source, block).
 
 Defined cases: a null or wordless text has size 0 and takes 0; the null source
@@ -35,6 +36,7 @@ MAX_EPOCHS = 3
 SLOTS = 1 << 20
 CELLS = 4096
 BUCKETS = 256
+CHUNK = 1024
 GOLDEN = 0.6180339887498949
 
 
@@ -48,12 +50,39 @@ def word_count(text: Column) -> Column:
 
 def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
-    """doc_id, source, size and the hashed order key, written once."""
+    """doc_id, source, size, the hashed order key and ``copies``: rows equal in
+    these are one row, combined before the shuffle. Written once."""
     text = F.col(text_col)
-    return staged(docs.select(F.col(id_col).alias("doc_id"),
-                              F.col(source_col).cast("string").alias("source"),
-                              word_count(text).alias("size"),
-                              F.xxhash64(F.col(id_col), text).alias("h")), "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                       word_count(text).alias("size"),
+                       F.xxhash64(F.col(id_col), text).alias("h"))
+    return staged(rows.groupBy("doc_id", "source", "size", "h")
+                  .agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+
+
+def spread(rows: DataFrame, copies: str = "copies", copy: str = "copy") -> DataFrame:
+    """``rows``, each as often as ``copies`` says, with ``copy`` from 0. A row of
+    many copies is dealt out to tasks in chunks of ``CHUNK``."""
+    nth = _free("chunk", [*rows.columns, copy])
+    chunks = rows.where(F.col(copies) > 0).withColumn(nth, F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.expr(f"({copies} - 1) div {CHUNK}"))))
+    most = F.least(F.lit(CHUNK).cast("bigint"), F.col(copies) - F.col(nth) * CHUNK)
+
+    def dealt(part: DataFrame) -> DataFrame:
+        return (part.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("bigint"), most - 1)))
+                .withColumn(copy, F.col(nth) * CHUNK + F.col(copy)).drop(nth))
+
+    heavy = chunks.where(F.col(copies) > CHUNK)
+    return dealt(chunks.where(F.col(copies) <= CHUNK)).unionByName(
+        dealt(heavy.repartition(F.xxhash64(*[f"`{c}`" for c in chunks.columns]))))
+
+
+def _free(name: str, others: list[str]) -> str:
+    """A column name that is not among ``others``."""
+    lower = {c.lower() for c in others}
+    while name in lower:
+        name += "_"
+    return name
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS,
@@ -61,7 +90,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     """Per source: number, source, source_size, target, quota (whole words).
     The frame has one row a source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    s = (rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = (rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
          .withColumn("number", F.row_number().over(order) - 1))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           F.col("number") % len(weights) + 1)
@@ -132,24 +161,27 @@ def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def positions(rows: DataFrame, sources: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with words, numbered: number, start (words of the source's
-    documents before it in hashed order), source_size, quota."""
-    spread = (rows.where("size > 0").join(
+    """One row a document with words, numbered: number, start (words of the
+    source's documents before it in hashed order), source_size, quota. Equal
+    rows are placed as one and then follow each other."""
+    dealt = (rows.where("size > 0").withColumn("words", F.col("size") * F.col("copies")).join(
         sources.select("number", F.col("source").alias("s_source"), "source_size", "quota"),
         F.col("source").eqNullSafe(F.col("s_source")))
         .withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets))))
-    per = spread.groupBy("number", "bucket").agg(F.sum("size").alias("w"))
+    per = dealt.groupBy("number", "bucket").agg(F.sum("words").alias("w"))
     before = (Window.partitionBy("number").orderBy("bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = per.select(F.col("number").alias("o_number"), F.col("bucket").alias("o_bucket"),
                          F.coalesce(F.sum("w").over(before), F.lit(0)).alias("offset"))
     inside = (Window.partitionBy("number", "bucket").orderBy("h", "doc_id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (spread.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .join(offsets, (F.col("number") == F.col("o_number"))
-                  & (F.col("bucket") == F.col("o_bucket")))
-            .select("doc_id", "source", "size", "h", "number", "source_size", "quota",
-                    (F.col("offset") + F.col("inner")).alias("start")))
+    placed = (dealt.withColumn("inner", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+              .join(offsets, (F.col("number") == F.col("o_number"))
+                    & (F.col("bucket") == F.col("o_bucket")))
+              .select("doc_id", "source", "size", "h", "copies", "number", "source_size", "quota",
+                      (F.col("offset") + F.col("inner")).alias("first")))
+    return spread(placed).select("doc_id", "source", "size", "h", "number", "source_size", "quota",
+                                 (F.col("first") + F.col("copy") * F.col("size")).alias("start"))
 
 
 def pieces(placed: DataFrame, plan: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -183,8 +215,8 @@ def taken(docs: DataFrame, **cols) -> DataFrame:
                .agg(F.sum("words").alias("taken")))
     known = (placed.join(per_doc, ["number", "start"], "left")
              .select("doc_id", "source", "size", "h", "taken"))
-    empty = rows.where("size = 0").select("doc_id", "source", "size", "h",
-                                          F.lit(0).cast("bigint").alias("taken"))
+    empty = spread(rows.where("size = 0")).select("doc_id", "source", "size", "h",
+                                                  F.lit(0).cast("bigint").alias("taken"))
     s = sources.select(F.col("source").alias("s_source"), "source_size", "target")
     return (known.unionByName(empty)
             .join(s, F.col("source").eqNullSafe(F.col("s_source")))
@@ -196,15 +228,51 @@ def taken(docs: DataFrame, **cols) -> DataFrame:
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, each as often as the mix
-    takes it: its words taken over its size, rounded. Rows equal in id and text
-    share their copies evenly; a wordless row takes no words and goes."""
-    share = (taken(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-             .where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies"))
-             .where("__copies > 0"))
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    return (docs.withColumn("__key", key)
-            .join(share, F.col(id_col).eqNullSafe(F.col("__id"))
-                  & (F.col("__key") == F.col("__h")))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*docs.columns))
+    takes it: its words taken over its size, rounded. Only the document that a
+    source's target cuts is not taken a whole number of times, so a source's
+    words are within one document of its target. Rows equal in id, text and
+    source follow each other in the mix; of such a group as many rows come out
+    as its members are taken, the first ones once more than the others. A
+    wordless row takes no words and goes."""
+    names = {n: _free(f"mix_{n}", docs.columns) for n in
+             ("id", "src", "h", "rows", "times", "key", "equal", "part", "block", "from", "copy")}
+    c = {n: F.col(v) for n, v in names.items()}
+    share = staged(
+        taken(docs, id_col=id_col, text_col=text_col, source_col=source_col).where("size > 0")
+        .groupBy(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["src"]),
+                 F.col("h").alias(names["h"]))
+        .agg(F.count(F.lit(1)).alias(names["rows"]),
+             F.sum(F.round(F.col("taken") / F.col("size")).cast("bigint")).alias(names["times"]))
+        .where(c["times"] > 0), "mix-share")
+    keyed = docs.withColumn(names["key"], F.xxhash64(F.col(id_col), F.col(text_col)))
+    found = keyed.join(share, F.col(id_col).eqNullSafe(c["id"]) & (c["key"] == c["h"])
+                       & F.col(source_col).cast("string").eqNullSafe(c["src"]))
+    own = [F.col(f"`{x}`") for x in docs.columns]
+    once = (found.where(c["rows"] == 1)
+            .withColumn(names["copy"], F.explode(F.sequence(F.lit(1), c["times"].cast("int"))))
+            .select(*own))
+    # groups of several rows: wholly equal rows are counted, then numbered by
+    # blocks of their hash, so neither copies nor a hot group meet in one task
+    group = [names[n] for n in ("id", "src", "h")]
+    whole = F.xxhash64(F.to_json(F.struct(*own)))
+    counted = (found.where(c["rows"] > 1)
+               .groupBy(*own, *group, names["rows"], names["times"])
+               .agg(F.count(F.lit(1)).alias(names["equal"]))
+               .withColumn(names["part"], whole)
+               .withColumn(names["block"], F.pmod(c["part"], F.lit(BUCKETS))))
+    per = counted.groupBy(*group, names["block"]).agg(F.sum(c["equal"]).alias(names["from"]))
+    earlier = (Window.partitionBy(*group).orderBy(names["block"])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    inside = (Window.partitionBy(*group, names["block"]).orderBy(names["part"], *own)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    before = per.select(*[F.col(x).alias(f"o_{x}") for x in (*group, names["block"])],
+                        F.coalesce(F.sum(c["from"]).over(earlier), F.lit(0)).alias("o_from"))
+    same = [F.col(x).eqNullSafe(F.col(f"o_{x}")) for x in (*group, names["block"])]
+    first = F.col("o_from") + F.coalesce(F.sum(c["equal"]).over(inside), F.lit(0))
+    each, extra = F.expr(f"{names['times']} div {names['rows']}"), c["times"] % c["rows"]
+    more = F.greatest(F.lit(0), F.least(c["equal"], extra - c["from"]))
+    numbered = (counted.join(before, same[0] & same[1] & same[2] & same[3])
+                .withColumn(names["from"], first)
+                .withColumn(names["times"], each * c["equal"] + more))
+    again = spread(numbered.select(*own, names["times"]), names["times"], names["copy"])
+    return once.unionByName(again.select(*own))

@@ -65,6 +65,97 @@ def test_caps_nulls_ties_and_clashing_columns(spark):
     assert [r.taken for r in nothing] == [0, 0]
 
 
+def stream(docs):
+    """(doc_id, source) to sorted words taken, by walking each source's words."""
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += size(r.text)
+    out = {}
+    for source, target in targets(sizes).items():
+        left = min(int(target + 0.5), 3 * sizes[source])
+        own = sorted((r.h % 256, r.h, r.doc_id, size(r.text)) for r in rows if r.source == source)
+        got = [0] * len(own)
+        for _ in range(3):
+            for k, (*_, n) in enumerate(own):
+                took = min(n, left)
+                got[k] += took
+                left -= took
+        for (_, _, i, n), k in zip(own, got):
+            out.setdefault((i, source), []).append(k)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def by_document(out):
+    got = {}
+    for r in out:
+        got.setdefault((r.doc_id, r.source), []).append(r.taken)
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_taken_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "doc_id", "text", "source")
+    rows = [(7, "the same five words here", "b")] * 300 + [(8, None, "c")] * 3
+    docs = docs.union(spark.createDataFrame(rows, docs.schema))
+    assert by_document(M.taken(docs).collect()) == stream(docs)
+
+
+def test_schedule_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = M.sized(docs)
+    sources = M.targets(rows)
+    s = sorted(sources.collect(), key=lambda r: r.number)
+    slots = 300
+    width = -(-sum(r.quota for r in s) // slots)
+    blocks = {r.number: -(-r.quota // width) for r in s}
+    total, every = sum(r.target for r in s), sum(blocks.values())
+    want, used = [], Counter()
+    for n in range(min(slots, every)):
+        u = (n + 0.5) * M.GOLDEN % 1.0
+        upto = 0.0
+        for r in s:
+            upto += r.target
+            if u < upto / total or r is s[-1]:
+                break
+        if used[r.number] < blocks[r.number]:
+            want.append((n, r.number, used[r.number]))
+            used[r.number] += 1
+    left = sorted((b, r.number) for r in s for b in range(used[r.number], blocks[r.number]))
+    want += [(every + k, number, b) for k, (b, number) in enumerate(left)]
+    got = sorted((r.slot, r.number, r.block) for r in M.schedule(sources, slots).collect())
+    assert got == want
+
+
+def test_mixed_copies_of_equal_rows(spark, monkeypatch):
+    """Equal rows hold a third and more of a source, at several shares."""
+    for equal, others in ((300, 300), (200, 400), (700, 300)):
+        rows = [(1, "one two three four", "b", "x", k % 2) for k in range(equal)]
+        rows += [(100 + k, " ".join(["w"] * (1 + k % 9)), "b", "y", 0) for k in range(others)]
+        rows += [(5000 + k, "a b c d e f g", "a", "z", 0) for k in range(80 + equal)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy string, "
+                                           "chunk int")
+        out = M.mixed(docs)
+        assert out.columns == docs.columns
+        want = {}
+        for (i, source), got in stream(docs).items():
+            n = {r[0]: size(r[1]) for r in rows}[i]
+            want[i] = sum((2 * k + n) // (2 * n) for k in got)
+        first = Counter(r.doc_id for r in out.collect())
+        assert first == Counter({i: n for i, n in want.items() if n})
+        monkeypatch.setattr(M, "CHUNK", 7)
+        again = Counter(tuple(r) for r in M.mixed(docs.repartition(3)).collect())
+        assert again == Counter(tuple(r) for r in out.collect())
+        monkeypatch.setattr(M, "CHUNK", 1024)
+        words = Counter()
+        for r in out.collect():
+            words[r.source] += size(r.text)
+        sizes = Counter()
+        for r in rows:
+            sizes[r[2]] += size(r[1])
+        assert all(abs(words[s] - t) <= 9 for s, t in targets(sizes).items())
+
+
 def test_schedule_is_low_discrepancy_and_pieces_are_whole_blocks(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = M.sized(docs)
@@ -91,6 +182,9 @@ def test_mixed_rows(spark):
     got = Counter(r.doc_id for r in out.collect())
     assert all(abs(got.get(i, 0) - k) <= 1 for i, k in want.items())
     assert sum(got.get(i, 0) != k for i, k in want.items()) <= 20  # halves may round either way
+    clash = docs.withColumns({c: F.lit(1) for c in ("mix_id", "__id", "mix_copy", "copies", "h",
+                                                    "number", "size", "start")})
+    assert Counter(r.doc_id for r in M.mixed(clash).collect()) == got
 
 
 def test_plan_is_native(spark):
