@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastat.llm.common import byte_slices
+from terrastat.llm.common import byte_slices, held, mapped
 
 CACHE_PIECES = 300_000
 CACHED_CHARS = 32
@@ -54,8 +54,6 @@ SETTLED = "\u0530"
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>"
 NONE = 1 << 40
 
-_WORKER: dict = {}
-
 
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level files write bytes: printable Latin-1
@@ -269,12 +267,7 @@ def _shared(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
 def _made(kind, shared: tuple[Broadcast, str]):
     """One encoder or decoder a worker process and vocabulary."""
     vocabulary, name = shared
-    key = (kind, name)
-    if key not in _WORKER:
-        for old in [k for k in _WORKER if k[0] is kind]:
-            del _WORKER[old]
-        _WORKER[key] = kind(vocabulary.value)
-    return _WORKER[key]
+    return held((kind.__name__, name), lambda: kind(vocabulary.value))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
@@ -295,8 +288,8 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
                      pa.ListArray.from_arrays(pa.array(offsets), flat)],
                     names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return mapped(docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+                              F.col(text_col).cast("string").alias("text")), run, ENCODED, "bpe")
 
 
 def _rows_of(column: pa.ListArray):
@@ -322,7 +315,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                     [part.column("doc_id"), pa.array(texts, pa.string())],
                     names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string", "bpe")
 
 
 def digest(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -342,5 +335,6 @@ def digest(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
                  pa.array(a, pa.string()), pa.array(b, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(
+        encoded.select("doc_id", "n_tokens", "ids"), run,
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "bpe")
