@@ -13,8 +13,9 @@ characters in a row without them: a secret glued to such a word stays a span,
 and so does any candidate with a stretch that long beside the word). Base spans
 are never suppressed.
 
-Positions come from alternating (gap, match) pairs: one regular expression
-yields both, and running sums of their lengths give code-point offsets.
+Positions come from cutting a text behind every match: running sums of the parts'
+lengths are the matches' ends, in code points. Work is linear in text and candidate
+length, but for the running sums, which copy about the root of their number a part.
 
 Defined cases: a null text is an empty text; texts of any length are scanned
 whole; a candidate shorter than the window is one window; spans are ordered by
@@ -24,6 +25,8 @@ answered each; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+ROUNDING = 1e-9  # of a running sum, beside a threshold
 # class: (characters, least entropy in bits a character)
 CLASSES = {
     "hex": ("0123456789abcdef", 3.0),
@@ -49,88 +53,129 @@ ALLOW = (
     r"^[A-Za-z]+$",
     # no window's length free of words, from the start or from a word's end
     rf"(?i)^(?!(?:.*{WORDS})?(?:(?!{WORDS}).){{{WINDOW}}})",
-    r"^[0-9]{1,4}([-_/=][0-9]{1,4})+$",
+    # possessive, so that a long value takes no deep recursion
+    r"^[0-9]{1,4}+(?:[-_/=][0-9]{1,4}+)++$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[a-z]+([-_/][a-z]+)+$",
+    r"^[a-z]++(?:[-_/][a-z]++)++$",
 )
 
 
+SPAN = "array<struct<start:int,end:int,value:string,inner:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda's variable is a value,
+    while an expression is computed again wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of integers. Blocks of about the root of its size are
+    summed one by one and joined, so no long array is copied for each element."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+
+    def summed(x):
+        n = F.size(x)
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        blocks = F.when(n > 0, F.transform(
+            F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")),
+            lambda k: F.slice(x, k * width + 1, width))).otherwise(F.array().cast("array<array<int>>"))
+        return _let(blocks, joined)
+
+    def joined(blocks):
+        return _let(F.transform(blocks, total), lambda sums: F.flatten(F.transform(
+            blocks, lambda part, k: within(part, total(F.slice(sums, F.lit(1), k))))))
+
+    def within(part, before):
+        first = F.struct(before.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, first, lambda s, v: F.struct(
+            (s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v)).alias("out")))["out"]
+
+    return _let(lengths, summed)
+
+
 def _found(text: Column, pattern: str, group: int | None = None) -> Column:
-    """array<struct<start, end, value, group>> of leftmost non-overlapping
-    matches: offsets in code points, end exclusive."""
-    whole = rf"(?s)(.*?)({pattern}|\z)"
-    gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    hits = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    inner = (F.regexp_extract_all(text, F.lit(whole), F.lit(group)) if group else hits)
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), inner.alias("inner"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,value:string,inner:string>>>"
-    zero = F.struct(F.lit(0).alias("at"),
-                    F.array().cast("array<struct<start:int,end:int,value:string,inner:string>>")
-                    .alias("out")).cast(kind)
-
-    def step(s, p):
-        start = s["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value"),
-                        p["inner"].alias("inner"))
-        return F.struct(end.alias("at"), F.when(F.char_length(p["hit"]) > 0, F.concat(
-            s["out"], F.array(span))).otherwise(s["out"]).alias("out")).cast(kind)
-
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,inner:string>>")
-    # most texts have no match: the cheap test spares them the pairs
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, zero, step)["out"]
-                  ).otherwise(empty)
-
-
-def _xlog(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    """array<struct<start, end, value, inner>> of leftmost non-overlapping matches:
+    offsets in code points, end exclusive; ``inner`` is a group of the match. The
+    text is cut behind every match, so a part's first match is the one it ends with."""
+    def span(x, end):
+        hit = F.regexp_substr(x, F.lit(pattern))
+        inner = hit if group is None else F.regexp_extract(x, pattern, group)
+        return F.struct((end - F.char_length(hit)).alias("start"), end.alias("end"),
+                        hit.alias("value"), inner.alias("inner"))
+
+    def spans(parts):
+        ends = _running(F.transform(parts, lambda x: F.char_length(x)))
+        return F.filter(F.zip_with(parts, ends, span), lambda x: x["value"].isNotNull())
+
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:{pattern}|\z)"), F.lit(0))
+    # most texts have no match: the cheap test spares them the parts
+    return F.when(F.rlike(text, F.lit(pattern)), _let(parts, spans).cast(SPAN)).otherwise(
+        F.array().cast(SPAN))
+
+
+def _best(value: Column, alphabets: list[str], window: int, finish) -> Column:
+    """``finish`` of the largest entropies, one for each alphabet, of any window of
+    ``value`` that lies in it.
+
+    The value is cut into characters once. A window's sum of ``c * log2(c)`` changes
+    by the count of the character that enters and of the one that leaves, both
+    counted among the ``window - 1`` characters that stay; the running sum, and how
+    long each alphabet has not been left, give every window's entropy.
+    """
+    gain = [(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(window)]
+    masks = [sum(1 << k for k, a in enumerate(alphabets) if chr(i) in a) for i in range(128)]
+    gains, member = F.array(*map(F.lit, gain)), F.array(*map(F.lit, masks))
+    n = F.char_length(value)
+    codes = F.transform(F.slice(F.split(value, ""), 1, n), lambda c: F.ascii(c))
+    width = F.least(n, F.lit(window))
+
+    def change(x):
+        def one(c, i):
+            stay = F.slice(x, F.greatest(i - width + 2, F.lit(1)), F.least(i, width - 1))
+            count = lambda y: gains[F.size(F.filter(stay, lambda z: z == y))]
+            gone = F.when(i >= width, count(F.get(x, i - width))).otherwise(F.lit(0.0))
+            return F.struct((count(c) - gone).alias("d"),
+                            F.coalesce(F.get(member, c), F.lit(0)).alias("m"))
+        return F.transform(x, one)
+
+    steps = _let(codes, change)
+    zero = F.struct(F.lit(0.0).alias("sum"), *[F.lit(0).alias(f"run{k}") for k in range(len(alphabets))],
+                    *[F.lit(0.0).alias(f"best{k}") for k in range(len(alphabets))])
+
+    def step(s, x):
+        total = s["sum"] + x["d"]
+        entropy = F.log2(width.cast("double")) - total / width
+        runs = [F.when(x["m"].bitwiseAND(1 << k) > 0, F.least(s[f"run{k}"] + 1, width))
+                .otherwise(F.lit(0)) for k in range(len(alphabets))]
+        return F.struct(total.alias("sum"), *[r.alias(f"run{k}") for k, r in enumerate(runs)], *[
+            F.when(r >= width, F.greatest(s[f"best{k}"], entropy)).otherwise(s[f"best{k}"])
+            .alias(f"best{k}") for k, r in enumerate(runs)])
+
+    return F.aggregate(steps, zero, step,
+                       lambda s: finish([s[f"best{k}"] for k in range(len(alphabets))]))
 
 
 def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
     """Largest entropy, in bits a character, of any window of ``value`` that
     lies in ``alphabet``; 0 where there is none. A value shorter than the window
     is one window."""
-    n = len(alphabet)
-    width = F.least(F.char_length(value), F.lit(window))
-    kind = "struct<counts:array<int>,sum:double,run:int,best:double>"
-    zero = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"),
-                    F.lit(0).alias("run"), F.lit(0.0).alias("best")).cast(kind)
-
-    def step(s, i):
-        # the place of a character in the alphabet, 0 if it is outside
-        came = F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
-        full = s["run"] >= width
-        went = F.when(full, F.instr(F.lit(alphabet), F.substring(value, i - width, F.lit(1)))
-                      ).otherwise(F.lit(0))
-        old_out = F.when(went > 0, F.get(s["counts"], went - 1)).otherwise(F.lit(0))
-        sum_out = s["sum"] - _xlog(old_out) + _xlog(F.greatest(old_out - 1, F.lit(0)))
-        now_in = F.get(s["counts"], came - 1) - F.when(came == went, F.lit(1)).otherwise(F.lit(0))
-        sum_in = sum_out - _xlog(now_in) + _xlog(now_in + 1)
-        counts = F.transform(s["counts"], lambda c, k: c + F.when(k + 1 == came, 1).otherwise(0)
-                             - F.when(k + 1 == went, 1).otherwise(0))
-        run = F.least(s["run"] + 1, width)
-        entropy = F.log2(width.cast("double")) - sum_in / width
-        slid = F.struct(counts.alias("counts"), sum_in.alias("sum"), run.alias("run"),
-                        F.when(run >= width, F.greatest(s["best"], entropy))
-                        .otherwise(s["best"]).alias("best")).cast(kind)
-        fresh = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"),
-                         F.lit(0).alias("run"), s["best"].alias("best")).cast(kind)
-        return F.when(came > 0, slid).otherwise(fresh)
-
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), zero, step)["best"]
+    return _best(value, [alphabet], window, lambda best: best[0])
 
 
 def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> Column:
     """Candidates that reach a class's threshold and no allow-list entry."""
-    def secret(c):
-        value = c["value"]
+    def reached(best):
         hot = F.lit(False)
-        for alphabet, least in CLASSES.values():
-            hot = hot | (window_entropy(value, alphabet, window) >= F.lit(least))
+        for b, (_, least) in zip(best, CLASSES.values()):
+            hot = hot | (b >= F.lit(least - ROUNDING))
+        return hot
+
+    def secret(c):
         allowed = F.lit(False)
         for p in allow:
-            allowed = allowed | F.rlike(value, F.lit(p))
-        return ~allowed & hot
+            allowed = allowed | F.rlike(c["value"], F.lit(p))
+        return ~allowed & _best(c["value"], [a for a, _ in CLASSES.values()], window, reached)
 
     return F.filter(_found(text, CANDIDATE), secret)
 
@@ -142,7 +187,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     span = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     found = {
-        "assign": F.filter(_found(F.col("t"), ASSIGN, 3),
+        "assign": F.filter(_found(F.col("t"), ASSIGN, 1),
                            lambda x: F.char_length(x["inner"]) >= ASSIGN_MIN),
         "access": F.filter(_found(F.col("t"), ACCESS),
                            lambda x: F.char_length(x["value"]) >= ACCESS_MIN),

@@ -88,6 +88,33 @@ def test_window_entropy_and_empty(spark):
     assert S.digest(S.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
 
+def test_long_candidates_and_many_matches_end(spark):
+    import time
+
+    rng = random.Random(9)
+    base64 = S.CLASSES["base64"][0][:64]
+    rows = [(1, "".join(rng.choices(base64, k=1_000_000))),
+            (2, "data:" + "ab" * 500_000), (3, "token=abcdefgh12 " * 100_000),
+            (4, "/".join(["path"] * 100_000)), (5, "-".join(["12"] * 100_000)),
+            (6, "deadbeef" * 100_000 + "z"), (7, "example" * 60_000 + "Zk3xQ9aB7cD1eF5gH2jK")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    began = time.time()
+    got = {r.doc_id: r for r in S.digest(S.scan(docs)).collect()}
+    assert time.time() - began < 120
+    assert got[1].spans.split(",")[-1] == "entropy:0:1000000"
+    assert got[3].n_assign == 100_000 and got[3].spans.endswith(f":{100_000 * 17 - 1}")
+    assert [got[k].n_entropy for k in (2, 4, 5)] == [0, 0, 0]
+    assert got[6].n_hex == 1 and got[7].n_entropy == 1
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    lists = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 2, 3, 10, 17, 101)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for r in df.select("x", S._running(F.col("x")).alias("s")).collect():
+        assert r.s == [sum(r.x[:k + 1]) for k in range(len(r.x))]
+
+
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = S.digest(S.scan(docs))._jdf.queryExecution().executedPlan().toString()
