@@ -1,9 +1,9 @@
 """Cluster profiling shared by K-Means (M5-M12) and DBSCAN.
 
 Per-cluster means are one group-by on (label, feature) over the long form with
-partial aggregation (K × d rows out), folded back to a K-row table.
-Arg-max over features is a ``greatest`` of (z, -position, name) structs: a
-row-wise expression, no shuffle.
+partial aggregation (K × d rows out); z-scores and names follow from those rows,
+profiles fold them back to a K-row table. An outlier's arg-max over features is a
+``greatest`` of (z, -position, name) structs: a row-wise expression, no shuffle.
 """
 
 from __future__ import annotations
@@ -59,27 +59,49 @@ def cluster_summary(rates: DataFrame, label: str = "cluster") -> DataFrame:
                                     F.avg("population").alias("mean_population"))
 
 
+def _cluster_cells(rates: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """(label, position, members, mean, z): K×d rows, and per cluster the population
+    as one more position. One scan and one group-by give the clusters' moments; the
+    global mean and sample std follow from them over the small result."""
+    per = feature_long(rates, [label], [*features, "population"]).groupBy(label, "position").agg(
+        F.count(F.lit(1)).alias("members"), F.count("v").alias("_n"), F.avg("v").alias("mean"),
+        F.var_pop("v").alias("_v"))
+    every = Window.partitionBy("position")  # K rows
+    n = F.sum("_n").over(every)
+    placed = per.withColumn("_m", F.sum(F.col("_n") * F.col("mean")).over(every) / n)
+    off = F.col("mean") - F.col("_m")
+    spread = F.sum(F.col("_n") * (F.col("_v") + off * off)).over(every)
+    std = F.when(n > 1, F.sqrt(spread / (n - 1)))
+    return placed.select(label, "position", "members", "mean",
+                         ((F.col("mean") - F.col("_m")) / (std + Z_EPS)).alias("z"))
+
+
+def _feature_name(features: list[str]) -> Column:
+    return F.array(*[F.lit(f) for f in features])[F.col("position")]
+
+
 def cluster_zscores(rates: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:
     """M6: (cluster mean - global mean) / (global sample std + 1e-9), long."""
-    means = cluster_means(rates, label, features).withColumn("_g", zscore_stats(rates, features))
-    z = means.select(label, *[((F.col(f) - F.col(f"_g.m{i}")) / (F.col(f"_g.s{i}") + Z_EPS)).alias(f)
-                              for i, f in enumerate(features)])
-    return _long(z, [label], features, "z")
+    cells = _cluster_cells(rates, label, features).where(F.col("position") < len(features))
+    return cells.select(label, "position", _feature_name(features).alias("feature"), "z")
 
 
 def cluster_names(rates: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:
     """M7 + M8: specialty (arg-max z, first column on ties) and the name
     'Perfil Pacifico (...)' when the top z < 0, else 'Foco: <feature> (...)',
     with N and the mean population in thousands (half-even, no decimals)."""
-    means = cluster_means(rates, label, features).withColumn("_g", zscore_stats(rates, features))
-    zs = [(F.col(f) - F.col(f"_g.m{i}")) / (F.col(f"_g.s{i}") + Z_EPS) for i, f in enumerate(features)]
-    top = _argmax(zs, features)
-    t = means.select(label, "members", "mean_population", top.alias("_top"))
+    own = F.col("position") < len(features)
+    top = F.max(F.when(own, F.struct("z", (-F.col("position")).alias("neg_pos"))))
+    t = (_cluster_cells(rates, label, features).groupBy(label)
+         .agg(F.max("members").cast("bigint").alias("members"),
+              F.max(F.when(~own, F.col("mean"))).alias("mean_population"), top.alias("_top"))
+         .withColumn("position", -F.col("_top.neg_pos"))
+         .withColumn("specialty", _feature_name(features)))
     tail = F.concat(F.lit(" (N="), F.col("members").cast("string"), F.lit(" | Pob: "),
                     round_half_even_str(F.col("mean_population") / 1000.0), F.lit("k)"))
     name = F.when(F.col("_top.z") < 0, F.concat(F.lit(PACIFIC_NAME), tail)).otherwise(
-        F.concat(F.lit(FOCUS_PREFIX), feature_label(F.col("_top.feature")), tail))
-    return t.select(label, "members", "mean_population", F.col("_top.feature").alias("specialty"),
+        F.concat(F.lit(FOCUS_PREFIX), feature_label(F.col("specialty")), tail))
+    return t.select(label, "members", "mean_population", "specialty",
                     F.col("_top.z").alias("top_z"), name.alias("cluster_name"))
 
 
