@@ -4,8 +4,11 @@ A node that must give ``k`` leaves is cut into ``k // 2`` and the rest, along
 its widest metadata dimension (spread over the table's spread), at the point
 that divides its weight in that ratio: the weighted median for even ``k``. All
 nodes of a level are cut together. A cut is found on a 62-bit key, exact to the
-row: the dimension's value in 2**20 steps, then a group code that keeps equal
-rows side by side, then a code of the row and of its number among its copies.
+row: the dimension's value in 2**20 steps, then a code of the row's group, then a code of
+the row and of its number among its copies. A group that weighs at most
+``GROUP_PART`` of a leaf stays whole: its rows share the metadata point of its least
+row and one key, which no cut divides. Rows of a heavier group keep their own points
+and are cut like others.
 Each pass sums weights into ``BINS``
 bins a node between the bounds left by the pass before; a node is done when the
 crossing bin holds one key, or weighs less than ``TOLERANCE`` of a leaf. Only
@@ -26,6 +29,7 @@ from terrastat.llm.common import staged
 
 BINS = 4096
 TOLERANCE = 0.002
+GROUP_PART = 0.02
 STEPS = 1 << 20
 GROUP_BITS, ID_BITS = 20, 22
 SLOT_BLOCKS = 64
@@ -87,12 +91,28 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return few.unionByName(dealt.select(*rows.columns, (F.col("first") + F.col("nth")).alias("copy")))
 
 
+def _gathered(table: DataFrame, limit: float) -> DataFrame:
+    """``table`` with ``whole``: rows of groups that weigh at most ``limit`` get the
+    metadata point of the group's least row."""
+    groups = staged(table.groupBy("group").agg(
+        F.sum("weight").alias("g_weight"), F.min(F.struct("id", "at")).alias("least")), "kd-groups")
+    # at most total weight / limit groups are heavy: leaves / GROUP_PART
+    heavy = F.broadcast(groups.where(F.col("g_weight") > limit).select("group"))
+    light = (table.join(heavy, "group", "left_anti")
+             .join(groups.where(F.col("g_weight") <= limit), "group")
+             .withColumn("at", F.col("least.at")).withColumn("whole", F.lit(True)))
+    return staged(table.join(heavy, "group", "left_semi").withColumn("whole", F.lit(False))
+                  .select(*table.columns, "whole")
+                  .unionByName(light.select(*table.columns, "whole")), "kd")
+
+
 def kd_shards(rows: DataFrame, *, id_col: str, group: Column, weight: Column,
               dimensions: list[Column], carry: dict[str, Column] | None = None,
               n_shards: int | None = None, target_weight: float | None = None) -> DataFrame:
     """``id``, the ``carry`` columns, ``weight``, ``shard`` (0-based leaf, left
     to right) and ``slot`` (0-based in the shard). Give the number of shards, or
-    the target weight of one."""
+    the target weight of one. Rows of one ``group`` meet in one shard unless they
+    weigh more than ``GROUP_PART`` of it."""
     spark, carry = rows.sparkSession, carry or {}
     table = staged(_numbered(rows.select(
         F.col(id_col).alias("id"), *[c.alias(k) for k, c in carry.items()],
@@ -100,19 +120,21 @@ def kd_shards(rows: DataFrame, *, id_col: str, group: Column, weight: Column,
         F.coalesce(group.cast("bigint"), F.lit(0)).alias("group"),
         F.array(*[F.coalesce(d.cast("double"), F.lit(0.0)) for d in dimensions]).alias("at"))), "kd")
     count = len(dimensions)
-    whole = table.agg(F.sum("weight").alias("w"), *[
-        f(F.col("at")[i]).alias(f"{name}{i}") for i in range(count)
-        for name, f in (("lo", F.min), ("hi", F.max))]).first()
-    total = int(whole["w"] or 0)
+    total = int(table.agg(F.sum("weight").alias("w")).first()["w"] or 0)
     if n_shards is None:
         n_shards = max(1, -(-total // max(1, int(target_weight))))
+    table = _gathered(table, GROUP_PART * total / n_shards)
+    whole = table.agg(*[
+        f(F.col("at")[i]).alias(f"{name}{i}") for i in range(count)
+        for name, f in (("lo", F.min), ("hi", F.max))]).first()
     spread = [(whole[f"hi{i}"] or 0) - (whole[f"lo{i}"] or 0) for i in range(count)]
 
     def key(i: int) -> Column:
         step = (F.floor((F.col("at")[i] - F.lit(float(whole[f"lo{i}"]))) / F.lit(float(spread[i]))
                         * (STEPS - 1)).cast("bigint") if spread[i] else F.lit(0).cast("bigint"))
         tail = (F.shiftleft(F.pmod(F.col("group"), F.lit(1 << GROUP_BITS)), ID_BITS)
-                + F.pmod(F.xxhash64("id", "group", "at", "copy"), F.lit(1 << ID_BITS)))
+                + F.when(F.col("whole"), F.lit(0).cast("bigint")).otherwise(
+                    F.pmod(F.xxhash64("id", "group", "at", "copy"), F.lit(1 << ID_BITS))))
         return F.shiftleft(step, GROUP_BITS + ID_BITS) + tail
 
     tree = {0: n_shards}  # first shard of a node: leaves below it
