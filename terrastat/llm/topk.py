@@ -12,11 +12,11 @@ task, so ties of any number stay bounded; a window over at most ``k`` rows a
 task and query then ranks by score and id.
 
 Defined cases: vectors that are null or hold a null or non-finite component take
-no part, nor do null ids; a query meets the vectors of its own length only; rows
-with the query's own id are no candidates; rows that repeat an id are separate
-candidates, and a repeated query id is answered once, by its least vector; empty
-input gives no rows; scores beyond 62 bits raise an OverflowError; other columns
-are ignored.
+no part, nor do null ids; a query meets the vectors of its own length only. Rows
+are told apart by a number, not by their id: every row but the query's own is a
+candidate, so rows that repeat an id meet each other, and each of them that is a
+query has an answer of its own under that id. Empty input gives no rows; scores
+beyond 62 bits raise an OverflowError; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ BATCH = 4096
 
 def quantised(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
               scale: float = 256.0) -> DataFrame:
-    """vec_id and integer components of the rows that take part."""
+    """row (a number), vec_id and integer components of the rows that take part."""
     v = F.col(vec_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)
                       & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return (rows.where(F.col(id_col).isNotNull() & v.isNotNull() & finite)
             .select(F.col(id_col).cast("bigint").alias("vec_id"),
                     F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
-                    .alias("v")))
+                    .alias("v")).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -63,7 +63,8 @@ def _batches(batches, width: int):
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             part = batch.slice(at, BATCH)
-            yield np.asarray(part.column("vec_id"), np.int64), _matrix(part.column("v"), width)
+            yield (np.asarray(part.column("row"), np.int64), np.asarray(part.column("vec_id"), np.int64),
+                   _matrix(part.column("v"), width))
 
 
 def _kth(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, reach: np.ndarray, k: int):
@@ -81,7 +82,7 @@ def _kth(rows: DataFrame, ids: np.ndarray, vecs: np.ndarray, reach: np.ndarray,
             ids, vecs, lo, hi, step, live = shared.value
             at = np.flatnonzero(live)
             tally = np.zeros((len(at), BINS), np.int64)
-            for cand, mat in _batches(batches, vecs.shape[1]):
+            for cand, _, mat in _batches(batches, vecs.shape[1]):
                 s = _scores(vecs[at], mat)
                 ok = (s >= lo[at, None]) & (s <= hi[at, None]) & (cand[None, :] != ids[at, None])
                 bins = (s - lo[at, None]) // step[at, None]
@@ -120,9 +121,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_i
     most = vectors.groupBy(size.alias("d")).agg(
         F.max(F.aggregate("v", F.lit(0).cast("bigint"),
                           lambda m, x: F.greatest(m, F.abs(x)))).alias("m")).collect()
-    # one row a query id
     asked = staged(vectors.withColumnRenamed("vec_id", id_col).where(is_query)
-                   .groupBy(F.col(id_col).alias("qid")).agg(F.min("v").alias("v")),
+                   .select(F.col("row").alias("q_row"), F.col(id_col).alias("qid"), "v"),
                    "topk-queries")
     counts = {r["d"]: r["n"] for r in
               asked.groupBy(size.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -132,7 +132,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_i
         n_blocks = max(1, -(-counts[d] // block))
         for b in range(n_blocks):
             held = sorted(asked.where((size == d) & (F.pmod(
-                F.xxhash64("qid"), F.lit(n_blocks)) == b)).collect())  # about ``block`` rows
+                F.xxhash64("q_row"), F.lit(n_blocks)) == b)).collect())  # about ``block`` rows
             if held:
                 answers.append(_answer(same, held, int(m), k))
     if not answers:
@@ -140,37 +140,39 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_i
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id")
     return (out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
 def _answer(vectors: DataFrame, held: list, most: int, k: int) -> DataFrame:
     """Scores that can be among the ``k`` best of a block of queries."""
-    ids = np.array([r.qid for r in held], np.int64)
+    ids = np.array([r.q_row for r in held], np.int64)
+    names = np.array([r.qid for r in held], np.int64)
     vecs = np.array([r.v for r in held], np.int64).reshape(len(held), -1)
     widest = max(sum(map(abs, r.v)) for r in held) * most + 1
     if widest >= 2 ** 62:
         raise OverflowError("scores exceed 64 bits")
     reach = np.abs(vecs).sum(axis=1) * most + 1
     floor = _kth(vectors, ids, vecs, reach, k)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, vecs, floor))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, names, vecs, floor))
 
     def keep(batches):
-        ids, vecs, floor = shared.value
+        ids, names, vecs, floor = shared.value
         over: list[tuple] = []
         ties: dict[int, np.ndarray] = {}
-        for cand, mat in _batches(batches, vecs.shape[1]):
+        for cand, of, mat in _batches(batches, vecs.shape[1]):
             s = _scores(vecs, mat)
             ok = cand[None, :] != ids[:, None]
             q, c = np.nonzero((s > floor[:, None]) & ok)
-            over += zip(ids[q].tolist(), cand[c].tolist(), s[q, c].tolist())
+            over += zip(ids[q].tolist(), names[q].tolist(), of[c].tolist(), s[q, c].tolist())
             even = (s == floor[:, None]) & ok
             for i in np.flatnonzero(even.any(axis=1)):
-                ties[i] = np.sort(np.concatenate([ties.get(i, cand[:0]), cand[even[i]]]))[:k]
-        over += [(int(ids[i]), int(x), int(floor[i])) for i, xs in ties.items() for x in xs]
-        cols = list(zip(*over)) or [(), (), ()]
+                ties[i] = np.sort(np.concatenate([ties.get(i, of[:0]), of[even[i]]]))[:k]
+        over += [(int(ids[i]), int(names[i]), int(x), int(floor[i]))
+                 for i, xs in ties.items() for x in xs]
+        cols = list(zip(*over)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols],
-                                         names=["query_id", "vec_id", "score"])
+                                         names=["q_row", "query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint")
+    return vectors.mapInArrow(keep, "q_row bigint, query_id bigint, vec_id bigint, score bigint")

@@ -36,6 +36,20 @@ def test_brute_force_ties_blocks_nulls(spark):
     check(spark, [(0, [1e6, -1e6]), (1, [3e3, 5e3]), (7, [1e6, 2e5])])  # beyond exact doubles
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Each query row is answered, and meets every row but itself."""
+    rows = [(50, [1.0, 0.0]), (50, [0.5, 0.5]), (51, [0.0, 1.0]), (52, [1.0, 1.0]), (50, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 3).collect()
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w)), c)
+                          for m, (c, w) in enumerate(rows) if m != n)[:3]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_few_candidates_and_empty(spark):
     check(spark, [(0, [1.0]), (7, [2.0])])
     check(spark, [(0, [1.0])])
