@@ -3,8 +3,6 @@ others (tokens in ORC, language ID, decontamination digests, k-d shards, secret
 spans, the mix, whitening, byte-pair ids) are held against brute force, libraries
 or invariants in tests/llm."""
 
-from terrastat.llm import urlfilter
-
 # Maximal conversations by comparing whole turn lists.
 CHAT = """
 WITH t AS (
@@ -60,16 +58,21 @@ GROUP BY r.doc_id
 """
 
 _fit = "(h = '{h}' OR ends_with(h, '.{h}')) AND starts_with(p, '{p}')"
-_ranked = sorted(urlfilter.RULES, key=lambda r: (-len(r[0] + r[1]), r[0]))
+# The contract's rules, longest first, and the registered query's parameters, written
+# out here so that a change of the module's own shows.
+_ranked = [("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+           ("org", "/fr/", "allow"), ("net", "/", "block")]
+_suffixes = ("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp ne.jp or.jp com.br com.mx "
+             "com.ar co.in co.za com.cn").split()
 _rule = "CASE " + " ".join(
     f"WHEN {_fit.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in _ranked) + " END"
 _said = "CASE " + " ".join(
     f"WHEN {_fit.format(h=h, p=p)} THEN '{v}'" for h, p, v in _ranked) + " END"
-_lo, _hi = urlfilter.STRENGTH
+_lo, _hi, _z, _max_bad = 1.0, 10_000.0, 1.64, 0.5
 _two = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
 _three = "array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')"
 _last = "string_split(host, '.')[-1]"
-_listed = f"{_two} IN (" + ", ".join(f"'{x}'" for x in urlfilter.SUFFIXES) + ")"
+_listed = f"{_two} IN (" + ", ".join(f"'{x}'" for x in _suffixes) + ")"
 
 
 def _strength(level: str) -> str:
@@ -116,8 +119,8 @@ r AS (SELECT host, n + {_strength('named')} AS total,
              (bad + {_strength('named')} * d.mean) / (n + {_strength('named')}) AS mean
       FROM named JOIN d USING (domain))
 SELECT page_id, h AS host, p AS path, {_rule} AS rule,
-       coalesce({_said}, CASE WHEN greatest(0, mean - {urlfilter.Z}
-                * sqrt(mean * (1 - mean) / (total + 1))) >= {urlfilter.MAX_BAD}
+       coalesce({_said}, CASE WHEN greatest(0, mean - {_z}
+                * sqrt(mean * (1 - mean) / (total + 1))) >= {_max_bad}
                 THEN 'block' ELSE 'allow' END) AS verdict
 FROM v JOIN r ON r.host = v.h
 """
@@ -125,16 +128,16 @@ FROM v JOIN r ON r.host = v.h
 TOP_K = f"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))
-         AS v
+         AS v, row_number() OVER () AS n
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.n, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) AND q.vec_id % 50 = 0),
+  FROM e q JOIN e c ON c.n <> q.n AND len(c.v) = len(q.v) AND q.vec_id % 50 = 0),
 r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)
             AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

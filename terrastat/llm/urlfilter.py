@@ -16,13 +16,15 @@ a frame of one row a host.
 
 Defined cases: a null url or one without ``://`` has empty host and path and
 no rule; it belongs to the empty host. The suffix is the host's last label,
-or two when listed in ``SUFFIXES``; the registered domain has one label more. A
+or two when among ``suffixes``; the registered domain has one label more. A
 null outcome is unlabelled; an unlabelled host takes its parents' means. With no
 labels at all nothing is blocked by reputation. Repeated rows count each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def domains(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host; a host of one label is both."""
+def domains(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; a host of one label is both.
+    ``suffixes`` lists the public suffixes of two labels."""
     two = F.substring_index(host, ".", -2)
-    listed = two.isin(*SUFFIXES)
+    listed = two.isin(*suffixes)
     return (F.when(listed, F.substring_index(host, ".", -3)).otherwise(two),
             F.when(listed, two).otherwise(F.substring_index(host, ".", -1)))
 
@@ -90,14 +93,16 @@ def _level(members: DataFrame, key: str, parent: str | None) -> tuple[DataFrame,
 
 
 def reputation(pages: DataFrame, bad: Column, *, host_col: str = "host",
-               max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
-    """One row a host: host, n, bad, mean (posterior), bound (lower), blocked."""
-    domain, suffix = domains(F.col(host_col))
+               max_bad: float = MAX_BAD, z: float = Z,
+               suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """One row a host: host, n, bad, mean (posterior), bound (lower), blocked. The
+    bound is a normal approximation: with one or two outcomes it is wide and rough,
+    and the prior decides."""
+    domain, suffix = domains(F.col("host"), suffixes)
     hosts = (pages.groupBy(F.col(host_col).alias("host"))
              .agg(F.count(bad).alias("n"), F.coalesce(F.sum(bad.cast("bigint")), F.lit(0))
                   .alias("bad"))
-             .withColumn("domain", domains(F.col("host"))[0])
-             .withColumn("suffix", domains(F.col("host"))[1]))
+             .withColumn("domain", domain).withColumn("suffix", suffix))
     by_host, _ = _level(hosts, "h", None)
     d = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad"))
     by_domain, _ = _level(d.select(F.col("domain"), F.col("suffix"), F.col("d_n").alias("n"),
@@ -124,12 +129,14 @@ def reputation(pages: DataFrame, bad: Column, *, host_col: str = "host",
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 bad: Column | None = None, rules=RULES, max_bad: float = MAX_BAD,
-                z: float = Z) -> DataFrame:
-    """page_id, host, path, rule, verdict and the host's posterior (mean, bound)."""
+                z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict and the host's posterior (mean, bound).
+    ``suffixes``: the public suffixes of two labels to go by, such as the whole
+    public list; the default holds common ones."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"),
                         (F.lit(None).cast("boolean") if bad is None else bad).alias("bad"))
-    seen = reputation(rows, F.col("bad"), max_bad=max_bad, z=z).select(
+    seen = reputation(rows, F.col("bad"), max_bad=max_bad, z=z, suffixes=suffixes).select(
         F.col("host").alias("r_host"), "mean", "bound", "blocked")
     return (rows.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
             .join(seen, F.col("host") == F.col("r_host"))

@@ -78,3 +78,11 @@ def test_plan_is_native(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", True)], "page_id long, url string, out boolean")
     plan = U.filter_urls(pages, bad=F.col("out"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_suffixes_are_an_input(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.shop.example",), ("net",)], "h string")
+    got = {r.h: (r.d, r.s) for r in hosts.select(
+        "h", *[c.alias(n) for c, n in zip(U.domains(F.col("h"), ["shop.example"]), "ds")]).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "uk"), "x.shop.example": ("x.shop.example", "shop.example"),
+                   "net": ("net", "net")}
