@@ -55,6 +55,6 @@ def test_entry_registers_all_eleven(spark):
 
     names = set(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert None not in entry.oracle_sql().values()
