@@ -7,8 +7,9 @@ sums mean equal prefixes). Distinct whole-conversation hashes are anti-joined
 with distinct proper-prefix hashes: what stays is maximal. Of equal maximal
 conversations the smallest ``conv_id`` stays. Only those are rendered.
 
-Positions and sums are taken per block of ``TURN_BLOCK`` turn numbers and
-offset, so a conversation with most of the rows is many tasks; hashes are made
+Rows are sorted by ranges of their whole order and written; positions and sums are
+taken per block of ``2**BLOCK_BITS`` rows of that order and offset, so a conversation
+with most of the rows is many tasks, whatever its turn numbers; hashes are made
 distinct (combined before the shuffle) before the join, so a first turn that
 most conversations share is one row. Rendered text comes in segments of at most
 ``SEGMENT`` turns, one row each; an ordinary conversation is one segment.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from terrastat.llm.common import staged
 
-TURN_BLOCK = 1024
+BLOCK_BITS = 10
+TIE_CHARS = 256
 SEGMENT = 1024
 # The template's marks.
 TURN_OPEN, TURN_CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -44,12 +46,19 @@ def prefixes(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tu
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
                         F.col(role_col).cast("string").alias("role"),
                         F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("block", F.floor(F.coalesce(F.col("turn").cast("double"), F.lit(-1.0))
-                                            / TURN_BLOCK).cast("bigint"))
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role")]
+    # a range key holds a text's begin; texts that it holds whole divide further by a
+    # number, since their order among equals is free
+    longer = F.coalesce(F.char_length("text") > TIE_CHARS, F.lit(False))
+    tie = F.when(longer, F.lit(0).cast("bigint")).otherwise(F.col("tie"))
+    spread = [*order, F.substring("text", 1, TIE_CHARS).asc_nulls_first(), longer, tie]
+    rows = staged(
+        rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*spread)
+        .sortWithinPartitions(*order, F.col("text").asc_nulls_first()).drop("tie")
+        .withColumn("at", F.monotonically_increasing_id())
+        .withColumn("block", F.shiftright("at", BLOCK_BITS)), "chat-rows")
     key = ["conv_id", "block"]
-    inside = Window.partitionBy(*key).orderBy(F.col("turn").asc_nulls_first(),
-                                              F.col("role").asc_nulls_first(),
-                                              F.col("text").asc_nulls_first())
+    inside = Window.partitionBy(*key).orderBy("at")
     earlier = (Window.partitionBy("conv_id").orderBy("block")
                .rowsBetween(Window.unboundedPreceding, -1))
 

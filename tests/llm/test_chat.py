@@ -51,3 +51,16 @@ def test_long_conversation_and_empty(spark):
     got = check(spark, rows)
     assert sorted((r.conv_id, r.segment) for r in got) == [(1, 0), (1, 1), (1, 2)]
     assert chat.collapse_and_render(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_conversations_without_turn_numbers(spark, monkeypatch):
+    """Null and equal turn numbers, repeated rows and long common begins are cut
+    into blocks by their whole order."""
+    monkeypatch.setattr(chat, "BLOCK_BITS", 3)
+    begin = "the same begin " * 30
+    rows = [(1, None, "user", f"t{t % 7}") for t in range(400)]
+    rows += [(2, 5, "user", begin + str(t % 50)) for t in range(200)]
+    rows += [(2, 5, "user", begin[:chat.TIE_CHARS])] * 60 + [(3, 5, "user", None)] * 90
+    rows += [(4, None, "user", f"t{t % 7}") for t in range(399)]
+    random.Random(4).shuffle(rows)
+    check(spark, rows)
