@@ -148,17 +148,14 @@ def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str
             .mapInArrow(scores, f"id {id_type}, position long, label long, silhouette double"))
 
 
-def _packs(rows: DataFrame, key: str, tile_rows: int) -> DataFrame:
-    """(key, tile, ids, xs): rows (id, key, x) packed by key into tiles of about
-    ``tile_rows``."""
-    per = rows.groupBy(F.col(key).alias("_k")).agg(
-        F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_t"))
-    placed = rows.join(per, F.col(key) == F.col("_k")).withColumn(
-        "tile", F.pmod(F.xxhash64("id"), F.col("_t")).cast("int"))
+def _packs(rows: DataFrame, key: str, tiles) -> DataFrame:
+    """(key, tile, ids, xs): rows (id, key, x) packed by key into ``tiles`` parts
+    (a number or a column)."""
     points = F.array_sort(F.collect_list(F.struct("id", "x")))  # about tile_rows points
-    return checkpointed(placed.groupBy(key, "tile").agg(points.alias("p")).select(
+    packed = rows.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int"))
+    return packed.groupBy(key, "tile").agg(points.alias("p")).select(
         key, "tile", F.transform("p", lambda q: q["id"]).alias("ids"),
-        F.flatten(F.transform("p", lambda q: q["x"])).alias("xs")))
+        F.flatten(F.transform("p", lambda q: q["x"])).alias("xs"))
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:
@@ -167,14 +164,18 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a - ends[0]:b - ends[0]] for a, b in zip(ends, ends[1:])]
 
 
-def _distance_sums(queries: DataFrame, targets: DataFrame, tile_rows: int) -> DataFrame:
+def _distance_sums(queries: DataFrame, targets: DataFrame, tiles: int) -> DataFrame:
     """(id, c, s): the sum of distances of each query (id, c, x) to the points of
-    cluster ``c``, whose tiles are in ``targets``."""
-    tiles = _packs(queries, "c", tile_rows)
+    cluster ``c``, whose tiles are in ``targets``. ``tiles`` cuts the queries to a
+    cluster, which are all points at most."""
     id_type = dict(queries.dtypes)["id"]
-    left = tiles.select("c", "tile", F.size("ids").alias("n"), F.col("xs").alias("xa"))
-    right = targets.select(F.col("c").alias("tc"), F.col("xs").alias("xb"), F.size("ids").alias("m"))
-    pairs = left.join(right, F.col("c") == F.col("tc")).select("c", "tile", "n", "m", "xa", "xb")
+    left = _packs(queries, "c", F.lit(tiles)).select("c", "tile", "ids", F.col("xs").alias("xa"))
+    right = targets.select(F.col("c").alias("tc"), "first", F.col("xs").alias("xb"),
+                           F.size("ids").alias("m"))
+    # the queries' ids go with the first tile of a cluster, so they travel once
+    pairs = left.join(right, F.col("c") == F.col("tc")).select(
+        "c", "tile", F.size("ids").alias("n"), "m", "xa", "xb",
+        F.when(F.col("first"), F.col("ids")).alias("ids"))
 
     def blocks(batches):
         for batch in batches:
@@ -182,39 +183,33 @@ def _distance_sums(queries: DataFrame, targets: DataFrame, tile_rows: int) -> Da
             for k, (xa, xb) in enumerate(zip(_lists(batch.column("xa")), _lists(batch.column("xb")))):
                 s = _distances(xa.reshape(n[k], -1), xb.reshape(m[k], -1)).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("c").slice(k, 1), batch.column("tile").slice(k, 1),
-                     pa.array([s.tobytes()], pa.binary())], names=["c", "tile", "sums"])
+                    [*(batch.column(x).slice(k, 1) for x in ("c", "tile", "ids")),
+                     pa.array([s.tobytes()], pa.binary())], names=["c", "tile", "ids", "sums"])
 
     def add(batches):  # sorted by tile
-        key, total = None, None
+        key, ids, total = None, None, None
         for batch in batches:
-            for c, t, raw in zip(*(batch.column(x).to_pylist() for x in ("c", "tile", "sums"))):
+            keys = zip(batch.column("c").to_pylist(), batch.column("tile").to_pylist())
+            for k, (at, raw) in enumerate(zip(keys, batch.column("sums").to_pylist())):
                 part = np.frombuffer(raw, np.float64)
-                if (c, t) != key and key is not None:
-                    yield one(key, total)
-                total = part.copy() if (c, t) != key else total + part
-                key = (c, t)
+                if at != key:
+                    if key is not None:
+                        yield one(key, ids, total)
+                    key, ids, total = at, None, np.zeros(len(part))
+                total += part
+                if batch.column("ids")[k].is_valid:
+                    ids = batch.column("ids")[k].values
         if key is not None:
-            yield one(key, total)
+            yield one(key, ids, total)
 
-    def one(key, total):
+    def one(key, ids, total):
         return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
-             pa.array([total.tobytes()], pa.binary())], names=["c", "tile", "sums"])
+            [ids, pa.array(np.full(len(total), key[0], np.int32)), pa.array(total)],
+            names=["id", "c", "s"])
 
-    def unpack(batches):
-        for batch in batches:
-            sums = [np.frombuffer(x, np.float64) for x in batch.column("sums").to_pylist()]
-            c = np.repeat(np.asarray(batch.column("c")), [len(x) for x in sums])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("ids").flatten(), pa.array(c.astype(np.int32)),
-                 pa.array(np.concatenate(sums))], names=["id", "c", "s"])
-
-    schema = "c int, tile int, sums binary"
-    added = (pairs.mapInArrow(blocks, schema).repartition("c", "tile")
-             .sortWithinPartitions("c", "tile").mapInArrow(add, schema))
-    return (tiles.select("c", "tile", "ids").join(added, ["c", "tile"]).select("ids", "c", "sums")
-            .mapInArrow(unpack, f"id {id_type}, c int, s double"))
+    return (pairs.mapInArrow(blocks, f"c int, tile int, ids array<{id_type}>, sums binary")
+            .repartition("c", "tile").sortWithinPartitions("c", "tile")
+            .mapInArrow(add, f"id {id_type}, c int, s double"))
 
 
 def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
@@ -224,8 +219,8 @@ def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
     mean (Jensen), so with the distances to its own cluster and to the one of the
     nearest mean known, clusters whose mean lies beyond the best so far can't be
     the nearest and are skipped. The others are summed in a second round."""
-    rows = checkpointed(df.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("l"),
-                                  F.col(x_col).cast("array<double>").alias("x")))
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("l"),
+                     F.col(x_col).cast("array<double>").alias("x"))
     sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()  # one a cluster
     labels = np.array([r.l for r in sizes], np.int64)
     id_type, label_type = dict(rows.dtypes)["id"], dict(df.dtypes)[label_col]
@@ -258,7 +253,13 @@ def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
                  pa.array(far.argmin(axis=1).astype(np.int32))], names=["id", "own", "x", "near"])
 
     placed = checkpointed(rows.mapInArrow(place, f"id {id_type}, own int, x array<double>, near int"))
-    targets = _packs(placed.select("id", F.col("own").alias("c"), "x"), "c", tile_rows)
+    parts = F.array(*[F.lit(math.ceil(r.n / tile_rows)) for r in sizes])
+    targets = checkpointed(_packs(placed.select("id", F.col("own").alias("c"), "x"), "c",
+                                  parts[F.col("c")]))
+    least = {r.c: r.t for r in targets.groupBy("c").agg(F.min("tile").alias("t")).collect()}
+    first_tile = F.array(*[F.lit(least[c]) for c in range(len(sizes))])  # each has one
+    targets = targets.withColumn("first", F.col("tile") == first_tile[F.col("c")])
+    tiles = math.ceil(sum(r.n for r in sizes) / tile_rows)
     count = F.array(*[F.lit(int(r.n)).cast("double") for r in sizes])
 
     def mean_to(sums: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
 
     first = placed.select("id", "x", F.explode(F.array("own", "near")).alias("c"))
     known = checkpointed(
-        mean_to(_distance_sums(first, targets, tile_rows))
+        mean_to(_distance_sums(first, targets, tiles))
         .join(placed.select("id", "own", "near"), "id").groupBy("id", "own", "near")
         .agg(F.max(F.when(F.col("c") == F.col("own"), F.col("s"))).alias("inside"),
              F.max(F.when(F.col("c") == F.col("near"), F.col("mean"))).alias("b")))
@@ -285,9 +286,9 @@ def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
                 [batch.column("id").take(take), pa.array(c.astype(np.int32)),
                  batch.column("x").take(take)], names=["id", "c", "x"])
 
-    open_ = checkpointed(placed.join(known.select("id", "b"), "id").mapInArrow(
-        beyond, f"id {id_type}, c int, x array<double>"))
-    more = (mean_to(_distance_sums(open_, targets, tile_rows)).groupBy("id")
+    open_ = placed.join(known.select("id", "b"), "id").mapInArrow(
+        beyond, f"id {id_type}, c int, x array<double>")
+    more = (mean_to(_distance_sums(open_, targets, tiles)).groupBy("id")
             .agg(F.min("mean").alias("other")))
     n = count[F.col("own")]
     a, b = F.col("inside") / (n - 1), F.least("b", "other")

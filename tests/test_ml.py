@@ -427,11 +427,11 @@ def test_pruned_silhouette_skips_far_clusters(spark, monkeypatch):
     X, lab, df = _labelled_cloud(spark, 12, 480, 0.2)
     looked, original = [], SI._distance_sums
 
-    def counted(queries, targets, tile_rows):
+    def counted(queries, targets, tiles):
         sizes = np.bincount(lab)
         per = {r.c: r["count"] for r in queries.groupBy("c").count().collect()}
         looked.append(sum(int(sizes[c]) * n for c, n in per.items()))
-        return original(queries, targets, tile_rows)
+        return original(queries, targets, tiles)
 
     monkeypatch.setattr(SI, "_distance_sums", counted)
     got = silhouette_score(df, "id", "x", "label", tile_rows=32).first().silhouette
