@@ -50,10 +50,14 @@ def _folded(fold: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return run
 
 
-def summed(rows: DataFrame, run: Callable,
-           fold: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> dict[int, np.ndarray]:
-    """``run`` turns Arrow batches into ``packed`` rows; the sum (or another
-    associative ``fold``) of each key's arrays, one array a key."""
-    parts = rows.mapInArrow(run, PACKED)
+def added(parts: DataFrame,
+          fold: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> dict[int, np.ndarray]:
+    """The sum (or another associative ``fold``) of packed rows (key, part) by key."""
     total = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_folded(fold), PACKED)
     return {r.key: np.frombuffer(bytes(r.part), "<f8") for r in total.collect()}
+
+
+def summed(rows: DataFrame, run: Callable,
+           fold: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> dict[int, np.ndarray]:
+    """``run`` turns Arrow batches into ``packed`` rows; their sum, one array a key."""
+    return added(rows.mapInArrow(run, PACKED), fold)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrastat.operators.blocks import matrix, packed, summed
+from terrastat.operators.blocks import added, matrix, packed, summed
 from terrastat.operators.common import checkpointed
 from terrastat.operators.scan import global_prefix
 from terrastat.session import scratch_path
@@ -196,10 +196,8 @@ def _step(state: DataFrame, fits: list[np.ndarray], moved: list[np.ndarray] | No
     columns = ["id", "x"] if moved is None else ["id", "x", "l", "u", "w"]
     state.select(*columns).mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
     table = spark.read.schema(schema).parquet(path)
-    total = None
-    for r in table.where("kind = 1").select("sums").toLocalIterator():  # one row a task
-        part = np.frombuffer(bytes(r.sums), np.float64)
-        total = part.copy() if total is None else total + part
+    total = added(table.where("kind = 1").select(F.lit(0).cast("int").alias("key"),
+                                                 F.col("sums").alias("part")))[0]  # a row a task
     sums, at = [], 0
     for c in fits:
         sums.append(total[at:at + len(c) * (d + 1)].reshape(len(c), d + 1))
