@@ -709,6 +709,28 @@ feat AS (SELECT id, pos, CASE WHEN STDDEV_POP(v) OVER p > 0 THEN (v - AVG(v) OVE
     q["kmeans_assignment"] = w(MUNI, MART_LONG, MART) + (
         "SELECT COUNT(*) AS points, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced "
         "FROM mart WHERE population >= 5000")
+    named = _recursive(
+        *mart_pts, *_kmeans_ctes([4]), RATES_LONG,
+        "lab4 AS (SELECT r.*, CAST(l.label AS BIGINT) AS cluster FROM rates r JOIN klab l ON l.id = r.muni_key)",
+        "lab4_long AS (SELECT r.*, CAST(l.label AS BIGINT) AS cluster FROM rates_long r "
+        "JOIN klab l ON l.id = r.muni_key)", GSTATS, CMEANS, ZS, NAMES, PROFILES)
+    q["kmeans_cluster_names"] = named + (
+        "SELECT cluster, members, round(mean_population, 6) AS mean_population, specialty, "
+        "round(top_z, 6) AS top_z, cluster_name FROM names")
+    q["kmeans_profiles"] = named + (
+        "SELECT cluster, cluster_name, position, feature, round(mean_rate, 6) AS mean_rate FROM profiles")
+    own = _dbscan_sql(2.0, 38, ",\n".join([*one, "points AS (SELECT id AS k, pc1 FROM pcs)"]), ("pc1",))
+    kept = _recursive(*_mart_pca(1)) + "SELECT lam / t * 100.0 FROM eig, trace"
+    q["dbscan_pipeline"] = (
+        "SELECT CAST(COUNT(DISTINCT CASE WHEN label <> -1 THEN label END) AS BIGINT) AS n_clusters, "
+        "CAST(COALESCE(SUM(CASE WHEN label = -1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_outliers, "
+        "round(SUM(CASE WHEN label = -1 THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 2) AS noise_pct, "
+        "CAST(2.0 AS DOUBLE) AS eps, CAST(38 AS INTEGER) AS min_samples, CAST(1 AS INTEGER) AS dims, "
+        f"round(({kept}), 2) AS retained_pct FROM ({own})")
+    q["dbscan_pipeline_outliers"] = w(
+        MUNI, MART_LONG, MART, RATES, RATES_LONG, GSTATS,
+        f"dbs AS (SELECT r.*, d.label AS cluster FROM rates r JOIN ({own}) d ON d.k = r.muni_key)", OUT_Z) + (
+        "SELECT muni_key, muni, population, state, main_anomaly, round(max_z, 6) AS max_z FROM anom")
     db = w(MUNI, MART_LONG, MART, RATES, RATES_LONG, GSTATS, DBS)
     q["dbscan_members"] = db + "SELECT muni_key, muni, population, cluster, cluster = -1 AS is_outlier FROM dbs"
     q["dbscan_metrics"] = db + (

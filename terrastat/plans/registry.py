@@ -801,12 +801,13 @@ def dbscan_display(spark, sf):
 
 def kmeans_cluster_names(spark, sf):
     """M5-M9 on the real K-Means labels (K = 4)."""
-    return KM.run_kmeans(fx.mart(spark, sf), sweep=False).names
+    return _round_feats(KM.run_kmeans(fx.mart(spark, sf), sweep=False).names,
+                        ["mean_population", "top_z"])
 
 
 def kmeans_profiles(spark, sf):
     """M10 on the real K-Means labels, long form."""
-    return KM.run_kmeans(fx.mart(spark, sf), sweep=False).profiles
+    return _round_feats(KM.run_kmeans(fx.mart(spark, sf), sweep=False).profiles, ["mean_rate"])
 
 
 def dbscan_pipeline_outliers(spark, sf):
@@ -815,7 +816,7 @@ def dbscan_pipeline_outliers(spark, sf):
     m = res.members
     feats = [c for c in m.columns if c not in ("muni_key", "muni", "population", "state",
                                                 "cluster", "pc1", "pc2")]
-    return PR.outlier_list(PR.outlier_anomaly(m, m, feats), n=None)
+    return _round_feats(PR.outlier_list(PR.outlier_anomaly(m, m, feats), n=None), ["max_z"])
 
 
 def dbscan_pipeline(spark, sf):
