@@ -1,13 +1,13 @@
 """Mean silhouette (M2), Euclidean and exact, without materialising pairs.
 
-Points are hashed into T tiles of about ``tile_rows`` rows, and each tile is
-packed into one row of arrays. Tile pairs (a, b) with a <= b meet in an
-equi-join on the tile number; an Arrow batch function computes the |a|×|b|
-distance block once in NumPy, for any number of labelings at the same time, and
-returns two packed rows: for each point of a tile and each cluster, the sum of
-distances to the other side. These are added up per tile, T rows each. So the
-shuffle carries about T²/2 packed rows, not a row a point and pair, and a tile
-is bounded by ``tile_rows`` whatever the skew of labels.
+Points are hashed into T tiles of ``tile_rows`` rows or more, and each tile is
+packed into one row of arrays. Tile pairs (a, b) with a <= b meet without a shuffle
+(``blocks.met``): a task reads one part of the tiles and another one, computes each
+|a|×|b| distance block once in NumPy, for any number of labelings at the same time,
+and adds up, for each point and each cluster, the distances to the other side. It
+sends one packed row a tile that it met. So what is written is the tiles and their
+sums, some P times (P parts, about three times the root of the number of cores), not
+the T²/2 pairs, and a tile is bounded whatever the skew of labels.
 A single labeling needs fewer blocks: ``silhouette_samples`` skips the clusters
 that a bound rules out.
 ``method='squared'`` is Spark ML's ClusteringEvaluator (squared Euclidean),
@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastat.operators.blocks import matrix, packed, summed
+from terrastat.operators.blocks import distances, matrix, met, packed, parts, summed
 from terrastat.operators.common import checkpointed
 
 DEFAULT_TILE_ROWS = 4096
+TILES = 64  # smaller tiles are made larger until so many are left
 CHUNK_ELEMENTS = 1 << 22  # ~32 MB of float64 differences per chunk
 
 
@@ -42,6 +43,10 @@ def _distances(xl: np.ndarray, xr: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tile_rows(n: int, tile_rows: int) -> int:
+    return max(tile_rows, min(DEFAULT_TILE_ROWS, math.ceil(n / TILES)))
+
+
 def _one_hot(labels: np.ndarray, domains: list[list[int]]) -> np.ndarray:
     """rows × (clusters of all labelings): which clusters a row is in."""
     parts = [labels[:, [k]] == np.array(d)[None, :] for k, d in enumerate(domains)]
@@ -67,7 +72,8 @@ def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str
     silhouette s(i) = (b - a)/max(a, b); a singleton cluster's point scores 0.
     ``x_col`` is an array<double|float> column."""
     n = df.count()
-    tiles = _tiles(df, id_col, x_col, label_cols, max(1, math.ceil(n / tile_rows)))
+    number = max(1, math.ceil(n / _tile_rows(n, tile_rows)))
+    tiles = _tiles(df, id_col, x_col, label_cols, number)
     count = len(label_cols)
     sizes = df.select(F.posexplode(F.array(*[F.col(c).cast("long") for c in label_cols]))
                       .alias("k", "label")).groupBy("k", "label").agg(
@@ -75,26 +81,35 @@ def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str
     domains = [[r.label for r in sizes if r.k == k] for k in range(count)]
     cluster_n = np.array([r.n for r in sizes], np.float64)
 
-    left = tiles.select(F.col("tile").alias("a"), F.col("labels").alias("la"), F.col("xs").alias("xa"))
-    right = tiles.select(F.col("tile").alias("b"), F.col("labels").alias("lb"), F.col("xs").alias("xb"))
-    last = F.lit(max(1, math.ceil(n / tile_rows)) - 1).cast("long")
-    pairs = (left.withColumn("b", F.explode(F.sequence(F.col("a").cast("long"), last)))
-             .join(right.withColumn("b", F.col("b").cast("long")), "b"))
+    cut = parts(df, number, 3)
+    left = tiles.select(F.col("tile").cast("long").alias("a"), F.col("labels").alias("la"),
+                        F.col("xs").alias("xa")).repartitionByRange(cut, "a")
+    right = tiles.select(F.col("tile").cast("long").alias("b"), F.col("labels").alias("lb"),
+                         F.col("xs").alias("xb")).repartitionByRange(cut, "b")
+    pairs = met(left, right, F.col("a") <= F.col("b"))
 
     def blocks(batches):
+        """A row for each left tile that comes, and one for each right tile."""
+        at, total, others = None, None, {}
         for batch in batches:
-            for r in batch.to_pylist():
-                la = np.array(r["la"], np.int64).reshape(-1, count)
-                lb = np.array(r["lb"], np.int64).reshape(-1, count)
-                xa = np.array(r["xa"], np.float64).reshape(len(la), -1)
-                xb = np.array(r["xb"], np.float64).reshape(len(lb), -1)
-                d = _distances(xa, xb)
-                out = [(r["a"], (d @ _one_hot(lb, domains)).tobytes())]
-                if r["a"] != r["b"]:
-                    out.append((r["b"], (d.T @ _one_hot(la, domains)).tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t for t, _ in out], pa.int64()),
-                     pa.array([m for _, m in out], pa.binary())], names=["tile", "sums"])
+            tiles_of = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(),
+                           *(_lists(batch.column(c)) for c in ("la", "lb", "xa", "xb")))
+            for a, b, la, lb, xa, xb in tiles_of:
+                la, lb = la.reshape(-1, count), lb.reshape(-1, count)
+                ha, hb = _one_hot(la, domains), _one_hot(lb, domains)
+                if a != at:
+                    if at is not None:
+                        yield _packed(at, total)
+                    at, total = a, np.zeros(ha.shape)
+                other = None if a == b else others.setdefault(b, np.zeros(hb.shape))
+                for rows, cols, d in distances(xa.reshape(len(la), -1), xb.reshape(len(lb), -1)):
+                    total[rows] += d @ hb[cols]
+                    if other is not None:
+                        other[cols] += d.T @ ha[rows]
+        if at is not None:
+            yield _packed(at, total)
+        for b, other in others.items():
+            yield _packed(b, other)
 
     def add(batches):  # sorted by tile
         tile, total = None, None
@@ -121,9 +136,10 @@ def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str
         starts = np.cumsum([0] + [len(d) for d in domains])
         for batch in batches:
             ids_of = batch.column("ids")
-            for i, r in enumerate(batch.select(["labels", "sums"]).to_pylist()):
-                labels = np.array(r["labels"], np.int64).reshape(-1, count)
-                sums = np.frombuffer(r["sums"], np.float64).reshape(len(labels), -1)
+            for i, (labels, raw) in enumerate(zip(_lists(batch.column("labels")),
+                                                  batch.column("sums").to_pylist())):
+                labels = labels.reshape(-1, count)
+                sums = np.frombuffer(raw, np.float64).reshape(len(labels), -1)
                 for k, domain in enumerate(domains):
                     s, size = sums[:, starts[k]:starts[k + 1]], cluster_n[starts[k]:starts[k + 1]]
                     own = np.searchsorted(domain, labels[:, k])

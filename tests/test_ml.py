@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrastat.operators import blocks as BL
 from terrastat.operators import dbscan as DB
 from terrastat.operators import features as FE
 from terrastat.operators import lloyd as LL
@@ -577,3 +578,36 @@ def test_kmeans_defined_cases(spark):
     finally:
         LL.RANGES = ranges
     assert (a == LL.seeds(pts, 6, 7)).all()
+
+
+# --- blocks of distances --------------------------------------------------------
+def _joined(blocks, shape, kind=float):
+    out = np.full(shape, 7, kind)
+    for rows, cols, d in blocks:
+        out[rows, cols] = d
+    return out
+
+
+def test_distance_blocks_keep_near_duplicates_and_odd_rows():
+    """The matrix product agrees with coordinate differences, also far from the
+    origin, for near duplicates, and beside rows that are no numbers."""
+    rnd = np.random.default_rng(4)
+    a = rnd.normal(0, 1, (700, 6)) + 1e4
+    b = np.vstack([a[:300] + 1e-9, a[300:500], rnd.normal(0, 1, (900, 6)) + 1e4])
+    a[5], a[6], b[700] = np.nan, np.inf, -np.inf
+    with np.errstate(invalid="ignore"):
+        d2 = ((a[:, None] - b[None]) ** 2).sum(-1)
+    got = _joined(BL.distances(a, b), d2.shape)
+    assert np.allclose(got, np.sqrt(d2), rtol=1e-9, atol=0, equal_nan=True)
+    for eps in (1e-8, 1.3, float(np.sqrt(d2[20, 900]))):
+        assert (_joined(BL.within(a, b, eps), d2.shape, bool) == (d2 <= eps * eps)).all()
+
+
+def test_silhouette_tiles_are_not_copied_for_their_pairs(spark):
+    """Tiles meet without a shuffle of a copy for every pair."""
+    X, lab, df = _labelled_cloud(spark, 5, 480, 3.0)
+    for s in (SI.silhouette_many(df, "id", "x", ["label"], tile_rows=16),):
+        assert s.count() == 480
+        plan = s._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "shuffle_replicate_nl" in plan
+    assert SI._tile_rows(2000, 200) == 200 and SI._tile_rows(10 ** 6, 200) == SI.DEFAULT_TILE_ROWS
