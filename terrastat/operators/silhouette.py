@@ -185,22 +185,37 @@ def _distance_sums(queries: DataFrame, targets: DataFrame, tiles: int) -> DataFr
     cluster ``c``, whose tiles are in ``targets``. ``tiles`` cuts the queries to a
     cluster, which are all points at most."""
     id_type = dict(queries.dtypes)["id"]
-    left = _packs(queries, "c", F.lit(tiles)).select("c", "tile", "ids", F.col("xs").alias("xa"))
-    right = targets.select(F.col("c").alias("tc"), "first", F.col("xs").alias("xb"),
-                           F.size("ids").alias("m"))
-    # the queries' ids go with the first tile of a cluster, so they travel once
-    pairs = left.join(right, F.col("c") == F.col("tc")).select(
-        "c", "tile", F.size("ids").alias("n"), "m", "xa", "xb",
-        F.when(F.col("first"), F.col("ids")).alias("ids"))
+    met_parts = parts(queries, max(1, targets.count()), 1)
+    left = _packs(queries, "c", F.lit(tiles)).select(
+        "c", "tile", "ids", F.size("ids").alias("n"), F.col("xs").alias("xa")).repartition(
+        parts(queries, 1 << 30, 4, 1 << 30), "c", "tile")
+    right = targets.select(F.col("c").alias("tc"), F.size("ids").alias("m"),
+                           F.col("xs").alias("xb")).repartition(met_parts, F.xxhash64("tc", "xb"))
+    pairs = met(left, right, F.col("c") == F.col("tc"))
 
     def blocks(batches):
+        """A row for each query tile: its sums to the target tiles of this task."""
+        at, ids, total = None, None, None
         for batch in batches:
             n, m = batch.column("n").to_pylist(), batch.column("m").to_pylist()
-            for k, (xa, xb) in enumerate(zip(_lists(batch.column("xa")), _lists(batch.column("xb")))):
-                s = _distances(xa.reshape(n[k], -1), xb.reshape(m[k], -1)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x).slice(k, 1) for x in ("c", "tile", "ids")),
-                     pa.array([s.tobytes()], pa.binary())], names=["c", "tile", "ids", "sums"])
+            keys = zip(batch.column("c").to_pylist(), batch.column("tile").to_pylist())
+            for k, (key, xa, xb) in enumerate(zip(keys, _lists(batch.column("xa")),
+                                                  _lists(batch.column("xb")))):
+                if key != at:
+                    if at is not None:
+                        yield part(at, ids, total)
+                    at, ids, total = key, batch.column("ids")[k].values, np.zeros(n[k])
+                for rows, _, d in distances(xa.reshape(n[k], -1), xb.reshape(m[k], -1)):
+                    total[rows] += d.sum(axis=1)
+        if at is not None:
+            yield part(at, ids, total)
+
+    def part(key, ids, total):
+        offsets = pa.array([0, len(ids)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
+             pa.ListArray.from_arrays(offsets, ids), pa.array([total.tobytes()], pa.binary())],
+            names=["c", "tile", "ids", "sums"])
 
     def add(batches):  # sorted by tile
         key, ids, total = None, None, None
@@ -211,10 +226,8 @@ def _distance_sums(queries: DataFrame, targets: DataFrame, tiles: int) -> DataFr
                 if at != key:
                     if key is not None:
                         yield one(key, ids, total)
-                    key, ids, total = at, None, np.zeros(len(part))
+                    key, ids, total = at, batch.column("ids")[k].values, np.zeros(len(part))
                 total += part
-                if batch.column("ids")[k].is_valid:
-                    ids = batch.column("ids")[k].values
         if key is not None:
             yield one(key, ids, total)
 
@@ -269,13 +282,12 @@ def silhouette_samples(df: DataFrame, id_col: str, x_col: str, label_col: str,
                  pa.array(far.argmin(axis=1).astype(np.int32))], names=["id", "own", "x", "near"])
 
     placed = checkpointed(rows.mapInArrow(place, f"id {id_type}, own int, x array<double>, near int"))
-    parts = F.array(*[F.lit(math.ceil(r.n / tile_rows)) for r in sizes])
+    n_rows = sum(r.n for r in sizes)
+    tile_rows = _tile_rows(n_rows, tile_rows)
+    cuts = F.array(*[F.lit(math.ceil(r.n / tile_rows)) for r in sizes])
     targets = checkpointed(_packs(placed.select("id", F.col("own").alias("c"), "x"), "c",
-                                  parts[F.col("c")]))
-    least = {r.c: r.t for r in targets.groupBy("c").agg(F.min("tile").alias("t")).collect()}
-    first_tile = F.array(*[F.lit(least[c]) for c in range(len(sizes))])  # each has one
-    targets = targets.withColumn("first", F.col("tile") == first_tile[F.col("c")])
-    tiles = math.ceil(sum(r.n for r in sizes) / tile_rows)
+                                  cuts[F.col("c")]))
+    tiles = math.ceil(n_rows / tile_rows)
     count = F.array(*[F.lit(int(r.n)).cast("double") for r in sizes])
 
     def mean_to(sums: DataFrame) -> DataFrame:

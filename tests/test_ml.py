@@ -604,9 +604,11 @@ def test_distance_blocks_keep_near_duplicates_and_odd_rows():
 
 
 def test_silhouette_tiles_are_not_copied_for_their_pairs(spark):
-    """Tiles meet without a shuffle of a copy for every pair."""
+    """Tiles meet without a shuffle of a copy for every pair, in both forms."""
     X, lab, df = _labelled_cloud(spark, 5, 480, 3.0)
-    for s in (SI.silhouette_many(df, "id", "x", ["label"], tile_rows=16),):
+    for s in (SI.silhouette_many(df, "id", "x", ["label"], tile_rows=16),
+              SI._distance_sums(df.select("id", F.col("label").alias("c"), "x"), SI._packs(
+                  df.select("id", F.col("label").alias("c"), "x"), "c", F.lit(6)), 30)):
         assert s.count() == 480
         plan = s._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "shuffle_replicate_nl" in plan
