@@ -28,7 +28,7 @@ For d <= 3 coordinates (the usual case after PCA, or planar points):
    everything else is noise (-1).
 
 For d > 3 the neighbour-offset count of the fine grid explodes. There points are
-partitioned around pivots, with halos, triangle-inequality pruning and dense
+partitioned around pivots into tiles with means and radii, which prune, and dense
 balls of radius eps/2 (pivots.py); steps 4 and 5 are the same.
 """
 
@@ -263,7 +263,8 @@ def dbscan_labels(points: DataFrame, id_col: str, coords: list[str], eps: float
     elsewhere: in a dense cell (count >= min_samples, all cores), where no pairs
     are enumerated, and for a point without a place. Above three coordinates
     every count is exact unless ``count_all`` is off: then dense balls spare
-    their points' pairs, and counts in and beside such a ball are null. A point
+    their points' pairs, cores are counted only as far as it takes to know them,
+    and counts of cores and in and beside such a ball are null. A point
     with a null or NaN coordinate has no place: it is noise.
     """
     lost = F.lit(False)
@@ -348,20 +349,22 @@ def _dbscan_labels_pivots(points: DataFrame, id_col: str, coords: list[str], eps
     plan = PV.layout(uniq, n, eps, min_samples, not count_all)
     placed = checkpointed(PV.place(uniq, plan))
     weights = placed.where("ball >= 0").groupBy("ball").agg(F.sum("w").alias("bw"),
+                                                            F.count(F.lit(1)).alias("points"),
                                                             F.min("id").alias("rep"))
-    dense = checkpointed(weights.where(F.col("bw") >= min_samples))
+    dense = checkpointed(weights.where((F.col("bw") >= min_samples) & (F.col("points") >= PV.BLOCK)))
     balls = sorted(r.ball for r in dense.collect())  # at most PV.BALLS
     inside = F.col("ball").isin(balls) if balls else F.lit(False)
     loose, members = placed.where(~inside), placed.where(inside)
-    counts = PV.count_neighbours(loose, eps)
+    counts = PV.count_neighbours(loose, eps, None if count_all else min_samples)
+    whole = F.lit(True) if count_all else F.col("n") < min_samples
     hits = None
     if balls:
         hits = checkpointed(PV.near_balls(loose, members, plan, min_samples).where("n > 0"))
         more = hits.groupBy("id").agg(F.sum("n").alias("m"))
         counts = counts.join(more, "id", "left").select(
-            "id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.col("m").isNull().alias("exact"))
+            "id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), (F.col("m").isNull() & whole).alias("exact"))
     else:
-        counts = counts.select("id", "n", F.lit(True).alias("exact"))
+        counts = counts.select("id", "n", whole.alias("exact"))
     judged = checkpointed(loose.join(counts, "id").withColumn("is_core", F.col("n") >= min_samples))
     links = checkpointed(PV.loose_links(judged, eps))
     status = judged.select("id", "is_core")

@@ -613,3 +613,25 @@ def test_silhouette_tiles_are_not_copied_for_their_pairs(spark):
         plan = s._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "shuffle_replicate_nl" in plan
     assert SI._tile_rows(2000, 200) == 200 and SI._tile_rows(10 ** 6, 200) == SI.DEFAULT_TILE_ROWS
+
+
+def test_dbscan_rows_are_not_copied_for_cells_balls_or_blocks(spark, monkeypatch):
+    """Points travel in tiles: no row for every cell, ball or block that a point may
+    meet. Counts below ``enough`` are whole."""
+    monkeypatch.setattr(PV, "BLOCK", 40)
+    monkeypatch.setattr(PV, "ROWS_PER_PIVOT", 30)
+    X = np.unique(_cloud(3), axis=0)
+    pts = spark.createDataFrame([(i, 1, list(map(float, x))) for i, x in enumerate(X)],
+                                "id bigint, w bigint, x array<double>")
+    plan = PV.layout(pts, len(X), 0.9, 12, True)
+    placed = DB.checkpointed(PV.place(pts, plan))
+    assert set(placed.columns) == {"id", "w", "x", "cell", "ball", "ball_r"}
+    near = (np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)) <= 0.9).sum(1)
+    whole, some = PV.count_neighbours(placed, 0.9), PV.count_neighbours(placed, 0.9, 12)
+    assert {r.id: r.n for r in whole.collect()} == dict(enumerate(near))
+    for r in some.collect():
+        assert r.n == near[r.id] if near[r.id] < 12 else 12 <= r.n <= near[r.id]
+    balls = PV.near_balls(placed.where("ball < 0"), placed.where("ball >= 0"), plan, 12)
+    for df in (whole, some, balls):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in text and "shuffle_replicate_nl" in text
