@@ -8,6 +8,9 @@ and adds up, for each point and each cluster, the distances to the other side. I
 sends one packed row a tile that it met. So what is written is the tiles and their
 sums, some P times (P parts, about three times the root of the number of cores), not
 the T²/2 pairs, and a tile is bounded whatever the skew of labels.
+Points on a line (one coordinate) need no pairs: tiles are ranges of the line, a
+tile sends the sums of distances to its two ends, and running sums over gaps between
+neighbours give every point's distances to every cluster, so the work is a sort.
 A single labeling needs fewer blocks: ``silhouette_samples`` skips the clusters
 that a bound rules out.
 ``method='squared'`` is Spark ML's ClusteringEvaluator (squared Euclidean),
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastat.operators.blocks import distances, matrix, met, packed, parts, summed
+from terrastat.operators.blocks import PACKED, distances, matrix, met, packed, parts, summed
 from terrastat.operators.common import checkpointed
 
 DEFAULT_TILE_ROWS = 4096
 TILES = 64  # smaller tiles are made larger until so many are left
+LINE_TILES, LINE_SUMS = 4096, 1 << 22  # tiles of a line, and their sums (tiles x clusters), at most
 CHUNK_ELEMENTS = 1 << 22  # ~32 MB of float64 differences per chunk
 
 
@@ -53,34 +57,127 @@ def _one_hot(labels: np.ndarray, domains: list[list[int]]) -> np.ndarray:
     return np.concatenate(parts, axis=1).astype(np.float64)
 
 
-def _tiles(df: DataFrame, id_col: str, x_col: str, label_cols: list[str], tiles: int) -> DataFrame:
-    """(tile, ids, labels, xs): one row a tile, its points in id order."""
+def _tiles(df: DataFrame, id_col: str, x_col: str, label_cols: list[str], tiles: int,
+           line: bool = False) -> DataFrame:
+    """(tile, ids, labels, xs): one row a tile, its points in id order. On a ``line``
+    tiles are ranges of the coordinate; equal ones are split by id."""
     point = F.struct(F.col(id_col).alias("id"),
                      F.array(*[F.col(c).cast("long") for c in label_cols]).alias("l"),
                      F.col(x_col).cast("array<double>").alias("x"))
-    packed = df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(tiles)).alias("tile")).agg(
-        F.array_sort(F.collect_list(point)).alias("p"))  # about tile_rows points
+    if line:
+        df = df.repartitionByRange(tiles, F.col(x_col)[0], F.xxhash64(id_col))
+    tile = F.spark_partition_id() if line else F.pmod(F.xxhash64(id_col), F.lit(tiles))
+    packed = df.select(tile.alias("tile"), point.alias("p")).groupBy("tile").agg(
+        F.array_sort(F.collect_list("p")).alias("p"))  # about tile_rows points
     return checkpointed(packed.select(
         "tile", F.transform("p", lambda q: q["id"]).alias("ids"),
         F.flatten(F.transform("p", lambda q: q["l"])).alias("labels"),
         F.flatten(F.transform("p", lambda q: q["x"])).alias("xs")))
 
 
+def _scored(ids: pa.Array, labels: np.ndarray, sums: np.ndarray, domains: list[list[int]],
+            cluster_n: np.ndarray):
+    """A batch for each labeling from the points' distance sums to every cluster."""
+    starts = np.cumsum([0] + [len(d) for d in domains])
+    for k, domain in enumerate(domains):
+        s, size = sums[:, starts[k]:starts[k + 1]], cluster_n[starts[k]:starts[k + 1]]
+        own = np.searchsorted(domain, labels[:, k])
+        rows = np.arange(len(labels))
+        alone = size[own] <= 1
+        a = s[rows, own] / np.maximum(size[own] - 1, 1)
+        mean = s / size[None, :]
+        mean[rows, own] = np.inf
+        b = mean.min(axis=1)
+        high = np.maximum(a, b)
+        ok = ~alone & np.isfinite(b) & (high > 0)
+        v = np.where(ok, (np.where(ok, b, 0) - a) / np.where(ok, high, 1), 0.0)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(np.full(len(rows), k), pa.int64()), pa.array(labels[:, k]), pa.array(v)],
+            names=["id", "position", "label", "silhouette"])
+
+
+def _carried(ends: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Tile -> (points before, their distances to the tile's first point, points
+    after, their distances to its last) by cluster, from each tile's (first, last,
+    points, distances to the last, to the first). Only sums of what is not negative,
+    so nothing cancels."""
+    order = sorted(ends, key=lambda t: (ends[t][0], ends[t][1], t))
+    first, last = (np.array([ends[t][i] for t in order]) for i in (0, 1))
+    n, below, above = np.array([ends[t][2:].reshape(3, -1) for t in order]).transpose(1, 0, 2)
+    out = np.zeros((len(order), 4, n.shape[1]))
+    for i in range(1, len(order)):
+        out[i, 0] = out[i - 1, 0] + n[i - 1]
+        out[i, 1] = (out[i - 1, 1] + out[i - 1, 0] * (last[i - 1] - first[i - 1]) + below[i - 1]
+                     + out[i, 0] * (first[i] - last[i - 1]))
+    for i in range(len(order) - 2, -1, -1):
+        out[i, 2] = out[i + 1, 2] + n[i + 1]
+        out[i, 3] = (out[i + 1, 3] + out[i + 1, 2] * (last[i + 1] - first[i + 1]) + above[i + 1]
+                     + out[i, 2] * (first[i + 1] - last[i]))
+    return dict(zip(order, out))
+
+
+def _on_line(tiles: DataFrame, domains: list[list[int]], cluster_n: np.ndarray,
+             schema: str) -> DataFrame:
+    """Scores of points with one coordinate, whose ``tiles`` are ranges of it."""
+    count = len(domains)
+
+    def columns(batch):
+        return zip(batch.column("tile").to_pylist(), _lists(batch.column("labels")),
+                   _lists(batch.column("xs")))
+
+    def ends(batches):
+        for batch in batches:
+            for tile, labels, x in columns(batch):
+                hot = _one_hot(labels.reshape(-1, count), domains)
+                yield from packed({tile: np.concatenate([
+                    [x.min(), x.max()], hot.sum(axis=0), (x.max() - x) @ hot, (x - x.min()) @ hot])})
+
+    sent = tiles.select("tile", "labels", "xs").mapInArrow(ends, PACKED).collect()  # a row a tile
+    shared = tiles.sparkSession.sparkContext.broadcast(
+        _carried({r.key: np.frombuffer(bytes(r.part), "<f8") for r in sent}))
+
+    def scores(batches):
+        for batch in batches:
+            for i, (tile, labels, x) in enumerate(columns(batch)):
+                order = np.argsort(x, kind="stable")
+                labels, gaps = labels.reshape(-1, count)[order], np.diff(x[order])[:, None]
+                hot = _one_hot(labels, domains)
+                n_before, before, n_after, after = shared.value[tile]
+                sums = np.tile(before + after, (len(x), 1))
+                upto = np.cumsum(hot, axis=0)
+                sums[1:] += np.cumsum(gaps * (n_before + upto[:-1]), axis=0)
+                back = gaps * (n_after + (upto[-1] - upto[:-1]))
+                sums[:-1] += np.cumsum(back[::-1], axis=0)[::-1]
+                yield from _scored(batch.column("ids")[i].values.take(pa.array(order)), labels, sums,
+                                   domains, cluster_n)
+
+    return tiles.select("tile", "ids", "labels", "xs").mapInArrow(scores, schema)
+
+
 def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str],
                     tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
     """Per point and labeling: id, position of the label column, label,
     silhouette s(i) = (b - a)/max(a, b); a singleton cluster's point scores 0.
     ``x_col`` is an array<double|float> column."""
-    n = df.count()
+    on_line = (F.size(x_col) == 1) & (F.abs(F.get(x_col, F.lit(0))) < math.inf)  # not so for NaN
+    for c in label_cols:
+        on_line &= F.col(c).cast("long").isNotNull()
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(on_line, 1)).alias("line")).first()
+    n, line = found.n, 0 < found.n == found.line
     number = max(1, math.ceil(n / _tile_rows(n, tile_rows)))
-    tiles = _tiles(df, id_col, x_col, label_cols, number)
     count = len(label_cols)
     sizes = df.select(F.posexplode(F.array(*[F.col(c).cast("long") for c in label_cols]))
                       .alias("k", "label")).groupBy("k", "label").agg(
         F.count(F.lit(1)).alias("n")).orderBy("k", "label").collect()  # one row a cluster
     domains = [[r.label for r in sizes if r.k == k] for k in range(count)]
     cluster_n = np.array([r.n for r in sizes], np.float64)
+    schema = f"id {dict(df.dtypes)[id_col]}, position long, label long, silhouette double"
+    if line:
+        number = min(number, LINE_TILES, max(1, LINE_SUMS // max(1, len(sizes))))
+        tiles = _tiles(df, id_col, x_col, label_cols, number, line=True)
+        return _on_line(tiles, domains, cluster_n, schema)
 
+    tiles = _tiles(df, id_col, x_col, label_cols, number)
     cut = parts(df, number, 3)
     left = tiles.select(F.col("tile").cast("long").alias("a"), F.col("labels").alias("la"),
                         F.col("xs").alias("xa")).repartitionByRange(cut, "a")
@@ -130,38 +227,21 @@ def silhouette_many(df: DataFrame, id_col: str, x_col: str, label_cols: list[str
                                            pa.array([total.tobytes()], pa.binary())],
                                           names=["tile", "sums"])
 
-    id_type = dict(df.dtypes)[id_col]
-
     def scores(batches):
-        starts = np.cumsum([0] + [len(d) for d in domains])
         for batch in batches:
             ids_of = batch.column("ids")
             for i, (labels, raw) in enumerate(zip(_lists(batch.column("labels")),
                                                   batch.column("sums").to_pylist())):
                 labels = labels.reshape(-1, count)
-                sums = np.frombuffer(raw, np.float64).reshape(len(labels), -1)
-                for k, domain in enumerate(domains):
-                    s, size = sums[:, starts[k]:starts[k + 1]], cluster_n[starts[k]:starts[k + 1]]
-                    own = np.searchsorted(domain, labels[:, k])
-                    rows = np.arange(len(labels))
-                    alone = size[own] <= 1
-                    a = s[rows, own] / np.maximum(size[own] - 1, 1)
-                    mean = s / size[None, :]
-                    mean[rows, own] = np.inf
-                    b = mean.min(axis=1)
-                    high = np.maximum(a, b)
-                    ok = ~alone & np.isfinite(b) & (high > 0)
-                    v = np.where(ok, (np.where(ok, b, 0) - a) / np.where(ok, high, 1), 0.0)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids_of[i].values, pa.array(np.full(len(rows), k), pa.int64()),
-                         pa.array(labels[:, k]), pa.array(v)],
-                        names=["id", "position", "label", "silhouette"])
+                yield from _scored(ids_of[i].values, labels,
+                                   np.frombuffer(raw, np.float64).reshape(len(labels), -1),
+                                   domains, cluster_n)
 
     summed = (pairs.select("a", "b", "la", "lb", "xa", "xb").mapInArrow(blocks, "tile long, sums binary")
               .repartition("tile").sortWithinPartitions("tile").mapInArrow(add, "tile long, sums binary"))
     return (tiles.select(F.col("tile").cast("long").alias("tile"), "ids", "labels").join(summed, "tile")
             .select("ids", "labels", "sums")
-            .mapInArrow(scores, f"id {id_type}, position long, label long, silhouette double"))
+            .mapInArrow(scores, schema))
 
 
 def _packs(rows: DataFrame, key: str, tiles) -> DataFrame:

@@ -615,6 +615,40 @@ def test_silhouette_tiles_are_not_copied_for_their_pairs(spark):
     assert SI._tile_rows(2000, 200) == 200 and SI._tile_rows(10 ** 6, 200) == SI.DEFAULT_TILE_ROWS
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-6])
+def test_silhouette_on_a_line_compares_no_pairs(spark, scale):
+    """One coordinate: running sums along the line, the same scores as from all pairs,
+    for ties across tiles, far outliers and a cluster of one."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.pareto(0.8, 300), np.repeat(1.25, 90), 1e5 + rng.random(60) * scale, [-3e6]])
+    labels = np.array([np.digitize(x, [1.0, 5.0]), np.arange(len(x)) % 5, np.arange(len(x)) == 3]).T
+    df = spark.createDataFrame([(i, [float(v)], *map(int, l)) for i, (v, l) in enumerate(zip(x, labels))],
+                               "id bigint, x array<double>, l0 int, l1 int, l2 int")
+    many = SI.silhouette_many(df, "id", "x", ["l0", "l1", "l2"], tile_rows=16)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "shuffle_replicate_nl" not in plan
+    got = {(r.position, r.id): (r.label, r.silhouette) for r in many.collect()}
+    assert len(got) == 3 * len(x)
+    D = np.abs(x[:, None] - x[None])
+    for k, lab in enumerate(labels.T):
+        sums, size = np.array([D[:, lab == c].sum(1) for c in np.unique(lab)]).T, np.bincount(lab)
+        for i, c in enumerate(lab):
+            a, b = sums[i, c] / max(1, size[c] - 1), np.delete(sums[i] / size, c).min()
+            want = (b - a) / max(a, b) if size[c] > 1 else 0.0
+            assert got[k, i] == (c, pytest.approx(want, abs=1e-12))
+
+
+def test_silhouette_on_a_line_odd_rows(spark):
+    """Equal points score 0, also in many tiles; what isn't finite takes the pairs' way."""
+    same = spark.range(40).select("id", F.array(F.lit(2.5)).alias("x"), (F.col("id") % 2).alias("label"))
+    assert {r.silhouette for r in SI.silhouette_many(same, "id", "x", ["label"], tile_rows=8).collect()} == {0.0}
+    assert SI.silhouette_many(same.limit(0), "id", "x", ["label"]).collect() == []
+    odd = same.withColumn("x", F.when(F.col("id") == 3, F.array(F.lit(float("nan")))).otherwise(F.col("x")))
+    many = SI.silhouette_many(odd, "id", "x", ["label"], tile_rows=8)
+    assert many.count() == 40
+    assert "shuffle_replicate_nl" in many._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dbscan_rows_are_not_copied_for_cells_balls_or_blocks(spark, monkeypatch):
     """Points travel in tiles: no row for every cell, ball or block that a point may
     meet. Counts below ``enough`` are whole."""
