@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -580,6 +581,51 @@ def test_kmeans_defined_cases(spark):
     assert (a == LL.seeds(pts, 6, 7)).all()
 
 
+def test_kmeans_disk_does_not_grow_with_steps(spark, monkeypatch):
+    """A step writes no copy of the points, and a table of bounds that is replaced goes."""
+    rnd = np.random.default_rng(3)
+    X = rnd.uniform(size=(3000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id bigint, x array<double>")
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def used():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+
+    floor, seen, step = used(), [], LL._step
+
+    def stepped(*args):
+        out = step(*args)
+        seen.append(used() - floor)
+        return out
+
+    monkeypatch.setattr(LL, "_step", stepped)
+    fits, _ = LL.sweep(df, [3, 6], 42)
+    assert len(seen) > 10 and max(fits[k].steps for k in (3, 6)) == len(seen) - 1
+    assert max(seen) < 3 * X.nbytes
+
+
+def test_kmeans_of_floats_ties_and_repeated_ids(spark, monkeypatch):
+    """Points as floats, in several tiles of a range, many at the same distance from two
+    centres, with ids of text that come twice: labels are those of plain steps."""
+    monkeypatch.setattr(LL, "TILE_ELEMENTS", 40)
+    rnd = np.random.default_rng(8)
+    rows = [(f"k{int(i):04d}", [float(v) for v in x])
+            for i, x in zip(rnd.integers(0, 300, 600), rnd.integers(-3, 4, (600, 4)))]
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "id string, x array<float>").repartition(5)
+    X = np.array([x for _, x in sorted(rows)])
+    fits, lab = LL.sweep(df, [4, 7], 42)
+    got = lab.collect()
+    assert sorted((r.id, r.x) for r in got) == sorted(rows)
+    for i, k in enumerate((4, 7)):
+        C, want, inertia = _plain_kmeans(X, k, 42)
+        assert np.allclose(fits[k].centres, C) and fits[k].inertia == pytest.approx(inertia)
+        label = {tuple(x): c for x, c in zip(X, want)}
+        assert all(r.l[i] == label[tuple(r.x)] for r in got)
+    with pytest.raises(Exception, match="a point without coordinates"):
+        LL.seeds(spark.createDataFrame([("a", [1.0]), ("b", None)], "id string, x array<double>"), 2, 42)
+
+
 # --- blocks of distances --------------------------------------------------------
 def _joined(blocks, shape, kind=float):
     out = np.full(shape, 7, kind)
